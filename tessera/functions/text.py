@@ -75,10 +75,18 @@ def strip_speaker(c: ColumnOrName, prefix: str) -> Column:
 
 
 def contains_any(c: ColumnOrName, keywords: Iterable[str]) -> Column:
-    """true when any keyword is a substring of ``c``."""
-    arr = F.array(*[F.lit(k) for k in keywords])
+    """true when any keyword is a substring of ``c``.
+
+    Built as an OR chain of ``contains`` so it stays inside whole-stage
+    codegen (a lambda over a literal array is interpreted per row)."""
     col = _c(c)
-    return F.exists(arr, lambda k: F.contains(col, k))
+    kws = list(dict.fromkeys(keywords))
+    if not kws:
+        return F.lit(False)
+    out = F.contains(col, F.lit(kws[0]))
+    for k in kws[1:]:
+        out = out | F.contains(col, F.lit(k))
+    return out
 
 
 def clean_response(c: ColumnOrName, max_len: int = 150) -> Column:
@@ -156,13 +164,14 @@ def bounded_length(c: ColumnOrName, cap: int = 100) -> Column:
 
 
 def percent_label(c: ColumnOrName) -> Column:
-    """percentage with one decimal and a '%' sign."""
-    return F.concat(F.round(_c(c), 1).cast("string"), F.lit("%"))
+    """percentage with one decimal (half up) and a '%' sign."""
+    rounded = (F.floor(_c(c) * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0)).cast("double")
+    return F.concat(rounded.cast("string"), F.lit("%"))
 
 
 def to_base64(c: ColumnOrName) -> Column:
-    """text/bytes -> base64 text."""
-    return F.base64(_c(c).cast("binary"))
+    """text/bytes -> base64 text (one line, no MIME line breaks)."""
+    return F.regexp_replace(F.base64(_c(c).cast("binary")), r"[\r\n]", "")
 
 
 def from_base64(c: ColumnOrName) -> Column:
