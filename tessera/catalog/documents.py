@@ -156,7 +156,7 @@ def clean_response_sql(r: str) -> str:
     return f"CASE WHEN length({sent}) > 150 THEN {cut} || '...' ELSE {sent} END"
 
 
-_WF = f"""WITH d AS (SELECT doc_id, substring(text, 1, {defaults.TEXT_BUDGET}) AS t FROM documents),
+_WF_CTES = f"""d AS (SELECT doc_id, substring(text, 1, {defaults.TEXT_BUDGET}) AS t FROM documents),
 tk AS (SELECT doc_id, unnest(regexp_extract_all(t, {lit(WORD_TOKEN)}, 0)) AS w FROM d),
 tk2 AS (SELECT doc_id, w FROM tk WHERE lower(w) NOT IN (SELECT word FROM {STOP})),
 tk3 AS (SELECT doc_id, CASE WHEN ends_with(lower(w), '''s') THEN substring(w, 1, length(w) - 2) ELSE w END AS w FROM tk2),
@@ -172,9 +172,10 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term AS
   max(n) OVER (PARTITION BY doc_id) AS mx FROM mg),
 wf AS (SELECT doc_id, term, n::BIGINT AS n, {round6('n / mx')} AS weight, rank::BIGINT AS rank FROM rk
   WHERE rank <= {defaults.WORDCLOUD_MAX_WORDS})"""
+_WF = "WITH " + _WF_CTES
 
-_SUMMARY = f"""WITH d AS (SELECT doc_id, substring(text, 1, {defaults.TEXT_BUDGET}) AS t FROM documents),
-s0 AS (SELECT doc_id, unnest(string_split(t, '.')) AS raw, generate_subscripts(string_split(t, '.'), 1) - 1 AS pos FROM d),
+_SUMMARY_CTES = f"""sd AS (SELECT doc_id, substring(text, 1, {defaults.TEXT_BUDGET}) AS t FROM documents),
+s0 AS (SELECT doc_id, unnest(string_split(t, '.')) AS raw, generate_subscripts(string_split(t, '.'), 1) - 1 AS pos FROM sd),
 s AS (SELECT doc_id, pos, {strip_ws('raw')} AS sentence FROM s0),
 s1 AS (SELECT * FROM s WHERE sentence <> ''),
 tm AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), {lit(TERM_TOKEN)}, 0)) AS term FROM s1),
@@ -183,10 +184,11 @@ fq AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, term)::DOUBLE / c
 sc AS (SELECT doc_id, pos, avg(freq) AS score FROM fq GROUP BY doc_id, pos),
 rk0 AS (SELECT s1.doc_id, s1.pos, s1.sentence, {round6('coalesce(sc.score, 0.0)')} AS score, {sql_wc('s1.sentence')} AS nw
   FROM s1 LEFT JOIN sc ON s1.doc_id = sc.doc_id AND s1.pos = sc.pos),
-rk AS (SELECT *, row_number() OVER w AS rnk, sum(nw) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
-  FROM rk0 WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, pos ASC))
-SELECT doc_id, string_agg(sentence, '. ' ORDER BY pos) || '.' AS summary, count(*)::BIGINT AS n_sentences
-FROM rk WHERE rnk = 1 OR running <= {defaults.SUMMARY_TOKEN_BUDGET} GROUP BY doc_id"""
+srk AS (SELECT *, row_number() OVER w AS rnk, sum(nw) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+  FROM rk0 WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, pos ASC)),
+summ AS (SELECT doc_id, string_agg(sentence, '. ' ORDER BY pos) || '.' AS summary, count(*)::BIGINT AS n_sentences
+  FROM srk WHERE rnk = 1 OR running <= {defaults.SUMMARY_TOKEN_BUDGET} GROUP BY doc_id)"""
+_SUMMARY = "WITH " + _SUMMARY_CTES + " SELECT * FROM summ"
 
 _SENTI = sentiment_ctes("documents", "doc_id", "text")
 

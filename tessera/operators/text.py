@@ -39,7 +39,7 @@ def by_document(df: DataFrame, id_col: str, text_col: str, max_chars: int | None
 
 def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
                      max_chars: int = defaults.TEXT_BUDGET, stop_words: DataFrame | None = None,
-                     max_words: int = defaults.WORDCLOUD_MAX_WORDS) -> DataFrame:
+                     max_words: int = defaults.WORDCLOUD_MAX_WORDS, partitioned: bool = False) -> DataFrame:
     """A12 + L06: word-cloud term weights per document.
 
     Words of two or more characters, stop words removed regardless of case,
@@ -50,7 +50,7 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
     spark = df.sparkSession
     sw = stop_words if stop_words is not None else defaults.stop_words_df(spark)
     sw = F.broadcast(sw.select(F.lower("word").alias("key")).distinct())
-    docs = by_document(df, id_col, text_col, max_chars)
+    docs = by_document(df, id_col, text_col, max_chars, partitioned)
     toks = docs.select(id_col, F.explode(F.regexp_extract_all("t", F.lit(WORD_TOKEN), F.lit(0))).alias("w"))
     toks = toks.withColumn("key", F.lower("w")).join(sw, "key", "left_anti")
     toks = toks.withColumn("w", F.when(F.col("key").endswith("'s"),
