@@ -43,7 +43,7 @@ def parse_feedback_text(files: DataFrame, value_col: str = "value") -> DataFrame
 
 def read_feedback_log(spark: SparkSession, path: str) -> DataFrame:
     """S11 batch: every record of every log file (multi-line answers kept)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_feedback_text(files).drop("entry_no")
 
 

@@ -68,7 +68,8 @@ def _infer_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
         v = F.col(f"`{c}`")
         present = v.isNotNull() & (v != "")
         aggs += [F.count(F.when(present, 1)).alias(f"n{i}"),
-                 F.count(F.when(present & F.expr(f"try_cast(`{c}` as bigint)").isNotNull(), 1)).alias(f"l{i}"),
+                 F.count(F.when(present & v.rlike(r"^[+-]?[0-9]+$") &
+                                F.expr(f"try_cast(`{c}` as bigint)").isNotNull(), 1)).alias(f"l{i}"),
                  F.count(F.when(present & F.expr(f"try_cast(`{c}` as double)").isNotNull(), 1)).alias(f"d{i}")]
     row = df.agg(*aggs).first() if aggs else None
     out = {}
@@ -200,7 +201,7 @@ def scan_conversation_lines(spark: SparkSession, path: str) -> DataFrame:
     """Headerless one-column files of prefixed lines, read as text (a
     comma never splits a line).  Each file is one ordered sequence:
     (path, line_no, text)."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "text"))
     return lines.withColumn("line_no", F.col("line_no").cast("long"))
 

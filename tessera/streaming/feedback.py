@@ -32,7 +32,7 @@ def _run(writer) -> None:
 def stream_feedback(spark: SparkSession, log_dir: str, out_dir: str, checkpoint: str) -> DataFrame:
     """Every new log file is parsed (multi-line answers kept) and
     appended to ``out_dir``; returns the sink read back as a table."""
-    files = spark.readStream.option("wholetext", True).text(log_dir)
+    files = spark.readStream.text(log_dir, wholetext=True)
     parsed = parse_feedback_text(files).drop("entry_no")
     _run(parsed.writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append"))
@@ -47,7 +47,7 @@ def _snapshot(out_dir: str):
 
 def stream_feedback_stats(spark: SparkSession, log_dir: str, out_dir: str, checkpoint: str) -> DataFrame:
     """Running counts per helpful flag, equal to the batch A16."""
-    files = spark.readStream.option("wholetext", True).text(log_dir)
+    files = spark.readStream.text(log_dir, wholetext=True)
     stats = feedback_stats(parse_feedback_text(files))
     _run(stats.writeStream.outputMode("complete").foreachBatch(_snapshot(out_dir))
          .option("checkpointLocation", checkpoint))
