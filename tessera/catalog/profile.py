@@ -97,11 +97,18 @@ def q_table_report(spark, sf):
 
 def q_share_of_total(spark, sf):
     e = table(spark, sf, "events")
-    counts = e.groupBy(F.col("event_type").alias("column_name")).agg(F.count("*").cast("long").alias("n"))
+    counts = e.groupBy(F.lit("event_type").alias("column_name"), F.col("event_type").alias("value")).agg(
+        F.count("*").cast("long").alias("n"))
     return P.share_of_total(counts)
 
 
+def q_percent_label(spark, sf):
+    from ..functions.text import percent_label
+    return q_share_of_total(spark, sf).select("value", percent_label("percent").alias("label"))
+
+
 QUERIES = {
+    "percent_label": q_percent_label,
     "select_numeric": q_select_numeric,
     "select_categorical": q_select_categorical,
     "row_to_text": q_row_to_text,
@@ -166,6 +173,8 @@ def fmt(c):
 _PART_ORDER = "(VALUES ('p_partkey', 0), ('p_name', 1), ('p_brand', 2), ('p_type', 3), ('p_size', 4), ('p_retailprice', 5)) AS o(column_name, idx)"
 
 SQL = {
+    "percent_label": f"""SELECT event_type AS value, ((floor({round6('100.0 * count(*) / sum(count(*)) OVER ()')} * 10.0 + 0.5) / 10.0)::DOUBLE)::VARCHAR || '%' AS label
+  FROM events GROUP BY event_type""",
     "select_numeric": "SELECT p_partkey, p_size, p_retailprice FROM part",
     "select_categorical": "SELECT p_name, p_brand, p_type FROM part",
     "row_to_text": "SELECT p_partkey, concat_ws(' ', p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR) AS row_text FROM part",
@@ -221,6 +230,6 @@ UNION ALL SELECT * FROM (VALUES ('p_partkey', 'data_type', 'int64'), ('p_name',
   ('p_type', 'data_type', 'object'), ('p_size', 'data_type', 'int32'), ('p_retailprice', 'data_type', 'float64')) AS t(column_name, stat, value)
 UNION ALL SELECT '*', 'rows', count(*)::VARCHAR FROM part
 UNION ALL SELECT '*', 'columns', '6'""",
-    "share_of_total": f"""SELECT event_type AS column_name, count(*)::BIGINT AS n,
-  {round6('100.0 * count(*) / sum(count(*)) OVER (PARTITION BY event_type)')} AS percent FROM events GROUP BY event_type""",
+    "share_of_total": f"""SELECT 'event_type' AS column_name, event_type AS value, count(*)::BIGINT AS n,
+  {round6('100.0 * count(*) / sum(count(*)) OVER ()')} AS percent FROM events GROUP BY event_type""",
 }
