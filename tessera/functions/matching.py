@@ -1,0 +1,54 @@
+"""Multi-keyword substring matching in one pass per string.
+
+``contains_any`` (functions.text) is a JVM ``contains`` chain: one scan of
+the string per keyword.  For long keyword lists over many strings,
+``matches_any`` runs an Aho-Corasick automaton (one scan per string for all
+keywords) inside an Arrow-batched pandas UDF; the automaton is built once per
+Python worker.  Semantics are identical (substring of any keyword); lower-
+casing stays on the JVM side so case folding matches Spark's ``lower``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import _c, ColumnOrName, contains_any
+
+try:  # optional C extension
+    import ahocorasick  # type: ignore
+except ImportError:  # pragma: no cover
+    ahocorasick = None
+
+_AUTOMATA: dict[tuple[str, ...], object] = {}
+
+
+def _automaton(keywords: tuple[str, ...]):
+    a = _AUTOMATA.get(keywords)
+    if a is None:
+        a = ahocorasick.Automaton()
+        for k in keywords:
+            a.add_word(k, k)
+        a.make_automaton()
+        _AUTOMATA[keywords] = a
+    return a
+
+
+def matches_any(c: ColumnOrName, keywords: Iterable[str]) -> Column:
+    """True when any keyword is a substring of ``c`` (null stays null)."""
+    kws = tuple(sorted(set(keywords)))
+    if ahocorasick is None or not kws:
+        return contains_any(c, kws)
+    if "" in kws:
+        return F.when(_c(c).isNotNull(), F.lit(True))
+
+    @F.pandas_udf("boolean")
+    def _match(s: pd.Series) -> pd.Series:
+        a = _automaton(kws)
+        out = [None if v is None else next(a.iter(v), None) is not None for v in s.tolist()]
+        return pd.Series(out, index=s.index, dtype="object")
+
+    return _match(_c(c))

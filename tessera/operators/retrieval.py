@@ -5,18 +5,18 @@ corpus table, and the answer cascade is a ``coalesce`` chain with a
 ``source`` column naming the tier that answered.
 
 BM25 plan (exact scores, no term or candidate cap):
-  * query terms are extracted first; the distinct query vocabulary (size
-    checked before it is broadcast) semi-joins the corpus tokens, so only
-    postings that can score are counted;
-  * postings (doc, term, tf, dl) come from one aggregation keyed by
-    (doc, term): map-side partial aggregation absorbs repeated terms;
-  * document frequency is a second aggregation of the (small) postings by
-    term; N and avgdl are two scalars from one aggregate;
-  * postings join query terms on term (AQE splits a hot term's partition),
-    scores sum per (query, doc) with partial aggregation, and the best
-    document per query is a ``min(struct(-score, doc))`` aggregate rather
-    than a window, so a query with millions of candidates never sorts them
-    in one task.
+  * query terms are extracted first; their vocabulary (bounded by the
+    counted query-term table) is broadcast into a left-semi join with the
+    corpus tokens, so only tokens that can score survive;
+  * surviving tokens are hash-partitioned by document once; term
+    frequencies, the broadcast (size-checked) query-term join and the
+    per-(query, document) score sums all reuse that partitioning, so the
+    (query, document) pairs never cross a shuffle;
+  * document frequency is a small aggregation by term; N and avgdl are two
+    scalars from one aggregate;
+  * the best document per query is a ``min(struct(-score, doc))``
+    aggregate (partial per task) rather than a window, so a query with
+    millions of candidates never sorts them in one task.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from .. import defaults
 from ..functions.numeric import round_half_up
 from ..functions.text import (clean_response, contains_any, drop_question_marks, first_line,
                               normalize_question, split_sentences, strip_ws, truncate_chars)
+from ..functions.matching import matches_any
 from .sentiment import checked_broadcast
 from .text import TERM_TOKEN
 
@@ -61,41 +62,62 @@ def canned_answer(df: DataFrame, query_col: str = "search_query", canned: DataFr
     return df.withColumn("_ck", F.lower(query_col)).join(ca, "_ck", "left").drop("_ck")
 
 
-def keyword_match(sentences: DataFrame, text_col: str, keywords: DataFrame, whole_word: bool = False) -> DataFrame:
-    """Sentences containing any keyword (lower-cased) as a substring:
-    a left-semi theta join against the broadcast keyword table."""
-    kw = checked_broadcast(keywords.select(F.lower("keyword").alias("_kw")).distinct(), MAX_BROADCAST_ROWS)
+def keyword_match(sentences: DataFrame, text_col: str, keywords: DataFrame, whole_word: bool = False,
+                  max_literal_keywords: int = 10_000) -> DataFrame:
+    """Sentences containing any keyword (lower-cased) as a substring.
+
+    A keyword table whose size is checked to be small is matched in one
+    pass per sentence (Aho-Corasick over Arrow batches, no join); a larger
+    one is a left-semi theta join against the broadcast keyword table."""
+    kw = keywords.select(F.lower("keyword").alias("_kw")).distinct()
     s = F.lower(F.col(text_col))
+    if not whole_word:
+        small = kw.limit(max_literal_keywords + 1).collect()
+        if len(small) <= max_literal_keywords:
+            return sentences.where(matches_any(s, [r["_kw"] for r in small]))
+    kw = checked_broadcast(kw, MAX_BROADCAST_ROWS)
     cond = (s.rlike(F.concat(F.lit("(^|\\W)"), F.col("_kw"), F.lit("($|\\W)")))
             if whole_word else F.contains(s, F.col("_kw")))
     return sentences.join(kw, cond, "left_semi")
 
 
 def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_id: str, d_text: str,
-              k1: float = 1.2, b: float = 0.75) -> DataFrame:
+              k1: float = 1.2, b: float = 0.75, max_broadcast_query_terms: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """J05 + L03: best document per query by BM25 (ties -> smaller doc id).
 
     Returns (q_id, doc_id, score) for queries with at least one matching term;
     score = sum over distinct query terms of
     ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)),
-    rounded to 6 decimals before ranking."""
+    rounded to 6 decimals before ranking.
+
+    Plan: query terms are extracted and their vocabulary semi-joins the
+    corpus tokens (broadcast, size-checked).  The surviving tokens are
+    hash-partitioned by document once; term frequencies, the broadcast
+    query-term join and the per-(query, document) score sums then all run
+    inside that partitioning, so the (query, document) pairs are never
+    shuffled - only the per-query best (partially aggregated) is.  When the
+    query-term table is too large to broadcast, the join falls back to a
+    shuffle on term (AQE splits hot terms)."""
     qt = queries.select(F.col(q_id).alias("qid"), F.explode(F.array_distinct(terms(F.col(q_text)))).alias("term"))
-    vocab = checked_broadcast(qt.select("term").distinct(), MAX_BROADCAST_ROWS)
+    n_qt = qt.count()
+    vocab = checked_broadcast(qt.select("term").distinct(), MAX_BROADCAST_ROWS, known_max=n_qt)
     docs = corpus.select(F.col(d_id).alias("doc"), terms(F.col(d_text)).alias("_toks"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("_toks")).alias("avgdl")).first()
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
-    if n_docs == 0 or avgdl == 0.0:
+    if n_docs == 0 or avgdl == 0.0 or n_qt == 0:
         return queries.sparkSession.createDataFrame([], f"{q_id} {queries.schema[q_id].dataType.simpleString()}, "
                                                         f"doc_id {corpus.schema[d_id].dataType.simpleString()}, score double")
-    postings = (docs.select("doc", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
-                .join(vocab, "term", "left_semi")
-                .groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")))
+    tokens = (docs.select("doc", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
+              .join(vocab, "term", "left_semi")
+              .repartition("doc"))
+    postings = tokens.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
     dfreq = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = dfreq.select("term", idf.alias("idf"))
+    weights = checked_broadcast(dfreq.select("term", idf.alias("idf")), MAX_BROADCAST_ROWS, known_max=n_qt)
+    q_side = F.broadcast(qt) if n_qt <= max_broadcast_query_terms else qt
     tf = F.col("tf")
     contrib = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    scored = (postings.join(weights, "term").join(qt, "term")
+    scored = (postings.join(weights, "term").join(q_side, "term")
               .groupBy("qid", "doc").agg(F.sum(contrib).alias("score"))
               .withColumn("score", round_half_up("score", 6)))
     best = scored.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("doc").alias("doc"))).alias("m"))

@@ -32,9 +32,12 @@ HAS_LOWER = r"\p{Ll}"
 MAX_BROADCAST_LEXICON = 2_000_000
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a dictionary side only after proving its size bound."""
-    n = df.count()
+def checked_broadcast(df: DataFrame, max_rows: int, known_max: int | None = None) -> DataFrame:
+    """Broadcast a dictionary side only after proving its size bound.
+
+    ``known_max`` is an upper bound the caller already proved (for example a
+    ``limit`` or a count of a superset); without it the rows are counted."""
+    n = known_max if known_max is not None else df.count()
     if n > max_rows:
         return df  # let the planner shuffle both sides instead
     return F.broadcast(df)
