@@ -68,7 +68,8 @@ def _ids_text(c):
 
 
 def q_tokenize_pad(spark, sf):
-    t = M.tokenize_pad(table(spark, sf, "benchmark"), "item_id", "text", _vocab(spark, sf), MAX_LEN)
+    t = M.tokenize_pad(table(spark, sf, "benchmark"), "item_id", "text", _vocab(spark, sf), MAX_LEN,
+                       vocab_size=VOCAB_SIZE)
     return t.select("item_id", _ids_text("input_ids").alias("input_ids"),
                     _ids_text("attention_mask").alias("attention_mask"),
                     F.size("input_ids").cast("long").alias("length"))
@@ -86,7 +87,7 @@ def q_vocab_join(spark, sf):
 
 def q_label_pairs(spark, sf):
     p = _pairs(spark, sf).withColumn("pair_id", _pair_key())
-    lp = M.label_pairs(p, "pair_id", _vocab(spark, sf), MAX_LEN)
+    lp = M.label_pairs(p, "pair_id", _vocab(spark, sf), MAX_LEN, vocab_size=VOCAB_SIZE)
     return lp.select("pair_id", _ids_text("input_ids").alias("input_ids"), _ids_text("labels").alias("labels"))
 
 

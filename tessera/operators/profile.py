@@ -15,6 +15,8 @@ is linear, as in pandas ``describe``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,8 @@ from ..functions.numeric import round_half_up
 from ..functions.text import percent_label, word_count
 
 QUANTILES = (0.25, 0.5, 0.75)
-APPROX_ACCURACY = 1_000_000
+BRACKET_ROWS = 1_000_000      # rows sorted per (column, quantile) in the exact pass
+MIN_ACCURACY, MAX_ACCURACY = 10_000, 10_000_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -79,11 +82,19 @@ def long_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
 
 
-def exact_quantiles(long: DataFrame, probs=QUANTILES, accuracy: int = APPROX_ACCURACY) -> DataFrame:
+def quantile_accuracy(n_rows: int, bracket_rows: int = BRACKET_ROWS) -> int:
+    """Accuracy for the approximate pass so that each exact bracket holds
+    about ``bracket_rows`` rows (2 x margin x n with margin = 3 / accuracy)."""
+    return int(min(MAX_ACCURACY, max(MIN_ACCURACY, math.ceil(6.0 * n_rows / bracket_rows))))
+
+
+def exact_quantiles(long: DataFrame, probs=QUANTILES, accuracy: int | None = None) -> DataFrame:
     """(column, p, q) with q the linearly interpolated quantile of x.
 
-    Rank r = p * (n - 1); q = x[floor r] + (r - floor r) * (x[ceil r] - x[floor r])."""
-    spark = long.sparkSession
+    Rank r = p * (n - 1); q = x[floor r] + (r - floor r) * (x[ceil r] - x[floor r]).
+    ``accuracy`` defaults to one sized from the row count (bounded brackets)."""
+    if accuracy is None:
+        accuracy = quantile_accuracy(long.count())
     margin = 3.0 / accuracy
     lows = [max(0.0, p - margin) for p in probs]
     highs = [min(1.0, p + margin) for p in probs]

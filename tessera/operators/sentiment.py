@@ -29,6 +29,8 @@ from ..functions.text import truncate_chars, words
 PUNCT_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 HAS_UPPER = r"\p{Lu}"
 HAS_LOWER = r"\p{Ll}"
+# at least one upper-case letter and no lower-case letter (Python's str.isupper)
+ALL_CAPS = r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$"
 MAX_BROADCAST_LEXICON = 2_000_000
 
 
@@ -67,7 +69,7 @@ def scored_tokens(df: DataFrame, id_col: str, text_col: str = "text",
     word = F.when(F.length(stripped) <= 2, F.col("raw")).otherwise(stripped)
     toks = (toks.withColumn("word", word)
             .withColumn("key", F.lower("word"))
-            .withColumn("caps", F.col("word").rlike(HAS_UPPER) & ~F.col("word").rlike(HAS_LOWER)))
+            .withColumn("caps", F.col("word").rlike(ALL_CAPS)))
     return toks.join(lex, "key", "left")
 
 
@@ -78,34 +80,40 @@ def sentiment_scores(df: DataFrame, id_col: str, text_col: str = "text",
     negativity, neutrality, compound).  Unused outputs are pruned by Catalyst,
     so selecting a subset costs only what it needs."""
     toks = scored_tokens(df, id_col, text_col, max_chars, lexicon, partitioned)
+    # one window spec (id, pos): lags use the default frame, document-wide
+    # values the full frame - a single sort and a single Window operator
     w = Window.partitionBy(id_col).orderBy("pos")
-    w_all = Window.partitionBy(id_col)
-    n_caps = F.sum(F.col("caps").cast("int")).over(w_all)
-    n_tok = F.count("raw").over(w_all)
-    toks = toks.withColumn("caps_diff", (n_caps > 0) & (n_caps < n_tok))
-    toks = toks.withColumn("but_pos", F.min(F.when(F.col("key") == "but", F.col("pos"))).over(w_all))
+    w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lag_cols = [F.lag(c, k).over(w).alias(f"_{c}{k}") for k in (1, 2, 3) for c in ("kind", "boost", "caps", "valence")]
+    toks = toks.select(
+        "*", *lag_cols, F.lag("intensity", 1).over(w).alias("_intensity1"),
+        F.sum(F.col("caps").cast("int")).over(w_all).alias("_n_caps"),
+        F.count("raw").over(w_all).alias("_n_tok"),
+        F.min(F.when(F.col("key") == "but", F.col("pos"))).over(w_all).alias("but_pos"))
+    toks = toks.withColumn("caps_diff", (F.col("_n_caps") > 0) & (F.col("_n_caps") < F.col("_n_tok")))
     v0 = F.coalesce(F.col("valence"), F.lit(0.0))
     sign = F.when(v0 < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     v = v0 + F.when((v0 != 0) & F.col("caps") & F.col("caps_diff"), sign * defaults.VADER_CAPS).otherwise(0.0)
     decay = {1: 1.0, 2: 0.95, 3: 0.9}
     for k in (1, 2, 3):
-        pk, pb, pc, pv = (F.lag("kind", k).over(w), F.lag("boost", k).over(w),
-                          F.lag("caps", k).over(w), F.lag("valence", k).over(w))
+        pk, pb, pc, pv = (F.col(f"_kind{k}"), F.col(f"_boost{k}"), F.col(f"_caps{k}"), F.col(f"_valence{k}"))
         scalar = pb * sign + F.when(pc & F.col("caps_diff"), sign * defaults.VADER_CAPS).otherwise(0.0)
         boost = F.when((v0 != 0) & (pk == "booster") & pv.isNull(), scalar * decay[k]).otherwise(0.0)
         v = v + boost
+    # factors instead of when(c, v * x).otherwise(v): the expression for v is
+    # referenced once per layer (no exponential growth of generated code);
+    # multiplying by 1.0 is exact, so the values are unchanged
     for k in (1, 2, 3):
-        neg = (v0 != 0) & (F.lag("kind", k).over(w) == "negation")
-        v = F.when(neg, v * defaults.VADER_NEGATE).otherwise(v)
-    v = (F.when(F.col("but_pos").isNull(), v)
-         .when(F.col("pos") < F.col("but_pos"), v * 0.5)
-         .when(F.col("pos") > F.col("but_pos"), v * 1.5)
-         .otherwise(v))
-    prev_kind, prev_int = F.lag("kind", 1).over(w), F.lag("intensity", 1).over(w)
+        neg = (v0 != 0) & (F.col(f"_kind{k}") == "negation")
+        v = v * F.when(neg, F.lit(defaults.VADER_NEGATE)).otherwise(F.lit(1.0))
+    v = v * (F.when(F.col("but_pos").isNull(), F.lit(1.0))
+             .when(F.col("pos") < F.col("but_pos"), F.lit(0.5))
+             .when(F.col("pos") > F.col("but_pos"), F.lit(1.5))
+             .otherwise(F.lit(1.0)))
+    prev_kind, prev_int = F.col("_kind1"), F.col("_intensity1")
     mult = F.when(prev_kind == "booster", prev_int).otherwise(F.lit(1.0))
-    negated = (prev_kind == "negation") | (F.lag("kind", 2).over(w) == "negation")
-    p = F.col("polarity") * mult
-    p = F.when(negated, p * -0.5).otherwise(p)
+    negated = (prev_kind == "negation") | (F.col("_kind2") == "negation")
+    p = F.col("polarity") * mult * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
     sj = F.col("subjectivity") * mult
     has_pol = F.col("polarity").isNotNull()
     scored = toks.select(id_col, "raw", "n_excl", "n_qm",

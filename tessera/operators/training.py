@@ -87,14 +87,14 @@ def build_vocab(corpus: DataFrame, text_cols: list[str], size: int) -> DataFrame
 
 
 def tokenize_pad(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_length: int,
-                 prefix: str = "") -> DataFrame:
+                 prefix: str = "", vocab_size: int | None = None) -> DataFrame:
     """M04 + J10: (id, {prefix}input_ids, {prefix}attention_mask), each of length
     ``max_length``: word ids (unknown -> 1) truncated, then right-padded with
     the end-of-text id 0; mask 1 for words, 0 for padding.
 
     Truncation happens before the explode, so per-row work is bounded by
     ``max_length``; the vocabulary is size-checked and broadcast."""
-    v = checked_broadcast(vocab.select("token", F.col("id").alias("_tid")), MAX_VOCAB_BROADCAST)
+    v = checked_broadcast(vocab.select("token", F.col("id").alias("_tid")), MAX_VOCAB_BROADCAST, known_max=vocab_size)
     toks = df.select(F.col(id_col), F.slice(F.regexp_extract_all(F.lower(text_col), F.lit(TERM_TOKEN), F.lit(0)),
                                             1, max_length).alias("_t"))
     ex = toks.select(id_col, F.posexplode_outer("_t").alias("_pos", "token")).join(v, "token", "left")
@@ -108,10 +108,11 @@ def tokenize_pad(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, ma
         F.concat(F.array_repeat(F.lit(1), F.size(real)), F.array_repeat(F.lit(0), pad)).alias(f"{prefix}attention_mask"))
 
 
-def label_pairs(pairs: DataFrame, id_col: str, vocab: DataFrame, max_length: int = 128) -> DataFrame:
+def label_pairs(pairs: DataFrame, id_col: str, vocab: DataFrame, max_length: int = 128,
+                vocab_size: int | None = None) -> DataFrame:
     """Question tokens as inputs, answer token ids as labels."""
-    q = tokenize_pad(pairs, id_col, "question", vocab, max_length)
-    a = tokenize_pad(pairs, id_col, "answer", vocab, max_length, prefix="a_").select(
+    q = tokenize_pad(pairs, id_col, "question", vocab, max_length, vocab_size=vocab_size)
+    a = tokenize_pad(pairs, id_col, "answer", vocab, max_length, prefix="a_", vocab_size=vocab_size).select(
         id_col, F.col("a_input_ids").alias("labels"))
     return q.join(a, id_col)
 
