@@ -76,8 +76,8 @@ def keyword_match(sentences: DataFrame, text_col: str, keywords: DataFrame, whol
         if len(small) <= max_literal_keywords:
             return sentences.where(matches_any(s, [r["_kw"] for r in small]))
     kw = checked_broadcast(kw, MAX_BROADCAST_ROWS)
-    cond = (s.rlike(F.concat(F.lit("(^|\\W)"), F.col("_kw"), F.lit("($|\\W)")))
-            if whole_word else F.contains(s, F.col("_kw")))
+    pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), F.col("_kw"), F.lit(r"\E($|[^\p{L}\p{N}_])"))
+    cond = F.regexp(s, pattern) if whole_word else F.contains(s, F.col("_kw"))
     return sentences.join(kw, cond, "left_semi")
 
 
