@@ -57,21 +57,21 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
                                        F.expr("substring(w, 1, length(w) - 2)")).otherwise(F.col("w")))
     toks = toks.where(~F.col("w").rlike(r"^\p{N}+$")).withColumn("key", F.lower("w"))
     forms = toks.groupBy(id_col, "key", "w").agg(F.count("*").alias("c"))
-    per_key = forms.groupBy(id_col, "key").agg(
-        F.sum("c").alias("n"),
-        F.max_by("w", F.struct(F.col("c"), F.col("w"))).alias("form"))
-    # plural folding: 'xs' merges into 'x' when both occur in the document
-    singular = per_key.select(id_col, F.col("key").alias("skey"), F.lit(True).alias("has_singular"))
-    folded = (per_key
-              .withColumn("skey", F.when(F.col("key").endswith("s") & ~F.col("key").endswith("ss"),
-                                         F.expr("substring(key, 1, length(key) - 1)")))
-              .join(singular, [id_col, "skey"], "left")
-              .withColumn("is_plural", F.coalesce(F.col("has_singular"), F.lit(False))))
-    folded = folded.select(id_col, F.col("key"), "n", "form", "is_plural",
-                           F.when(F.col("is_plural"), F.col("skey")).otherwise(F.col("key")).alias("target"))
-    merged = folded.groupBy(id_col, "target").agg(
-        F.sum("n").alias("n"),
-        F.max(F.when(~F.col("is_plural"), F.col("form"))).alias("term"))
+    # plural folding without a self-join: 'xs' (not 'ss') and 'x' share the
+    # stem 'x' and are the only keys that can; one aggregate per (id, stem)
+    # merges them when the singular occurs and keeps its most frequent spelling
+    key = F.col("key")
+    stem = F.when(key.endswith("s") & ~key.endswith("ss"), F.expr("substring(key, 1, length(key) - 1)")).otherwise(key)
+    forms = forms.withColumn("stem", stem)
+    is_sing = F.col("key") == F.col("stem")
+    merged = forms.groupBy(id_col, "stem").agg(
+        F.max(is_sing.cast("int")).alias("has_singular"),
+        F.sum("c").alias("n_all"),
+        F.max(F.struct(F.when(is_sing, F.col("c")).alias("c"), F.col("w").alias("w"))).alias("best_sing"),
+        F.max(F.struct(F.col("c").alias("c"), F.col("w").alias("w"))).alias("best_any"))
+    # without a singular the group holds the plural alone
+    merged = merged.select(id_col, F.col("n_all").alias("n"),
+                           F.when(F.col("has_singular") == 1, F.col("best_sing.w")).otherwise(F.col("best_any.w")).alias("term"))
     w_rank = Window.partitionBy(id_col).orderBy(F.desc("n"), F.asc("term"))
     w_all = Window.partitionBy(id_col)
     out = (merged.withColumn("rank", F.row_number().over(w_rank).cast("long"))
