@@ -48,7 +48,7 @@ def alias_lookup(questions: DataFrame, q_col: str = "question", aliases: DataFra
     spark = questions.sparkSession
     al = aliases if aliases is not None else defaults.aliases_df(spark)
     al = checked_broadcast(al.select(F.col("alias").alias("_key"), F.col("title").alias("_title")),
-                           MAX_BROADCAST_ROWS)
+                           MAX_BROADCAST_ROWS, known_max=None if aliases is not None else len(defaults.ALIASES))
     out = questions.withColumn("_key", normalize_question(q_col)).join(al, "_key", "left")
     return out.withColumn("search_query", F.coalesce(F.col("_title"), drop_question_marks(q_col))).drop("_key", "_title")
 
@@ -58,7 +58,7 @@ def canned_answer(df: DataFrame, query_col: str = "search_query", canned: DataFr
     spark = df.sparkSession
     ca = canned if canned is not None else defaults.canned_df(spark)
     ca = checked_broadcast(ca.select(F.col("question").alias("_ck"), F.col("answer").alias("canned")),
-                           MAX_BROADCAST_ROWS)
+                           MAX_BROADCAST_ROWS, known_max=None if canned is not None else len(defaults.CANNED_ANSWERS))
     return df.withColumn("_ck", F.lower(query_col)).join(ca, "_ck", "left").drop("_ck")
 
 

@@ -53,8 +53,9 @@ def scored_tokens(df: DataFrame, id_col: str, text_col: str = "text",
     Documents without words keep one row with null ``pos`` (posexplode_outer),
     so every input id reaches the aggregate."""
     spark = df.sparkSession
+    known = None if lexicon is not None else len(defaults.lexicon_rows())
     lex = lexicon if lexicon is not None else defaults.lexicon_df(spark)
-    lex = checked_broadcast(lex.withColumnRenamed("token", "key"), MAX_BROADCAST_LEXICON)
+    lex = checked_broadcast(lex.withColumnRenamed("token", "key"), MAX_BROADCAST_LEXICON, known_max=known)
     t = truncate_chars(text_col, max_chars)
     docs = (df.select(F.col(id_col), t.alias("t"))
             .select(id_col,

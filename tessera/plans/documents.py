@@ -27,9 +27,10 @@ def text_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # cut and count before the exchange: only the 1024-character prefix moves
     cut = df.select(F.col(id_col), truncate_chars(text_col, defaults.TEXT_BUDGET).alias("text"),
                     word_count(text_col).alias("word_count")).repartition(id_col)
-    senti = sentiment_scores(cut, id_col, "text", defaults.TEXT_BUDGET, lexicon, partitioned=True)
-    summ = extractive_summary(cut, id_col, "text", partitioned=True).select(id_col, "summary")
-    wf = word_frequencies(cut, id_col, "text", partitioned=True).where(F.col("rank") <= top_terms)
+    base = cut.select(id_col, "text")
+    senti = sentiment_scores(base, id_col, "text", defaults.TEXT_BUDGET, lexicon, partitioned=True)
+    summ = extractive_summary(base, id_col, "text", partitioned=True).select(id_col, "summary")
+    wf = word_frequencies(base, id_col, "text", partitioned=True).where(F.col("rank") <= top_terms)
     terms = wf.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
                                                lambda x: x["term"]).alias("top_terms"))
     return (cut.join(senti, id_col, "left").join(summ, id_col, "left").join(terms, id_col, "left")

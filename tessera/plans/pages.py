@@ -1,9 +1,10 @@
 """Web-page report (H01-H06) over a ``pages(page_id, url, html)`` table.
 
 Physical plan: scan pages -> narrow regex projection (the raw HTML never
-crosses a shuffle) -> one hash exchange by page id -> token explode +
-broadcast lexicon join + lag windows + aggregate (all reuse the exchange) ->
-join with the extracted record on page id (co-partitioned, no new shuffle).
+crosses a shuffle) -> one hash exchange of (page id, 1024-character text)
+shared by sentiment (token explode + broadcast lexicon join + one Window +
+aggregate) and the extractive summary -> join with the extracted record on
+page id.
 """
 
 from __future__ import annotations
@@ -38,13 +39,17 @@ def page_report(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
     Columns: id, url, title, headings, paragraphs, links, word_count (of the
     first 1024 characters), summary_budget, summary, sentiment struct."""
-    ex = page_extract(pages, id_col, html_col).repartition(id_col)
+    ex = page_extract(pages, id_col, html_col)
     ex = ex.withColumn("word_count", word_count("text")).withColumn("summary_budget", bounded_length("text"))
-    senti = sentiment_scores(ex, id_col, "text", defaults.TEXT_BUDGET, lexicon, partitioned=True)
-    out = ex.join(senti, id_col, "left")
+    # one (id, text) exchange feeds every per-page scoring step (the exchange
+    # is reused: both consumers see the same plan); the extracted record -
+    # never the raw HTML - joins the scores by id
+    base = ex.select(id_col, "text").repartition(id_col)
+    scores = sentiment_scores(base, id_col, "text", defaults.TEXT_BUDGET, lexicon, partitioned=True)
     if with_summary:
-        summ = extractive_summary(ex, id_col, "text", defaults.TEXT_BUDGET, partitioned=True)
-        out = out.join(summ.select(id_col, "summary"), id_col, "left")
+        summ = extractive_summary(base, id_col, "text", defaults.TEXT_BUDGET, partitioned=True)
+        scores = scores.join(summ.select(id_col, "summary"), id_col, "left")
+    out = ex.join(scores, id_col, "left")
     sentiment = F.struct("polarity", "subjectivity", "positivity", "negativity", "neutrality", "compound")
     cols = [c for c in out.columns if c not in
             ("polarity", "subjectivity", "positivity", "negativity", "neutrality", "compound", "all_text")]
