@@ -117,8 +117,11 @@ def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_i
     q_side = F.broadcast(qt) if n_qt <= max_broadcast_query_terms else qt
     tf = F.col("tf")
     contrib = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    scored = (postings.join(weights, "term").join(q_side, "term")
-              .groupBy("qid", "doc").agg(F.sum(contrib).alias("score"))
+    # the weight of each posting is computed once, before the query join, so
+    # the (query, doc, term) rows carry only what the sum needs
+    weighted = postings.join(weights, "term").select("doc", "term", contrib.alias("w"))
+    scored = (weighted.join(q_side, "term")
+              .groupBy("qid", "doc").agg(F.sum("w").alias("score"))
               .withColumn("score", round_half_up("score", 6)))
     best = scored.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("doc").alias("doc"))).alias("m"))
     return best.select(F.col("qid").alias(q_id), F.col("m.doc").alias("doc_id"), (-F.col("m.neg")).alias("score"))
