@@ -174,7 +174,9 @@ wf AS (SELECT doc_id, term, n::BIGINT AS n, {round6('n / mx')} AS weight, rank::
   WHERE rank <= {defaults.WORDCLOUD_MAX_WORDS})"""
 _WF = "WITH " + _WF_CTES
 
-_SUMMARY_CTES = f"""sd AS (SELECT doc_id, substring(text, 1, {defaults.TEXT_BUDGET}) AS t FROM documents),
+def summary_ctes(src: str = "documents", id_col: str = "doc_id", text_expr: str = "text") -> str:
+    """CTE chain ending in ``summ``(doc_id, summary, n_sentences) for the C11 rule."""
+    return f"""sd AS (SELECT {id_col} AS doc_id, substring({text_expr}, 1, {defaults.TEXT_BUDGET}) AS t FROM {src}),
 s0 AS (SELECT doc_id, unnest(string_split(t, '.')) AS raw, generate_subscripts(string_split(t, '.'), 1) - 1 AS pos FROM sd),
 s AS (SELECT doc_id, pos, {strip_ws('raw')} AS sentence FROM s0),
 s1 AS (SELECT * FROM s WHERE sentence <> ''),
@@ -188,6 +190,9 @@ srk AS (SELECT *, row_number() OVER w AS rnk, sum(nw) OVER (w ROWS BETWEEN UNBOU
   FROM rk0 WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, pos ASC)),
 summ AS (SELECT doc_id, string_agg(sentence, '. ' ORDER BY pos) || '.' AS summary, count(*)::BIGINT AS n_sentences
   FROM srk WHERE rnk = 1 OR running <= {defaults.SUMMARY_TOKEN_BUDGET} GROUP BY doc_id)"""
+
+
+_SUMMARY_CTES = summary_ctes()
 _SUMMARY = "WITH " + _SUMMARY_CTES + " SELECT * FROM summ"
 
 _SENTI = sentiment_ctes("documents", "doc_id", "text")

@@ -8,6 +8,7 @@ from .. import defaults
 from ..functions.text import word_count
 from ..plans.pages import page_extract, page_report
 from .common import table, word_count as sql_wc
+from .documents import summary_ctes
 from .sqltext import page_cte, sentiment_ctes
 
 
@@ -60,9 +61,9 @@ def q_scan_pages(spark, sf):
 
 
 def q_page_report(spark, sf):
-    rep = page_report(table(spark, sf, "pages"), with_summary=False)
+    rep = page_report(table(spark, sf, "pages"))
     return rep.select(
-        "page_id", "url", "title",
+        "page_id", "url", "title", "summary",
         F.size("headings").cast("long").alias("n_headings"),
         F.size("paragraphs").cast("long").alias("n_paragraphs"),
         F.size("links").cast("long").alias("n_links"),
@@ -102,12 +103,12 @@ SQL = {
     "concat_lists": _unnest_sql("list_concat(headings, paragraphs)", "item"),
     "scan_pages": """SELECT page_id, url, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) AS host,
   octet_length(encode(html))::BIGINT AS n_bytes FROM pages""",
-    "page_report": f"""WITH {_PE}, {sentiment_ctes('pe', 'page_id', 'text')}
-SELECT pe.page_id, url, title, len(headings)::BIGINT AS n_headings, len(paragraphs)::BIGINT AS n_paragraphs,
+    "page_report": f"""WITH {_PE}, {sentiment_ctes('pe', 'page_id', 'text')}, {summary_ctes('pe', 'page_id', 'text')}
+SELECT pe.page_id, url, title, summ.summary, len(headings)::BIGINT AS n_headings, len(paragraphs)::BIGINT AS n_paragraphs,
   len(links)::BIGINT AS n_links, array_to_string(headings, chr(10)) AS headings_text,
   {sql_wc('text')} AS word_count, least(floor(length(text) / 2), {100})::BIGINT AS summary_budget,
   polarity, subjectivity, positivity, negativity, neutrality, compound
-FROM pe JOIN senti ON pe.page_id = senti.id""",
+FROM pe JOIN senti ON pe.page_id = senti.id LEFT JOIN summ ON pe.page_id = summ.doc_id""",
 }
 
 assert defaults.TEXT_BUDGET == 1024

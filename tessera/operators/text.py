@@ -132,13 +132,6 @@ def extractive_summary(df: DataFrame, id_col: str, text_col: str = "text",
         F.count("*").alias("n_sentences"))
 
 
-def table_word_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Words in the row-joined text of a table (additive over rows)."""
-    from .profile import row_text
-    return df.select(word_count(row_text(df, columns)).alias("wc")).agg(
-        F.coalesce(F.sum("wc"), F.lit(0)).cast("long").alias("word_count"))
-
-
 def tokens_of(c: Column) -> Column:
     """Words as an array (whitespace split, empties removed)."""
     return words(c)
