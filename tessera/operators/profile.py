@@ -88,20 +88,28 @@ def quantile_accuracy(n_rows: int, bracket_rows: int = BRACKET_ROWS) -> int:
     return int(min(MAX_ACCURACY, max(MIN_ACCURACY, math.ceil(6.0 * n_rows / bracket_rows))))
 
 
-def exact_quantiles(long: DataFrame, probs=QUANTILES, accuracy: int | None = None) -> DataFrame:
-    """(column, p, q) with q the linearly interpolated quantile of x.
-
-    Rank r = p * (n - 1); q = x[floor r] + (r - floor r) * (x[ceil r] - x[floor r]).
-    ``accuracy`` defaults to one sized from the row count (bounded brackets)."""
-    if accuracy is None:
-        accuracy = quantile_accuracy(long.count())
+def quantile_brackets(long: DataFrame, probs=QUANTILES, accuracy: int = MIN_ACCURACY,
+                      extra: list | None = None) -> DataFrame:
+    """One aggregate per column: count, approximate bracket values for every
+    wanted rank, plus any ``extra`` aggregates (column_name, n, br, ...)."""
     margin = 3.0 / accuracy
     lows = [max(0.0, p - margin) for p in probs]
     highs = [min(1.0, p + margin) for p in probs]
-    stats = long.groupBy("column_name").agg(
-        F.count("*").alias("n"),
-        F.min("x").alias("mn"), F.max("x").alias("mx"),
-        F.percentile_approx("x", lows + highs, accuracy).alias("br"))
+    return long.groupBy("column_name").agg(
+        F.count("*").alias("n"), F.percentile_approx("x", lows + highs, accuracy).alias("br"), *(extra or []))
+
+
+def exact_quantiles(long: DataFrame, probs=QUANTILES, accuracy: int | None = None,
+                    stats: DataFrame | None = None) -> DataFrame:
+    """(column, p, q) with q the linearly interpolated quantile of x.
+
+    Rank r = p * (n - 1); q = x[floor r] + (r - floor r) * (x[ceil r] - x[floor r]).
+    ``accuracy`` defaults to one sized from the row count (bounded brackets);
+    ``stats`` may carry a precomputed ``quantile_brackets`` result."""
+    if stats is None:
+        if accuracy is None:
+            accuracy = quantile_accuracy(long.count())
+        stats = quantile_brackets(long, probs, accuracy)
     k = len(probs)
     brackets = stats.select(
         "column_name", "n",
@@ -109,43 +117,49 @@ def exact_quantiles(long: DataFrame, probs=QUANTILES, accuracy: int | None = Non
                               F.slice("br", 1, k).alias("lo"), F.slice("br", k + 1, k).alias("hi"))))
     brackets = brackets.withColumn("r", F.col("p") * (F.col("n") - 1))
     brackets = brackets.withColumn("r_lo", F.floor("r")).withColumn("r_hi", F.ceil("r"))
-    # bracket check: rows below lo must not exceed r_lo, rows up to hi must cover r_hi.
-    # One pass over the data counts both for every bracket (the bracket table is
-    # bounded by columns x quantiles and broadcast).
-    b = F.broadcast(brackets)
-    joined = long.join(b, "column_name")
-    counts = joined.groupBy("column_name", "p").agg(
-        F.sum((F.col("x") < F.col("lo")).cast("long")).alias("below"),
-        F.sum((F.col("x") <= F.col("hi")).cast("long")).alias("upto"))
-    checked = brackets.join(counts, ["column_name", "p"], "left").withColumn(
-        "ok", (F.coalesce("below", F.lit(0)) <= F.col("r_lo")) & (F.coalesce("upto", F.lit(0)) > F.col("r_hi")))
-    # brackets that fail the check (approximation outside its guarantee) fall back to the full range
-    fixed = checked.select(
-        "column_name", "p", "r", "r_lo", "r_hi",
-        F.when(F.col("ok"), F.col("lo")).alias("lo"),
-        F.when(F.col("ok"), F.col("hi")).alias("hi"),
-        F.when(F.col("ok"), F.col("below")).otherwise(F.lit(0)).alias("below"))
-    cand = (long.join(F.broadcast(fixed), "column_name")
-            .where((F.col("lo").isNull() | (F.col("x") >= F.col("lo"))) &
-                   (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
-            .groupBy("column_name", "p", "r", "r_lo", "r_hi", "below", "x").agg(F.count("*").alias("c")))
-    w = Window.partitionBy("column_name", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("upto_x", F.col("below") + F.sum("c").over(w))
-    # value at 0-based rank k is the smallest x whose cumulative count exceeds k
-    picked = cand.groupBy("column_name", "p", "r", "r_lo").agg(
-        F.min(F.when(F.col("upto_x") > F.col("r_lo"), F.col("x"))).alias("x_lo"),
-        F.min(F.when(F.col("upto_x") > F.col("r_hi"), F.col("x"))).alias("x_hi"))
+    # one pass: rows below the bracket collapse into a null key (their count),
+    # rows inside group by value, rows above are dropped; a running count over
+    # (null first, then values) gives exact ranks.  The bracket table is
+    # bounded by columns x quantiles and broadcast.
+    keys = ["column_name", "p", "r", "r_lo", "r_hi"]
+    inside = (long.join(F.broadcast(brackets), "column_name").where(F.col("x") <= F.col("hi"))
+              .groupBy(*keys, F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("xk"))
+              .agg(F.count("*").alias("c")))
+    picked = _pick_ranks(inside, keys)
+    ok = (F.coalesce("below", F.lit(0)) <= F.col("r_lo")) & (F.coalesce("total", F.lit(0)) > F.col("r_hi"))
+    good = picked.where(ok)
+    # a bracket outside the sketch's guarantee is redone over the full range;
+    # with no failing bracket the broadcast side is empty and AQE drops the join
+    failed = picked.where(~ok).select(*keys)
+    redo = (long.join(F.broadcast(failed), "column_name")
+            .groupBy(*keys, F.col("x").alias("xk")).agg(F.count("*").alias("c")))
+    both = good.unionByName(_pick_ranks(redo, keys))
     q = F.col("x_lo") + (F.col("r") - F.col("r_lo")) * (F.col("x_hi") - F.col("x_lo"))
-    return picked.select("column_name", "p", q.alias("q"))
+    return both.select("column_name", "p", q.alias("q"))
+
+
+def _pick_ranks(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """From (keys, xk, c) - xk null for rows below the bracket - the values at
+    0-based ranks r_lo and r_hi: the smallest xk whose running count exceeds it."""
+    w = Window.partitionBy("column_name", "p").orderBy(F.asc_nulls_first("xk")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    run = counts.withColumn("upto", F.sum("c").over(w))
+    return run.groupBy(*keys).agg(
+        F.sum(F.when(F.col("xk").isNull(), F.col("c"))).alias("below"),
+        F.max("upto").alias("total"),
+        F.min(F.when(F.col("xk").isNotNull() & (F.col("upto") > F.col("r_lo")), F.col("xk"))).alias("x_lo"),
+        F.min(F.when(F.col("xk").isNotNull() & (F.col("upto") > F.col("r_hi")), F.col("xk"))).alias("x_hi"))
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: int = 6) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max) per numeric column."""
     long = long_numeric(df, columns)
-    base = long.groupBy("column_name").agg(
-        F.count("*").cast("long").alias("count"), F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    qs = exact_quantiles(long).groupBy("column_name").pivot("p", list(QUANTILES)).agg(F.first("q"))
+    # one pass gives the moments and the quantile brackets (the row count of
+    # the table bounds every column's count, so it sizes the accuracy)
+    stats = quantile_brackets(long, QUANTILES, quantile_accuracy(df.count()), extra=[
+        F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")])
+    base = stats.select("column_name", F.col("n").cast("long").alias("count"), "mean", "std", "min", "max")
+    qs = exact_quantiles(long, stats=stats).groupBy("column_name").pivot("p", list(QUANTILES)).agg(F.first("q"))
     for p, name in zip(QUANTILES, ("p25", "p50", "p75")):
         qs = qs.withColumnRenamed(str(p), name)
     out = base.join(qs, "column_name", "left")
