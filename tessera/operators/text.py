@@ -49,7 +49,7 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
     Returns (id, term, n, weight, rank)."""
     spark = df.sparkSession
     sw = stop_words if stop_words is not None else defaults.stop_words_df(spark)
-    sw = F.broadcast(sw.select(F.lower("word").alias("key")).distinct())
+    sw = F.broadcast(sw.select(F.lower("word").alias("key")))  # anti-join: duplicates are harmless
     docs = by_document(df, id_col, text_col, max_chars, partitioned)
     toks = docs.select(id_col, F.explode(F.regexp_extract_all("t", F.lit(WORD_TOKEN), F.lit(0))).alias("w"))
     toks = toks.withColumn("key", F.lower("w")).join(sw, "key", "left_anti")
@@ -109,18 +109,23 @@ def extractive_summary(df: DataFrame, id_col: str, text_col: str = "text",
     ``budget`` (always at least one) and printed in original order.
     Returns (id, summary, n_sentences)."""
     spark = df.sparkSession
-    sw = stop_words if stop_words is not None else defaults.stop_words_df(spark)
-    sw = F.broadcast(sw.select(F.lower("word").alias("term")).distinct())
+    sw = stop_words.select(F.lower("word").alias("term")).distinct() if stop_words is not None else \
+        defaults.stop_words_df(spark).select(F.col("word").alias("term"))  # built-in list is unique
+    sw = F.broadcast(sw)
     sents = sentence_table(df, id_col, text_col, max_chars, partitioned)
-    terms = (sents.select(id_col, "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(TERM_TOKEN),
-                                                                        F.lit(0))).alias("term"))
-             .join(sw, "term", "left_anti"))
+    # every sentence keeps at least one row (explode_outer); stop words become
+    # null terms instead of being anti-joined away, so no join back is needed
+    sw = sw.withColumn("_stop", F.lit(True))
+    terms = (sents.select(id_col, "pos", "sentence",
+                          F.explode_outer(F.regexp_extract_all(F.lower("sentence"), F.lit(TERM_TOKEN), F.lit(0)))
+                          .alias("term"))
+             .join(sw, "term", "left")
+             .withColumn("term", F.when(F.col("_stop").isNull(), F.col("term"))))
     w_doc = Window.partitionBy(id_col)
     w_term = Window.partitionBy(id_col, "term")
-    terms = terms.withColumn("freq", F.count("*").over(w_term) / F.count("*").over(w_doc))
-    scores = terms.groupBy(id_col, "pos").agg(F.avg("freq").alias("score"))
-    ranked = (sents.join(scores, [id_col, "pos"], "left")
-              .withColumn("score", round_half_up(F.coalesce(F.col("score"), F.lit(0.0)), 6))
+    freq = F.when(F.col("term").isNotNull(), F.count("term").over(w_term) / F.count("term").over(w_doc))
+    scores = terms.withColumn("freq", freq).groupBy(id_col, "pos", "sentence").agg(F.avg("freq").alias("score"))
+    ranked = (scores.withColumn("score", round_half_up(F.coalesce(F.col("score"), F.lit(0.0)), 6))
               .withColumn("n_words", word_count("sentence")))
     w_rank = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("pos"))
     ranked = (ranked.withColumn("rank", F.row_number().over(w_rank))
