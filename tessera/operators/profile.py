@@ -7,10 +7,12 @@ per column.  Per-column dictionaries (min/max, totals, quantile brackets) are
 bounded by the number of columns and broadcast.
 
 Exact quantiles without a single-task merge: an approximate pass
-(``percentile_approx``, mergeable and bounded) brackets each wanted rank, an
-exact count below the bracket fixes the offset, and only the rows inside the
-bracket (about 2n/accuracy) are sorted per (column, quantile).  Interpolation
-is linear, as in pandas ``describe``.
+(``percentile_approx``, mergeable and bounded; it also yields the moments)
+brackets each wanted rank, an exact count below the bracket fixes the
+offset, and only the rows inside the bracket (about 6n/accuracy, sized to
+~1M) are sorted per (column, quantile).  Per-column results (columns x
+quantiles rows) are collected between passes.  Interpolation is linear, as
+in pandas ``describe``.
 """
 
 from __future__ import annotations
@@ -100,42 +102,51 @@ def quantile_brackets(long: DataFrame, probs=QUANTILES, accuracy: int = MIN_ACCU
 
 
 def exact_quantiles(long: DataFrame, probs=QUANTILES, accuracy: int | None = None,
-                    stats: DataFrame | None = None) -> DataFrame:
+                    stats: list | None = None) -> DataFrame:
     """(column, p, q) with q the linearly interpolated quantile of x.
 
     Rank r = p * (n - 1); q = x[floor r] + (r - floor r) * (x[ceil r] - x[floor r]).
-    ``accuracy`` defaults to one sized from the row count (bounded brackets);
-    ``stats`` may carry a precomputed ``quantile_brackets`` result."""
+
+    Pass 1 (``stats``, collected rows of ``quantile_brackets``, bounded by the
+    number of columns) gives the count and sketch brackets.  Pass 2 reads the
+    data once and keeps only rows inside a bracket (plus one count of the rows
+    below it); the picked values (columns x quantiles rows) are collected.  A
+    bracket outside the sketch's guarantee is redone over its full range in a
+    third pass, only when it happens."""
+    spark = long.sparkSession
     if stats is None:
         if accuracy is None:
             accuracy = quantile_accuracy(long.count())
-        stats = quantile_brackets(long, probs, accuracy)
+        stats = quantile_brackets(long, probs, accuracy).collect()
     k = len(probs)
-    brackets = stats.select(
-        "column_name", "n",
-        F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-                              F.slice("br", 1, k).alias("lo"), F.slice("br", k + 1, k).alias("hi"))))
-    brackets = brackets.withColumn("r", F.col("p") * (F.col("n") - 1))
-    brackets = brackets.withColumn("r_lo", F.floor("r")).withColumn("r_hi", F.ceil("r"))
-    # one pass: rows below the bracket collapse into a null key (their count),
-    # rows inside group by value, rows above are dropped; a running count over
-    # (null first, then values) gives exact ranks.  The bracket table is
-    # bounded by columns x quantiles and broadcast.
+    rows = []
+    for st in stats:
+        n, br = st["n"], st["br"]
+        for i, p in enumerate(probs):
+            r = float(p) * (n - 1)
+            rows.append((st["column_name"], float(p), r, math.floor(r), math.ceil(r), br[i], br[k + i]))
+    schema = "column_name string, p double, r double, r_lo long, r_hi long, lo double, hi double"
+    brackets = spark.createDataFrame(rows, schema)
     keys = ["column_name", "p", "r", "r_lo", "r_hi"]
+    # rows below the bracket collapse into a null key (their count), rows
+    # inside group by value, rows above are dropped
     inside = (long.join(F.broadcast(brackets), "column_name").where(F.col("x") <= F.col("hi"))
               .groupBy(*keys, F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("xk"))
               .agg(F.count("*").alias("c")))
-    picked = _pick_ranks(inside, keys)
-    ok = (F.coalesce("below", F.lit(0)) <= F.col("r_lo")) & (F.coalesce("total", F.lit(0)) > F.col("r_hi"))
-    good = picked.where(ok)
-    # a bracket outside the sketch's guarantee is redone over the full range;
-    # with no failing bracket the broadcast side is empty and AQE drops the join
-    failed = picked.where(~ok).select(*keys)
-    redo = (long.join(F.broadcast(failed), "column_name")
-            .groupBy(*keys, F.col("x").alias("xk")).agg(F.count("*").alias("c")))
-    both = good.unionByName(_pick_ranks(redo, keys))
-    q = F.col("x_lo") + (F.col("r") - F.col("r_lo")) * (F.col("x_hi") - F.col("x_lo"))
-    return both.select("column_name", "p", q.alias("q"))
+    picked = _pick_ranks(inside, keys).collect()
+    out, failed = [], []
+    for r in picked:
+        if (r["below"] or 0) <= r["r_lo"] and (r["total"] or 0) > r["r_hi"]:
+            out.append(r)
+        else:
+            failed.append((r["column_name"], r["p"], r["r"], r["r_lo"], r["r_hi"]))
+    if failed:
+        redo_b = spark.createDataFrame(failed, "column_name string, p double, r double, r_lo long, r_hi long")
+        redo = (long.join(F.broadcast(redo_b), "column_name")
+                .groupBy(*keys, F.col("x").alias("xk")).agg(F.count("*").alias("c")))
+        out += _pick_ranks(redo, keys).collect()
+    result = [(r["column_name"], r["p"], r["x_lo"] + (r["r"] - r["r_lo"]) * (r["x_hi"] - r["x_lo"])) for r in out]
+    return spark.createDataFrame(result, "column_name string, p double, q double")
 
 
 def _pick_ranks(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,7 +169,11 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: in
     # the table bounds every column's count, so it sizes the accuracy)
     stats = quantile_brackets(long, QUANTILES, quantile_accuracy(df.count()), extra=[
         F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")])
-    base = stats.select("column_name", F.col("n").cast("long").alias("count"), "mean", "std", "min", "max")
+    stats = stats.collect()  # one row per column
+    spark = df.sparkSession
+    base = spark.createDataFrame(
+        [(r["column_name"], r["n"], r["mean"], r["std"], r["min"], r["max"]) for r in stats],
+        "column_name string, count long, mean double, std double, min double, max double")
     qs = exact_quantiles(long, stats=stats).groupBy("column_name").pivot("p", list(QUANTILES)).agg(F.first("q"))
     for p, name in zip(QUANTILES, ("p25", "p50", "p75")):
         qs = qs.withColumnRenamed(str(p), name)
