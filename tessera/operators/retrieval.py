@@ -82,7 +82,8 @@ def keyword_match(sentences: DataFrame, text_col: str, keywords: DataFrame, whol
 
 
 def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_id: str, d_text: str,
-              k1: float = 1.2, b: float = 0.75, max_broadcast_query_terms: int = MAX_BROADCAST_ROWS) -> DataFrame:
+              k1: float = 1.2, b: float = 0.75, max_broadcast_query_terms: int = MAX_BROADCAST_ROWS,
+              return_bound: bool = False):
     """J05 + L03: best document per query by BM25 (ties -> smaller doc id).
 
     Returns (q_id, doc_id, score) for queries with at least one matching term;
@@ -105,8 +106,9 @@ def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_i
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("_toks")).alias("avgdl")).first()
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     if n_docs == 0 or avgdl == 0.0 or n_qt == 0:
-        return queries.sparkSession.createDataFrame([], f"{q_id} {queries.schema[q_id].dataType.simpleString()}, "
-                                                        f"doc_id {corpus.schema[d_id].dataType.simpleString()}, score double")
+        empty = queries.sparkSession.createDataFrame([], f"{q_id} {queries.schema[q_id].dataType.simpleString()}, "
+                                                         f"doc_id {corpus.schema[d_id].dataType.simpleString()}, score double")
+        return (empty, 0) if return_bound else empty
     tokens = (docs.select("doc", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
               .join(vocab, "term", "left_semi")
               .repartition("doc"))
@@ -124,7 +126,9 @@ def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_i
               .groupBy("qid", "doc").agg(F.sum("w").alias("score"))
               .withColumn("score", round_half_up("score", 6)))
     best = scored.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("doc").alias("doc"))).alias("m"))
-    return best.select(F.col("qid").alias(q_id), F.col("m.doc").alias("doc_id"), (-F.col("m.neg")).alias("score"))
+    hits = best.select(F.col("qid").alias(q_id), F.col("m.doc").alias("doc_id"), (-F.col("m.neg")).alias("score"))
+    # at most one hit per query with a term: n_qt bounds the result size
+    return (hits, n_qt) if return_bound else hits
 
 
 def relevant_sentences(summary: Column, keywords=None) -> Column:
@@ -144,9 +148,11 @@ def first_matching_sentence(summary: Column, keywords=None) -> Column:
 
 def _search(df: DataFrame, corpus: DataFrame, d_id: str, d_text: str) -> DataFrame:
     """Top-1 document text per row of ``df`` (keyed by ``_rid``) for ``search_query``."""
-    hits = bm25_top1(df, "_rid", "search_query", corpus, d_id, d_text)
+    hits, bound = bm25_top1(df, "_rid", "search_query", corpus, d_id, d_text, return_bound=True)
     texts = corpus.select(F.col(d_id).alias("doc_id"), F.col(d_text).alias("summary"))
-    return hits.join(texts, "doc_id")
+    # the hits (bounded by the counted query terms) are broadcast so the corpus
+    # texts are read in place instead of being shuffled to meet them
+    return texts.join(checked_broadcast(hits, MAX_BROADCAST_ROWS, known_max=bound), "doc_id")
 
 
 def fact_answer(questions: DataFrame, q_id: str, q_col: str, corpus: DataFrame, d_id: str = "doc_id",
