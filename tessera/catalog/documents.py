@@ -41,6 +41,10 @@ def q_word_frequencies(spark, sf):
     return word_frequencies(docs(spark, sf), "doc_id")
 
 
+def q_word_collocations(spark, sf):
+    return word_frequencies(docs(spark, sf), "doc_id", collocations=True)
+
+
 def q_top_terms(spark, sf):
     return corpus_top_terms(word_frequencies(docs(spark, sf), "doc_id"))
 
@@ -123,6 +127,7 @@ QUERIES = {
     "valence_scores": q_valence_scores,
     "lexicon_join": q_lexicon_join,
     "word_frequencies": q_word_frequencies,
+    "word_collocations": q_word_collocations,
     "top_terms": q_top_terms,
     "extractive_summary": q_extractive_summary,
     "split_sentences": q_split_sentences,
@@ -140,6 +145,7 @@ QUERIES = {
     "metadata_text": q_metadata_text,
 }
 
+NUMBER_ONLY = r"^\p{N}+$"
 STOP = values([(w,) for w in defaults.STOP_WORDS], ["word"], "sw")
 
 
@@ -156,22 +162,69 @@ def clean_response_sql(r: str) -> str:
     return f"CASE WHEN length({sent}) > 150 THEN {cut} || '...' ELSE {sent} END"
 
 
-_WF_CTES = f"""d AS (SELECT doc_id, substring(text, 1, {defaults.TEXT_BUDGET}) AS t FROM documents),
-tk AS (SELECT doc_id, unnest(regexp_extract_all(t, {lit(WORD_TOKEN)}, 0)) AS w FROM d),
-tk2 AS (SELECT doc_id, w FROM tk WHERE lower(w) NOT IN (SELECT word FROM {STOP})),
-tk3 AS (SELECT doc_id, CASE WHEN ends_with(lower(w), '''s') THEN substring(w, 1, length(w) - 2) ELSE w END AS w FROM tk2),
-tk4 AS (SELECT doc_id, w, lower(w) AS key FROM tk3 WHERE NOT regexp_matches(w, '^\\p{{N}}+$')),
-forms AS (SELECT doc_id, key, w, count(*) AS c FROM tk4 GROUP BY doc_id, key, w),
-forms2 AS (SELECT *, max(c) OVER (PARTITION BY doc_id, key) AS mc FROM forms),
-pk AS (SELECT doc_id, key, sum(c) AS n, max(w) FILTER (WHERE c = mc) AS form FROM forms2 GROUP BY doc_id, key),
-fo AS (SELECT *, CASE WHEN ends_with(key, 's') AND NOT ends_with(key, 'ss') THEN substring(key, 1, length(key) - 1) END AS skey FROM pk),
-fo2 AS (SELECT fo.*, s.key IS NOT NULL AS is_plural FROM fo LEFT JOIN pk s ON fo.doc_id = s.doc_id AND fo.skey = s.key),
-mg AS (SELECT doc_id, CASE WHEN is_plural THEN skey ELSE key END AS target, sum(n) AS n,
-  max(CASE WHEN NOT is_plural THEN form END) AS term FROM fo2 GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term ASC) AS rank,
-  max(n) OVER (PARTITION BY doc_id) AS mx FROM mg),
+def _fold_sql(name: str, src: str, key: str, sp: str) -> str:
+    """CTE {name}(doc_id, key, fk, sp, c): plural folding of (doc_id, key, spelling, c) rows."""
+    return f"""{name}_a AS (SELECT doc_id, {key} AS key, {sp} AS w, c,
+  CASE WHEN ends_with({key}, 's') AND NOT ends_with({key}, 'ss') THEN substring({key}, 1, length({key}) - 1) ELSE {key} END AS stem FROM {src}),
+{name}_b AS (SELECT *, max((key = stem)::INT) OVER (PARTITION BY doc_id, stem) = 1 AS has_sing FROM {name}_a),
+{name} AS (SELECT doc_id, key, CASE WHEN has_sing THEN stem ELSE key END AS fk,
+  CASE WHEN key = stem THEN w WHEN has_sing THEN substring(w, 1, length(w) - 1) ELSE w END AS sp, c FROM {name}_b)"""
+
+
+def _groups_sql(name: str, src: str) -> str:
+    """CTE {name}(doc_id, fk, n, term)."""
+    return f"""{name}_s AS (SELECT doc_id, fk, sp, sum(c) AS c FROM {src} GROUP BY 1, 2, 3),
+{name} AS (SELECT doc_id, fk, sum(c) AS n, arg_max(sp, (c, sp)) AS term FROM {name}_s GROUP BY 1, 2)"""
+
+
+def _llr_sql(k, n, x):
+    return f"(({k}) * ln(greatest({x}, 1e-10)) + (({n}) - ({k})) * ln(greatest(1.0 - ({x}), 1e-10)))"
+
+
+_APOS_S = lit("'s")
+
+
+def wf_ctes(collocations: bool) -> str:
+    """CTE chain ending in ``wf``(doc_id, term, n, weight, rank)."""
+    head = f"""d AS (SELECT doc_id, substring(text, 1, {defaults.TEXT_BUDGET}) AS t FROM documents),
+tk AS (SELECT doc_id, unnest(regexp_extract_all(t, {lit(WORD_TOKEN)}, 0)) AS w0,
+  generate_subscripts(regexp_extract_all(t, {lit(WORD_TOKEN)}, 0), 1) AS pos FROM d),
+tk2 AS (SELECT doc_id, pos, CASE WHEN ends_with(lower(w0), {_APOS_S}) THEN substring(w0, 1, length(w0) - 2) ELSE w0 END AS w FROM tk),
+tk3 AS (SELECT doc_id, pos, w, lower(w) AS key FROM tk2 WHERE NOT regexp_matches(w, {lit(NUMBER_ONLY)})),
+tk4 AS (SELECT tk3.*, sw.word IS NOT NULL AS stop FROM tk3 LEFT JOIN {STOP} ON tk3.key = sw.word),
+forms AS (SELECT doc_id, key, w, count(*) AS c FROM tk4 WHERE NOT stop GROUP BY 1, 2, 3),
+{_fold_sql('uf', 'forms', 'key', 'w')},
+{_groups_sql('words', 'uf')},"""
+    coll = f"""pr AS (SELECT doc_id, w, key, stop, lead(w) OVER win AS w2, lead(key) OVER win AS key2, lead(stop) OVER win AS stop2
+  FROM tk4 WINDOW win AS (PARTITION BY doc_id ORDER BY pos)),
+bf AS (SELECT doc_id, key || ' ' || key2 AS bkey, w || ' ' || w2 AS bw, count(*) AS c FROM pr
+  WHERE key2 IS NOT NULL AND NOT stop AND NOT stop2 GROUP BY 1, 2, 3),
+{_fold_sql('bfo', 'bf', 'bkey', 'bw')},
+{_groups_sql('bigrams', 'bfo')},
+keymap AS (SELECT DISTINCT doc_id, key, fk FROM uf),
+nw AS (SELECT doc_id, sum(n) AS n_words FROM words GROUP BY 1),
+bj AS (SELECT b.doc_id, b.term, b.n::DOUBLE AS c12, k1.fk AS fk1, k2.fk AS fk2 FROM bigrams b
+  LEFT JOIN keymap k1 ON k1.doc_id = b.doc_id AND k1.key = split_part(lower(b.term), ' ', 1)
+  LEFT JOIN keymap k2 ON k2.doc_id = b.doc_id AND k2.key = split_part(lower(b.term), ' ', 2)),
+bs AS (SELECT bj.*, w1.n::DOUBLE AS c1, w2.n::DOUBLE AS c2, nw.n_words::DOUBLE AS nn FROM bj
+  LEFT JOIN words w1 ON w1.doc_id = bj.doc_id AND w1.fk = bj.fk1
+  LEFT JOIN words w2 ON w2.doc_id = bj.doc_id AND w2.fk = bj.fk2 JOIN nw ON nw.doc_id = bj.doc_id),
+bsc AS (SELECT *, c2 / nn AS p, c12 / c1 AS p1, CASE WHEN nn - c1 > 0 THEN (c2 - c12) / (nn - c1) ELSE 0.0 END AS p2 FROM bs),
+coll AS (SELECT doc_id, fk1, fk2, term, c12::BIGINT AS n FROM bsc
+  WHERE -2.0 * ({_llr_sql('c12', 'c1', 'p')} + {_llr_sql('c2 - c12', 'nn - c1', 'p')} - {_llr_sql('c12', 'c1', 'p1')} - {_llr_sql('c2 - c12', 'nn - c1', 'p2')}) > {defaults.COLLOCATION_THRESHOLD}),
+taken AS (SELECT doc_id, fk, sum(d) AS d FROM (SELECT doc_id, fk1 AS fk, n AS d FROM coll UNION ALL SELECT doc_id, fk2, n FROM coll) GROUP BY 1, 2),
+terms AS (SELECT w.doc_id, w.term, w.n - coalesce(t.d, 0) AS n FROM words w LEFT JOIN taken t ON w.doc_id = t.doc_id AND w.fk = t.fk
+  WHERE w.n - coalesce(t.d, 0) > 0 UNION ALL SELECT doc_id, term, n FROM coll),"""
+    tail = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term ASC) AS rank,
+  max(n) OVER (PARTITION BY doc_id) AS mx FROM terms),
 wf AS (SELECT doc_id, term, n::BIGINT AS n, {round6('n / mx')} AS weight, rank::BIGINT AS rank FROM rk
   WHERE rank <= {defaults.WORDCLOUD_MAX_WORDS})"""
+    terms = coll if collocations else "terms AS (SELECT doc_id, term, n FROM words),"
+    return head + "\n" + terms + "\n" + tail
+
+
+_WF_CTES = wf_ctes(False)
+_WF_COLL_CTES = wf_ctes(True)
 _WF = "WITH " + _WF_CTES
 
 def summary_ctes(src: str = "documents", id_col: str = "doc_id", text_expr: str = "text") -> str:
@@ -204,6 +257,7 @@ SQL = {
     "valence_scores": f"WITH {_SENTI} SELECT id AS doc_id, positivity, negativity, neutrality, compound FROM senti",
     "lexicon_join": f"WITH {_SENTI} SELECT id AS doc_id, key, count(*)::BIGINT AS n FROM senti_j WHERE kind = 'word' GROUP BY 1, 2",
     "word_frequencies": _WF + " SELECT * FROM wf",
+    "word_collocations": "WITH " + _WF_COLL_CTES + " SELECT * FROM wf",
     "top_terms": _WF + f""" SELECT lower(term) AS term, sum(n)::BIGINT AS n FROM wf GROUP BY 1
   ORDER BY n DESC, term ASC LIMIT {defaults.WORDCLOUD_MAX_WORDS}""",
     "extractive_summary": _SUMMARY,

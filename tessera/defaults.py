@@ -84,6 +84,7 @@ TEXT_BUDGET = 1024          # characters scored / summarised
 QA_CONTEXT_BUDGET = 1000    # characters of context given to QA
 SUMMARY_TOKEN_BUDGET = 100  # maximum summary length in words
 WORDCLOUD_MAX_WORDS = 200
+COLLOCATION_THRESHOLD = 30.0
 HISTOGRAM_BINS = 10
 SAMPLE_EXAMPLES = 3
 PREVIEW_ROWS = 5

@@ -37,44 +37,109 @@ def by_document(df: DataFrame, id_col: str, text_col: str, max_chars: int | None
     return out if partitioned else out.repartition(id_col)
 
 
+def _fold(forms: DataFrame, id_col: str, key: str, spelling: str, count: str) -> DataFrame:
+    """Plural folding over (id, key, spelling, count) rows: a key ending in 's'
+    (not 'ss') merges into key[:-1] when that key occurs in the document, its
+    spellings losing their last character.  Returns (id, key, fk, spelling2,
+    count) where fk is the folded key.  The stem window is keyed by
+    (id, stem), so it runs inside the document partitioning."""
+    k = F.col(key)
+    stem = F.when(k.endswith("s") & ~k.endswith("ss"), F.expr(f"substring({key}, 1, length({key}) - 1)")).otherwise(k)
+    f = forms.withColumn("_stem", stem)
+    has_sing = F.max((F.col(key) == F.col("_stem")).cast("int")).over(Window.partitionBy(id_col, "_stem")) == 1
+    f = f.withColumn("_has_sing", has_sing)
+    fk = F.when(F.col("_has_sing"), F.col("_stem")).otherwise(F.col(key))
+    sp = (F.when(F.col(key) == F.col("_stem"), F.col(spelling))
+          .when(F.col("_has_sing"), F.expr(f"substring({spelling}, 1, length({spelling}) - 1)"))
+          .otherwise(F.col(spelling)))
+    return f.select(id_col, key, fk.alias("fk"), sp.alias("spelling2"), count)
+
+
+def _groups(folded: DataFrame, id_col: str, count: str) -> DataFrame:
+    """(id, fk, n, term): total count per folded key and its most frequent
+    spelling (ties -> the larger string)."""
+    per_spelling = folded.groupBy(id_col, "fk", "spelling2").agg(F.sum(count).alias("_c"))
+    return per_spelling.groupBy(id_col, "fk").agg(
+        F.sum("_c").alias("n"),
+        F.max(F.struct(F.col("_c").alias("c"), F.col("spelling2").alias("s")))["s"].alias("term"))
+
+
+def _llr(k, n, x):
+    """Dunning's log-likelihood term k*ln(x) + (n-k)*ln(1-x), guarded at 1e-10."""
+    return k * F.log(F.greatest(x, F.lit(1e-10))) + (n - k) * F.log(F.greatest(F.lit(1.0) - x, F.lit(1e-10)))
+
+
+def collocation_score(c12, c1, c2, n):
+    """-2 log lambda for a bigram (Dunning 1993; Manning & Schuetze 5.3.4)."""
+    p = c2 / n
+    p1 = c12 / c1
+    p2 = F.when(n - c1 > 0, (c2 - c12) / (n - c1)).otherwise(F.lit(0.0))
+    return F.lit(-2.0) * (_llr(c12, c1, p) + _llr(c2 - c12, n - c1, p) - _llr(c12, c1, p1) - _llr(c2 - c12, n - c1, p2))
+
+
 def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
                      max_chars: int = defaults.TEXT_BUDGET, stop_words: DataFrame | None = None,
-                     max_words: int = defaults.WORDCLOUD_MAX_WORDS, partitioned: bool = False) -> DataFrame:
+                     max_words: int = defaults.WORDCLOUD_MAX_WORDS, partitioned: bool = False,
+                     collocations: bool = False, threshold: float = defaults.COLLOCATION_THRESHOLD) -> DataFrame:
     """A12 + L06: word-cloud term weights per document.
 
-    Words of two or more characters, stop words removed regardless of case,
-    trailing "'s" removed, pure numbers removed, a plural merged into its
-    singular when both occur, display form = most frequent spelling,
-    weight = count / max count, top ``max_words`` by (count desc, term).
-    Returns (id, term, n, weight, rank)."""
+    Words of two or more characters; a trailing "'s" removed; pure numbers
+    removed; stop words (any case) dropped; a plural merged into its singular
+    when both occur (display form = most frequent spelling, plural spellings
+    counted without their 's'); with ``collocations`` (opt-in: it re-reads the
+    token table in several branches), neighbouring non-stop
+    word pairs whose log-likelihood score exceeds ``threshold`` become terms
+    and their count is taken off both words (words left with no count
+    disappear).  weight = count / max count; top ``max_words`` by
+    (count desc, term).  Returns (id, term, n, weight, rank)."""
     spark = df.sparkSession
     sw = stop_words if stop_words is not None else defaults.stop_words_df(spark)
-    sw = F.broadcast(sw.select(F.lower("word").alias("key")))  # anti-join: duplicates are harmless
+    sw = sw.select(F.lower("word").alias("key")).distinct() if stop_words is not None else \
+        sw.select(F.col("word").alias("key"))  # built-in list is unique
+    sw = F.broadcast(sw.withColumn("_stop", F.lit(True)))
     docs = by_document(df, id_col, text_col, max_chars, partitioned)
-    toks = docs.select(id_col, F.explode(F.regexp_extract_all("t", F.lit(WORD_TOKEN), F.lit(0))).alias("w"))
-    toks = toks.withColumn("key", F.lower("w")).join(sw, "key", "left_anti")
-    toks = toks.withColumn("w", F.when(F.col("key").endswith("'s"),
+    toks = docs.select(id_col, F.posexplode(F.regexp_extract_all("t", F.lit(WORD_TOKEN), F.lit(0))).alias("pos", "w"))
+    toks = toks.withColumn("w", F.when(F.lower("w").endswith("'s"),
                                        F.expr("substring(w, 1, length(w) - 2)")).otherwise(F.col("w")))
     toks = toks.where(~F.col("w").rlike(r"^\p{N}+$")).withColumn("key", F.lower("w"))
-    forms = toks.groupBy(id_col, "key", "w").agg(F.count("*").alias("c"))
-    # plural folding without a self-join: 'xs' (not 'ss') and 'x' share the
-    # stem 'x' and are the only keys that can; one aggregate per (id, stem)
-    # merges them when the singular occurs and keeps its most frequent spelling
-    key = F.col("key")
-    stem = F.when(key.endswith("s") & ~key.endswith("ss"), F.expr("substring(key, 1, length(key) - 1)")).otherwise(key)
-    forms = forms.withColumn("stem", stem)
-    is_sing = F.col("key") == F.col("stem")
-    merged = forms.groupBy(id_col, "stem").agg(
-        F.max(is_sing.cast("int")).alias("has_singular"),
-        F.sum("c").alias("n_all"),
-        F.max(F.struct(F.when(is_sing, F.col("c")).alias("c"), F.col("w").alias("w"))).alias("best_sing"),
-        F.max(F.struct(F.col("c").alias("c"), F.col("w").alias("w"))).alias("best_any"))
-    # without a singular the group holds the plural alone
-    merged = merged.select(id_col, F.col("n_all").alias("n"),
-                           F.when(F.col("has_singular") == 1, F.col("best_sing.w")).otherwise(F.col("best_any.w")).alias("term"))
+    toks = toks.join(sw, "key", "left").withColumn("stop", F.coalesce(F.col("_stop"), F.lit(False))).drop("_stop")
+    uni = toks.where(~F.col("stop"))
+    forms = uni.groupBy(id_col, "key", "w").agg(F.count("*").alias("c"))
+    folded = _fold(forms, id_col, "key", "w", "c")
+    words = _groups(folded, id_col, "c")                      # (id, fk, n, term)
+    terms = words.select(id_col, "fk", "term", "n")
+    if collocations:
+        wpos = Window.partitionBy(id_col).orderBy("pos")
+        pairs = toks.select(id_col, "w", "key", "stop", F.lead("w").over(wpos).alias("w2"),
+                            F.lead("key").over(wpos).alias("key2"), F.lead("stop").over(wpos).alias("stop2"))
+        pairs = pairs.where(F.col("key2").isNotNull() & ~F.col("stop") & ~F.col("stop2"))
+        bforms = pairs.groupBy(id_col, F.concat_ws(" ", "key", "key2").alias("bkey"),
+                               F.concat_ws(" ", "w", "w2").alias("bw")).agg(F.count("*").alias("c"))
+        bigrams = _groups(_fold(bforms, id_col, "bkey", "bw", "c"), id_col, "c")   # (id, fk, n, term)
+        # per-document dictionaries (bounded by the document's words): key -> folded key, folded key -> count
+        keymap = folded.select(id_col, "key", "fk").distinct()
+        dicts = (keymap.join(words.select(id_col, "fk", "n"), [id_col, "fk"])
+                 .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("key", "fk"))).alias("kmap"),
+                                      F.array_distinct(F.collect_list(F.struct("fk", "n"))).alias("_fn")))
+        dicts = dicts.select(id_col, "kmap", F.map_from_entries("_fn").alias("nmap"),
+                             F.aggregate("_fn", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n_words"))
+        parts = F.split(F.lower(F.col("term")), " ")
+        b = bigrams.join(dicts, id_col)
+        b = b.withColumn("fk1", F.try_element_at("kmap", F.try_element_at(parts, F.lit(1)))) \
+             .withColumn("fk2", F.try_element_at("kmap", F.try_element_at(parts, F.lit(2))))
+        c1, c2 = F.try_element_at("nmap", F.col("fk1")).cast("double"), F.try_element_at("nmap", F.col("fk2")).cast("double")
+        score = collocation_score(F.col("n").cast("double"), c1, c2, F.col("n_words").cast("double"))
+        coll = b.where(score > threshold).select(id_col, "fk1", "fk2", "term", "n")
+        taken = (coll.select(id_col, F.inline(F.array(F.struct(F.col("fk1").alias("fk"), F.col("n").alias("d")),
+                                                      F.struct(F.col("fk2").alias("fk"), F.col("n").alias("d")))))
+                 .groupBy(id_col, "fk").agg(F.sum("d").alias("d")))
+        terms = (terms.join(taken, [id_col, "fk"], "left")
+                 .select(id_col, "term", (F.col("n") - F.coalesce(F.col("d"), F.lit(0))).alias("n"))
+                 .where(F.col("n") > 0)
+                 .unionByName(coll.select(id_col, "term", "n")))
     w_rank = Window.partitionBy(id_col).orderBy(F.desc("n"), F.asc("term"))
     w_all = Window.partitionBy(id_col)
-    out = (merged.withColumn("rank", F.row_number().over(w_rank).cast("long"))
+    out = (terms.withColumn("rank", F.row_number().over(w_rank).cast("long"))
            .where(F.col("rank") <= max_words)
            .withColumn("weight", round_half_up(F.col("n") / F.max("n").over(w_all), 6)))
     return out.select(id_col, "term", F.col("n").cast("long").alias("n"), "weight", "rank")

@@ -79,3 +79,15 @@ def test_summary_budget_and_order(spark):
     assert out[0]["n_sentences"] >= 1
     assert out[1]["summary"] == "no full stop at all."
     assert out[2]["summary"] == "same. same. same."    # equal scores: all fit, original order
+
+
+def test_collocations_take_counts_from_their_words(spark):
+    filler = " ".join(f"w{i}x" for i in range(40))
+    # distinct fillers between repetitions, so "learning machine" is not a pair
+    text = " ".join(f"machine learning f{i}y" for i in range(8)) + " machine " + filler
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    plain = {r["term"]: r["n"] for r in word_frequencies(df, "id").collect()}
+    coll = {r["term"]: r["n"] for r in word_frequencies(df, "id", collocations=True).collect()}
+    assert plain["machine"] == 9 and plain["learning"] == 8 and "machine learning" not in plain
+    assert coll["machine learning"] == 8
+    assert coll["machine"] == 1 and "learning" not in coll      # count taken off both words; zero counts vanish
