@@ -1,12 +1,12 @@
 """Training-set preparation.
 
 Conversation pairing is a per-conversation state machine re-expressed with
-windows: with roles reduced to questions and answers (others ignored), the
-pending-question flag is set exactly when the previous kept line is a
-question, and the open question is the first question after the last
-answer.  So a pair is (first question of the run, answer) for every answer
-whose previous kept line is a question.  One hash exchange by conversation
-id serves every window.
+windows and aggregates: with roles reduced to questions and answers (others
+ignored), the pending-question flag is set exactly when the previous kept
+line is a question, and the open question is the first question after the
+last answer.  So a pair is (first question of the run, answer) for every
+answer whose previous kept line is a question.  Windows are bounded by turn
+chunks, so one huge conversation is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -26,18 +26,38 @@ MAX_VOCAB_BROADCAST = 5_000_000
 
 
 def pair_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-               text_col: str = "text", ask_role: str = "user", answer_role: str = "assistant") -> DataFrame:
-    """W01 + M01: (conv_id, q_turn, a_turn, question, answer), texts stripped."""
+               text_col: str = "text", ask_role: str = "user", answer_role: str = "assistant",
+               chunk_turns: int = 1 << 20) -> DataFrame:
+    """W01 + M01: (conv_id, q_turn, a_turn, question, answer), texts stripped.
+
+    Skew-safe: turns are cut into chunks of ``chunk_turns``; windows run per
+    (conversation, chunk), so no task holds more than one chunk of a
+    conversation.  A per-chunk summary (answers in the chunk, role of its last
+    kept line) is prefix-summed over the chunks of a conversation (one row per
+    chunk) to carry the state across chunk boundaries.  The run index of a
+    line is the number of answers before it; the first question of each run
+    is a partially aggregated ``min`` per (conversation, run)."""
+    is_ans = (~F.col("is_q")).cast("int")
     kept = df.where(F.col(role_col).isin(ask_role, answer_role)).select(
-        conv_col, turn_col, (F.col(role_col) == ask_role).alias("is_q"), text_col)
-    w = Window.partitionBy(conv_col).orderBy(turn_col)
-    kept = (kept.withColumn("prev_is_q", F.lag("is_q").over(w))
-            .withColumn("run", F.sum((~F.col("is_q")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    kept = kept.withColumn("run", F.coalesce("run", F.lit(0)))
-    w_run = Window.partitionBy(conv_col, "run").orderBy(turn_col).rowsBetween(Window.unboundedPreceding, 0)
-    first_q = F.first(F.when(F.col("is_q"), F.struct(F.col(turn_col).alias("t"), F.col(text_col).alias("x"))),
-                      ignorenulls=True).over(w_run)
-    pairs = kept.withColumn("fq", first_q).where(~F.col("is_q") & F.coalesce(F.col("prev_is_q"), F.lit(False)))
+        F.col(conv_col), F.col(turn_col), (F.col(role_col) == ask_role).alias("is_q"), F.col(text_col),
+        F.floor(F.col(turn_col) / chunk_turns).alias("_chunk"))
+    chunks = kept.groupBy(conv_col, "_chunk").agg(
+        F.sum(is_ans).alias("_n_ans"), F.max_by("is_q", turn_col).alias("_last_is_q"))
+    wc = Window.partitionBy(conv_col).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(conv_col, "_chunk",
+                           F.coalesce(F.sum("_n_ans").over(wc), F.lit(0)).alias("_ans_before"),
+                           F.last("_last_is_q", ignorenulls=True).over(wc).alias("_carry_is_q"))
+    wk = Window.partitionBy(conv_col, "_chunk").orderBy(turn_col)
+    kept = kept.join(chunks, [conv_col, "_chunk"])
+    kept = kept.select(
+        conv_col, turn_col, "is_q", text_col,
+        F.coalesce(F.lag("is_q").over(wk), F.col("_carry_is_q")).alias("prev_is_q"),
+        (F.col("_ans_before") + F.coalesce(F.sum(is_ans).over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                           F.lit(0))).alias("run"))
+    first_q = kept.where(F.col("is_q")).groupBy(conv_col, "run").agg(
+        F.min(F.struct(F.col(turn_col).alias("t"), F.col(text_col).alias("x"))).alias("fq"))
+    answers = kept.where(~F.col("is_q") & F.coalesce(F.col("prev_is_q"), F.lit(False)))
+    pairs = answers.join(first_q, [conv_col, "run"])
     return pairs.select(conv_col, F.col("fq.t").alias("q_turn"), F.col(turn_col).alias("a_turn"),
                         strip_ws(F.col("fq.x")).alias("question"), strip_ws(F.col(text_col)).alias("answer"))
 

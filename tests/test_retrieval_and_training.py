@@ -123,3 +123,33 @@ def test_split_disjoint_complete_and_padding(spark):
         assert r["attention_mask"] == [1, 1, 0, 0, 0, 0, 0, 0]
         # all words tie on count, so the vocabulary is (a, cat, here): "the" maps to the unknown id 1
         assert r["input_ids"][:2] == [M.UNK_ID, ids["cat"]] and r["input_ids"][2:] == [0] * 6
+
+
+def _py_pairs(rows):
+    """The pairing rule as a sequential state machine (per conversation)."""
+    out = []
+    for conv in sorted({r[0] for r in rows}):
+        pending = None
+        for _, turn, role, text in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]):
+            if role == "user" and pending is None:
+                pending = (turn, text.strip())
+            elif role == "assistant" and pending is not None:
+                out.append((conv, pending[0], turn, pending[1], text.strip()))
+                pending = None
+    return sorted(out)
+
+
+def test_pairing_is_chunk_invariant(spark):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for conv in range(6):
+        turn = 0
+        for _ in range(rnd.randint(0, 40)):
+            turn += rnd.randint(1, 3)                                   # sparse turn numbers
+            rows.append((conv, turn, rnd.choice(["user", "user", "assistant", "assistant", "system"]), f"t{conv}-{turn} "))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = _py_pairs(rows)
+    for chunk in (1, 2, 3, 7, 1 << 20):                                  # windows never cross a chunk
+        got = sorted(tuple(r) for r in M.pair_turns(df, chunk_turns=chunk).collect())
+        assert got == want, chunk
