@@ -37,31 +37,33 @@ def by_document(df: DataFrame, id_col: str, text_col: str, max_chars: int | None
     return out if partitioned else out.repartition(id_col)
 
 
-def _fold(forms: DataFrame, id_col: str, key: str, spelling: str, count: str) -> DataFrame:
-    """Plural folding over (id, key, spelling, count) rows: a key ending in 's'
-    (not 'ss') merges into key[:-1] when that key occurs in the document, its
-    spellings losing their last character.  Returns (id, key, fk, spelling2,
-    count) where fk is the folded key.  The stem window is keyed by
-    (id, stem), so it runs inside the document partitioning."""
+def _fold(forms: DataFrame, part: list[str], key: str, spelling: str, count: str) -> DataFrame:
+    """Plural folding over (part..., key, spelling, count) rows: a key ending in
+    's' (not 'ss') merges into key[:-1] when that key occurs in the same
+    ``part`` group, its spellings losing their last character.  Returns
+    (part..., key, fk, spelling2, count); the stem window is keyed by
+    (part..., stem), so it runs inside the document partitioning."""
     k = F.col(key)
     stem = F.when(k.endswith("s") & ~k.endswith("ss"), F.expr(f"substring({key}, 1, length({key}) - 1)")).otherwise(k)
     f = forms.withColumn("_stem", stem)
-    has_sing = F.max((F.col(key) == F.col("_stem")).cast("int")).over(Window.partitionBy(id_col, "_stem")) == 1
+    has_sing = F.max((F.col(key) == F.col("_stem")).cast("int")).over(Window.partitionBy(*part, "_stem")) == 1
     f = f.withColumn("_has_sing", has_sing)
     fk = F.when(F.col("_has_sing"), F.col("_stem")).otherwise(F.col(key))
     sp = (F.when(F.col(key) == F.col("_stem"), F.col(spelling))
           .when(F.col("_has_sing"), F.expr(f"substring({spelling}, 1, length({spelling}) - 1)"))
           .otherwise(F.col(spelling)))
-    return f.select(id_col, key, fk.alias("fk"), sp.alias("spelling2"), count)
+    return f.select(*part, key, fk.alias("fk"), sp.alias("spelling2"), count)
 
 
-def _groups(folded: DataFrame, id_col: str, count: str) -> DataFrame:
-    """(id, fk, n, term): total count per folded key and its most frequent
-    spelling (ties -> the larger string)."""
-    per_spelling = folded.groupBy(id_col, "fk", "spelling2").agg(F.sum(count).alias("_c"))
-    return per_spelling.groupBy(id_col, "fk").agg(
+def _groups(folded: DataFrame, part: list[str], count: str) -> DataFrame:
+    """(part..., fk, n, term, keys): total count per folded key, its most
+    frequent spelling (ties -> the larger string) and the keys folded into it."""
+    per_spelling = folded.groupBy(*part, "fk", "spelling2").agg(
+        F.sum(count).alias("_c"), F.collect_set("key").alias("_keys"))
+    return per_spelling.groupBy(*part, "fk").agg(
         F.sum("_c").alias("n"),
-        F.max(F.struct(F.col("_c").alias("c"), F.col("spelling2").alias("s")))["s"].alias("term"))
+        F.max(F.struct(F.col("_c").alias("c"), F.col("spelling2").alias("s")))["s"].alias("term"),
+        F.array_distinct(F.flatten(F.collect_list("_keys"))).alias("keys"))
 
 
 def _llr(k, n, x):
@@ -86,12 +88,16 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
     Words of two or more characters; a trailing "'s" removed; pure numbers
     removed; stop words (any case) dropped; a plural merged into its singular
     when both occur (display form = most frequent spelling, plural spellings
-    counted without their 's'); with ``collocations`` (opt-in: it re-reads the
-    token table in several branches), neighbouring non-stop
+    counted without their 's'); with ``collocations``, neighbouring non-stop
     word pairs whose log-likelihood score exceeds ``threshold`` become terms
     and their count is taken off both words (words left with no count
     disappear).  weight = count / max count; top ``max_words`` by
-    (count desc, term).  Returns (id, term, n, weight, rank)."""
+    (count desc, term).  Returns (id, term, n, weight, rank).
+
+    Plan: unigram and bigram rows share one grouping inside the document
+    partitioning; with collocations the grouped table (bounded per document)
+    is checkpointed once and every later step (dictionaries, scores, count
+    adjustments, ranking) reads it - no joins on keys other than the id."""
     spark = df.sparkSession
     sw = stop_words if stop_words is not None else defaults.stop_words_df(spark)
     sw = sw.select(F.lower("word").alias("key")).distinct() if stop_words is not None else \
@@ -103,40 +109,51 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
                                        F.expr("substring(w, 1, length(w) - 2)")).otherwise(F.col("w")))
     toks = toks.where(~F.col("w").rlike(r"^\p{N}+$")).withColumn("key", F.lower("w"))
     toks = toks.join(sw, "key", "left").withColumn("stop", F.coalesce(F.col("_stop"), F.lit(False))).drop("_stop")
-    uni = toks.where(~F.col("stop"))
-    forms = uni.groupBy(id_col, "key", "w").agg(F.count("*").alias("c"))
-    folded = _fold(forms, id_col, "key", "w", "c")
-    words = _groups(folded, id_col, "c")                      # (id, fk, n, term)
-    terms = words.select(id_col, "fk", "term", "n")
+    grams = toks.where(~F.col("stop")).select(id_col, F.lit(1).alias("kind"), "key", "w")
     if collocations:
         wpos = Window.partitionBy(id_col).orderBy("pos")
         pairs = toks.select(id_col, "w", "key", "stop", F.lead("w").over(wpos).alias("w2"),
                             F.lead("key").over(wpos).alias("key2"), F.lead("stop").over(wpos).alias("stop2"))
-        pairs = pairs.where(F.col("key2").isNotNull() & ~F.col("stop") & ~F.col("stop2"))
-        bforms = pairs.groupBy(id_col, F.concat_ws(" ", "key", "key2").alias("bkey"),
-                               F.concat_ws(" ", "w", "w2").alias("bw")).agg(F.count("*").alias("c"))
-        bigrams = _groups(_fold(bforms, id_col, "bkey", "bw", "c"), id_col, "c")   # (id, fk, n, term)
-        # per-document dictionaries (bounded by the document's words): key -> folded key, folded key -> count
-        keymap = folded.select(id_col, "key", "fk").distinct()
-        dicts = (keymap.join(words.select(id_col, "fk", "n"), [id_col, "fk"])
-                 .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("key", "fk"))).alias("kmap"),
-                                      F.array_distinct(F.collect_list(F.struct("fk", "n"))).alias("_fn")))
-        dicts = dicts.select(id_col, "kmap", F.map_from_entries("_fn").alias("nmap"),
-                             F.aggregate("_fn", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n_words"))
+        pairs = pairs.where(F.col("key2").isNotNull() & ~F.col("stop") & ~F.col("stop2")).select(
+            id_col, F.lit(2).alias("kind"), F.concat_ws(" ", "key", "key2").alias("key"),
+            F.concat_ws(" ", "w", "w2").alias("w"))
+        grams = grams.unionByName(pairs)
+    forms = grams.groupBy(id_col, "kind", "key", "w").agg(F.count("*").alias("c"))
+    part = [id_col, "kind"]
+    groups = _groups(_fold(forms, part, "key", "w", "c"), part, "c")
+    if collocations:
+        # five consumers read the grouped grams: write them once to the shared
+        # checkpoint directory (reliable checkpoint, survives executor loss)
+        # instead of recomputing the token pipeline for each
+        from ..session import shared_root
+        shared_root(spark)
+        groups = groups.checkpoint(eager=True)
+    uni = groups.where(F.col("kind") == 1)
+    terms = uni.select(id_col, "fk", "term", "n")
+    if collocations:
+        dicts = uni.groupBy(id_col).agg(
+            F.map_from_entries(F.flatten(F.collect_list(F.transform("keys", lambda k: F.struct(
+                k.alias("key"), F.col("fk").alias("fk")))))).alias("kmap"),
+            F.map_from_entries(F.collect_list(F.struct("fk", "n"))).alias("nmap"),
+            F.sum("n").alias("n_words"))
+        b = groups.where(F.col("kind") == 2).join(dicts, id_col)
         parts = F.split(F.lower(F.col("term")), " ")
-        b = bigrams.join(dicts, id_col)
         b = b.withColumn("fk1", F.try_element_at("kmap", F.try_element_at(parts, F.lit(1)))) \
              .withColumn("fk2", F.try_element_at("kmap", F.try_element_at(parts, F.lit(2))))
-        c1, c2 = F.try_element_at("nmap", F.col("fk1")).cast("double"), F.try_element_at("nmap", F.col("fk2")).cast("double")
+        c1 = F.try_element_at("nmap", F.col("fk1")).cast("double")
+        c2 = F.try_element_at("nmap", F.col("fk2")).cast("double")
         score = collocation_score(F.col("n").cast("double"), c1, c2, F.col("n_words").cast("double"))
         coll = b.where(score > threshold).select(id_col, "fk1", "fk2", "term", "n")
-        taken = (coll.select(id_col, F.inline(F.array(F.struct(F.col("fk1").alias("fk"), F.col("n").alias("d")),
-                                                      F.struct(F.col("fk2").alias("fk"), F.col("n").alias("d")))))
-                 .groupBy(id_col, "fk").agg(F.sum("d").alias("d")))
-        terms = (terms.join(taken, [id_col, "fk"], "left")
-                 .select(id_col, "term", (F.col("n") - F.coalesce(F.col("d"), F.lit(0))).alias("n"))
-                 .where(F.col("n") > 0)
-                 .unionByName(coll.select(id_col, "term", "n")))
+        # count adjustments as a union + aggregate per (id, folded key): no join
+        minus = coll.select(id_col, F.inline(F.array(
+            F.struct(F.col("fk1").alias("fk"), F.lit(None).cast("string").alias("term"), (-F.col("n")).alias("n")),
+            F.struct(F.col("fk2").alias("fk"), F.lit(None).cast("string").alias("term"), (-F.col("n")).alias("n")))))
+        adjusted = (terms.unionByName(minus).groupBy(id_col, "fk")
+                    .agg(F.max("term").alias("term"), F.sum("n").alias("n"))
+                    .where((F.col("n") > 0) & F.col("term").isNotNull()))
+        terms = adjusted.select(id_col, "term", "n").unionByName(coll.select(id_col, "term", "n"))
+    else:
+        terms = terms.select(id_col, "term", "n")
     w_rank = Window.partitionBy(id_col).orderBy(F.desc("n"), F.asc("term"))
     w_all = Window.partitionBy(id_col)
     out = (terms.withColumn("rank", F.row_number().over(w_rank).cast("long"))
