@@ -42,6 +42,11 @@ def matches_any(c: ColumnOrName, keywords: Iterable[str]) -> Column:
     kws = tuple(sorted(set(keywords)))
     if ahocorasick is None or not kws:
         return contains_any(c, kws)
+    from pyspark.sql import SparkSession
+    from ..session import ship_package
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     if "" in kws:
         return F.when(_c(c).isNotNull(), F.lit(True))
 

@@ -19,17 +19,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch (a pandas DataFrame)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield fn(pdf)
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 
 def apply_rows(columns: list[str], fn: Callable[[dict], object], return_type: T.DataType | str) -> Column:
     """``fn(row_dict)`` over a struct of ``columns`` via a pandas UDF."""
+    from pyspark.sql import SparkSession
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+
     @F.pandas_udf(return_type)
     def _apply(s: pd.DataFrame) -> pd.Series:
         return pd.Series([fn(r) for r in s.to_dict("records")], index=s.index)
@@ -71,4 +79,5 @@ def batch_infer(df: DataFrame, text_col: str, model_factory: Callable[[], Callab
                     out["confidence"] = None
                 out["error"] = f"{type(e).__name__}: {e}"
             yield out[[f.name for f in schema.fields]]
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)

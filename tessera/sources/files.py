@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import _c
+from ..session import ship_package
 
 # File suffix -> (reader, envelope type); anything else is an error.
 SUFFIX_READERS = [
@@ -179,6 +180,7 @@ def scan_xml_rows(spark: SparkSession, path: str, infer: bool = True) -> DataFra
     holding its direct text (null for element-only cells); attributes are
     ignored.  Parsing is per file (mapInPandas over ``binaryFile``); columns
     are the union of tags, found with one distinct over the keys."""
+    ship_package(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = raw.mapInPandas(_xml_rows, XML_ROWS_SCHEMA).where(F.col("error").isNull())
     keys = [r["k"] for r in rows.select(F.explode(F.map_keys("cells")).alias("k")).distinct().orderBy("k").collect()]

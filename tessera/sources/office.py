@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .files import _infer_types, apply_types
 
 NS_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -83,6 +84,7 @@ def _xlsx_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan_xlsx(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """First sheet of each workbook, first row = header, types inferred."""
+    ship_package(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = raw.mapInPandas(_xlsx_batches, "path string, row_no int, cells map<string,string>, error string")
     rows = rows.where(F.col("error").isNull())
@@ -124,6 +126,7 @@ def _docx_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """S07 (long form): (path, para_no, text, error)."""
+    ship_package(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     return raw.mapInPandas(_docx_batches, "path string, para_no int, text string, error string")
 
@@ -198,4 +201,5 @@ def write_partition_files(df: DataFrame, out_dir: str, render, suffix: str) -> D
                     fh.write(data)
                 written.append((name, p))
             yield pd.DataFrame(written, columns=["name", "path"])
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, "name string, path string")
