@@ -25,8 +25,9 @@ def text_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sentiment fields, top_terms array) - everything else on the first 1024
     characters.  One hash exchange by id is shared by all per-document steps."""
     # cut and count before the exchange: only the 1024-character prefix moves
-    cut = df.select(F.col(id_col), truncate_chars(text_col, defaults.TEXT_BUDGET).alias("text"),
-                    word_count(text_col).alias("word_count")).repartition(id_col)
+    cut = df.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col), truncate_chars(text_col, defaults.TEXT_BUDGET).alias("text"),
+        word_count(text_col).alias("word_count")).repartition(id_col)
     base = cut.select(id_col, "text")
     senti = sentiment_scores(base, id_col, "text", defaults.TEXT_BUDGET, lexicon, partitioned=True)
     summ = extractive_summary(base, id_col, "text", partitioned=True).select(id_col, "summary")

@@ -44,7 +44,9 @@ def page_report(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     # one (id, text) exchange feeds every per-page scoring step (the exchange
     # is reused: both consumers see the same plan); the extracted record -
     # never the raw HTML - joins the scores by id
-    base = ex.select(id_col, "text").repartition(id_col)
+    # the explicit not-null filter matches the one the optimizer infers for the
+    # joins below, so both consumers see the same plan and reuse one exchange
+    base = ex.where(F.col(id_col).isNotNull()).select(id_col, "text").repartition(id_col)
     scores = sentiment_scores(base, id_col, "text", defaults.TEXT_BUDGET, lexicon, partitioned=True)
     if with_summary:
         summ = extractive_summary(base, id_col, "text", defaults.TEXT_BUDGET, partitioned=True)
