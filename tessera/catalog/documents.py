@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions import text as X
+from ..functions.matching import matches_any
 from ..operators.sentiment import lexicon_matches, sentiment_scores
 from ..operators.text import WORD_TOKEN, TERM_TOKEN, corpus_top_terms, extractive_summary, word_frequencies
 from .common import lit, round6, rx_sub, strip_ws, table, values, word_count as sql_wc
@@ -72,7 +73,8 @@ def q_trim_whitespace(spark, sf):
 
 
 def q_contains_any(spark, sf):
-    return docs(spark, sf).select("doc_id", X.contains_any(F.lower("text"), defaults.FACT_KEYWORDS).alias("relevant"),
+    # long keyword list over whole documents: one Aho-Corasick pass per text
+    return docs(spark, sf).select("doc_id", matches_any(F.lower("text"), defaults.FACT_KEYWORDS).alias("relevant"),
                                   X.contains_any(F.lower("text"), defaults.CORRECTION_KEYWORDS).alias("correction"))
 
 
