@@ -165,11 +165,9 @@ def row_shingles(h: np.ndarray, off: np.ndarray, n: int):
         if k >= n:
             yield np.unique(grams[a:z - n + 1])
         elif k:
-            out = np.uint64(k)
-            with np.errstate(over="ignore"):
-                out = np.array([k], np.uint64)
-                for i in range(k):
-                    out = mix(out) + h[a + i:a + i + 1] * short[k][i]
+            out = np.array([k], np.uint64)
+            for i in range(k):
+                out = mix(out) + h[a + i:a + i + 1] * short[k][i]
             yield mix(out)
         else:
             yield h[:0]

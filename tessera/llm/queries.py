@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import neardup as _neardup
 from .tables import table
 
 
@@ -21,9 +22,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neardup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
+        "op4_near_duplicates": op4_near_duplicates,
     }
 
 
