@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import neardup as _neardup
+from . import repeats as _repeats
 from .tables import table
 
 
@@ -27,10 +28,17 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_repeats": op5_repeats,
     }
 
 
