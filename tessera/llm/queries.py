@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import decontaminate as _decontaminate
 from . import neardup as _neardup
 from . import repeats as _repeats
+from . import licenses as _licenses
+from . import chunks as _chunks
 from .tables import table
 
 
@@ -34,11 +36,27 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_segments", F.size("licenses").cast("long").alias("n_matches"),
+        F.expr("get(licenses, 0).license").alias("license"), F.expr("get(licenses, 0).dice").alias("dice"),
+        F.array_join(F.expr("array_sort(array_distinct(licenses.license))"), ",").alias("licenses"))
+
+
+def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks.drop_repeated_chunks(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_chunks", "n_repeated", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_repeats": op5_repeats,
+        "op8_licenses": op8_licenses,
+        "op9_chunks": op9_chunks,
     }
 
 
