@@ -2,11 +2,11 @@
 
 A gear hash rolls over the bytes of a text: h(i) = sum of G[byte(i - j)] << j
 over the last 16 bytes, modulo 2**16.  A place whose ``bits`` top bits are 0 is
-a candidate cut; it is taken when no other candidate (nor the start of the
-text) lies within the ``least`` bytes before it, and a piece longer than
-``most`` is cut evenly from its start.  Whether a place is a cut depends on a
-few bytes before it only, so an insertion changes the chunks around it and
-no others.
+a candidate cut; it is taken when the last cut (or the start of the text) lies
+at least ``least`` bytes before it, and a piece longer than ``most`` is cut
+evenly from its start.  A candidate with no other one in the ``least`` bytes
+before it is always taken, so cuts fall into step again soon after an
+insertion and the chunks behind it do not change.
 
 Chunks are compared by digest (96 bits) over the whole corpus with partial
 aggregation; a chunk held by very many documents is met by a join that
@@ -33,7 +33,7 @@ from tessera.session import ship_package
 from .kernels import PIECE, constants, utf8
 from .repeats import prefix_hash, window_hash
 
-BITS, LEAST, MOST, PASSAGE = 4, 16, 256, 96
+BITS, LEAST, MOST, PASSAGE = 5, 16, 256, 96
 WINDOW = 16
 _GEAR = (constants(256, 53) >> np.uint64(17)).astype(np.uint16)
 
@@ -59,9 +59,17 @@ def cuts(data: np.ndarray, off: np.ndarray, bits: int, least: int, most: int) ->
     row_begin = off[np.searchsorted(off, places - 1, side="right") - 1] if len(places) else places
     places = places[places - row_begin >= WINDOW]          # the hash looks back that far
     every = np.union1d(places, begins)
-    first = np.isin(every, begins, assume_unique=True)
-    gap = np.diff(every, prepend=-least)
-    starts = every[first | (gap >= least)]
+    taken = np.isin(every, begins, assume_unique=True)
+    taken |= np.diff(every, prepend=-least) >= least
+    begin_of = np.append(begins, len(data))[np.searchsorted(begins, every, side="right")] if len(every) else every
+    step = np.searchsorted(every, np.minimum(every + least, begin_of))     # the next one far enough
+    reach = np.flatnonzero(taken)
+    while len(reach):
+        reach = step[reach]
+        reach = np.unique(reach[reach < len(every)])
+        reach = reach[~taken[reach]]
+        taken[reach] = True
+    starts = every[taken]
     starts = starts[starts < len(data)]
     length = np.diff(np.append(starts, len(data)))
     extra = np.maximum(length - 1, 0) // most
