@@ -39,7 +39,7 @@ from tessera.session import ship_package
 
 from .components import connected_components
 from .kernels import SPACED, constants, mix, row_shingles, utf8, words
-from .tables import staged
+from .tables import staged, without
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 4, 75
 BATCH, MISS, BLOCK, SALT = 16, 1e-6, 256, 64
@@ -249,5 +249,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns as they were, one of each component (the one
     with the smallest id; rows with a null id stay)."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select("doc_id")
+    return without(docs, F.col(id_col).cast("long"), gone)

@@ -14,6 +14,7 @@ from . import neardup as _neardup
 from . import repeats as _repeats
 from . import licenses as _licenses
 from . import chunks as _chunks
+from . import langid as _langid
 from .tables import table
 
 
@@ -50,6 +51,12 @@ def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs, likelihoods = _langid.train(table(spark, sf_dir, "documents"))
+    found = _langid.identify(_langid.page_rows(table(spark, sf_dir, "pages")), langs, likelihoods)
+    return found.withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
@@ -57,6 +64,7 @@ def queries() -> dict:
         "op5_repeats": op5_repeats,
         "op8_licenses": op8_licenses,
         "op9_chunks": op9_chunks,
+        "op2_language": op2_language,
     }
 
 

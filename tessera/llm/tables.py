@@ -21,6 +21,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of 8-byte keys that are sent to every executor at most (16 MB).
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, columns as they were, whose ``key`` (a long) is not
+    in the one column of ``gone``.  The keys are counted: up to
+    ``BROADCAST_KEYS`` they are broadcast and the texts stay where they are,
+    beyond it both sides are exchanged."""
+    left, right = unused(docs.columns, "key"), unused(docs.columns, "gone")
+    gone = gone.toDF(right)
+    gone = staged(gone.where(gone[right].isNotNull()).distinct(), "gone")
+    small = gone.count() <= BROADCAST_KEYS
+    return (docs.withColumn(left, key)
+            .join(F.broadcast(gone) if small else gone, F.col(left) == F.col(right), "left_anti").drop(left))
+
+
 def unused(df_columns, name: str) -> str:
     """A column name that no column of the input has."""
     taken = {c.lower() for c in df_columns}
