@@ -15,6 +15,7 @@ from . import repeats as _repeats
 from . import licenses as _licenses
 from . import chunks as _chunks
 from . import langid as _langid
+from . import quality as _quality
 from .tables import table
 
 
@@ -57,6 +58,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 of low quality, 2 good; selected are the good."""
+    docs = table(spark, sf_dir, "documents")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", F.expr(
+        "case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end").alias("grade"))
+    return _quality.score(docs, _quality.train(docs, ratings, 3), at_least=2)
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
@@ -65,6 +74,7 @@ def queries() -> dict:
         "op8_licenses": op8_licenses,
         "op9_chunks": op9_chunks,
         "op2_language": op2_language,
+        "op6_quality": op6_quality,
     }
 
 
