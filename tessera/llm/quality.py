@@ -4,11 +4,13 @@ P(grade <= k | x) = sigmoid(threshold_k - w.x): one weight vector ``w`` over
 hashed features is shared by all grades, thresholds are ordered.  A text's
 features are
 
-* each distinct word (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, lower-cased): 1,
+* each distinct word (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, lower-cased) and
+  each distinct beginning of 4 and of 5 bytes of a longer word: 1,
 * each token shape: its share of the blank-separated tokens.  A shape is made
   of the token's non-alphanumeric bytes, whether it has capitals only, and
   digits,
-* the share of repeated words.
+* the shares of repeated words, of tokens with three or more other signs and
+  of tokens in capitals.
 
 Training reads about ``train_rows`` rated rows, drawn by a hash of the id and
 limited to that number; their features are made on the executors and only
@@ -46,7 +48,14 @@ for _a, _z in ((48, 57), (65, 90), (97, 122), (128, 255), (32, 32), (9, 13)):
 
 def features(data: np.ndarray, off: np.ndarray):
     """Yield (feature ids, values) of each row."""
-    h, woff = words(data, off, ALNUM)
+    h, woff, ws, we = words(data, off, ALNUM, spans=True)
+    starts = []
+    for n in (4, 5):
+        long_ = np.flatnonzero(we - ws > n)
+        part = np.full(len(long_), n, np.uint64)
+        for i in range(n):
+            part = mix(part) + ALNUM[data[ws[long_] + i]]
+        starts.append((mix(part), np.searchsorted(long_, woff)))
     _, toff, ts, te = words(data, off, SPACED, spans=True)
 
     def per_token(flag, kind):
@@ -58,18 +67,21 @@ def features(data: np.ndarray, off: np.ndarray):
     upper = per_token((data >= 65) & (data <= 90), np.int32)
     lower = per_token((data >= 97) & (data <= 122), np.int32)
     digit = per_token((data >= 48) & (data <= 57), np.int32)
-    shape = mix(punct + (((upper > 1) & (lower == 0)).astype(np.uint64) << np.uint64(1)) + (digit > 0).astype(np.uint64)
+    signs = per_token(_PUNCT[data] != 0, np.int32) > 2
+    caps = (upper > 1) & (lower == 0)
+    shape = mix(punct + (caps.astype(np.uint64) << np.uint64(1)) + (digit > 0).astype(np.uint64)
                 + np.uint64(0x51AFE))
-    for a, z, ta, tz in zip(woff[:-1].tolist(), woff[1:].tolist(), toff[:-1].tolist(), toff[1:].tolist()):
+    for r, (a, z, ta, tz) in enumerate(zip(woff[:-1].tolist(), woff[1:].tolist(), toff[:-1].tolist(), toff[1:].tolist())):
         if ta == tz:
             yield np.zeros(0, np.int32), np.zeros(0, np.float32)
             continue
         own = np.unique(h[a:z])
         forms, n = np.unique(shape[ta:tz], return_counts=True)
-        ids = np.concatenate([own, forms, np.array([1], np.uint64)]) % np.uint64(DIM)
-        spread = 1 - len(own) / max(z - a, 1)
+        begin = [np.unique(b[o[r]:o[r + 1]]) for b, o in starts]
+        ids = np.concatenate([own, *begin, forms, np.arange(1, 4, dtype=np.uint64)]) % np.uint64(DIM)
+        shares = [*(n / (tz - ta)), 1 - len(own) / max(z - a, 1), signs[ta:tz].mean(), caps[ta:tz].mean()]
         yield (ids.astype(np.int32),
-               np.concatenate([np.ones(len(own)), 5.0 * n / (tz - ta), [5.0 * spread]]).astype(np.float32))
+               np.concatenate([np.ones(len(ids) - len(shares)), 5.0 * np.array(shares)]).astype(np.float32))
 
 
 class Ordinal:
