@@ -16,6 +16,7 @@ from . import licenses as _licenses
 from . import chunks as _chunks
 from . import langid as _langid
 from . import quality as _quality
+from . import mixing as _mixing
 from .tables import table
 
 
@@ -66,6 +67,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.train(docs, ratings, 3), at_least=2)
 
 
+#: Domains of the sources by the number in their name, and the target weights.
+DOMAINS = ["web", "books", "news", "forum"]
+WEIGHTS = {"domain": {"web": 4, "books": 3, "news": 2, "forum": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+
+
+def domain_of(source: str = "source"):
+    number = F.regexp_extract(F.col(source).cast("string"), r"(\d+)$", 1)
+    return F.when(number != "", F.get(F.array(*map(F.lit, DOMAINS)),
+                                      F.pmod(number.cast("decimal(38,0)"), F.lit(len(DOMAINS))).cast("int"))).otherwise(F.lit("other"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, at most two epochs of a source."""
+    return _mixing.mix_sources(table(spark, sf_dir, "documents"), domain_of(), F.floor(F.col("n") / 2), WEIGHTS)
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
@@ -75,6 +92,7 @@ def queries() -> dict:
         "op9_chunks": op9_chunks,
         "op2_language": op2_language,
         "op6_quality": op6_quality,
+        "op7_mixing": op7_mixing,
     }
 
 
