@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import staged, unused
+from .tables import meet, staged, unused
 
 LEAF = ["domain", "lang", "source"]
 SEED, DIGITS = 17, 3
@@ -61,15 +61,6 @@ def fill(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
             .drop("__of", "__level"))
 
 
-def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys that may be null; the keys come back once."""
-    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(right, on, how).drop(*[f"__{k}" for k in keys])
-
-
 def budgets(tokens: DataFrame, total: Column, weights: dict, max_epochs: int) -> DataFrame:
     """(domain, lang, source, n_tokens, budget) of every leaf with a budget.
     ``tokens`` has one row per leaf."""

@@ -17,6 +17,7 @@ from . import chunks as _chunks
 from . import langid as _langid
 from . import quality as _quality
 from . import mixing as _mixing
+from . import sharding as _sharding
 from .tables import table
 
 
@@ -83,6 +84,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix_sources(table(spark, sf_dir, "documents"), domain_of(), F.floor(F.col("n") / 2), WEIGHTS)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharding.shard_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
@@ -93,6 +100,7 @@ def queries() -> dict:
         "op2_language": op2_language,
         "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
+        "op10_sharding": op10_sharding,
     }
 
 

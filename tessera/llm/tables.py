@@ -25,17 +25,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_KEYS = 1_000_000
 
 
-def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs``, columns as they were, whose ``key`` (a long) is not
-    in the one column of ``gone``.  The keys are counted: up to
-    ``BROADCAST_KEYS`` they are broadcast and the texts stay where they are,
-    beyond it both sides are exchanged."""
-    left, right = unused(docs.columns, "key"), unused(docs.columns, "gone")
-    gone = gone.toDF(right)
-    gone = staged(gone.where(gone[right].isNotNull()).distinct(), "gone")
-    small = gone.count() <= BROADCAST_KEYS
+def matching(docs: DataFrame, key: Column, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs``, columns as they were, whose ``key`` (a long) is
+    ("left_semi") or is not ("left_anti") in the one column of ``keys``.  The
+    keys are counted: up to ``BROADCAST_KEYS`` they are broadcast and the texts
+    stay where they are, beyond it both sides are exchanged."""
+    left, right = unused(docs.columns, "key"), unused(docs.columns, "match")
+    keys = keys.toDF(right)
+    keys = staged(keys.where(keys[right].isNotNull()).distinct(), "keys")
+    small = keys.count() <= BROADCAST_KEYS
     return (docs.withColumn(left, key)
-            .join(F.broadcast(gone) if small else gone, F.col(left) == F.col(right), "left_anti").drop(left))
+            .join(F.broadcast(keys) if small else keys, F.col(left) == F.col(right), how).drop(left))
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not in ``gone``."""
+    return matching(docs, key, gone, "left_anti")
 
 
 def unused(df_columns, name: str) -> str:
@@ -46,6 +51,15 @@ def unused(df_columns, name: str) -> str:
     return name
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the keys come back once."""
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(right, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], weight: Column, out: str,
                 bucket: str) -> DataFrame:
     """Exclusive running sum of ``weight`` within ``keys`` in the order
@@ -58,12 +72,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], weight: Column
     w, base = f"__w_{out}", f"__base_{out}"
     df = df.withColumn(w, weight)
     sums = (df.groupBy(*keys, bucket).agg(F.sum(w).alias(base))
-            .withColumn(base, F.sum(base).over(Window.partitionBy(*keys).orderBy(bucket)) - F.col(base)))
+            .withColumn(base, F.sum(base).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket)) - F.col(base)))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    on = [df[k].eqNullSafe(sums[k]) for k in [*keys, bucket]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = df.join(sums, cond).select(*[df[c] for c in df.columns], sums[base])
-    return (joined.withColumn(out, F.coalesce(F.sum(w).over(inside), F.lit(0)) + F.col(base))
-            .drop(w, base))
+    return (meet(df, sums, [*keys, bucket])
+            .withColumn(out, F.coalesce(F.sum(w).over(inside), F.lit(0)) + F.col(base)).drop(w, base))
