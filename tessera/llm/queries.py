@@ -18,6 +18,7 @@ from . import langid as _langid
 from . import quality as _quality
 from . import mixing as _mixing
 from . import sharding as _sharding
+from . import fingerprints as _fingerprints
 from .tables import table
 
 
@@ -90,6 +91,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fingerprints.fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
@@ -101,6 +108,7 @@ def queries() -> dict:
         "op6_quality": op6_quality,
         "op7_mixing": op7_mixing,
         "op10_sharding": op10_sharding,
+        "op1_fingerprints": op1_fingerprints,
     }
 
 
