@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .kernels import PIECE, constants, utf8
+from .kernels import PIECE, constants, slices, utf8
 from .repeats import prefix_hash, window_hash
 
 BITS, LEAST, MOST, PASSAGE = 5, 16, 256, 96
@@ -108,7 +108,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def chunk(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             data, off = utf8(b.column(2))
             starts, at = cuts(data, off, bits, least, most)
             d1, d2 = digests(data, starts)
@@ -127,7 +127,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     span = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             data, off = utf8(b.column(1))
             starts, at = cuts(data, off, bits, least, most)
             d1, d2 = digests(data, starts)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .kernels import ALNUM, utf8, words
+from .kernels import ALNUM, slices, utf8, words
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -274,7 +274,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             rows = _scan(b.column(1), blocks)
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
@@ -296,7 +296,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     place = docs.columns.index(text_col)
 
     def keep(batches):
-        for b in batches:
+        for b in slices(batches, place):
             clean = [r[1] == 0 for r in _scan(b.column(place).cast(pa.string()), blocks)]
             yield b.filter(pa.array(clean, pa.bool_()))
 

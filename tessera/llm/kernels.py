@@ -72,6 +72,19 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
+def slices(batches, column: int | str, size: int = 8 << 20):
+    """The batches in slices of at most ``size`` bytes of a text column (or one
+    row), so that a task's arrays do not follow the rows of a batch."""
+    for b in batches:
+        col = b.column(column)
+        _, off = utf8(col)
+        a = 0
+        while a < len(off) - 1:
+            z = max(a + 1, int(np.searchsorted(off, off[a] + size, side="right")) - 1)
+            yield b.slice(a, z - a)
+            a = z
+
+
 def word_table(separators: np.ndarray, seed: int = 7) -> np.ndarray:
     """Byte table: 0 for separators, one odd constant per (lower-cased) byte."""
     t = constants(256, seed)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .kernels import PIECE, utf8
+from .kernels import PIECE, slices, utf8
 from .tables import staged, without
 
 TRAIN_ROWS, BUCKETS, OVERLAP, STRENGTH, LEAST = 6000, 1 << 16, 3.0, 5.0, 0.5
@@ -71,7 +71,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
 
     def count(batches):
         sums = {}
-        for b in batches:
+        for b in slices(batches, 1):
             langs = b.column(0).to_pylist()
             names = sorted(set(langs))
             code = np.array([names.index(x) for x in langs], np.int64)
@@ -103,7 +103,7 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
 
     def score(batches):
         t = held.value
-        for b in batches:
+        for b in slices(batches, 1):
             data, off = utf8(b.column(1))
             total, n = np.zeros((b.num_rows, t.shape[1])), np.zeros(b.num_rows, np.int64)
             for row, g in trigrams(data, off):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .kernels import ALNUM, ngrams, utf8, words
+from .kernels import ALNUM, ngrams, slices, utf8, words
 
 DICE = 0.8
 
@@ -81,7 +81,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, id_c
             yield d[new], n[new], g[new]
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             data, off = utf8(b.column(1))
             h, woff, ws, _ = words(data, off, ALNUM, spans=True)
             breaks = np.flatnonzero(data == 10)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .kernels import ALNUM, SPACED, constants, mix, utf8, words
+from .kernels import ALNUM, SPACED, constants, mix, slices, utf8, words
 
 TRAIN_ROWS, LEAST_ROWS, DIM = 6000, 4, 1 << 20
 STEPS, RATE, RIDGE = 200, 0.1, 1e-4
@@ -149,7 +149,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
     id_type = held.schema["id"].dataType.simpleString()
 
     def make(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             rows = list(features(*utf8(b.column(2))))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Ordinal, at_least: int, tail: float = TAIL, id
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def rate(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             rows = list(features(*utf8(b.column(1))))
             p = held.value.grade_probabilities(rows)
             expected, top = p @ np.arange(p.shape[1]), p[:, at_least:].sum(axis=1)

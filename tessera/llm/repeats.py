@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship_package
 
-from .kernels import PIECE, _pows, constants, mix, utf8
+from .kernels import PIECE, _pows, constants, mix, slices, utf8
 from .tables import staged
 
 DEPTH, GRAM, GROUP = 200, 32, 1024
@@ -131,7 +131,7 @@ def repeated_spans(rows: DataFrame, depth: int, gram: int) -> DataFrame:
     schema = RUNS.format(id=id_type)
 
     def find(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             data, off = utf8(b.column(2))
             row, anchor, content, first, n, lead = window_runs(data, off, depth, gram)
             take = pa.array(row, pa.int64())
@@ -158,7 +158,7 @@ def repeated_spans(rows: DataFrame, depth: int, gram: int) -> DataFrame:
                                             F.col("one.n").alias("n"), (F.col("c") > 1).alias("known"))).alias("runs")))
 
     def spell(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             out = []
             data, off = utf8(b.column("text"))
             for doc, part, lo, hi, todo in zip(b.column("doc_id").to_pylist(), b.column("part").to_pylist(), off[:-1].tolist(),
@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             data, off = utf8(b.column(1))
             spans, kept = [], []
             inner, at = b.column(2).flatten(), np.concatenate([[0], np.cumsum([0 if n is None else n for n in b.column(2).value_lengths().to_pylist()])])
