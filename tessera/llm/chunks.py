@@ -32,6 +32,7 @@ from tessera.session import ship_package
 
 from .kernels import PIECE, constants, slices, utf8
 from .repeats import prefix_hash, window_hash
+from .tables import staged
 
 BITS, LEAST, MOST, PASSAGE = 5, 16, 256, 96
 WINDOW = 16
@@ -120,6 +121,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     every = rows.mapInArrow(chunk, f"doc_id {id_type}, part int, d1 long, d2 int")
     twice = (every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("holder"))
              .where("n > 1").select("d1", "d2", "holder"))
+    twice = staged(twice, "twice")           # a table of its own: the join with it can be split at hot keys
     found = (every.join(twice, ["d1", "d2"])
              .select("doc_id", "part", "d1", "d2", F.col("doc_id").eqNullSafe(F.col("holder")).alias("mine"))
              .groupBy("doc_id", "part").agg(F.collect_set(F.struct("d1", "d2", "mine")).alias("found"))

@@ -54,12 +54,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     rows = staged(document_rows(docs, id_col, text_col, link), "rows")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     keys = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = staged(keys, "keys")
     linked = staged(rows.join(keys, "key").withColumn("label", F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int"))
                     .select("doc_id", "size", "text_crc32", "key", "u", "label"), "linked")
     for _ in range(rounds):
         by_key = linked.groupBy("key", "label").agg(F.sum("size").alias("bytes"))
-        best = by_key.groupBy("key").agg(F.max(F.struct("bytes", (-F.col("label")).alias("l"))).alias("x")).select(
-            "key", (-F.col("x.l")).alias("best"))
+        best = staged(by_key.groupBy("key").agg(F.max(F.struct("bytes", (-F.col("label")).alias("l"))).alias("x")).select(
+            "key", (-F.col("x.l")).alias("best")), "best")    # a table of its own: the join can be split at hot keys
         load = {r["label"]: r["b"] for r in linked.groupBy("label").agg(F.sum("size").alias("b")).collect()}  # a row per shard
         free = F.array(*[F.lit(max(0, total // shards - load.get(s, 0))) for s in range(shards)])
         asked = linked.join(best, "key")
