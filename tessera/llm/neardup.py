@@ -12,9 +12,10 @@
    links count.  The pivot's text streams past its members' texts, in salted
    runs, so a pivot of very many members is spread over tasks.
 5. Components.  A bucket whose members are by then in one component is done.
-   In the others (few) the members of different components are compared with
-   each other, in blocks of ``BLOCK`` signatures, with the same bounds; the
-   survivors are verified and the components joined.
+   In the others the members of different components are compared with each
+   other, in blocks of about ``BLOCK`` members, with the same bounds; survivors
+   are verified within the block and only links that join two of its
+   components come out.
 
 A pair at the threshold shares no band with probability
 (1 - threshold**rows)**bands = 5e-6 with the defaults (32 bands of 4).
@@ -39,10 +40,10 @@ from tessera.session import ship_package
 
 from .components import connected_components
 from .kernels import SPACED, constants, mix, row_shingles, utf8, words
-from .tables import staged, without
+from .tables import matching, staged, without
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 4, 75
-BATCH, MISS, BLOCK, SALT = 16, 1e-6, 256, 64
+BATCH, MISS, BLOCK, BLOCK_SIZE, SALT = 16, 1e-6, 512, 4_000_000, 64
 
 
 def least_matches(hashes: int, batch: int, threshold: float, miss: float) -> list[int]:
@@ -123,7 +124,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     runs = staged(runs, "runs")
     members = runs.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "salt", F.lit(1).alias("role"))
     pivots = runs.select(F.col("b").alias("doc_id"), F.col("b").alias("pivot"), "salt", F.lit(0).alias("role")).distinct()
-    rows = (members.unionByName(pivots).join(docs, "doc_id")
+    both = members.unionByName(pivots)
+    rows = (both.join(matching(docs, F.col("doc_id"), both.select("doc_id")), "doc_id")
             .select("pivot", "salt", "role", "doc_id", "text")
             .repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role"))
 
@@ -147,33 +149,43 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
 
 def linked(s: np.ndarray, p: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(s, p, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(s) + len(p) - both)
-
-
-def crossing(bands: DataFrame, comps: DataFrame, nodes: DataFrame, hashes: int, rows: int, threshold: float,
-             miss: float) -> DataFrame:
-    """Candidates between members of different components in buckets that hold
-    several, beside those with the pivot (which have been compared)."""
-    least = least_matches(hashes, BATCH, threshold, miss)
+    if len(s) > len(p):
+        s, p = p, s
+    if not len(s) or 100 * len(s) < percent * len(p):
+        return False
+    at = np.searchsorted(p, s)
+    at[at == len(p)] = 0
+    both = int((p[at] == s).sum())
+    return 100 * both >= percent * (len(s) + len(p) - both)
+
+
+def crossing(bands: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, hashes: int, rows: int,
+             percent: int, miss: float) -> DataFrame:
+    """Confirmed links (a, b) between members of different components in buckets
+    that hold several, beside those with the pivot (which have been compared)."""
+    least = least_matches(hashes, BATCH, percent / 100, miss)
     held = (bands.join(comps.withColumnRenamed("component", "comp"), "node", "left")
-            .withColumn("comp", F.coalesce("comp", "node")))
+            .withColumn("comp", F.coalesce("comp", "node"))).join(nodes.select("node", "n_shingles"), "node")
     split = (held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"),
-                                     F.min("node").alias("pivot"))
-             .where("lo <> hi and n > 2").select("key", "n", "pivot"))
-    member = (held.join(split, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+                                     F.sum("n_shingles").alias("size"), F.min("node").alias("pivot"))
+             .where("lo <> hi and n > 2")
+             .select("key", "pivot", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SIZE)).cast("int").alias("blocks")))
+    member = (held.join(split, "key")
               .withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", "band", "pivot", "node", "comp", "mine", F.least("mine", "other").alias("i"),
                       F.greatest("mine", "other").alias("j")))
-    rows_ = (member.join(nodes, "node").select("key", "i", "j", "band", "pivot", "mine", "node", "comp", "sig")
+    member = staged(member, "members")
+    texts = matching(docs, F.col("doc_id"), member.select("node")).withColumnRenamed("doc_id", "node")
+    dealt = (member.join(nodes.select("node", "sig"), "node").join(texts, "node")
+             .select("key", "i", "j", "band", "pivot", "mine", "node", "comp", "sig", "text")
              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
 
-    def pairs_of(band, pivot, i, j, part):
+    def links_of(i, j, band, pivot, part):
         mine, node, comp = (np.array([x[k] for x in part], np.int64) for k in (0, 1, 2))
         sig = np.frombuffer(b"".join(x[3] for x in part), np.uint32).reshape(-1, hashes)
-        first = np.arange(len(node)) if i == j else np.flatnonzero(mine == i)
-        for x in first.tolist():
+        sets = [x[4] for x in part]
+        for x in (range(len(node)) if i == j else np.flatnonzero(mine == i).tolist()):
             ok = (comp != comp[x]) & (node != pivot) & (node[x] != pivot)
             ok &= node > node[x] if i == j else mine == j
             live = np.flatnonzero(ok)
@@ -186,24 +198,28 @@ def crossing(bands: DataFrame, comps: DataFrame, nodes: DataFrame, hashes: int,
                 same = (sig[live, :band * rows] == sig[x, :band * rows]).reshape(len(live), band, rows).all(axis=2)
                 live = live[~same.any(axis=1)]
             for y in live.tolist():
-                yield max(node[x], node[y]), min(node[x], node[y])
+                if comp[x] != comp[y] and linked(sets[x], sets[y], percent):
+                    comp[comp == comp[y]] = comp[x]      # one link joins the two here
+                    yield int(max(node[x], node[y])), int(min(node[x], node[y]))
 
     def compare(batches):
         run, part = None, []
+        pairs = lambda out: pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
         for b in batches:
             out = []
-            for key, i, j, band, pivot, *rest in zip(*(b.column(k).to_pylist() for k in range(9))):
+            h, woff = words(*utf8(b.column(9)), SPACED)
+            for s, key, i, j, band, pivot, *rest in zip(row_shingles(h, woff, shingle), *(b.column(k).to_pylist() for k in range(9))):
                 if run is None or (key, i, j) != run[:3]:
                     if part:
-                        out.extend(pairs_of(run[3], run[4], run[1], run[2], part))
+                        out.extend(links_of(*run[1:], part))
                     run, part = (key, i, j, band, pivot), []
-                part.append(rest)
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                part.append([*rest, s])
+            yield pairs(out)
         if part:
-            out = list(pairs_of(run[3], run[4], run[1], run[2], part))
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield pairs(list(links_of(*run[1:], part)))
 
-    return rows_.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def same_id(sized: DataFrame) -> DataFrame:
@@ -221,9 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = signed.where("sig is not null and doc_id is not null")
     classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     sized = (sets.join(classes, ["d1", "d2"])
-             .select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")))
+             .select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")))
     sized = staged(sized, "classes")
-    nodes = sized.where("sig is not null").select("node", "sig")
+    nodes = sized.where("sig is not null").select("node", "n_shingles", "sig")
     keyed = nodes.select("node", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows))))).alias("band", "key"))
@@ -234,9 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(verified(similar(pairs, nodes, hashes, threshold, miss), texts, shingle, percent)
                    .unionByName(same_id(sized)), "links")
     comps = connected_components(links)
-    rest = staged(crossing(held.select("key", "band", "node"), comps, nodes, hashes, rows, threshold, miss), "crossing")
-    if not rest.isEmpty():
-        more = staged(verified(rest, texts, shingle, percent), "links")
+    more = staged(crossing(held.select("key", "band", "node"), comps, nodes, texts, shingle, hashes, rows, percent, miss), "links")
+    if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
     label = (sized.select("doc_id", "node").join(comps, "node", "left")
              .select("doc_id", F.coalesce("component", "node").alias("component")))
