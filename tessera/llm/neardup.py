@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.session import ship_package
 
 from .components import connected_components
-from .kernels import SPACED, constants, mix, row_shingles, utf8, words
+from .kernels import SPACED, constants, mix, row_shingles, slices, utf8, words
 from .tables import matching, staged, without
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 4, 75
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, hashes
     def sign(batches):
         mul = (constants(hashes, 23) >> np.uint64(20)).astype(np.uint32) | np.uint32(1)
         add = (constants(hashes, 29) >> np.uint64(13)).astype(np.uint32)
-        for b in batches:
+        for b in slices(batches, 1):
             data, off = utf8(b.column(1))
             h, woff = words(data, off, SPACED)
             sizes, d1, d2, sigs = [], [], [], []
@@ -131,7 +131,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
     def confirm(batches):
         run, held = None, []
-        for b in batches:
+        for b in slices(batches, 4):
             keys = list(zip(*(b.column(k).to_pylist() for k in range(4))))
             data, off = utf8(b.column(4))
             h, woff = words(data, off, SPACED)
@@ -206,7 +206,7 @@ def crossing(bands: DataFrame, comps: DataFrame, nodes: DataFrame, docs: DataFra
         run, part = None, []
         pairs = lambda out: pa.RecordBatch.from_arrays(
             [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        for b in batches:
+        for b in slices(batches, 9):
             out = []
             h, woff = words(*utf8(b.column(9)), SPACED)
             for s, key, i, j, band, pivot, *rest in zip(row_shingles(h, woff, shingle), *(b.column(k).to_pylist() for k in range(9))):
@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(signatures(docs, id_col, text_col, shingle, hashes), "signatures")
     sets = signed.where("sig is not null and doc_id is not null")
-    classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    # tables of their own: joins with them can be split at hot keys
+    classes = staged(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "nodes")
     sized = (sets.join(classes, ["d1", "d2"])
              .select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")))
     sized = staged(sized, "classes")
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows))))).alias("band", "key"))
     shared = (keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
               .where("pivot <> last").select("key", "pivot"))
-    held = staged(keyed.join(shared, "key").select("key", "band", "node", "pivot"), "bands")
+    held = staged(keyed.join(staged(shared, "shared"), "key").select("key", "band", "node", "pivot"), "bands")
     pairs = held.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = staged(verified(similar(pairs, nodes, hashes, threshold, miss), texts, shingle, percent)
                    .unionByName(same_id(sized)), "links")
