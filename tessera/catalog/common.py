@@ -34,7 +34,8 @@ def word_count(x: str) -> str:
 
 
 def round6(x: str, d: int = 6) -> str:
-    return f"(floor(({x}) * {float(10 ** d)} + 0.5) / {float(10 ** d)})::DOUBLE"
+    return (f"(CASE WHEN abs({x}) < {2.0 ** 52 / 10 ** d} THEN floor(({x}) * {float(10 ** d)} + 0.5) / {float(10 ** d)} "
+            f"ELSE {x} END)::DOUBLE")
 
 
 def values(rows, cols, alias: str = "t") -> str:

@@ -102,8 +102,7 @@ def q_to_string(spark, sf):
 
 
 def q_bounded_length(spark, sf):
-    return docs(spark, sf).select("doc_id", X.bounded_length(X.truncate_chars("text", defaults.TEXT_BUDGET))
-                                  .alias("summary_max_tokens"))
+    return docs(spark, sf).select("doc_id", X.bounded_length("text").alias("summary_max_tokens"))
 
 
 def q_question_template(spark, sf):
@@ -186,9 +185,9 @@ def _llr_sql(k, n, x):
 _APOS_S = lit("'s")
 
 
-def wf_ctes(collocations: bool) -> str:
+def wf_ctes(collocations: bool, src: str = "documents", id_col: str = "doc_id") -> str:
     """CTE chain ending in ``wf``(doc_id, term, n, weight, rank)."""
-    head = f"""d AS (SELECT doc_id, substring(text, 1, {defaults.TEXT_BUDGET}) AS t FROM documents),
+    head = f"""d AS (SELECT {id_col} AS doc_id, text AS t FROM {src}),
 tk AS (SELECT doc_id, unnest(regexp_extract_all(t, {lit(WORD_TOKEN)}, 0)) AS w0,
   generate_subscripts(regexp_extract_all(t, {lit(WORD_TOKEN)}, 0), 1) AS pos FROM d),
 tk2 AS (SELECT doc_id, pos, CASE WHEN ends_with(lower(w0), {_APOS_S}) THEN substring(w0, 1, length(w0) - 2) ELSE w0 END AS w FROM tk),
@@ -219,8 +218,7 @@ terms AS (SELECT w.doc_id, w.term, w.n - coalesce(t.d, 0) AS n FROM words w LEFT
   WHERE w.n - coalesce(t.d, 0) > 0 UNION ALL SELECT doc_id, term, n FROM coll),"""
     tail = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term ASC) AS rank,
   max(n) OVER (PARTITION BY doc_id) AS mx FROM terms),
-wf AS (SELECT doc_id, term, n::BIGINT AS n, {round6('n / mx')} AS weight, rank::BIGINT AS rank FROM rk
-  WHERE rank <= {defaults.WORDCLOUD_MAX_WORDS})"""
+wf AS (SELECT doc_id, term, n::BIGINT AS n, {round6('n / mx')} AS weight, rank::BIGINT AS rank FROM rk)"""
     terms = coll if collocations else "terms AS (SELECT doc_id, term, n FROM words),"
     return head + "\n" + terms + "\n" + tail
 
@@ -229,22 +227,23 @@ _WF_CTES = wf_ctes(False)
 _WF_COLL_CTES = wf_ctes(True)
 _WF = "WITH " + _WF_CTES
 
-def summary_ctes(src: str = "documents", id_col: str = "doc_id", text_expr: str = "text") -> str:
+def summary_ctes(src: str = "documents", id_col: str = "doc_id", text_expr: str = "text",
+                 budget: str = str(defaults.SUMMARY_TOKEN_BUDGET)) -> str:
     """CTE chain ending in ``summ``(doc_id, summary, n_sentences) for the C11 rule."""
-    return f"""sd AS (SELECT {id_col} AS doc_id, substring({text_expr}, 1, {defaults.TEXT_BUDGET}) AS t FROM {src}),
-s0 AS (SELECT doc_id, unnest(string_split(t, '.')) AS raw, generate_subscripts(string_split(t, '.'), 1) - 1 AS pos FROM sd),
-s AS (SELECT doc_id, pos, {strip_ws('raw')} AS sentence FROM s0),
+    return f"""sd AS (SELECT {id_col} AS doc_id, {text_expr} AS t, {budget} AS bud FROM {src}),
+s0 AS (SELECT doc_id, bud, unnest(string_split(t, '.')) AS raw, generate_subscripts(string_split(t, '.'), 1) - 1 AS pos FROM sd),
+s AS (SELECT doc_id, bud, pos, {strip_ws('raw')} AS sentence FROM s0),
 s1 AS (SELECT * FROM s WHERE sentence <> ''),
 tm AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), {lit(TERM_TOKEN)}, 0)) AS term FROM s1),
 tm2 AS (SELECT * FROM tm WHERE term NOT IN (SELECT word FROM {STOP})),
 fq AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, term)::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS freq FROM tm2),
 sc AS (SELECT doc_id, pos, avg(freq) AS score FROM fq GROUP BY doc_id, pos),
-rk0 AS (SELECT s1.doc_id, s1.pos, s1.sentence, {round6('coalesce(sc.score, 0.0)')} AS score, {sql_wc('s1.sentence')} AS nw
+rk0 AS (SELECT s1.doc_id, s1.bud, s1.pos, s1.sentence, {round6('coalesce(sc.score, 0.0)')} AS score, {sql_wc('s1.sentence')} AS nw
   FROM s1 LEFT JOIN sc ON s1.doc_id = sc.doc_id AND s1.pos = sc.pos),
 srk AS (SELECT *, row_number() OVER w AS rnk, sum(nw) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
   FROM rk0 WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, pos ASC)),
 summ AS (SELECT doc_id, string_agg(sentence, '. ' ORDER BY pos) || '.' AS summary, count(*)::BIGINT AS n_sentences
-  FROM srk WHERE rnk = 1 OR running <= {defaults.SUMMARY_TOKEN_BUDGET} GROUP BY doc_id)"""
+  FROM srk WHERE rnk = 1 OR running <= bud GROUP BY doc_id)"""
 
 
 _SUMMARY_CTES = summary_ctes()
@@ -275,7 +274,7 @@ SQL = {
     "base64_codec": "SELECT doc_id, to_base64(encode(text)) AS b64, TRUE AS round_trip FROM documents",
     "to_string": """SELECT c_custkey, coalesce(CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END::VARCHAR, 'nan') AS acctbal_text,
   coalesce(c_nationkey::VARCHAR, 'nan') AS nation_text FROM customer""",
-    "bounded_length": f"SELECT doc_id, least(floor(length(substring(text, 1, {defaults.TEXT_BUDGET})) / 2), 100)::BIGINT AS summary_max_tokens FROM documents",
+    "bounded_length": f"SELECT doc_id, least(floor(length(text) / 2), 100)::BIGINT AS summary_max_tokens FROM documents",
     "question_template": "SELECT n_nationkey, 'What is ' || n_name || '?' AS question FROM nation",
     "build_prompt": f"SELECT item_id, {lit(defaults.GENERAL_PROMPT.split('{question}')[0])} || text || {lit(defaults.GENERAL_PROMPT.split('{question}')[1])} AS prompt FROM benchmark",
     "metadata_text": "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS meta_text FROM events",

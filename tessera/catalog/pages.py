@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import defaults
-from ..functions.text import word_count
+from ..functions.text import truncate_chars, word_count
 from ..plans.pages import page_extract, page_report
 from .common import table, word_count as sql_wc
-from .documents import summary_ctes
+from .documents import summary_ctes, wf_ctes
 from .sqltext import page_cte, sentiment_ctes
 
 
@@ -39,11 +39,12 @@ def q_page_links(spark, sf):
 
 def q_page_text(spark, sf):
     ex = _extract(spark, sf)
-    return ex.select("page_id", "text", F.length("all_text").cast("long").alias("full_chars"))
+    return ex.select("page_id", "text", F.length("text").cast("long").alias("full_chars"))
 
 
 def q_word_count_truncated(spark, sf):
-    return _extract(spark, sf).select("page_id", word_count("text").alias("word_count"))
+    """Words of the first 1024 characters (the cut is the operator)."""
+    return _extract(spark, sf).select("page_id", word_count(truncate_chars("text", defaults.TEXT_BUDGET)).alias("word_count"))
 
 
 def q_concat_lists(spark, sf):
@@ -68,6 +69,7 @@ def q_page_report(spark, sf):
         F.size("paragraphs").cast("long").alias("n_paragraphs"),
         F.size("links").cast("long").alias("n_links"),
         F.array_join("headings", "\n").alias("headings_text"),
+        F.coalesce(F.array_join("top_terms", " "), F.lit("")).alias("terms"), "error",
         "word_count", "summary_budget",
         *[F.col(f"sentiment.{c}").alias(c) for c in
           ("polarity", "subjectivity", "positivity", "negativity", "neutrality", "compound")])
@@ -98,17 +100,20 @@ SQL = {
     "page_headings": _unnest_sql("headings", "heading"),
     "page_paragraphs": _unnest_sql("paragraphs", "paragraph"),
     "page_links": _unnest_sql("links", "link"),
-    "page_text": f"WITH {_PE} SELECT page_id, text, length(all_text)::BIGINT AS full_chars FROM pe",
-    "word_count_truncated": f"WITH {_PE} SELECT page_id, {sql_wc('text')} AS word_count FROM pe",
+    "page_text": f"WITH {_PE} SELECT page_id, text, length(text)::BIGINT AS full_chars FROM pe",
+    "word_count_truncated": f"WITH {_PE} SELECT page_id, {sql_wc('substring(text, 1, 1024)')} AS word_count FROM pe",
     "concat_lists": _unnest_sql("list_concat(headings, paragraphs)", "item"),
     "scan_pages": """SELECT page_id, url, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) AS host,
   octet_length(encode(html))::BIGINT AS n_bytes FROM pages""",
-    "page_report": f"""WITH {_PE}, {sentiment_ctes('pe', 'page_id', 'text')}, {summary_ctes('pe', 'page_id', 'text')}
+    "page_report": f"""WITH {_PE}, {sentiment_ctes('pe', 'page_id', 'text')}, {summary_ctes('pe', 'page_id', 'text', 'least(floor(length(text) / 2), 100)')},
+{wf_ctes(False, 'pe', 'page_id')},
+tt AS (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS terms FROM wf WHERE rank <= {defaults.WORDCLOUD_MAX_WORDS} GROUP BY 1)
 SELECT pe.page_id, url, title, summ.summary, len(headings)::BIGINT AS n_headings, len(paragraphs)::BIGINT AS n_paragraphs,
   len(links)::BIGINT AS n_links, array_to_string(headings, chr(10)) AS headings_text,
+  coalesce(tt.terms, '') AS terms, CASE WHEN coalesce(text, '') = '' THEN 'No text found on the page.' END AS error,
   {sql_wc('text')} AS word_count, least(floor(length(text) / 2), {100})::BIGINT AS summary_budget,
   polarity, subjectivity, positivity, negativity, neutrality, compound
-FROM pe JOIN senti ON pe.page_id = senti.id LEFT JOIN summ ON pe.page_id = summ.doc_id""",
+FROM pe JOIN senti ON pe.page_id = senti.id LEFT JOIN summ ON pe.page_id = summ.doc_id LEFT JOIN tt ON pe.page_id = tt.doc_id""",
 }
 
 assert defaults.TEXT_BUDGET == 1024

@@ -172,6 +172,30 @@ def fmt(c):
 
 _PART_ORDER = "(VALUES ('p_partkey', 0), ('p_name', 1), ('p_brand', 2), ('p_type', 3), ('p_size', 4), ('p_retailprice', 5)) AS o(column_name, idx)"
 
+
+def histogram_sql(tbl, cols):
+    return f"""WITH l AS ({long_num(tbl, cols)}),
+r0 AS (SELECT column_name, min(x) AS a, max(x) AS b FROM l WHERE x IS NOT NULL GROUP BY 1),
+r AS (SELECT column_name, CASE WHEN a = b THEN a - 0.5 ELSE a END AS e0, CASE WHEN a = b THEN b + 0.5 ELSE b END AS e1 FROM r0),
+r2 AS (SELECT *, (e1 - e0) / 10 AS step FROM r),
+b0 AS (SELECT l.column_name, x, e0, step, least(greatest(floor((x - e0) * (10.0 / (e1 - e0))), 0), 9) AS i0 FROM l JOIN r2 USING (column_name) WHERE x IS NOT NULL),
+b1 AS (SELECT *, CASE WHEN x < e0 + i0 * step THEN i0 - 1 ELSE i0 END AS i1 FROM b0),
+b2 AS (SELECT column_name, CASE WHEN x >= e0 + (i1 + 1) * step AND i1 <> 9 THEN i1 + 1 ELSE i1 END AS bin FROM b1),
+c AS (SELECT column_name, bin::BIGINT AS bin, count(*) AS n FROM b2 GROUP BY 1, 2),
+ab AS (SELECT column_name, e0, step, unnest(range(0, 10))::BIGINT AS bin FROM r2)
+SELECT ab.column_name, ab.bin, {round6('e0 + ab.bin * step')} AS lo, {round6('e0 + (ab.bin + 1) * step')} AS hi,
+  coalesce(n, 0)::BIGINT AS n FROM ab LEFT JOIN c ON ab.column_name = c.column_name AND ab.bin = c.bin"""
+
+
+PIE = f"""WITH vc AS (SELECT column_name, value, count(*) AS n FROM ({long_cat('part', PART_CAT)}) WHERE value IS NOT NULL GROUP BY 1, 2),
+pc AS (SELECT column_name, value, n::BIGINT AS n, {round6('100.0 * n / sum(n) OVER (PARTITION BY column_name)')} AS percent FROM vc)
+SELECT *, ((floor(percent * 10.0 + 0.5) / 10.0)::DOUBLE)::VARCHAR || '%' AS label FROM pc"""
+SUMMARY = f"""WITH d AS ({describe_all_sql('part', PART_NUM, PART_CAT)})
+SELECT string_agg(column_name || ': count ' || {fmt('count')} || ', mean ' || {fmt('mean')} || ', std ' || {fmt('std')}
+  || ', min ' || {fmt('min')} || ', median ' || {fmt('p50')} || ', max ' || {fmt('max')} || ', unique ' || {fmt("n_unique")}
+  || ', top ' || {fmt('top')} || ', freq ' || {fmt('freq')} || '.', ' ' ORDER BY idx) AS summary
+FROM d JOIN {_PART_ORDER} USING (column_name)"""
+
 SQL = {
     "percent_label": f"""SELECT event_type AS value, ((floor({round6('100.0 * count(*) / sum(count(*)) OVER ()')} * 10.0 + 0.5) / 10.0)::DOUBLE)::VARCHAR || '%' AS label
   FROM events GROUP BY event_type""",
@@ -184,20 +208,8 @@ SQL = {
     "describe_all": describe_all_sql("part", PART_NUM, PART_CAT),
     "shape": "SELECT count(*)::BIGINT AS rows, 11::BIGINT AS columns FROM lineitem",
     "value_counts": f"SELECT column_name, value, count(*)::BIGINT AS n FROM ({long_cat('customer', ['c_name', 'c_mktsegment'])}) WHERE value IS NOT NULL GROUP BY 1, 2",
-    "histogram": f"""WITH l AS ({long_num('events', ['event_id', 'user_id', 'value'])}),
-r0 AS (SELECT column_name, min(x) AS a, max(x) AS b FROM l WHERE x IS NOT NULL GROUP BY 1),
-r AS (SELECT column_name, CASE WHEN a = b THEN a - 0.5 ELSE a END AS e0, CASE WHEN a = b THEN b + 0.5 ELSE b END AS e1 FROM r0),
-r2 AS (SELECT *, (e1 - e0) / 10 AS step FROM r),
-b0 AS (SELECT l.column_name, x, e0, step, least(greatest(floor((x - e0) * (10.0 / (e1 - e0))), 0), 9) AS i0 FROM l JOIN r2 USING (column_name) WHERE x IS NOT NULL),
-b1 AS (SELECT *, CASE WHEN x < e0 + i0 * step THEN i0 - 1 ELSE i0 END AS i1 FROM b0),
-b2 AS (SELECT column_name, CASE WHEN x >= e0 + (i1 + 1) * step AND i1 <> 9 THEN i1 + 1 ELSE i1 END AS bin FROM b1),
-c AS (SELECT column_name, bin::BIGINT AS bin, count(*) AS n FROM b2 GROUP BY 1, 2),
-ab AS (SELECT column_name, e0, step, unnest(range(0, 10))::BIGINT AS bin FROM r2)
-SELECT ab.column_name, ab.bin, {round6('e0 + ab.bin * step')} AS lo, {round6('e0 + (ab.bin + 1) * step')} AS hi,
-  coalesce(n, 0)::BIGINT AS n FROM ab LEFT JOIN c ON ab.column_name = c.column_name AND ab.bin = c.bin""",
-    "pie_percent": f"""WITH vc AS (SELECT column_name, value, count(*) AS n FROM ({long_cat('part', PART_CAT)}) WHERE value IS NOT NULL GROUP BY 1, 2),
-pc AS (SELECT column_name, value, n::BIGINT AS n, {round6('100.0 * n / sum(n) OVER (PARTITION BY column_name)')} AS percent FROM vc)
-SELECT *, ((floor(percent * 10.0 + 0.5) / 10.0)::DOUBLE)::VARCHAR || '%' AS label FROM pc""",
+    "histogram": histogram_sql('events', ['event_id', 'user_id', 'value']),
+    "pie_percent": PIE,
     "bar_counts": f"SELECT column_name, value, count(*)::BIGINT AS n FROM ({long_cat('orders', ['o_orderstatus', 'o_orderpriority'])}) WHERE value IS NOT NULL GROUP BY 1, 2",
     "top_value": f"SELECT column_name, top, freq FROM ({describe_cat_sql('lineitem', ['l_returnflag', 'l_linestatus'])})",
     "column_summary": f"""WITH l AS ({long_cat('part', ['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice'])}),
@@ -216,11 +228,7 @@ SELECT column_name, ordinal::BIGINT AS ordinal, value FROM r WHERE ordinal <= 3"
     "truncate_table_text": f"""SELECT substring(string_agg(t, ' ' ORDER BY p_partkey), 1, {defaults.TEXT_BUDGET}) AS text FROM (
   SELECT p_partkey, concat_ws(' ', p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR, p_retailprice::VARCHAR) AS t
   FROM part ORDER BY p_partkey LIMIT {defaults.TEXT_BUDGET + 1})""",
-    "profile_summary": f"""WITH d AS ({describe_all_sql('part', PART_NUM, PART_CAT)})
-SELECT substring(string_agg(column_name || ': count ' || {fmt('count')} || ', mean ' || {fmt('mean')} || ', std ' || {fmt('std')}
-  || ', min ' || {fmt('min')} || ', median ' || {fmt('p50')} || ', max ' || {fmt('max')} || ', unique ' || {fmt("n_unique")}
-  || ', top ' || {fmt('top')} || ', freq ' || {fmt('freq')} || '.', ' ' ORDER BY idx), 1, {defaults.TEXT_BUDGET}) AS summary
-FROM d JOIN {_PART_ORDER} USING (column_name)""",
+    "profile_summary": SUMMARY,
     "table_report": f"""WITH d AS ({describe_all_sql('part', PART_NUM, PART_CAT)}),
 l AS (SELECT column_name, unnest(['count', 'mean', 'std', 'min', 'p25', 'p50', 'p75', 'max', 'n_unique', 'top', 'freq']) AS stat,
   unnest([count::VARCHAR, mean::VARCHAR, std::VARCHAR, min::VARCHAR, p25::VARCHAR, p50::VARCHAR, p75::VARCHAR, max::VARCHAR,
@@ -229,7 +237,14 @@ SELECT * FROM l WHERE value IS NOT NULL
 UNION ALL SELECT * FROM (VALUES ('p_partkey', 'data_type', 'int64'), ('p_name', 'data_type', 'object'), ('p_brand', 'data_type', 'object'),
   ('p_type', 'data_type', 'object'), ('p_size', 'data_type', 'int32'), ('p_retailprice', 'data_type', 'float64')) AS t(column_name, stat, value)
 UNION ALL SELECT '*', 'rows', count(*)::VARCHAR FROM part
-UNION ALL SELECT '*', 'columns', '6'""",
+UNION ALL SELECT '*', 'columns', '6'
+UNION ALL SELECT column_name, 'histogram:' || bin::VARCHAR, n::VARCHAR FROM ({histogram_sql('part', PART_NUM)})
+UNION ALL SELECT column_name, 'bar:' || value, n::VARCHAR FROM ({PIE})
+UNION ALL SELECT column_name, 'pie:' || value, label FROM ({PIE})
+UNION ALL SELECT column_name, 'example:' || ordinal::VARCHAR, value FROM (SELECT column_name, value,
+  row_number() OVER (PARTITION BY column_name ORDER BY md5('42:' || column_name || ':' || value), value) AS ordinal
+  FROM ({long_cat('part', ['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice'])}) WHERE value IS NOT NULL) WHERE ordinal <= 3
+UNION ALL SELECT '*', 'summary', summary FROM ({SUMMARY})""",
     "share_of_total": f"""SELECT 'event_type' AS column_name, event_type AS value, count(*)::BIGINT AS n,
   {round6('100.0 * count(*) / sum(count(*)) OVER ()')} AS percent FROM events GROUP BY event_type""",
 }

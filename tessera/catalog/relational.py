@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import defaults
 from ..functions.text import feedback_format
 from ..operators import infer as Y
 from ..operators import relational as RL
@@ -11,7 +12,7 @@ from ..plans.documents import document_report
 from ..plans.pages import page_report
 from ..sources.files import SUFFIX_READERS, UNSUPPORTED, route_by_suffix
 from .common import lit, table, values
-from .documents import _SENTI, _SUMMARY_CTES, _WF_CTES
+from .documents import _SENTI, _SUMMARY_CTES, _WF_CTES, summary_ctes
 from .common import word_count as sql_wc
 from .pages import _PE
 from .retrieval import FEEDBACK_SQL, feedback_rows
@@ -59,8 +60,8 @@ def q_merge_right_biased(spark, sf):
 
 
 def q_analysis_sections(spark, sf):
-    rep = page_report(table(spark, sf, "pages"), with_summary=False)
-    return RL.analysis_sections(rep, "page_id", ["title", "word_count"], ["headings", "paragraphs", "links"],
+    rep = page_report(table(spark, sf, "pages"))
+    return RL.analysis_sections(rep, "page_id", ["title", "word_count", "summary"], ["headings", "paragraphs", "links"],
                                 ["sentiment"])
 
 
@@ -134,10 +135,13 @@ _ROUTE_CASE_T = "CASE " + " ".join(f"WHEN ends_with(lower(path), {lit(s)}) THEN
 _EXT_LIST = "[" + ", ".join(lit(e) for e in EXTS) + "]"
 
 _SECTIONS = f"""WITH {_PE}, {sentiment_ctes('pe', 'page_id', 'text')},
-r AS (SELECT pe.*, {sql_wc('text')} AS word_count, s.* FROM pe JOIN senti s ON pe.page_id = s.id),
+{summary_ctes('pe', 'page_id', 'text', 'least(floor(length(text) / 2), 100)')},
+r AS (SELECT pe.*, {sql_wc('text')} AS word_count, s.*, summ.summary FROM pe JOIN senti s ON pe.page_id = s.id
+  LEFT JOIN summ ON summ.doc_id = pe.page_id),
 u AS (
   SELECT page_id, 'title' AS section, 0::BIGINT AS ordinal, title AS value FROM r
   UNION ALL SELECT page_id, 'word_count', 0, word_count::VARCHAR FROM r
+  UNION ALL SELECT page_id, 'summary', 0, summary FROM r
   UNION ALL SELECT page_id, 'headings', generate_subscripts(headings, 1) - 1, unnest(headings) FROM r
   UNION ALL SELECT page_id, 'paragraphs', generate_subscripts(paragraphs, 1) - 1, unnest(paragraphs) FROM r
   UNION ALL SELECT page_id, 'links', generate_subscripts(links, 1) - 1, unnest(links) FROM r
@@ -146,7 +150,7 @@ u AS (
 SELECT page_id, section, ordinal::BIGINT AS ordinal, value FROM u WHERE value IS NOT NULL AND value <> ''"""
 
 _DOCREP = f"""WITH {_WF_CTES}, {_SENTI}, {_SUMMARY_CTES},
-tt AS (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS top_terms FROM wf WHERE rank <= 10 GROUP BY doc_id)
+tt AS (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS top_terms FROM wf WHERE rank <= {defaults.WORDCLOUD_MAX_WORDS} GROUP BY doc_id)
 SELECT documents.doc_id, {sql_wc('documents.text')} AS word_count, summ.summary, senti.polarity, senti.subjectivity,
   senti.positivity, senti.negativity, senti.neutrality, senti.compound, coalesce(tt.top_terms, '') AS top_terms
 FROM documents JOIN senti ON documents.doc_id = senti.id LEFT JOIN summ ON documents.doc_id = summ.doc_id

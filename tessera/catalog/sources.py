@@ -166,7 +166,7 @@ QUERIES = {
 }
 
 _PE = page_cte("pages")
-_TRIPLES = f"WITH {_PE} SELECT all_text AS context, 'What is ' || title || '?' AS question, split_part(all_text, '.', 1) AS answer FROM pe WHERE length(all_text) > 0"
+_TRIPLES = f"WITH {_PE} SELECT text AS context, 'What is ' || title || '?' AS question, split_part(text, '.', 1) AS answer FROM pe WHERE length(text) > 0"
 _PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part"
 _FIRST_LINE_PAIRS = PAIRS_SQL.replace(f"{strip_ws('q.text')} AS question", f"{strip_ws('split_part(q.text, chr(10), 1)')} AS question") \
     .replace(f"{strip_ws('k3.text')} AS answer", f"{strip_ws('split_part(k3.text, chr(10), 1)')} AS answer")

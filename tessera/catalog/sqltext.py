@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from .. import defaults
 from ..functions import html as H
-from ..operators.sentiment import HAS_LOWER, HAS_UPPER, PUNCT_EDGES
 from .common import lit, round6, rx_sub, strip_ws, values, words
 
 
@@ -27,7 +26,7 @@ def clean_html(x: str) -> str:
 
 
 def page_cte(src: str = "pages") -> str:
-    """CTE 'pe' with (page_id, url, title, headings, paragraphs, links, all_text, text)."""
+    """CTE 'pe' with (page_id, url, title, headings, paragraphs, links, text)."""
     paras_html = rx_sub(rx_sub("h", H.RE_P_OPEN, "</p><p>"), H.RE_BLOCK_CLOSE, "</p>\\1")
     return f"""pc AS (SELECT page_id, url, {clean_html('html')} AS h FROM {src}),
 pe0 AS (SELECT page_id, url,
@@ -37,8 +36,7 @@ pe0 AS (SELECT page_id, url,
   list_transform(regexp_extract_all({paras_html}, {lit(H.RE_PARAGRAPH)}, 1), lambda x: {text_of('x')}) AS paragraphs,
   list_transform(regexp_extract_all(h, {lit(H.RE_HREF)}, 1), lambda q: {decode('substring(q, 2, length(q) - 2)')}) AS links
   FROM pc),
-pe AS (SELECT *, array_to_string(list_concat(headings, paragraphs), ' ') AS all_text,
-  substring(array_to_string(list_concat(headings, paragraphs), ' '), 1, {defaults.TEXT_BUDGET}) AS text FROM pe0)"""
+pe AS (SELECT *, array_to_string(list_concat(headings, paragraphs), ' ') AS text FROM pe0)"""
 
 
 def lexicon_values() -> str:
@@ -46,44 +44,59 @@ def lexicon_values() -> str:
                   ["token", "kind", "valence", "polarity", "subjectivity", "boost", "intensity"], "lx")
 
 
-def sentiment_ctes(src: str, id_col: str, text_expr: str, max_chars: int = defaults.TEXT_BUDGET,
-                   name: str = "senti") -> str:
+# Stated here on their own, not taken from the operator.
+EDGE_SIGNS = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+UPPER, LOWER = r"\p{Lu}", r"\p{Ll}"
+
+
+def sentiment_ctes(src: str, id_col: str, text_expr: str, name: str = "senti") -> str:
     """CTEs ending in ``name``(id, polarity, subjectivity, positivity, negativity,
     neutrality, compound), one row per row of ``src``."""
     d = defaults
     lags = []
     for k in (1, 2, 3):
-        lags += [f"lag(kind, {k}) OVER w AS k{k}", f"lag(boost, {k}) OVER w AS b{k}",
+        lags += [f"lag(kind, {k}) OVER w AS k{k}", f"lag(boost, {k}) OVER w AS b{k}", f"lag(key, {k}) OVER w AS w{k}",
                  f"lag(caps, {k}) OVER w AS c{k}", f"lag(valence, {k}) OVER w AS pv{k}"]
     lags.append("lag(intensity, 1) OVER w AS i1")
-    boost_terms = " + ".join(
-        f"CASE WHEN v0 <> 0 AND k{k} = 'booster' AND pv{k} IS NULL THEN "
-        f"(b{k} * sg + CASE WHEN c{k} AND cd THEN sg * {d.VADER_CAPS} ELSE 0.0 END) * {dec} ELSE 0.0 END"
-        for k, dec in ((1, 1.0), (2, 0.95), (3, 0.9)))
-    negs = " * ".join(f"CASE WHEN v0 <> 0 AND k{k} = 'negation' THEN {d.VADER_NEGATE} ELSE 1.0 END"
-                      for k in (1, 2, 3))
-    return f"""{name}_d AS (SELECT {id_col} AS id, substring({text_expr}, 1, {max_chars}) AS t FROM {src}),
+    neg = {k: f"coalesce(k{k} = 'negation' OR contains(w{k}, 'n''t'), FALSE)" for k in (1, 2, 3)}
+    so = {k: f"coalesce(w{k} IN ('so', 'this'), FALSE)" for k in (1, 2, 3)}
+    at = lambda k, w: f"coalesce(w{k} = '{w}', FALSE)"
+    cases = {
+        1: f"WHEN {neg[1]} THEN {d.VADER_NEGATE}",
+        2: f"WHEN {at(2, 'never')} AND {so[1]} THEN 1.25 WHEN {at(2, 'without')} AND {at(1, 'doubt')} THEN 1.0 "
+           f"WHEN {neg[2]} THEN {d.VADER_NEGATE}",
+        3: f"WHEN ({at(3, 'never')} AND {so[2]}) OR {so[1]} THEN 1.25 "
+           f"WHEN {at(3, 'without')} AND ({at(2, 'doubt')} OR {at(1, 'doubt')}) THEN 1.0 WHEN {neg[3]} THEN {d.VADER_NEGATE}"}
+    steps = ""
+    for k, dec in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        open_ = f"w{k} IS NOT NULL AND pv{k} IS NULL"
+        steps += f"""
+{name}_f{k}a AS (SELECT * REPLACE (x + CASE WHEN x <> 0 AND {open_} AND k{k} = 'booster' THEN
+  (CASE WHEN x < 0 THEN -1.0 ELSE 1.0 END) * (b{k} + CASE WHEN c{k} AND cd THEN {d.VADER_CAPS} ELSE 0.0 END) * {dec} ELSE 0.0 END AS x)
+  FROM {name}_f{k - 1}),
+{name}_f{k} AS (SELECT * REPLACE (x * CASE WHEN NOT ({open_}) THEN 1.0 {cases[k]} ELSE 1.0 END AS x) FROM {name}_f{k}a),"""
+    return f"""{name}_d AS (SELECT {id_col} AS id, {text_expr} AS t FROM {src}),
 {name}_d2 AS (SELECT id, length(t) - length(replace(t, '!', '')) AS n_excl,
   length(t) - length(replace(t, '?', '')) AS n_qm, {words('t')} AS ws FROM {name}_d),
 {name}_tk AS (SELECT id, n_excl, n_qm, unnest(ws) AS raw, generate_subscripts(ws, 1) - 1 AS pos FROM {name}_d2),
 {name}_tk2 AS (SELECT *, CASE WHEN length(st) <= 2 THEN raw ELSE st END AS word
-  FROM (SELECT *, {rx_sub('raw', PUNCT_EDGES)} AS st FROM {name}_tk)),
+  FROM (SELECT *, {rx_sub('raw', EDGE_SIGNS)} AS st FROM {name}_tk)),
 {name}_tk3 AS (SELECT *, lower(word) AS key,
-  regexp_matches(word, {lit(HAS_UPPER)}) AND NOT regexp_matches(word, {lit(HAS_LOWER)}) AS caps FROM {name}_tk2),
+  regexp_matches(word, {lit(UPPER)}) AND NOT regexp_matches(word, {lit(LOWER)}) AS caps FROM {name}_tk2),
 {name}_j AS (SELECT a.*, lx.kind, lx.valence, lx.polarity, lx.subjectivity, lx.boost, lx.intensity
   FROM {name}_tk3 a LEFT JOIN {lexicon_values()} ON a.key = lx.token),
 {name}_w AS (SELECT *, sum(caps::INT) OVER (PARTITION BY id) AS n_caps, count(*) OVER (PARTITION BY id) AS n_tw,
   min(CASE WHEN key = 'but' THEN pos END) OVER (PARTITION BY id) AS but_pos, {", ".join(lags)}
   FROM {name}_j WINDOW w AS (PARTITION BY id ORDER BY pos)),
-{name}_v AS (SELECT *, coalesce(valence, 0.0) AS v0, (n_caps > 0 AND n_caps < n_tw) AS cd,
-  CASE WHEN coalesce(valence, 0.0) < 0 THEN -1.0 ELSE 1.0 END AS sg FROM {name}_w),
-{name}_v2 AS (SELECT *, v0 + CASE WHEN v0 <> 0 AND caps AND cd THEN sg * {d.VADER_CAPS} ELSE 0.0 END + {boost_terms} AS vb
-  FROM {name}_v),
-{name}_v3 AS (SELECT *, vb * {negs} AS vn FROM {name}_v2),
+{name}_v AS (SELECT *, coalesce(valence, 0.0) AS v0, (n_caps > 0 AND n_caps < n_tw) AS cd FROM {name}_w),
+{name}_f0 AS (SELECT *, v0 + CASE WHEN v0 > 0 AND caps AND cd THEN {d.VADER_CAPS} WHEN v0 < 0 AND caps AND cd THEN -{d.VADER_CAPS} ELSE 0.0 END AS x
+  FROM {name}_v),{steps}
+{name}_v3 AS (SELECT *, x * CASE WHEN {at(1, 'least')} AND pv1 IS NULL AND NOT coalesce(w2 IN ('at', 'very'), FALSE) THEN {d.VADER_NEGATE} ELSE 1.0 END AS vn
+  FROM {name}_f3),
 {name}_v4 AS (SELECT id, raw, n_excl, n_qm,
   CASE WHEN but_pos IS NULL THEN vn WHEN pos < but_pos THEN vn * 0.5 WHEN pos > but_pos THEN vn * 1.5 ELSE vn END AS vf,
   CASE WHEN polarity IS NOT NULL THEN polarity * (CASE WHEN k1 = 'booster' THEN i1 ELSE 1.0 END)
-       * (CASE WHEN k1 = 'negation' OR k2 = 'negation' THEN -0.5 ELSE 1.0 END) END AS p,
+       * (CASE WHEN {neg[1]} OR {neg[2]} THEN -0.5 ELSE 1.0 END) END AS p,
   CASE WHEN polarity IS NOT NULL THEN subjectivity * (CASE WHEN k1 = 'booster' THEN i1 ELSE 1.0 END) END AS sj
   FROM {name}_v3),
 {name}_a AS (SELECT id, count(raw) AS n_tok, coalesce(sum(vf), 0.0) AS s,

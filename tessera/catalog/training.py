@@ -93,7 +93,7 @@ def q_label_pairs(spark, sf):
 
 def _page_corpus(spark, sf):
     ex = page_extract(table(spark, sf, "pages"))
-    return ex.select("page_id", "url", "title", F.col("all_text").alias("summary"))
+    return ex.select("page_id", "url", "title", F.col("text").alias("summary"))
 
 
 def _title_list(spark, sf):
@@ -196,11 +196,11 @@ SELECT item_id, pos, e.token, coalesce(vocab.id, 1) AS token_id FROM e LEFT JOIN
     "label_pairs": f"""WITH {PAIRS_SQL}, pp AS (SELECT conv_id::VARCHAR || ':' || q_turn::VARCHAR AS pair_id, question, answer FROM pairs),
 {VOCAB_SQL}, {tokenize_sql('pp', 'pair_id', 'question', 'tq')}, {tokenize_sql('pp', 'pair_id', 'answer', 'ta')}
 SELECT tq.id AS pair_id, array_to_string(tq.ids, ' ') AS input_ids, array_to_string(ta.ids, ' ') AS labels FROM tq JOIN ta ON tq.id = ta.id""",
-    "qa_triples": f"""WITH {_PE} SELECT all_text AS context, 'What is ' || title || '?' AS question, split_part(all_text, '.', 1) AS answer
-FROM pe WHERE length(all_text) > 0""",
-    "topic_corpus": f"WITH {_PE}, {TITLES} SELECT title, all_text AS text FROM pe WHERE title IN (SELECT title FROM tl)",
+    "qa_triples": f"""WITH {_PE} SELECT text AS context, 'What is ' || title || '?' AS question, split_part(text, '.', 1) AS answer
+FROM pe WHERE length(text) > 0""",
+    "topic_corpus": f"WITH {_PE}, {TITLES} SELECT title, text AS text FROM pe WHERE title IN (SELECT title FROM tl)",
     "title_list_join": f"WITH {_PE}, {TITLES} SELECT title, page_id FROM pe JOIN (SELECT DISTINCT title FROM tl) USING (title)",
-    "fetch_by_titles": f"""WITH {_PE}, {TITLES} SELECT title, url, all_text AS summary FROM pe
-WHERE title IN (SELECT title FROM tl) AND length(all_text) > 0""",
-    "skip_empty": f"WITH {_PE} SELECT page_id FROM pe WHERE length(all_text) > 0",
+    "fetch_by_titles": f"""WITH {_PE}, {TITLES} SELECT title, url, text AS summary FROM pe
+WHERE title IN (SELECT title FROM tl) AND length(text) > 0""",
+    "skip_empty": f"WITH {_PE} SELECT page_id FROM pe WHERE length(text) > 0",
 }

@@ -141,6 +141,8 @@ NEGATIONS = [
     "not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere", "cannot",
     "without", "isn't", "aren't", "wasn't", "weren't", "don't", "doesn't", "didn't", "can't",
     "couldn't", "won't", "wouldn't", "shouldn't", "hasn't", "haven't", "hadn't", "ain't",
+    "isnt", "arent", "wasnt", "werent", "dont", "doesnt", "didnt", "cant", "couldnt", "wont", "wouldnt",
+    "shouldnt", "hasnt", "havent", "hadnt", "aint", "mustnt", "neednt", "rarely", "seldom", "despite",
 ]
 # token, VADER scalar (+ increases, - decreases), polarity/subjectivity multiplier
 BOOSTERS = [

@@ -171,8 +171,10 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: in
         F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")])
     stats = stats.collect()  # one row per column
     spark = df.sparkSession
-    base = spark.createDataFrame(
-        [(r["column_name"], r["n"], r["mean"], r["std"], r["min"], r["max"]) for r in stats],
+    found = [(r["column_name"], r["n"], r["mean"], r["std"], r["min"], r["max"]) for r in stats]
+    names = columns if columns is not None else numeric_columns(df)
+    base = spark.createDataFrame(                 # a column without values has count 0
+        found + [(c, 0, None, None, None, None) for c in names if c not in {r[0] for r in found}],
         "column_name string, count long, mean double, std double, min double, max double")
     qs = exact_quantiles(long, stats=stats).groupBy("column_name").pivot("p", list(QUANTILES)).agg(F.first("q"))
     for p, name in zip(QUANTILES, ("p25", "p50", "p75")):
@@ -191,18 +193,30 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, count, unique, top, freq); top ties go to the smallest value."""
+    """(column, count, unique, top, freq); top ties go to the smallest
+    value; a column without values has count and unique 0."""
     vc = value_counts(df, columns)
-    return vc.groupBy("column_name").agg(
+    found = vc.groupBy("column_name").agg(
         F.sum("n").cast("long").alias("count"),
         F.count("*").cast("long").alias("n_unique"),
         F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))["v"].alias("top"),
         F.max("n").cast("long").alias("freq"))
+    names = columns if columns is not None else categorical_columns(df)
+    return (df.sparkSession.createDataFrame([(c,) for c in names], "column_name string").join(found, "column_name", "left")
+            .select("column_name", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+                    F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), "top", "freq"))
+
+
+def counted_columns(df: DataFrame) -> list[str]:
+    """Columns that A06 describes by counts: text, booleans, dates, timestamps."""
+    kinds = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return [*categorical_columns(df), *[f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]]
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Union of A04 and A05, nulls where a statistic does not apply."""
-    cat = describe_categorical(df)
+    """Union of A04 and A05 over all columns, nulls where a statistic does
+    not apply."""
+    cat = describe_categorical(df, counted_columns(df))
     # numeric rows carry no unique/freq; doubles keep the mixed table null-safe
     cat = cat.withColumn("n_unique", F.col("n_unique").cast("double")).withColumn("freq", F.col("freq").cast("double"))
     return describe_numeric(df).unionByName(cat, allowMissingColumns=True)
@@ -242,10 +256,10 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = defau
 
 
 def share_of_total(counts: DataFrame, group: str = "column_name", n: str = "n") -> DataFrame:
-    """100 * n / total of its group, via a (bounded) per-group total join
+    """100 * n / total of its group, via a join with the groups' totals
     rather than a window, so a large group never lands in one task."""
     totals = counts.groupBy(group).agg(F.sum(n).alias("_total"))
-    return counts.join(F.broadcast(totals), group).withColumn(
+    return counts.join(totals, group).withColumn(
         "percent", round_half_up(F.lit(100.0) * F.col(n) / F.col("_total"), 6)).drop("_total")
 
 
@@ -293,10 +307,11 @@ def sample_examples(df: DataFrame, k: int = defaults.SAMPLE_EXAMPLES, seed: int
 
 
 def column_summary(df: DataFrame, k: int = defaults.SAMPLE_EXAMPLES, seed: int = 42) -> DataFrame:
-    """(column, data_type, ordinal, example)."""
+    """(column, data_type, ordinal, example); a column without values has
+    one row with nulls."""
     types = df.sparkSession.createDataFrame([(f.name, pandas_dtype(f.dataType)) for f in df.schema.fields],
                                             "column_name string, data_type string")
-    return (sample_examples(df, k, seed).join(F.broadcast(types), "column_name")
+    return (types.join(sample_examples(df, k, seed), "column_name", "left")
             .select("column_name", "data_type", "ordinal", F.col("value").alias("example")))
 
 
@@ -326,9 +341,8 @@ def _fmt(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("-"))
 
 
-def profile_summary(df: DataFrame, max_chars: int = defaults.TEXT_BUDGET) -> DataFrame:
-    """One sentence per column of the A06 table, in column order, cut to
-    ``max_chars`` (the text fed to the summariser)."""
+def profile_summary(df: DataFrame) -> DataFrame:
+    """One sentence per column of the A06 table, in column order."""
     order = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(df.columns)], "column_name string, idx int")
     d = describe_all(df).join(F.broadcast(order), "column_name")
     sent = F.concat(F.col("column_name"), F.lit(": count "), _fmt("count"), F.lit(", mean "), _fmt("mean"),
@@ -336,13 +350,13 @@ def profile_summary(df: DataFrame, max_chars: int = defaults.TEXT_BUDGET) -> Dat
                     F.lit(", max "), _fmt("max"), F.lit(", unique "), _fmt("n_unique"), F.lit(", top "), _fmt("top"),
                     F.lit(", freq "), _fmt("freq"), F.lit("."))
     ordered = F.array_sort(F.collect_list(F.struct("idx", sent.alias("s"))))
-    return d.agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["s"]), " "), 1, max_chars).alias("summary"))
+    return d.agg(F.array_join(F.transform(ordered, lambda x: x["s"]), " ").alias("summary"))
 
 
 def table_report(df: DataFrame) -> DataFrame:
-    """The whole profile as one long (column, stat, value) table:
-    shape, dtype, A04/A05 statistics.  Histogram / counts / examples are
-    separate DataFrames (A08-A13) because their grain differs."""
+    """The whole profile as one long (column, stat, value) table: shape,
+    types, A04/A05 statistics, histogram bins, value counts with their shares,
+    examples and the summary."""
     d = describe_all(df)
     stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max", "n_unique", "top", "freq"]
     long = d.select("column_name", F.inline(F.array(*[
@@ -355,4 +369,13 @@ def table_report(df: DataFrame) -> DataFrame:
         F.struct(F.lit("*").alias("column_name"), F.lit("rows").alias("stat"), F.col("rows").cast("string").alias("value")),
         F.struct(F.lit("*").alias("column_name"), F.lit("columns").alias("stat"),
                  F.col("columns").cast("string").alias("value")))))
-    return long.unionByName(types).unionByName(sh)
+    stat = lambda name, key, value: (F.concat(F.lit(f"{name}:"), key.cast("string")).alias("stat"), value.cast("string").alias("value"))
+    bins = histogram(df).select("column_name", *stat("histogram", F.col("bin"), F.col("n")))
+    shares = pie_percent(df).select("column_name", F.inline(F.array(
+        F.struct(*stat("bar", F.col("value"), F.col("n"))), F.struct(*stat("pie", F.col("value"), F.col("label"))))))
+    examples = sample_examples(df).select("column_name", *stat("example", F.col("ordinal"), F.col("value")))
+    summary = profile_summary(df).select(F.lit("*").alias("column_name"), F.lit("summary").alias("stat"), F.col("summary").alias("value"))
+    out = long
+    for part in (types, sh, bins, shares, examples, summary):
+        out = out.unionByName(part)
+    return out

@@ -71,17 +71,17 @@ def analysis_sections(report: DataFrame, id_col: str, scalars: list[str], arrays
     """P10: a report row -> displayed sections (id, section, ordinal, value),
     each only when present and non-empty; arrays give one item per element,
     struct fields become 'struct.field' sections."""
-    items = [F.struct(F.lit(s).alias("section"), F.lit(0).alias("ordinal"), F.col(s).cast("string").alias("value"))
-             for s in scalars]
+    item = lambda name, at, value: F.struct(
+        F.lit(name).alias("section"), at.cast("long").alias("ordinal"), value.cast("string").alias("value"))
+    singles = [item(s, F.lit(0), F.col(s)) for s in scalars]
     for st in structs:
-        for f in report.schema[st].dataType.fields:
-            items.append(F.struct(F.lit(f"{st}.{f.name}").alias("section"), F.lit(0).alias("ordinal"),
-                                  F.col(f"{st}.{f.name}").cast("string").alias("value")))
-    singles = report.select(id_col, F.inline(F.array(*items))) if items else None
-    out = singles
-    for a in arrays:
-        part = report.select(id_col, F.lit(a).alias("section"), F.posexplode(a).alias("ordinal", "value"))
-        part = part.select(id_col, "section", "ordinal", F.col("value").cast("string").alias("value"))
-        out = part if out is None else out.unionByName(part)
-    out = out.withColumn("ordinal", F.col("ordinal").cast("long"))
+        singles += [item(f"{st}.{f.name}", F.lit(0), F.col(f"{st}.{f.name}")) for f in report.schema[st].dataType.fields]
+
+    def items_of(name: str) -> Column:
+        none = F.array().cast("array<struct<section: string, ordinal: bigint, value: string>>")
+        return F.coalesce(F.transform(name, lambda v, i: item(name, i, v)), none)
+
+    lists = [items_of(a) for a in arrays]
+    # one array of all sections, so that the report is computed once
+    out = report.select(id_col, F.inline(F.concat(F.array(*singles), *lists) if singles else F.concat(*lists)))
     return out.where(F.col("value").isNotNull() & (F.col("value") != ""))

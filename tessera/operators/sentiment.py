@@ -1,15 +1,19 @@
-"""Lexicon sentiment over the first ``max_chars`` characters.
-
-Plan: cut the text, hash-partition by id (one shuffle of bounded rows),
-posexplode the words, broadcast-join the lexicon (its size is checked), look
-back three words with ``lag`` inside the same partitioning, and aggregate per
-id.  No Python in the hot path.
-
-Valence scores follow VADER (Hutto & Gilbert 2014): booster words in the 3
-preceding words add +-0.293 (x1, x0.95, x0.9 by distance), each negation in
-the 3 preceding words multiplies by -0.74, an ALL-CAPS word in mixed-case text
-adds +-0.733, words before the first "but" are halved and after it x1.5,
-up to four '!' add 0.292 each and 2+ '?' add 0.18 each (0.96 above three),
+"""Lexicon sentiment over whole texts.
+
+Plan: words, capitals, "but" and punctuation are counted in the row; the words
+go out with the three words before them, meet the (broadcast) lexicon where
+they are, and only the lexicon's words stay.  What crosses the one exchange is
+a few numbers per text and lexicon word, never text.  No window, no Python.
+
+Valence scores follow VADER (Hutto & Gilbert 2014).  An ALL-CAPS word in
+mixed-case text adds +-0.733.  Then, for the words 1, 2 and 3 places before,
+in this order and unless that word has a valence itself: a booster adds
++-0.293 (x1, x0.95, x0.9; its capitals add +-0.733 too) with the sign that the
+valence has by then, and a negation (listed, or holding "n't") multiplies by
+-0.74; "never" before "so" / "this" multiplies by 1.25 instead and "without
+doubt" leaves the value.  "least" right before, not after "at" or "very",
+multiplies by -0.74.  Words before the first "but" are halved, after it x1.5;
+up to four '!' add 0.292 each and 2+ '?' add 0.18 each (0.96 above three);
 compound = s / sqrt(s^2 + 15).
 
 Polarity / subjectivity follow the pattern lexicon approach: mean over
@@ -19,7 +23,7 @@ negation among the two previous words multiplies polarity by -0.5.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults
@@ -27,105 +31,104 @@ from ..functions.numeric import round_half_up
 from ..functions.text import truncate_chars, words
 
 PUNCT_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-HAS_UPPER = r"\p{Lu}"
-HAS_LOWER = r"\p{Ll}"
 # at least one upper-case letter and no lower-case letter (Python's str.isupper)
 ALL_CAPS = r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$"
-MAX_BROADCAST_LEXICON = 2_000_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int, known_max: int | None = None) -> DataFrame:
-    """Broadcast a dictionary side only after proving its size bound.
-
-    ``known_max`` is an upper bound the caller already proved (for example a
-    ``limit`` or a count of a superset); without it the rows are counted."""
-    n = known_max if known_max is not None else df.count()
-    if n > max_rows:
-        return df  # let the planner shuffle both sides instead
-    return F.broadcast(df)
-
-
-def scored_tokens(df: DataFrame, id_col: str, text_col: str = "text",
-                  max_chars: int = defaults.TEXT_BUDGET,
-                  lexicon: DataFrame | None = None, partitioned: bool = False) -> DataFrame:
-    """One row per word of the cut text with its lexicon entry and context.
-
-    Documents without words keep one row with null ``pos`` (posexplode_outer),
-    so every input id reaches the aggregate."""
-    spark = df.sparkSession
-    known = None if lexicon is not None else len(defaults.lexicon_rows())
-    lex = lexicon if lexicon is not None else defaults.lexicon_df(spark)
-    lex = checked_broadcast(lex.withColumnRenamed("token", "key"), MAX_BROADCAST_LEXICON, known_max=known)
-    t = truncate_chars(text_col, max_chars)
+    """Broadcast a dictionary side whose row bound the caller has proved
+    (``known_max``: a constant, a ``limit``, a count of a superset).  Without a
+    proof the planner decides by bytes."""
+    return F.broadcast(df) if known_max is not None and known_max <= max_rows else df
+
+
+def scored_tokens(df: DataFrame, id_col: str, text_col: str = "text", max_chars: int | None = None,
+                  lexicon: DataFrame | None = None) -> DataFrame:
+    """The lexicon's words of each text: key, pos, caps, the lexicon entry, the
+    three words before (key1..3, caps1..3) and the text's counts.  Every text
+    also has one row with pos -1, so that every id reaches the aggregate."""
+    t = F.coalesce(F.col(text_col) if max_chars is None else truncate_chars(text_col, max_chars), F.lit(""))
+    stripped = lambda raw: F.regexp_replace(raw, PUNCT_EDGES, "")
     docs = (df.select(F.col(id_col), t.alias("t"))
             .select(id_col,
                     (F.length("t") - F.length(F.replace("t", F.lit("!"), F.lit("")))).alias("n_excl"),
                     (F.length("t") - F.length(F.replace("t", F.lit("?"), F.lit("")))).alias("n_qm"),
-                    words("t").alias("ws")))
-    if not partitioned:
-        docs = docs.repartition(id_col)
-    toks = docs.select(id_col, "n_excl", "n_qm", F.posexplode_outer("ws").alias("pos", "raw"))
-    stripped = F.regexp_replace("raw", PUNCT_EDGES, "")
-    # a token whose stripped form is 2 characters or less keeps its punctuation
-    word = F.when(F.length(stripped) <= 2, F.col("raw")).otherwise(stripped)
-    toks = (toks.withColumn("word", word)
-            .withColumn("key", F.lower("word"))
-            .withColumn("caps", F.col("word").rlike(ALL_CAPS)))
-    return toks.join(lex, "key", "left")
-
-
-def sentiment_scores(df: DataFrame, id_col: str, text_col: str = "text",
-                     max_chars: int = defaults.TEXT_BUDGET,
-                     lexicon: DataFrame | None = None, partitioned: bool = False) -> DataFrame:
+                    # a token whose stripped form is 2 characters or less keeps its punctuation
+                    F.transform(words("t"), lambda raw: F.when(F.length(stripped(raw)) <= 2, raw)
+                                .otherwise(stripped(raw))).alias("ws"))
+            .select(id_col, "n_excl", "n_qm", F.transform("ws", lambda w: F.lower(w)).alias("keys"),
+                    F.transform("ws", lambda w: w.rlike(ALL_CAPS)).alias("caps"))
+            .select(id_col, "n_excl", "n_qm", "keys", "caps", F.size("keys").alias("n_tok"),
+                    F.size(F.filter("caps", lambda c: c)).alias("n_caps"),
+                    F.nullif(F.array_position("keys", F.lit("but")), F.lit(0)).alias("but_at")))
+    before = lambda c, i, k: F.when(i >= k, F.get(F.col(c), i - k))
+    token = F.transform("keys", lambda w, i: F.struct(
+        i.alias("pos"), w.alias("key"), F.get(F.col("caps"), i).alias("cap"),
+        *[before("keys", i, k).alias(f"key{k}") for k in (1, 2, 3)],
+        *[F.coalesce(before("caps", i, k), F.lit(False)).alias(f"caps{k}") for k in (1, 2, 3)]))
+    none = "named_struct('pos', -1, 'key', '', 'cap', false, 'key1', null, 'key2', null, 'key3', null, " \
+           "'caps1', false, 'caps2', false, 'caps3', false)"
+    toks = docs.select(id_col, "n_excl", "n_qm", "n_tok", "but_at",
+                       ((F.col("n_caps") > 0) & (F.col("n_caps") < F.col("n_tok"))).alias("caps_diff"), token.alias("tokens"))
+    toks = toks.select("*", F.expr(f"inline(concat(array({none}), tokens))")).drop("tokens")
+    lex, known = lexicon_side(df.sparkSession, lexicon)
+    return toks.join(checked_broadcast(lex, MAX_BUILT_IN, known), "key", "left").where("pos = -1 or kind is not null")
+
+
+#: Rows of the lexicon that comes with the package, at most.
+MAX_BUILT_IN = 10_000
+
+
+def lexicon_side(spark, lexicon: DataFrame | None) -> tuple[DataFrame, int | None]:
+    if lexicon is not None:
+        return lexicon.withColumnRenamed("token", "key"), None
+    return defaults.lexicon_df(spark).withColumnRenamed("token", "key"), len(defaults.lexicon_rows())
+
+
+def sentiment_scores(df: DataFrame, id_col: str, text_col: str = "text", max_chars: int | None = None,
+                     lexicon: DataFrame | None = None) -> DataFrame:
     """T01 + T02 in one pass: (id, polarity, subjectivity, positivity,
     negativity, neutrality, compound).  Unused outputs are pruned by Catalyst,
     so selecting a subset costs only what it needs."""
-    toks = scored_tokens(df, id_col, text_col, max_chars, lexicon, partitioned)
-    # one window spec (id, pos): lags use the default frame, document-wide
-    # values the full frame - a single sort and a single Window operator
-    w = Window.partitionBy(id_col).orderBy("pos")
-    w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lag_cols = [F.lag(c, k).over(w).alias(f"_{c}{k}") for k in (1, 2, 3) for c in ("kind", "boost", "caps", "valence")]
-    toks = toks.select(
-        "*", *lag_cols, F.lag("intensity", 1).over(w).alias("_intensity1"),
-        F.sum(F.col("caps").cast("int")).over(w_all).alias("_n_caps"),
-        F.count("raw").over(w_all).alias("_n_tok"),
-        F.min(F.when(F.col("key") == "but", F.col("pos"))).over(w_all).alias("but_pos"))
-    toks = toks.withColumn("caps_diff", (F.col("_n_caps") > 0) & (F.col("_n_caps") < F.col("_n_tok")))
-    v0 = F.coalesce(F.col("valence"), F.lit(0.0))
-    sign = F.when(v0 < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    v = v0 + F.when((v0 != 0) & F.col("caps") & F.col("caps_diff"), sign * defaults.VADER_CAPS).otherwise(0.0)
-    decay = {1: 1.0, 2: 0.95, 3: 0.9}
+    toks = scored_tokens(df, id_col, text_col, max_chars, lexicon).where("pos = -1 or valence is not null or polarity is not null")
+    lex, known = lexicon_side(df.sparkSession, lexicon)
     for k in (1, 2, 3):
-        pk, pb, pc, pv = (F.col(f"_kind{k}"), F.col(f"_boost{k}"), F.col(f"_caps{k}"), F.col(f"_valence{k}"))
-        scalar = pb * sign + F.when(pc & F.col("caps_diff"), sign * defaults.VADER_CAPS).otherwise(0.0)
-        boost = F.when((v0 != 0) & (pk == "booster") & pv.isNull(), scalar * decay[k]).otherwise(0.0)
-        v = v + boost
-    # factors instead of when(c, v * x).otherwise(v): the expression for v is
-    # referenced once per layer (no exponential growth of generated code);
-    # multiplying by 1.0 is exact, so the values are unchanged
-    for k in (1, 2, 3):
-        neg = (v0 != 0) & (F.col(f"_kind{k}") == "negation")
-        v = v * F.when(neg, F.lit(defaults.VADER_NEGATE)).otherwise(F.lit(1.0))
-    v = v * (F.when(F.col("but_pos").isNull(), F.lit(1.0))
-             .when(F.col("pos") < F.col("but_pos"), F.lit(0.5))
-             .when(F.col("pos") > F.col("but_pos"), F.lit(1.5))
-             .otherwise(F.lit(1.0)))
-    prev_kind, prev_int = F.col("_kind1"), F.col("_intensity1")
-    mult = F.when(prev_kind == "booster", prev_int).otherwise(F.lit(1.0))
-    negated = (prev_kind == "negation") | (F.col("_kind2") == "negation")
-    p = F.col("polarity") * mult * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
-    sj = F.col("subjectivity") * mult
-    has_pol = F.col("polarity").isNotNull()
-    scored = toks.select(id_col, "raw", "n_excl", "n_qm",
-                         F.when(F.col("raw").isNull(), F.lit(None)).otherwise(v).alias("v"),
-                         F.when(has_pol, p).alias("p"), F.when(has_pol, sj).alias("sj"))
+        side = lex.select(F.col("key").alias(f"key{k}"), F.col("kind").alias(f"kind{k}"), F.col("boost").alias(f"boost{k}"),
+                          F.col("intensity").alias(f"intensity{k}"), F.col("valence").isNotNull().alias(f"own{k}"))
+        toks = toks.join(checked_broadcast(side, MAX_BUILT_IN, known), f"key{k}", "left")
+    cap = F.when(F.col("caps_diff"), F.lit(defaults.VADER_CAPS)).otherwise(F.lit(0.0))
+    sign = F.when(F.col("v") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    toks = toks.withColumn("v", F.when(F.col("valence") != 0, F.col("valence")))
+    toks = toks.withColumn("v", F.col("v") + F.when(F.col("cap"), sign * cap).otherwise(F.lit(0.0)))
+    negated = {k: F.coalesce((F.col(f"kind{k}") == "negation") | F.col(f"key{k}").contains("n't"), F.lit(False)) for k in (1, 2, 3)}
+    is_ = lambda k, *ws: F.coalesce(F.col(f"key{k}").isin(*ws), F.lit(False))
+    times = F.lit(defaults.VADER_NEGATE)
+    factor = {
+        1: F.when(negated[1], times),
+        2: F.when(is_(2, "never") & is_(1, "so", "this"), F.lit(1.25)).when(is_(2, "without") & is_(1, "doubt"), F.lit(1.0))
+            .when(negated[2], times),
+        3: F.when((is_(3, "never") & is_(2, "so", "this")) | is_(1, "so", "this"), F.lit(1.25))
+            .when(is_(3, "without") & (is_(2, "doubt") | is_(1, "doubt")), F.lit(1.0)).when(negated[3], times)}
+    for k, decay in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        open_ = F.col(f"key{k}").isNotNull() & ~F.coalesce(F.col(f"own{k}"), F.lit(False))
+        added = F.when(open_ & (F.col(f"kind{k}") == "booster"),
+                       sign * (F.col(f"boost{k}") + F.when(F.col(f"caps{k}"), cap).otherwise(F.lit(0.0))) * decay)
+        toks = toks.withColumn("v", F.col("v") + F.coalesce(added, F.lit(0.0)))
+        toks = toks.withColumn("v", F.col("v") * F.when(open_, F.coalesce(factor[k], F.lit(1.0))).otherwise(F.lit(1.0)))
+    least = is_(1, "least") & ~F.coalesce(F.col("own1"), F.lit(False)) & ~is_(2, "at", "very")
+    place = F.col("pos") + 1
+    v = (F.col("v") * F.when(least, times).otherwise(F.lit(1.0))
+         * F.when(place < F.col("but_at"), F.lit(0.5)).when(place > F.col("but_at"), F.lit(1.5)).otherwise(F.lit(1.0)))
+    mult = F.when(F.col("kind1") == "booster", F.col("intensity1")).otherwise(F.lit(1.0))
+    scored = toks.select(id_col, "n_tok", "n_excl", "n_qm", v.alias("v"),
+                         (F.col("polarity") * mult * F.when(negated[1] | negated[2], F.lit(-0.5)).otherwise(F.lit(1.0))).alias("p"),
+                         F.when(F.col("polarity").isNotNull(), F.col("subjectivity") * mult).alias("sj"))
     agg = scored.groupBy(id_col).agg(
-        F.count("raw").alias("n_tok"),
+        F.max("n_tok").alias("n_tok"),
         F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"),
         F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("v") + 1)), F.lit(0.0)).alias("pos_sum"),
         F.coalesce(F.sum(F.when(F.col("v") < 0, F.col("v") - 1)), F.lit(0.0)).alias("neg_sum"),
-        F.count(F.when(F.col("v") == 0, 1)).alias("neu"),
+        (F.max("n_tok") - F.count(F.when(F.col("v") != 0, 1))).alias("neu"),
         F.max("n_excl").alias("n_excl"), F.max("n_qm").alias("n_qm"),
         F.avg("p").alias("p"), F.avg("sj").alias("sj"))
     return agg.select(
@@ -136,7 +139,7 @@ def sentiment_scores(df: DataFrame, id_col: str, text_col: str = "text",
 
 
 def valence_scores(df: DataFrame, id_col: str, text_col: str = "text",
-                   max_chars: int = defaults.TEXT_BUDGET,
+                   max_chars: int | None = None,
                    lexicon: DataFrame | None = None) -> DataFrame:
     """(id, positivity, negativity, neutrality, compound)."""
     return sentiment_scores(df, id_col, text_col, max_chars, lexicon).select(
@@ -144,7 +147,7 @@ def valence_scores(df: DataFrame, id_col: str, text_col: str = "text",
 
 
 def polarity_subjectivity(df: DataFrame, id_col: str, text_col: str = "text",
-                          max_chars: int = defaults.TEXT_BUDGET,
+                          max_chars: int | None = None,
                           lexicon: DataFrame | None = None) -> DataFrame:
     """(id, polarity in [-1, 1], subjectivity in [0, 1])."""
     return sentiment_scores(df, id_col, text_col, max_chars, lexicon).select(
@@ -175,9 +178,9 @@ def _vader_finish() -> list[Column]:
 
 
 def lexicon_matches(df: DataFrame, id_col: str, text_col: str = "text",
-                    max_chars: int = defaults.TEXT_BUDGET,
+                    max_chars: int | None = None,
                     lexicon: DataFrame | None = None) -> DataFrame:
-    """(id, key, n) lexicon words found in each cut text."""
+    """(id, key, n) lexicon words found in each text."""
     toks = scored_tokens(df, id_col, text_col, max_chars, lexicon)
     return (toks.where(F.col("kind") == "word").groupBy(id_col, "key")
             .agg(F.count("*").cast("long").alias("n")))

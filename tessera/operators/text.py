@@ -1,19 +1,18 @@
 """Text analytics over a table of documents.
 
-Per-document work is bounded by a character budget before anything is
-exploded, and documents are hash-partitioned by their id exactly once;
-every later group/window keyed by (id, ...) reuses that partitioning, so the
-whole operator costs one shuffle of at most ``max_chars`` per document.
+Whole texts are read (``max_chars`` is for callers that want a cut).  Documents
+are hash-partitioned by their id exactly once; every later group/window keyed
+by (id, ...) reuses that partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions.numeric import round_half_up
-from ..functions.text import split_sentences, truncate_chars, word_count, words
+from ..functions.text import split_sentences, truncate_chars, word_count
 
 # Word pattern of the word-cloud weights: a letter/digit/underscore followed
 # by at least one more such character or apostrophe (Unicode-aware).
@@ -29,11 +28,11 @@ def word_counts(df: DataFrame, id_col: str, text_col: str = "text",
 
 
 def by_document(df: DataFrame, id_col: str, text_col: str, max_chars: int | None,
-                partitioned: bool = False) -> DataFrame:
-    """(id, t) with t cut to the budget, hash-partitioned by id (skipped when
-    the caller already partitioned ``df`` by id)."""
+                partitioned: bool = False, *more: str) -> DataFrame:
+    """(id, t, more...), hash-partitioned by id (skipped when the caller already
+    partitioned ``df`` by id)."""
     t = F.col(text_col) if max_chars is None else truncate_chars(text_col, max_chars)
-    out = df.select(F.col(id_col), t.alias("t"))
+    out = df.select(F.col(id_col), t.alias("t"), *more)
     return out if partitioned else out.repartition(id_col)
 
 
@@ -80,8 +79,8 @@ def collocation_score(c12, c1, c2, n):
 
 
 def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
-                     max_chars: int = defaults.TEXT_BUDGET, stop_words: DataFrame | None = None,
-                     max_words: int = defaults.WORDCLOUD_MAX_WORDS, partitioned: bool = False,
+                     max_chars: int | None = None, stop_words: DataFrame | None = None,
+                     max_words: int | None = None, partitioned: bool = False,
                      collocations: bool = False, threshold: float = defaults.COLLOCATION_THRESHOLD) -> DataFrame:
     """A12 + L06: word-cloud term weights per document.
 
@@ -91,8 +90,8 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
     counted without their 's'); with ``collocations``, neighbouring non-stop
     word pairs whose log-likelihood score exceeds ``threshold`` become terms
     and their count is taken off both words (words left with no count
-    disappear).  weight = count / max count; top ``max_words`` by
-    (count desc, term).  Returns (id, term, n, weight, rank).
+    disappear).  weight = count / max count; rank by (count desc, term), and
+    with ``max_words`` only so many.  Returns (id, term, n, weight, rank).
 
     Plan: unigram and bigram rows share one grouping inside the document
     partitioning; with collocations the grouped table (bounded per document)
@@ -131,17 +130,17 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
     uni = groups.where(F.col("kind") == 1)
     terms = uni.select(id_col, "fk", "term", "n")
     if collocations:
-        dicts = uni.groupBy(id_col).agg(
-            F.map_from_entries(F.flatten(F.collect_list(F.transform("keys", lambda k: F.struct(
-                k.alias("key"), F.col("fk").alias("fk")))))).alias("kmap"),
-            F.map_from_entries(F.collect_list(F.struct("fk", "n"))).alias("nmap"),
-            F.sum("n").alias("n_words"))
-        b = groups.where(F.col("kind") == 2).join(dicts, id_col)
+        # (id, key) -> folded key and (id, folded key) -> count, as joins inside
+        # the document partitioning: a document's words are never one map
+        folded = uni.select(id_col, F.explode("keys").alias("k"), "fk", F.col("n").alias("c"))
+        total = uni.groupBy(id_col).agg(F.sum("n").alias("n_words"))
         parts = F.split(F.lower(F.col("term")), " ")
-        b = b.withColumn("fk1", F.try_element_at("kmap", F.try_element_at(parts, F.lit(1)))) \
-             .withColumn("fk2", F.try_element_at("kmap", F.try_element_at(parts, F.lit(2))))
-        c1 = F.try_element_at("nmap", F.col("fk1")).cast("double")
-        c2 = F.try_element_at("nmap", F.col("fk2")).cast("double")
+        b = (groups.where(F.col("kind") == 2).withColumn("k1", F.get(parts, F.lit(0))).withColumn("k2", F.get(parts, F.lit(1)))
+             .join(total, id_col))
+        for i in ("1", "2"):
+            b = b.join(folded.select(id_col, F.col("k").alias(f"k{i}"), F.col("fk").alias(f"fk{i}"), F.col("c").alias(f"c{i}")),
+                       [id_col, f"k{i}"], "left")
+        c1, c2 = F.col("c1").cast("double"), F.col("c2").cast("double")
         score = collocation_score(F.col("n").cast("double"), c1, c2, F.col("n_words").cast("double"))
         coll = b.where(score > threshold).select(id_col, "fk1", "fk2", "term", "n")
         # count adjustments as a union + aggregate per (id, folded key): no join
@@ -156,12 +155,18 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
         terms = terms.select(id_col, "term", "n")
     w_rank = Window.partitionBy(id_col).orderBy(F.desc("n"), F.asc("term"))
     w_all = Window.partitionBy(id_col)
-    out = (terms.withColumn("rank", F.row_number().over(w_rank).cast("long"))
-           .where(F.col("rank") <= max_words)
+    ranked = terms.withColumn("rank", F.row_number().over(w_rank).cast("long"))
+    out = ((ranked if max_words is None else ranked.where(F.col("rank") <= max_words))
            .withColumn("weight", round_half_up(F.col("n") / F.max("n").over(w_all), 6)))
     return out.select(id_col, "term", F.col("n").cast("long").alias("n"), "weight", "rank")
 
 
+def top_terms(freqs: DataFrame, id_col: str, k: int = defaults.WORDCLOUD_MAX_WORDS) -> DataFrame:
+    """(id, top_terms): the ``k`` heaviest terms of each document, in order."""
+    return freqs.where(F.col("rank") <= k).groupBy(id_col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("top_terms"))
+
+
 def corpus_top_terms(freqs: DataFrame, k: int = defaults.WORDCLOUD_MAX_WORDS) -> DataFrame:
     """L06 over a corpus: the ``k`` heaviest terms by total count (ties by term).
 
@@ -172,33 +177,35 @@ def corpus_top_terms(freqs: DataFrame, k: int = defaults.WORDCLOUD_MAX_WORDS) ->
 
 
 def sentence_table(df: DataFrame, id_col: str, text_col: str = "text",
-                   max_chars: int | None = defaults.TEXT_BUDGET, partitioned: bool = False) -> DataFrame:
-    """(id, pos, sentence) for every non-empty '.'-separated sentence."""
-    docs = by_document(df, id_col, text_col, max_chars, partitioned)
-    s = docs.select(id_col, F.posexplode(split_sentences("t")).alias("pos", "sentence"))
+                   max_chars: int | None = None, partitioned: bool = False, *more: str) -> DataFrame:
+    """(id, more..., pos, sentence) for every non-empty '.'-separated sentence."""
+    docs = by_document(df, id_col, text_col, max_chars, partitioned, *more)
+    s = docs.select(id_col, *more, F.posexplode(split_sentences("t")).alias("pos", "sentence"))
     return s.where(F.col("sentence") != "").withColumn("pos", F.col("pos").cast("long"))
 
 
 def extractive_summary(df: DataFrame, id_col: str, text_col: str = "text",
-                       max_chars: int = defaults.TEXT_BUDGET,
-                       budget: int = defaults.SUMMARY_TOKEN_BUDGET,
+                       max_chars: int | None = None,
+                       budget: int | str = defaults.SUMMARY_TOKEN_BUDGET,
                        stop_words: DataFrame | None = None, partitioned: bool = False) -> DataFrame:
     """Frequency-based extractive summary (SumBasic-style).
 
-    Sentences of the first ``max_chars`` characters are scored by the mean
+    Sentences are scored by the mean
     in-document frequency of their non-stop words; best sentences (ties by
     position) are taken while the running word count stays within
-    ``budget`` (always at least one) and printed in original order.
+    ``budget`` (words, or a column of them; always at least one sentence) and
+    printed in original order.
     Returns (id, summary, n_sentences)."""
     spark = df.sparkSession
     sw = stop_words.select(F.lower("word").alias("term")).distinct() if stop_words is not None else \
         defaults.stop_words_df(spark).select(F.col("word").alias("term"))  # built-in list is unique
     sw = F.broadcast(sw)
-    sents = sentence_table(df, id_col, text_col, max_chars, partitioned)
+    more = [budget] if isinstance(budget, str) else []
+    sents = sentence_table(df, id_col, text_col, max_chars, partitioned, *more)
     # every sentence keeps at least one row (explode_outer); stop words become
     # null terms instead of being anti-joined away, so no join back is needed
     sw = sw.withColumn("_stop", F.lit(True))
-    terms = (sents.select(id_col, "pos", "sentence",
+    terms = (sents.select(id_col, *more, "pos", "sentence",
                           F.explode_outer(F.regexp_extract_all(F.lower("sentence"), F.lit(TERM_TOKEN), F.lit(0)))
                           .alias("term"))
              .join(sw, "term", "left")
@@ -206,19 +213,14 @@ def extractive_summary(df: DataFrame, id_col: str, text_col: str = "text",
     w_doc = Window.partitionBy(id_col)
     w_term = Window.partitionBy(id_col, "term")
     freq = F.when(F.col("term").isNotNull(), F.count("term").over(w_term) / F.count("term").over(w_doc))
-    scores = terms.withColumn("freq", freq).groupBy(id_col, "pos", "sentence").agg(F.avg("freq").alias("score"))
+    scores = terms.withColumn("freq", freq).groupBy(id_col, *more, "pos", "sentence").agg(F.avg("freq").alias("score"))
     ranked = (scores.withColumn("score", round_half_up(F.coalesce(F.col("score"), F.lit(0.0)), 6))
               .withColumn("n_words", word_count("sentence")))
     w_rank = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("pos"))
     ranked = (ranked.withColumn("rank", F.row_number().over(w_rank))
               .withColumn("running", F.sum("n_words").over(w_rank.rowsBetween(Window.unboundedPreceding, 0))))
-    chosen = ranked.where((F.col("rank") == 1) | (F.col("running") <= budget))
+    chosen = ranked.where((F.col("rank") == 1) | (F.col("running") <= (F.col(budget) if more else budget)))
     return chosen.groupBy(id_col).agg(
         F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))),
                                           lambda x: x["sentence"]), ". "), F.lit(".")).alias("summary"),
         F.count("*").alias("n_sentences"))
-
-
-def tokens_of(c: Column) -> Column:
-    """Words as an array (whitespace split, empties removed)."""
-    return words(c)

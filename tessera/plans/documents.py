@@ -13,27 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults
-from ..functions.text import metadata_text, truncate_chars, word_count
+from ..functions.text import metadata_text, word_count
 from ..operators.profile import row_text, table_report, table_word_count, truncate_table_text
 from ..operators.sentiment import sentiment_scores
 from ..operators.text import extractive_summary, word_frequencies
+from ..operators.text import top_terms as word_terms
 
 
 def text_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                lexicon: DataFrame | None = None, top_terms: int = 10) -> DataFrame:
-    """Text body of T08: (id, word_count on the full text, summary,
-    sentiment fields, top_terms array) - everything else on the first 1024
-    characters.  One hash exchange by id is shared by all per-document steps."""
-    # cut and count before the exchange: only the 1024-character prefix moves
+                lexicon: DataFrame | None = None, k: int = defaults.WORDCLOUD_MAX_WORDS) -> DataFrame:
+    """Text body of T08 on the whole text: (id, word_count, summary, sentiment
+    fields, top_terms array).  Sentiment leaves the scan as numbers; summary and
+    terms share one hash exchange by id."""
     cut = df.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col), truncate_chars(text_col, defaults.TEXT_BUDGET).alias("text"),
-        word_count(text_col).alias("word_count")).repartition(id_col)
-    base = cut.select(id_col, "text")
-    senti = sentiment_scores(base, id_col, "text", defaults.TEXT_BUDGET, lexicon, partitioned=True)
+        F.col(id_col), F.col(text_col).alias("text"), word_count(text_col).alias("word_count"))
+    base = cut.select(id_col, "text").repartition(id_col)
+    senti = sentiment_scores(cut, id_col, "text", None, lexicon)
     summ = extractive_summary(base, id_col, "text", partitioned=True).select(id_col, "summary")
-    wf = word_frequencies(base, id_col, "text", partitioned=True).where(F.col("rank") <= top_terms)
-    terms = wf.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
-                                               lambda x: x["term"]).alias("top_terms"))
+    terms = word_terms(word_frequencies(base, id_col, "text", partitioned=True), id_col, k)
     return (cut.join(senti, id_col, "left").join(summ, id_col, "left").join(terms, id_col, "left")
             .withColumn("top_terms", F.coalesce("top_terms", F.array().cast("array<string>")))
             .drop("text"))

@@ -1,10 +1,9 @@
 """Web-page report (H01-H06) over a ``pages(page_id, url, html)`` table.
 
 Physical plan: scan pages -> narrow regex projection (the raw HTML never
-crosses a shuffle) -> one hash exchange of (page id, 1024-character text)
-shared by sentiment (token explode + broadcast lexicon join + one Window +
-aggregate) and the extractive summary -> join with the extracted record on
-page id.
+crosses a shuffle).  Sentiment leaves the scan as a few numbers per page; the
+summary and the word terms share one hash exchange of (page id, text).  All
+join the extracted record by page id.
 """
 
 from __future__ import annotations
@@ -12,15 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import defaults
 from ..functions import html as H
-from ..functions.text import bounded_length, truncate_chars, word_count
+from ..functions.text import bounded_length, word_count
 from ..operators.sentiment import sentiment_scores
-from ..operators.text import extractive_summary
+from ..operators.text import extractive_summary, top_terms, word_frequencies
 
 
 def page_extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, url?, title, headings, paragraphs, links, all_text, text)."""
+    """(id, url?, title, headings, paragraphs, links, text)."""
     clean = H.content_html(html_col)
     keep = [c for c in pages.columns if c not in (html_col,)]
     ex = pages.select(*keep, clean.alias("_clean"))
@@ -29,30 +27,30 @@ def page_extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
                    H.page_headings("_clean").alias("headings"),
                    H.page_paragraphs("_clean").alias("paragraphs"),
                    H.page_links("_clean").alias("links"))
-    ex = ex.withColumn("all_text", H.page_text("headings", "paragraphs"))
-    return ex.withColumn("text", truncate_chars("all_text", defaults.TEXT_BUDGET))
+    return ex.withColumn("text", H.page_text("headings", "paragraphs"))
 
 
 def page_report(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 lexicon: DataFrame | None = None, with_summary: bool = True) -> DataFrame:
     """One D5 record per page.
 
-    Columns: id, url, title, headings, paragraphs, links, word_count (of the
-    first 1024 characters), summary_budget, summary, sentiment struct."""
+    Columns: id, url, title, headings, paragraphs, links, text, word_count,
+    summary_budget, summary (within the budget), top_terms, sentiment struct
+    and error (a page without HTML)."""
     ex = page_extract(pages, id_col, html_col)
     ex = ex.withColumn("word_count", word_count("text")).withColumn("summary_budget", bounded_length("text"))
-    # one (id, text) exchange feeds every per-page scoring step (the exchange
-    # is reused: both consumers see the same plan); the extracted record -
-    # never the raw HTML - joins the scores by id
-    # the explicit not-null filter matches the one the optimizer infers for the
-    # joins below, so both consumers see the same plan and reuse one exchange
-    base = ex.where(F.col(id_col).isNotNull()).select(id_col, "text").repartition(id_col)
-    scores = sentiment_scores(base, id_col, "text", defaults.TEXT_BUDGET, lexicon, partitioned=True)
+    scores = sentiment_scores(ex, id_col, "text", None, lexicon)
     if with_summary:
-        summ = extractive_summary(base, id_col, "text", defaults.TEXT_BUDGET, partitioned=True)
-        scores = scores.join(summ.select(id_col, "summary"), id_col, "left")
+        # the explicit not-null filter matches the one the optimizer infers for
+        # the joins below, so both consumers see the same plan and share one exchange
+        base = ex.where(F.col(id_col).isNotNull()).select(id_col, "text", "summary_budget").repartition(id_col)
+        summ = extractive_summary(base, id_col, "text", budget="summary_budget", partitioned=True)
+        terms = top_terms(word_frequencies(base, id_col, "text", partitioned=True), id_col)
+        scores = scores.join(summ.select(id_col, "summary"), id_col, "left").join(terms, id_col, "left")
     out = ex.join(scores, id_col, "left")
-    sentiment = F.struct("polarity", "subjectivity", "positivity", "negativity", "neutrality", "compound")
-    cols = [c for c in out.columns if c not in
-            ("polarity", "subjectivity", "positivity", "negativity", "neutrality", "compound", "all_text")]
-    return out.select(*cols, sentiment.alias("sentiment"))
+    names = ("polarity", "subjectivity", "positivity", "negativity", "neutrality", "compound")
+    return out.select(*[c for c in out.columns if c not in names], F.struct(*names).alias("sentiment"),
+                      F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.lit(NO_TEXT)).alias("error"))
+
+
+NO_TEXT = "No text found on the page."
