@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions import text as X
-from ..functions.matching import matches_any
 from ..operators.sentiment import lexicon_matches, sentiment_scores
 from ..operators.text import WORD_TOKEN, TERM_TOKEN, corpus_top_terms, extractive_summary, word_frequencies
 from .common import lit, round6, rx_sub, strip_ws, table, values, word_count as sql_wc
@@ -74,7 +73,7 @@ def q_trim_whitespace(spark, sf):
 
 def q_contains_any(spark, sf):
     # long keyword list over whole documents: one Aho-Corasick pass per text
-    return docs(spark, sf).select("doc_id", matches_any(F.lower("text"), defaults.FACT_KEYWORDS).alias("relevant"),
+    return docs(spark, sf).select("doc_id", X.contains_any(F.lower("text"), defaults.FACT_KEYWORDS).alias("relevant"),
                                   X.contains_any(F.lower("text"), defaults.CORRECTION_KEYWORDS).alias("correction"))
 
 
@@ -112,7 +111,10 @@ def q_question_template(spark, sf):
 
 def q_build_prompt(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select("item_id", X.build_prompt(F.lit(""), "text", defaults.GENERAL_PROMPT).alias("prompt"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("context"))
+    return b.join(d, "item_id").select(
+        "item_id", X.build_prompt("context", "text", defaults.GENERAL_PROMPT).alias("prompt"),
+        X.build_prompt("context", "text", defaults.CONTEXT_PROMPT).alias("context_prompt"))
 
 
 def q_metadata_text(spark, sf):
@@ -249,6 +251,11 @@ summ AS (SELECT doc_id, string_agg(sentence, '. ' ORDER BY pos) || '.' AS summar
 _SUMMARY_CTES = summary_ctes()
 _SUMMARY = "WITH " + _SUMMARY_CTES + " SELECT * FROM summ"
 
+def prompt_sql(template: str) -> str:
+    parts = template.replace("{context}", "\0d\0").replace("{question}", "\0b\0").split("\0")
+    return " || ".join({"d": "substring(d.text, 1, 1000)", "b": "b.text"}.get(p) or lit(p) for p in parts if p)
+
+
 _SENTI = sentiment_ctes("documents", "doc_id", "text")
 
 SQL = {
@@ -276,6 +283,7 @@ SQL = {
   coalesce(c_nationkey::VARCHAR, 'nan') AS nation_text FROM customer""",
     "bounded_length": f"SELECT doc_id, least(floor(length(text) / 2), 100)::BIGINT AS summary_max_tokens FROM documents",
     "question_template": "SELECT n_nationkey, 'What is ' || n_name || '?' AS question FROM nation",
-    "build_prompt": f"SELECT item_id, {lit(defaults.GENERAL_PROMPT.split('{question}')[0])} || text || {lit(defaults.GENERAL_PROMPT.split('{question}')[1])} AS prompt FROM benchmark",
+    "build_prompt": f"""SELECT item_id, {prompt_sql(defaults.GENERAL_PROMPT)} AS prompt, {prompt_sql(defaults.CONTEXT_PROMPT)} AS context_prompt
+  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id""",
     "metadata_text": "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS meta_text FROM events",
 }

@@ -47,7 +47,7 @@ def q_keyword_match(spark, sf):
     d = table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.split("text", r"\.")).alias("pos", "sentence"))
     d = d.withColumn("pos", F.col("pos").cast("long"))
-    return R.keyword_match(d, "sentence", defaults.keywords_df(spark))
+    return R.keyword_match(d, "sentence", defaults.FACT_KEYWORDS)
 
 
 def q_retrieve_top1(spark, sf):
@@ -209,7 +209,7 @@ rc AS (SELECT ut.*, ctx.context, CASE WHEN ctx.context IS NULL OR ctx.context =
 
 
 def _answers_sql():
-    c = f"substring(context, 1, {defaults.QA_CONTEXT_BUDGET})"
+    c = "context"
     return CONTEXT_SQL + f""",
 qa AS (SELECT *, list_distinct({terms_sql('question')}) AS qterms,
   list_filter(list_transform({split_strip(c)}, lambda s, i: {{'pos': i - 1, 's': s}}), lambda x: x.s <> '') AS sents FROM rc),
@@ -219,9 +219,6 @@ ans AS (SELECT conv_id, turn, error, CASE WHEN error IS NULL THEN {clean_respons
   CASE WHEN error IS NULL AND len(qterms) > 0 THEN {round6('coalesce(best.score, 0) / len(qterms)')} END AS confidence FROM qb)"""
 
 
-_general = (lit(defaults.GENERAL_PROMPT.split("{question}")[0]) + " || text || "
-            + lit(defaults.GENERAL_PROMPT.split("{question}")[1]))
-
 SQL = {
     "alias_lookup": f"SELECT item_id, coalesce(al.title, replace(text, '?', '')) AS search_query FROM benchmark LEFT JOIN {ALIASES} ON lower(text) = al.alias",
     "canned_answer": f"""SELECT item_id, ca.answer AS canned FROM (SELECT item_id, coalesce(al.title, replace(text, '?', '')) AS sq
@@ -243,7 +240,7 @@ cn AS (SELECT base.*, ca.answer AS canned FROM base LEFT JOIN {CANNED} ON lower(
 {bm25_sql('SELECT item_id AS qid, search_query AS q FROM cn WHERE canned IS NULL')},
 found AS (SELECT qid, doc AS doc_id, {relevant_sql('d.text', defaults.FACT_KEYWORDS)} AS rel, split_part(d.text, chr(10), 1) AS fl
   FROM best JOIN documents d ON d.doc_id = best.doc)
-SELECT item_id, search_query, found.doc_id, coalesce(canned, rel, fl, {clean_response_sql('(' + _general + ')')}) AS answer,
+SELECT item_id, search_query, found.doc_id, coalesce(canned, rel, fl) AS answer,
   CASE WHEN canned IS NOT NULL THEN 'canned' WHEN found.qid IS NOT NULL AND rel IS NOT NULL THEN 'search'
        WHEN found.qid IS NOT NULL THEN 'first_line' ELSE 'general' END AS source
 FROM cn LEFT JOIN found ON cn.item_id = found.qid""",

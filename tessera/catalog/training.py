@@ -11,7 +11,8 @@ from .common import lit, strip_ws, table
 from .retrieval import PAIRS_SQL, terms_sql
 from .sqltext import page_cte
 
-VOCAB_SIZE = 1000
+#: Words that have an id of their own; a parameter of M05, far above the fixtures' need for a table of embeddings.
+VOCAB_SIZE = 50_000
 MAX_LEN = 128
 
 
@@ -80,7 +81,7 @@ def q_vocab_join(spark, sf):
     v = _vocab(spark, sf)
     toks = b.select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
                     .alias("pos", "token"))
-    out = toks.join(F.broadcast(v), "token", "left")
+    out = toks.join(v, "token", "left")
     return out.select("item_id", F.col("pos").cast("long").alias("pos"), "token",
                       F.coalesce("id", F.lit(M.UNK_ID)).alias("token_id"))
 
@@ -113,12 +114,12 @@ def q_topic_corpus(spark, sf):
 
 def q_title_list_join(spark, sf):
     corpus = _page_corpus(spark, sf)
-    return corpus.join(F.broadcast(_title_list(spark, sf).distinct()), "title").select("title", "page_id")
+    return corpus.join(_title_list(spark, sf).distinct(), "title").select("title", "page_id")
 
 
 def q_fetch_by_titles(spark, sf):
     corpus = _page_corpus(spark, sf)
-    return corpus.join(F.broadcast(_title_list(spark, sf).distinct()), "title", "left_semi") \
+    return corpus.join(_title_list(spark, sf).distinct(), "title", "left_semi") \
         .where(F.length("summary") > 0).select("title", "url", "summary")
 
 

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import defaults
+
 ColumnOrName = Column | str
 
 # Python's str.strip()/split() treat newlines and tabs as whitespace; Spark's
@@ -75,18 +77,28 @@ def strip_speaker(c: ColumnOrName, prefix: str) -> Column:
 
 
 def contains_any(c: ColumnOrName, keywords: Iterable[str]) -> Column:
-    """true when any keyword is a substring of ``c``.
+    """true when any keyword is a substring of ``c`` (null stays null).
 
-    Built as an OR chain of ``contains`` so it stays inside whole-stage
-    codegen (a lambda over a literal array is interpreted per row)."""
+    One regular expression finds all keywords in one pass over the string; its
+    alternatives share their beginnings, so a character is compared with the
+    few ways on, not with every keyword."""
     col = _c(c)
-    kws = list(dict.fromkeys(keywords))
+    kws = set(keywords)
     if not kws:
         return F.lit(False)
-    out = F.contains(col, F.lit(kws[0]))
-    for k in kws[1:]:
-        out = out | F.contains(col, F.lit(k))
-    return out
+    return F.when(col.isNotNull(), F.lit(True)) if "" in kws else col.rlike(any_of(kws))
+
+
+def any_of(words_: Iterable[str]) -> str:
+    """Regular expression that finds any of the (non-empty) literals."""
+    by_head: dict[str, list[str]] = {}
+    for w in sorted(set(words_)):
+        by_head.setdefault(w[0], []).append(w[1:])
+    ways = []
+    for head, tails in by_head.items():
+        quoted = head if head.isalnum() or head == " " else f"\\x{{{ord(head):x}}}"
+        ways.append(quoted + ("" if "" in tails else any_of(tails)))   # a shorter literal settles it
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
 
 
 def clean_response(c: ColumnOrName, max_len: int = 150) -> Column:
@@ -111,7 +123,7 @@ def question_template(title: ColumnOrName, template: str = "What is {}?") -> Col
 
 
 def build_prompt(context: ColumnOrName, question: ColumnOrName, template: str,
-                 context_chars: int = 1000) -> Column:
+                 context_chars: int = defaults.QA_CONTEXT_BUDGET) -> Column:
     """template with ``{context}`` (first ``context_chars`` characters)
     and ``{question}`` placeholders filled from columns."""
     parts = []

@@ -21,16 +21,13 @@ BM25 plan (exact scores, no term or candidate cap):
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions.numeric import round_half_up
-from ..functions.text import (clean_response, contains_any, drop_question_marks, first_line,
-                              normalize_question, split_sentences, strip_ws, truncate_chars)
-from ..functions.matching import matches_any
+from ..functions.text import (any_of, clean_response, contains_any, drop_question_marks, first_line,
+                              normalize_question, split_sentences, truncate_chars)
 from .sentiment import checked_broadcast
 from .text import TERM_TOKEN
 
@@ -62,23 +59,36 @@ def canned_answer(df: DataFrame, query_col: str = "search_query", canned: DataFr
     return df.withColumn("_ck", F.lower(query_col)).join(ca, "_ck", "left").drop("_ck")
 
 
-def keyword_match(sentences: DataFrame, text_col: str, keywords: DataFrame, whole_word: bool = False,
-                  max_literal_keywords: int = 10_000) -> DataFrame:
-    """Sentences containing any keyword (lower-cased) as a substring.
+GRAM = 3
+
 
-    A keyword table whose size is checked to be small is matched in one
-    pass per sentence (Aho-Corasick over Arrow batches, no join); a larger
-    one is a left-semi theta join against the broadcast keyword table."""
-    kw = keywords.select(F.lower("keyword").alias("_kw")).distinct()
+def keyword_match(sentences: DataFrame, text_col: str, keywords: DataFrame | list[str], whole_word: bool = False) -> DataFrame:
+    """Sentences containing any keyword (lower-cased) as a substring, or
+    with ``whole_word`` between other signs than letters, digits and '_'.
+
+    A list is one regular expression.  A table (of any size) is an equi-join:
+    each distinct sentence goes out with its character runs of up to ``GRAM``,
+    meets the keywords that begin so, and ``contains`` decides; the sentences
+    found come back by a semi-join."""
     s = F.lower(F.col(text_col))
-    if not whole_word:
-        small = kw.limit(max_literal_keywords + 1).collect()
-        if len(small) <= max_literal_keywords:
-            return sentences.where(matches_any(s, [r["_kw"] for r in small]))
-    kw = checked_broadcast(kw, MAX_BROADCAST_ROWS)
+    if not isinstance(keywords, DataFrame):
+        kws = {k.lower() for k in keywords}
+        if whole_word:
+            return sentences.where(s.rlike(r"(?:^|[^\p{L}\p{N}_])" + any_of(kws - {""}) + r"(?:$|[^\p{L}\p{N}_])"))
+        return sentences.where(contains_any(s, kws))
+    kw = (keywords.select(F.lower("keyword").alias("_kw")).where("_kw is not null").distinct()
+          .withColumn("_gram", F.substring("_kw", 1, GRAM)))
+    at = F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[_runs(at, k) for k in range(1, GRAM + 1)]))
+    texts = sentences.select(s.alias("_t")).where("_t is not null").distinct()
+    met = texts.select("_t", F.explode(grams).alias("_gram")).join(kw, "_gram")
     pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), F.col("_kw"), F.lit(r"\E($|[^\p{L}\p{N}_])"))
-    cond = F.regexp(s, pattern) if whole_word else F.contains(s, F.col("_kw"))
-    return sentences.join(kw, cond, "left_semi")
+    found = met.where(F.regexp("_t", pattern) if whole_word else F.contains("_t", F.col("_kw"))).select("_t").distinct()
+    return sentences.join(found, s == F.col("_t"), "left_semi")
+
+
+def _runs(at: Column, k: int) -> Column:
+    return F.transform(at, lambda i: F.substring(F.col("_t"), i, F.lit(k)))
 
 
 def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_id: str, d_text: str,
@@ -159,7 +169,7 @@ def fact_answer(questions: DataFrame, q_id: str, q_col: str, corpus: DataFrame,
                 d_text: str = "text", aliases: DataFrame | None = None, canned: DataFrame | None = None,
                 keywords=None, fallback: Column | None = None) -> DataFrame:
     """Alias -> canned answer -> search + relevant sentences (else first
-    line) -> fallback (an echo of the general prompt through F02 unless given).
+    line) -> ``fallback`` (null unless given: the place of a general model).
 
     Only rows without a canned answer reach the search (short circuit), so
     the BM25 join never sees already answered questions.
@@ -172,9 +182,7 @@ def fact_answer(questions: DataFrame, q_id: str, q_col: str, corpus: DataFrame,
     found = found.select("_rid", "doc_id",
                          F.coalesce(rel, first_line(F.col("summary"))).alias("found"),
                          F.when(rel.isNotNull(), F.lit("search")).otherwise(F.lit("first_line")).alias("_src"))
-    general = fallback if fallback is not None else clean_response(
-        F.concat(F.lit(defaults.GENERAL_PROMPT.split("{question}")[0]), F.col("_q"),
-                 F.lit(defaults.GENERAL_PROMPT.split("{question}")[1])))
+    general = fallback if fallback is not None else F.lit(None).cast("string")
     out = q.join(found, "_rid", "left")
     answer = F.coalesce(F.col("canned"), F.col("found"), general)
     source = (F.when(F.col("canned").isNotNull(), F.lit("canned"))
@@ -219,12 +227,12 @@ def require_context(questions: DataFrame, contexts: DataFrame, key: str) -> Data
 
 
 def answer_from_context(questions: DataFrame, contexts: DataFrame, key: str, q_col: str = "question",
-                        context_chars: int = defaults.QA_CONTEXT_BUDGET) -> DataFrame:
-    """T05 (extractive): the context sentence sharing most distinct terms with
+                        context_chars: int | None = None) -> DataFrame:
+    """T05 (extractive): of the whole context, the sentence sharing most distinct terms with
     the question (ties -> earliest), cleaned by F02; ``confidence`` = shared
     terms / question terms; error instead of an answer when no context."""
     joined = require_context(questions, contexts, key)
-    ctx = truncate_chars("context", context_chars)
+    ctx = F.col("context") if context_chars is None else truncate_chars("context", context_chars)
     qterms = F.array_distinct(terms(F.col(q_col)))
     sents = F.filter(F.transform(split_sentences(ctx), lambda s, i: F.struct(i.alias("pos"), s.alias("s"))),
                      lambda x: x["s"] != "")
@@ -271,12 +279,7 @@ def missing_pages(titles: DataFrame, corpus: DataFrame, title_col: str = "title"
     return titles.join(corpus.select(title_col).distinct(), title_col, "left_anti")
 
 
-def bm25_idf(n_docs: int, df: int) -> float:
-    """Reference formula for tests."""
-    return math.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-
-
 __all__ = ["alias_lookup", "canned_answer", "keyword_match", "bm25_top1", "relevant_sentences",
            "first_matching_sentence", "fact_answer", "not_helpful", "correct_answers", "latest_context",
            "require_context", "answer_from_context", "confidence_gate", "answer_or_error",
-           "search_by_term_location", "missing_pages", "strip_ws"]
+           "search_by_term_location", "missing_pages"]

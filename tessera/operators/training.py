@@ -147,8 +147,8 @@ def qa_triples(pages: DataFrame, title_col: str = "title", summary_col: str = "s
 
 def topic_corpus(titles: DataFrame, corpus: DataFrame, title_col: str = "title", text_col: str = "text") -> DataFrame:
     """M08 + J04 + S16: texts of the listed titles; missing titles drop out.
-    The title list is size-checked and broadcast into a left-semi join."""
-    t = checked_broadcast(titles.select(title_col).distinct(), MAX_VOCAB_BROADCAST)
+    A left-semi join; the planner broadcasts the title list by its bytes."""
+    t = titles.select(title_col).distinct()
     return corpus.join(t, title_col, "left_semi").select(title_col, text_col)
 
 
