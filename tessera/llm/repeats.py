@@ -144,10 +144,10 @@ def repeated_spans(rows: DataFrame, depth: int, gram: int) -> DataFrame:
     runs = rows.mapInArrow(find, schema)
     tied = (runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi"))
             .where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike")))
-    held = staged(runs.join(tied, "anchor"), "runs")
+    held = staged(runs.join(staged(tied, "tied"), "anchor"), "runs")
     kinds = (held.where("not alike").groupBy("anchor", "content")
              .agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "part", "first", "n")).alias("one")))
-    kinds = staged(kinds, "kinds")
+    kinds = staged(kinds, "kinds")        # tables of their own: joins with them can be split at hot keys
     covered = lambda df: df.select("doc_id", "part", F.col("first").alias("lo"),
                                    (F.col("first") + F.col("n") - 1 + depth).alias("hi"))
     alike = covered(held.where("alike")).unionByName(covered(
