@@ -12,9 +12,14 @@ from .common import lit, round6, rx_sub, strip_ws, values, words
 
 
 def decode(x: str) -> str:
-    for ent, ch in H.ENTITIES:
-        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
-    return x
+    named = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in H.ENTITIES.items())
+    name = f"regexp_extract(p, {lit(H.RE_ENTITY)}, 1)"
+    point = f"CASE WHEN starts_with(lower({name}), '#x') THEN ('0x' || substring({name}, 3))::BIGINT " \
+            f"WHEN starts_with({name}, '#') THEN substring({name}, 2)::BIGINT END"
+    ch = (f"CASE WHEN starts_with({name}, '#') THEN CASE WHEN ({point}) BETWEEN 1 AND 1114111 AND ({point}) NOT BETWEEN 55296 AND 57343 "
+          f"THEN chr(({point})::INTEGER) END ELSE CASE {name} {named} END END")
+    piece = f"CASE WHEN i = 1 THEN p WHEN ({ch}) IS NULL THEN '&' || p ELSE ({ch}) || substring(p, length({name}) + 2) END"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: {piece}), '')"
 
 
 def text_of(x: str) -> str:
@@ -27,14 +32,14 @@ def clean_html(x: str) -> str:
 
 def page_cte(src: str = "pages") -> str:
     """CTE 'pe' with (page_id, url, title, headings, paragraphs, links, text)."""
-    paras_html = rx_sub(rx_sub("h", H.RE_P_OPEN, "</p><p>"), H.RE_BLOCK_CLOSE, "</p>\\1")
+    paras_html = rx_sub(rx_sub(rx_sub("h", H.RE_P_OPEN, "</p><p>"), H.RE_BLOCK_CLOSE, "</p>\\1"), H.RE_BLOCK_OPEN, "</p>\\1") + " || '</p>'"
     return f"""pc AS (SELECT page_id, url, {clean_html('html')} AS h FROM {src}),
 pe0 AS (SELECT page_id, url,
   CASE WHEN NOT regexp_matches(h, {lit(H.RE_TITLE_TAG)}) THEN {lit(H.NO_TITLE)}
        ELSE nullif({decode(f"regexp_extract(h, {lit(H.RE_TITLE)}, 1)")}, '') END AS title,
   list_transform(regexp_extract_all(h, {lit(H.RE_HEADING)}, 1), lambda x: {text_of('x')}) AS headings,
   list_transform(regexp_extract_all({paras_html}, {lit(H.RE_PARAGRAPH)}, 1), lambda x: {text_of('x')}) AS paragraphs,
-  list_transform(regexp_extract_all(h, {lit(H.RE_HREF)}, 1), lambda q: {decode('substring(q, 2, length(q) - 2)')}) AS links
+  list_transform(regexp_extract_all(h, {lit(H.RE_HREF)}, 1), lambda q: {decode(rx_sub('q', H.RE_QUOTES))}) AS links
   FROM pc),
 pe AS (SELECT *, array_to_string(list_concat(headings, paragraphs), ' ') AS text FROM pe0)"""
 

@@ -87,3 +87,21 @@ def test_table_report_has_all_parts(spark):
     assert ("*", "rows") in stats and ("p_size", "p50") in stats and ("p_brand", "top") in stats
     assert ("p_retailprice", "data_type") in stats
     assert rep.where(F.col("stat") == "rows").first()["value"] == str(df.count())
+
+
+def test_large_values_and_empty_columns_stay(spark):
+    df = spark.createDataFrame([(1e13, None, None), (3e13, None, None), (5e13, None, None)], "big double, none double, blank string")
+    rows = {r["column_name"]: r for r in P.describe_all(df).collect()}
+    assert (rows["big"]["mean"], rows["big"]["min"], rows["big"]["max"], rows["big"]["p50"]) == (3e13, 1e13, 5e13, 3e13)
+    assert rows["none"]["count"] == 0 and rows["none"]["mean"] is None
+    assert rows["blank"]["count"] == 0 and rows["blank"]["top"] is None
+    assert {r["column_name"] for r in P.column_summary(df).collect()} == {"big", "none", "blank"}
+    inf = spark.createDataFrame([(float("inf"),), (1.0,)], "x double")
+    assert P.describe_numeric(inf).first()["max"] == float("inf")
+
+
+def test_booleans_and_times_are_described(spark):
+    df = spark.sql("select true as b, timestamp'2024-01-02 03:04:05' as t union all select true, null")
+    rows = {r["column_name"]: r for r in P.describe_all(df).collect()}
+    assert (rows["b"]["count"], rows["b"]["top"], rows["b"]["freq"]) == (2, "true", 2.0)
+    assert rows["t"]["count"] == 1

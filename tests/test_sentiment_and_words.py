@@ -41,6 +41,32 @@ def test_negation_intensifier_caps_punctuation_but(spark):
     assert but["compound"] > 0                           # after 'but' weighs 1.5, before 0.5
 
 
+def compound(s):
+    return round(s / math.sqrt(s * s + 15), 4)
+
+
+def test_order_of_boosters_and_negations(spark):
+    # worked by hand: good is 1.9, a booster 0.293, a negation times -0.74
+    cases = {
+        "extremely not good": 1.9 * -0.74 - 0.293 * 0.95,         # the booster meets a value that is negative by then
+        "not extremely good": (1.9 + 0.293) * -0.74,
+        "it wasnt good": 1.9 * -0.74,
+        "you mustn't say good": 1.9 * -0.74,
+        "never so good": (1.9 + 0.293) * 1.25,
+        "without doubt good": 1.9,
+        "the least good": 1.9 * -0.74,
+        "at least good": 1.9,
+    }
+    got = _scores(spark, list(cases))
+    for (text, s), r in zip(cases.items(), got):
+        assert r["compound"] == pytest.approx(compound(s), abs=1.5e-4), text
+
+
+def test_words_far_into_a_text_count(spark):
+    far, none = _scores(spark, ["word " * 2000 + "terrible", "word " * 2001])
+    assert far["compound"] < 0 == none["compound"]
+
+
 def test_invariants_on_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sentiment_scores(df, "doc_id").collect()

@@ -70,7 +70,14 @@ def test_html_order_script_unclosed_quotes(spark):
     assert r["headings"] == ["second level", "top", "third"]
     assert r["paragraphs"] == ["one", "two bold", "three"]
     assert r["links"] == ["/a", "/b?x=1&y=2"]
-    assert r["all_text"] == "second level top third one two bold three"
+    assert r["text"] == "second level top third one two bold three"
+
+
+def test_html_entities_open_paragraphs_and_bare_links(spark):
+    r = _page(spark, "<body><p>caf&eacute; &#8217; &#x1F600; &amp;lt; &bogus; &#0; a & b<p>x<div>y</div><p>last"
+                     "<a href=/q?x=1>k</a> <a HREF=b&amp;c>l</a>")
+    assert r["paragraphs"] == ["café ’ 😀 &lt; &bogus; &#0; a & b", "x", "lastk l"]
+    assert r["links"] == ["/q?x=1", "b&c"]
 
 
 def test_html_missing_and_empty_title(spark):
