@@ -80,7 +80,7 @@ def test_evidence_decides_where_the_text_does_not(spark):
 def test_rejected_documents_go_and_columns_stay(spark):
     base = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = base + [(9001, None), (9002, ""), (9003, "12 34 !!"), (None, base[0][1], base[0][2], base[0][3]),
-                   (9004, "qzx xqz zqx jxq qjz zxj qxz vqx zzq xjq " * 20)]
+                   (9004, "qzx xqz zqx jxq qjz zxj qxz vqx zzq xjq " * 20, None)]
     table = clash(docs(spark, rows))
     kept = langid.keep_identified(table)
     ids = [r.doc_id for r in kept.collect()]
