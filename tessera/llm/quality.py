@@ -94,12 +94,13 @@ class Ordinal:
     def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int,
             least_rows: int = LEAST_ROWS) -> "Ordinal":
         ids = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int32)
-        vals = np.concatenate([r[1] for r in rows]).astype(np.float64) if rows else np.zeros(0)
-        row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         seen = np.bincount(ids, minlength=DIM)
         used = np.flatnonzero(seen >= least_rows)
         keep = seen[ids] >= least_rows
-        col, vals, row = np.searchsorted(used, ids[keep]), vals[keep], row[keep]
+        col = np.searchsorted(used, ids[keep]).astype(np.int32)
+        vals = np.concatenate([r[1] for r in rows])[keep] if rows else np.zeros(0, np.float32)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])[keep]
+        del ids, keep
         share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)[:-1] / (len(grades) + n_grades)
         start = np.log(share / (1 - share))
         first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
@@ -152,13 +153,12 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
         for b in slices(batches, 2):
             rows = list(features(*utf8(b.column(2))))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-                 pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["id", "grade", "ids", "vals"])
+                [b.column(0), b.column(1), pa.array([r[0].tobytes() for r in rows], pa.binary()),
+                 pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["id", "grade", "ids", "vals"])
 
-    got = held.mapInArrow(make, f"id {id_type}, grade int, ids array<int>, vals array<float>").toPandas()
-    got = got.sort_values("id", kind="stable")
-    return Ordinal.fit([(np.asarray(i, np.int32), np.asarray(v, np.float32)) for i, v in zip(got["ids"], got["vals"])],
-                       got["grade"].to_numpy(np.int64), n_grades)
+    got = sorted(held.mapInArrow(make, f"id {id_type}, grade int, ids binary, vals binary").collect(), key=lambda r: r["id"])
+    return Ordinal.fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in got],
+                       np.array([r["grade"] for r in got], np.int64), n_grades)
 
 
 def score(docs: DataFrame, model: Ordinal, at_least: int, tail: float = TAIL, id_col: str = "doc_id",
