@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources import feedback as FB
 from ..sources import files as S
 from ..sources import office as O
-from .common import lit, strip_ws, table, word_count as sql_wc
+from .common import lit, table, word_count as sql_wc
 from .retrieval import FEEDBACK_SQL, PAIRS_SQL, feedback_rows
 from .training import _page_corpus
 from .sqltext import page_cte
@@ -64,7 +64,7 @@ def q_scan_xml_rows(spark, sf):
     per_file = n.groupBy(F.col("n_regionkey").alias("g")).agg(
         F.concat(F.lit("<rows>"), F.array_join(F.collect_list(row), ""), F.lit("</rows>")).alias("value"))
     per_file.repartition("g").write.partitionBy("g").text(out)
-    x = S.scan_xml_rows(spark, out)
+    x = S.scan_xml_tagged(spark, out, "row")
     return x.select("n_nationkey", "n_name", "n_regionkey")
 
 
@@ -102,9 +102,9 @@ def q_scan_conversation_lines(spark, sf):
     line = (F.when(F.col("role") == "user", F.concat(F.lit(defaults.QUESTION_SPEAKER + " "), "text"))
             .when(F.col("role") == "assistant", F.concat(F.lit(defaults.ANSWER_SPEAKER + " "), "text"))
             .otherwise(F.col("text")))
-    (c.repartition("conv_id").sortWithinPartitions("turn").select("conv_id", line.alias("value"))
+    (c.repartition("conv_id").sortWithinPartitions("turn").select("conv_id", S.escape_line(line).alias("value"))
      .write.partitionBy("conv_id").text(out))
-    lines = S.scan_conversation_lines(spark, out)
+    lines = S.scan_conversation_lines(spark, out).withColumn("text", S.unescape_line("text"))
     turns = lines_to_turns(lines)
     pairs = pair_turns(turns)
     return pairs.select(S.path_value("conv_id", "conv_id").cast("long").alias("conv_id"), "question", "answer")
@@ -168,8 +168,6 @@ QUERIES = {
 _PE = page_cte("pages")
 _TRIPLES = f"WITH {_PE} SELECT text AS context, 'What is ' || title || '?' AS question, split_part(text, '.', 1) AS answer FROM pe WHERE length(text) > 0"
 _PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part"
-_FIRST_LINE_PAIRS = PAIRS_SQL.replace(f"{strip_ws('q.text')} AS question", f"{strip_ws('split_part(q.text, chr(10), 1)')} AS question") \
-    .replace(f"{strip_ws('k3.text')} AS answer", f"{strip_ws('split_part(k3.text, chr(10), 1)')} AS answer")
 
 SQL = {
     "scan_text": f"""SELECT source, (sum(length(text)) + count(*))::BIGINT AS n_chars, sum({sql_wc('text')})::BIGINT AS word_count,
@@ -180,7 +178,7 @@ SQL = {
     "scan_xml_rows": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
     "scan_xlsx": _PART,
     "scan_docx": "SELECT doc_id, text FROM documents",
-    "scan_conversation_lines": f"WITH {_FIRST_LINE_PAIRS} SELECT conv_id, question, answer FROM pairs",
+    "scan_conversation_lines": f"WITH {PAIRS_SQL} SELECT conv_id, question, answer FROM pairs",
     "sink_json_triples": _TRIPLES,
     "load_json_dataset": _TRIPLES,
     "feedback_append": f"WITH {FEEDBACK_SQL} SELECT question, answer, helpful FROM fb WHERE helpful IS NOT NULL OR TRUE",

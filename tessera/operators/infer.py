@@ -50,8 +50,9 @@ def batch_infer(df: DataFrame, text_col: str, model_factory: Callable[[], Callab
 
     ``model_factory()`` is called once per task and must return a callable
     mapping a list of strings to a list of outputs; an output may be a
-    string or a ``(text, confidence)`` pair.  Errors of a batch are reported
-    per row in ``error`` instead of failing the job."""
+    string or a ``(text, confidence)`` pair.  When a batch fails, its rows are
+    run one by one, so that only the failing rows have an ``error`` instead of
+    an output."""
     fields = [T.StructField(f.name, f.dataType, f.nullable) for f in df.schema.fields]
     fields += [T.StructField(out_col, T.StringType(), True)]
     if with_confidence:
@@ -61,23 +62,33 @@ def batch_infer(df: DataFrame, text_col: str, model_factory: Callable[[], Callab
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
+
+        def outputs(texts: list[str]) -> list[tuple]:
+            nonlocal model
+            if model is None:
+                model = model_factory()
+            res = [r if isinstance(r, tuple) else (r, None) for r in model(texts)]
+            if len(res) != len(texts):
+                raise ValueError(f"{len(res)} outputs for {len(texts)} texts")
+            return [(t, None if c is None else float(c), None) for t, c in res]
+
+        def one(text: str) -> tuple:
+            try:
+                return outputs([text])[0]
+            except Exception as e:  # noqa: BLE001 - error as value
+                return None, None, f"{type(e).__name__}: {e}"
+
         for pdf in batches:
             out = pdf.copy()
+            texts = [("" if t is None else str(t)) for t in pdf[text_col].tolist()]
             try:
-                if model is None:
-                    model = model_factory()
-                res = list(model([("" if t is None else str(t)) for t in pdf[text_col].tolist()]))
-                texts = [r[0] if isinstance(r, tuple) else r for r in res]
-                conf = [float(r[1]) if isinstance(r, tuple) else None for r in res]
-                out[out_col] = texts
-                if with_confidence:
-                    out["confidence"] = conf
-                out["error"] = None
-            except Exception as e:  # noqa: BLE001 - error as value
-                out[out_col] = None
-                if with_confidence:
-                    out["confidence"] = None
-                out["error"] = f"{type(e).__name__}: {e}"
+                res = outputs(texts)
+            except Exception:  # noqa: BLE001 - the rows are run one by one
+                res = [one(t) for t in texts]
+            out[out_col] = [r[0] for r in res]
+            if with_confidence:
+                out["confidence"] = pd.Series([r[1] for r in res], index=out.index, dtype="float64")
+            out["error"] = pd.Series([r[2] for r in res], index=out.index, dtype="object")
             yield out[[f.name for f in schema.fields]]
     ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)

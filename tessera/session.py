@@ -42,14 +42,18 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def shared_root(spark: SparkSession) -> str:
     """Directory shared by all executors for checkpoints and round-trip files.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; only when it is
-    unset (local tests) a fresh directory under the system temp dir is made
-    and registered.
+    Uses ``spark.checkpoint.dir``.  Only where it is unset and driver and
+    executors are one process (``local[...]``) a fresh directory under the
+    system temp dir is made and registered; on a cluster that folder would be
+    each machine's own, so there an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", root)

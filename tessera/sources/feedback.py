@@ -41,6 +41,13 @@ def parse_feedback_text(files: DataFrame, value_col: str = "value") -> DataFrame
                     _helpful(F.col("r.h")).alias("helpful"), F.col("entry_no").cast("long").alias("entry_no"))
 
 
+def malformed_feedback(files: DataFrame, value_col: str = "value") -> DataFrame:
+    """S11 over whole-file rows: the non-empty lines that are in no record."""
+    rest = F.regexp_replace(F.col(value_col), RECORD, "")
+    lines = files.select(F.explode(F.split(rest, "\n")).alias("line"))
+    return lines.where((F.trim("line") != "") & (F.col("line") != HEADER))
+
+
 def read_feedback_log(spark: SparkSession, path: str) -> DataFrame:
     """S11 batch: every record of every log file (multi-line answers kept)."""
     files = spark.read.text(path, wholetext=True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import _c
+from ..functions.text import _c, ColumnOrName
 from ..session import ship_package
 
 # File suffix -> (reader, envelope type); anything else is an error.
@@ -92,40 +92,47 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*cols)
 
 
-def _file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    return lines.groupBy("file").agg(F.min(F.is_valid_utf8("value").cast("int")).alias("utf8"))
+def _file_forms(spark: SparkSession, path: str) -> DataFrame:
+    """(file, utf8, head): whether a file is valid UTF-8, and its first line
+    (the first row of the block that starts the file)."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("n"))
+    return lines.groupBy("file").agg(F.min(F.is_valid_utf8("value").cast("int")).alias("utf8"),
+                                     F.min(F.when(F.col("start") == 0, F.struct("n", "value")))["value"].alias("head"))
 
 
-def scan_csv(spark: SparkSession, path: str, infer: bool = True, encoding: str | None = None) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, infer: bool = True, encoding: str | None = None,
+             multi_line: bool = True) -> DataFrame:
     """Header + inferred types; rows with **more** fields than the header
     are skipped, rows with fewer are padded with nulls; a file that is not
     valid UTF-8 is read as ISO-8859-1 (decided per file).
 
+    Files are grouped by header line and encoding (the driver holds their
+    listing anyway), each group is read by its own header and the groups are
+    united by column name.  ``multi_line`` keeps line breaks inside quotes;
+    without it large files are split.
+
     Rule: read n+1 string columns; the extra column is non-null only for
     rows that have too many fields."""
-    header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header] +
-                          [T.StructField("_extra", T.StringType())])
-    if encoding is not None:
-        groups = [([path], encoding)]
-    else:
-        enc = _file_encodings(spark, path)
-        files = [(r["file"], r["utf8"]) for r in enc.collect()]  # a file listing: one row per file
-        groups = [([f for f, ok in files if ok == 1], "UTF-8"), ([f for f, ok in files if ok != 1], "ISO-8859-1")]
+    groups: dict[tuple, list[str]] = {}
+    for r in _file_forms(spark, path).collect():             # a file listing: one row per file
+        code = encoding or ("UTF-8" if r["utf8"] == 1 else "ISO-8859-1")
+        groups.setdefault((r["head"], code), []).append(r["file"])
     parts = []
-    for group, enc_name in groups:
-        if group:
-            parts.append(spark.read.schema(schema).option("header", True).option("encoding", enc_name)
-                         .option("mode", "PERMISSIVE").option("nullValue", "\u0001").option("emptyValue", "")
-                         .csv(group))
-    raw = parts[0]
+    for (_, code), files in sorted(groups.items(), key=lambda g: min(g[1])):
+        reader = spark.read.option("header", True).option("encoding", code)
+        header = reader.csv(files[0]).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, "_extra"]])
+        rows = (reader.schema(schema).option("mode", "PERMISSIVE").option("nullValue", "\u0001").option("emptyValue", "")
+                .option("multiLine", multi_line).option("enforceSchema", True).csv(files))
+        parts.append(rows.where(F.col("_extra").isNull()).drop("_extra"))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([]))
+    rows = parts[0]
     for p in parts[1:]:
-        raw = raw.unionByName(p)
-    rows = raw.where(F.col("_extra").isNull()).drop("_extra")
-    if not infer:
-        return rows
-    return apply_types(rows, _infer_types(rows, header))
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return apply_types(rows, _infer_types(rows, rows.columns)) if infer else rows
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
@@ -176,15 +183,16 @@ XML_ROWS_SCHEMA = "path string, row_no int, cells map<string,string>, error stri
 
 
 def scan_xml_rows(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """Each child of the root is a row, each grandchild tag a column
-    holding its direct text (null for element-only cells); attributes are
-    ignored.  Parsing is per file (mapInPandas over ``binaryFile``); columns
-    are the union of tags, found with one distinct over the keys."""
+    """S05 for small files whose rows have no common tag: each child of the
+    root is a row, each grandchild tag a column holding its direct text (null
+    for element-only cells); attributes are ignored.  A file that does not
+    parse is one row with its ``error``.  Where the row tag is known, use
+    ``scan_xml_tagged``."""
     ship_package(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = raw.mapInPandas(_xml_rows, XML_ROWS_SCHEMA).where(F.col("error").isNull())
+    rows = raw.mapInPandas(_xml_rows, XML_ROWS_SCHEMA)
     keys = [r["k"] for r in rows.select(F.explode(F.map_keys("cells")).alias("k")).distinct().orderBy("k").collect()]
-    wide = rows.select("path", "row_no", *[F.col("cells")[k].alias(k) for k in keys])
+    wide = rows.select("path", "row_no", *[F.col("cells")[k].alias(k) for k in keys], "error")
     if not infer:
         return wide
     return apply_types(wide, _infer_types(wide, keys))
@@ -192,17 +200,31 @@ def scan_xml_rows(spark: SparkSession, path: str, infer: bool = True) -> DataFra
 
 def scan_xml_tagged(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     """S05 with a known row tag: Spark's XML source, attributes excluded,
-    repeated tags (arrays) reduced to their last element."""
-    df = spark.read.format("xml").option("rowTag", row_tag).option("excludeAttribute", True).load(path)
+    repeated tags (arrays) reduced to their last element; a row that does not
+    parse has its text in ``error``."""
+    df = (spark.read.format("xml").option("rowTag", row_tag).option("excludeAttribute", True)
+          .option("columnNameOfCorruptRecord", "_corrupt_record").load(path))
     cols = [F.element_at(F.col(f.name), -1).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name)
-            for f in df.schema.fields]
-    return df.select(*cols)
+            for f in df.schema.fields if f.name != "_corrupt_record"]
+    bad = F.col("_corrupt_record") if "_corrupt_record" in df.columns else F.lit(None).cast("string")
+    return df.select(*cols, bad.alias("error"))
+
+
+def escape_line(c: ColumnOrName) -> F.Column:
+    """One line for a text: backslashes doubled, line breaks as \\n."""
+    return F.replace(F.replace(_c(c), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_line(c: ColumnOrName) -> F.Column:
+    parts = F.transform(F.split(_c(c), r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(parts, "\\")
 
 
 def scan_conversation_lines(spark: SparkSession, path: str) -> DataFrame:
     """Headerless one-column files of prefixed lines, read as text (a
     comma never splits a line).  Each file is one ordered sequence:
-    (path, line_no, text)."""
+    (path, line_no, text).  A turn is one line; line breaks inside it are
+    written by ``escape_line``."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "text"))
     return lines.withColumn("line_no", F.col("line_no").cast("long"))

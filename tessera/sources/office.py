@@ -83,13 +83,13 @@ def _xlsx_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scan_xlsx(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """First sheet of each workbook, first row = header, types inferred."""
+    """First sheet of each workbook, first row = header, types inferred; a
+    workbook that does not parse is one row with its ``error``."""
     ship_package(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = raw.mapInPandas(_xlsx_batches, "path string, row_no int, cells map<string,string>, error string")
-    rows = rows.where(F.col("error").isNull())
     keys = [r["k"] for r in rows.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect()]
-    wide = rows.select("path", "row_no", *[F.col("cells")[k].alias(k) for k in sorted(keys)])
+    wide = rows.select("path", "row_no", *[F.col("cells")[k].alias(k) for k in sorted(keys)], "error")
     return apply_types(wide, _infer_types(wide, sorted(keys))) if infer else wide
 
 
@@ -98,7 +98,7 @@ def docx_paragraphs(data: bytes) -> list[str]:
         root = ET.fromstring(z.read("word/document.xml"))
     body = root.find(f"{NS_W}body")
     paras = []
-    for p in (body if body is not None else root).iter(f"{NS_W}p"):
+    for p in (body if body is not None else root).findall(f"{NS_W}p"):
         parts = []
         for node in p.iter():
             if node.tag == f"{NS_W}t":
@@ -132,10 +132,13 @@ def scan_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_docx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) with body paragraphs joined by newlines."""
+    """(path, text, error) with body paragraphs joined by newlines (A15); a
+    file that does not parse has its ``error`` and no text."""
     from ..operators.relational import ordered_concat
-    paras = scan_docx_paragraphs(spark, path).where(F.col("error").isNull())
-    return ordered_concat(paras, ["path"], "para_no", "text", "\n")
+    paras = scan_docx_paragraphs(spark, path)
+    good = ordered_concat(paras.where(F.col("error").isNull()), ["path"], "para_no", "text", "\n")
+    bad = paras.where(F.col("error").isNotNull()).select("path", "error")
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 # ------------------------------------------------------------------ writers

@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
+from tessera import catalog
 from tessera.operators.sentiment import sentiment_scores
 from tessera.operators.retrieval import bm25_top1, keyword_match
 from tessera import defaults
@@ -19,7 +20,10 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """Of the catalog; what the other package has no SQL for is tested against
+    brute force there."""
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) >= 100
 
 
@@ -51,13 +55,12 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sentiment_plan_single_window_and_exchange(spark):
+def test_sentiment_plan_has_one_exchange_and_no_window(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     plan = _plan(sentiment_scores(d, "doc_id"))
-    assert plan.count("Window ") + plan.count("Window(") >= 1
-    assert plan.count("WindowExec") <= 1 and plan.count("Window [") <= 1
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
-    assert plan.count("Exchange hashpartitioning") <= 1
+    assert "Window" not in plan and "Python" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1     # of numbers, behind a partial aggregate
 
 
 def test_keyword_match_has_no_nested_loop(spark):

@@ -153,3 +153,17 @@ def test_pairing_is_chunk_invariant(spark):
     for chunk in (1, 2, 3, 7, 1 << 20):                                  # windows never cross a chunk
         got = sorted(tuple(r) for r in M.pair_turns(df, chunk_turns=chunk).collect())
         assert got == want, chunk
+
+
+def test_one_failing_row_does_not_void_its_batch(spark):
+    from tessera.operators.infer import batch_infer
+
+    def factory():
+        def model(texts):
+            return [(str(10 // len(t)), 0.5) for t in texts]      # an empty text fails
+        return model
+
+    df = spark.createDataFrame([("ab",), ("",), ("abcde",)], "t string").coalesce(1)
+    got = {r["t"]: (r["output"], r["confidence"], r["error"]) for r in batch_infer(df, "t", factory).collect()}
+    assert got["ab"] == ("5", 0.5, None) and got["abcde"] == ("2", 0.5, None)
+    assert got[""][0] is None and "ZeroDivisionError" in got[""][2]

@@ -30,6 +30,38 @@ def test_csv_bad_lines_and_encoding(spark, tmpdir_path):
     assert types == {"a": "bigint", "b": "string", "c": "double"}
 
 
+def test_csv_files_with_other_column_orders_and_quoted_breaks(spark, tmpdir_path):
+    _write(tmpdir_path, "a.csv", b'a,b\n1,"two\nlines"\n')
+    _write(tmpdir_path, "b.csv", b"b,a\nx,2\n")
+    _write(tmpdir_path, "c.csv", b"b,c\ny,9\n")
+    got = sorted(((r["a"], r["b"], r["c"]) for r in S.scan_csv(spark, tmpdir_path).collect()), key=str)
+    assert got == [(1, "two\nlines", None), (2, "x", None), (None, "y", 9)]
+
+
+def test_broken_files_leave_an_error(spark, tmpdir_path):
+    for kind, read in (("xml", S.scan_xml_rows), ("xlsx", O.scan_xlsx), ("docx", O.scan_docx)):
+        _write(f"{tmpdir_path}/{kind}", f"bad.{kind}", b"<rows><a>")
+        (r,) = read(spark, f"{tmpdir_path}/{kind}").collect()
+        assert r["error"] and r["path"].endswith(f"bad.{kind}")
+    _write(tmpdir_path + "/mixed", "a.xml", b"<rows><a><b>1</b></a></rows>")
+    _write(tmpdir_path + "/mixed", "z.xml", b"<rows><a>")
+    rows = S.scan_xml_rows(spark, tmpdir_path + "/mixed").collect()
+    assert sorted((r["b"], r["error"] is None) for r in rows if r["b"]) == [(1, True)] and len(rows) == 2
+
+
+def test_line_escapes(spark):
+    texts = ["plain", "two\nlines", "back\\slash", "a literal \\n stays", "\\\n\\"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", S.escape_line("t").alias("e"), S.unescape_line(S.escape_line("t")).alias("u")).collect()
+    assert all(r["u"] == r["t"] and "\n" not in r["e"] for r in rows)
+
+
+def test_malformed_feedback_is_kept(spark, tmpdir_path):
+    _write(tmpdir_path, "f.log", (LOG + "no record at all\nQuestion: x, Answer: cut").encode())
+    files = spark.read.text(tmpdir_path, wholetext=True)
+    assert sorted(r["line"] for r in FB.malformed_feedback(files).collect()) == ["Question: x, Answer: cut", "no record at all"]
+
+
 def test_xml_rows_card(spark, tmpdir_path):
     _write(tmpdir_path, "r.xml", b'<rows><item id="1"><a>1</a><b>x</b><a>9</a></item>'
                                  b'<other><a>2</a><c><d>z</d></c></other></rows>')
