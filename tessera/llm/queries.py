@@ -112,5 +112,73 @@ def queries() -> dict:
     }
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def words_sql(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+OP3_SQL = f"""WITH b AS (SELECT item_id::VARCHAR AS item, {words_sql('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bn AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+bi AS (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bn),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM bi),
+d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
+dn AS (SELECT doc_id, w, s.n FROM d, (SELECT DISTINCT n FROM bw) AS s WHERE len(w) >= s.n),
+di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dn),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM di),
+hit AS (SELECT doc_id, i, dw.n, item FROM dw JOIN bw ON bw.win = dw.win AND bw.n = dw.n),
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit),
+np AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+ni AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN np ON np.doc_id = d.doc_id LEFT JOIN ni ON ni.doc_id = d.doc_id"""
+
+OP4_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+  '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+di AS (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS s FROM di),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sh a JOIN sh b ON a.s = b.s WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT x, y FROM shared JOIN sz p ON p.doc_id = x JOIN sz q ON q.doc_id = y WHERE 100 * shared.n >= 75 * (p.n + q.n - shared.n)),
+link AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach AS (SELECT x AS a, x AS b FROM link UNION SELECT reach.a, link.y FROM reach JOIN link ON link.x = reach.b),
+comp AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(sz.n, 0)::BIGINT AS n_shingles, coalesce(comp.c, d.doc_id)::BIGINT AS component_id,
+  coalesce(comp.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sz ON sz.doc_id = d.doc_id LEFT JOIN comp ON comp.doc_id = d.doc_id"""
+
+_TEMPLATES = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in _licenses.TEMPLATES)
+_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+OP8_SQL = f"""WITH tp AS (SELECT name, {words_sql('t')} AS w FROM (VALUES {_TEMPLATES}) AS v(name, t)),
+tb AS (SELECT name, {_BIGRAMS} AS tbg FROM tp),
+ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t,
+  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+lw AS (SELECT doc_id, line, {words_sql('t')} AS w FROM ln),
+many AS (SELECT doc_id FROM lw WHERE len(w) > 0 GROUP BY doc_id HAVING count(*) > 1),
+sg AS (SELECT doc_id, line, w FROM lw UNION ALL
+  SELECT documents.doc_id, -1, {words_sql('text')} FROM documents JOIN many ON many.doc_id = documents.doc_id),
+bg AS (SELECT doc_id, line, {_BIGRAMS} AS bg FROM sg WHERE len(w) > 1),
+m AS (SELECT doc_id, line, name, 2.0 * len(list_intersect(bg, tbg)) / (len(bg) + len(tbg)) AS dice FROM bg, tb
+  WHERE len(bg) * {2 - _licenses.DICE} >= {_licenses.DICE} * len(tbg) - 1e-9 AND len(bg) * {_licenses.DICE} <= {2 - _licenses.DICE} * len(tbg) + 1e-9),
+f AS (SELECT doc_id, count(*) AS n, arg_min(name, (-dice, name, line)) AS license, max(dice) AS dice FROM m
+  WHERE dice >= {_licenses.DICE} GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS names FROM
+  (SELECT DISTINCT doc_id, name FROM m WHERE dice >= {_licenses.DICE}) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM bg GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(c.n, 0)::BIGINT AS n_segments, coalesce(f.n, 0)::BIGINT AS n_matches, f.license,
+  f.dice::DOUBLE AS dice, coalesce(a.names, '') AS licenses
+FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN f ON f.doc_id = documents.doc_id
+LEFT JOIN a ON a.doc_id = documents.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it is quick enough over the whole tables; the others are tested
+    against brute-force versions."""
+    return {
+        "op3_decontaminate": OP3_SQL,
+        "op4_near_duplicates": OP4_SQL,
+        "op8_licenses": OP8_SQL,
+    }
