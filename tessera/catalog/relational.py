@@ -12,7 +12,7 @@ from ..plans.documents import document_report
 from ..plans.pages import page_report
 from ..sources.files import SUFFIX_READERS, UNSUPPORTED, route_by_suffix
 from .common import lit, table, values
-from .documents import _SENTI, _SUMMARY_CTES, _WF_CTES, summary_ctes
+from .documents import _SENTI, _SUMMARY_CTES, _WF_CTES, summary_ctes, wf_ctes
 from .common import word_count as sql_wc
 from .pages import _PE
 from .retrieval import FEEDBACK_SQL, feedback_rows
@@ -82,6 +82,17 @@ def q_document_report(spark, sf):
                       "neutrality", "compound", F.array_join("top_terms", " ").alias("top_terms"))
 
 
+def q_document_report_types(spark, sf):
+    """T08 by envelope type: text, image text, dicom metadata, an unknown type."""
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("doc_id") % len(TYPES) + 1).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", kind.alias("type"), "text", F.create_map(
+        F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+    return document_report(d).select("doc_id", F.coalesce("word_count", F.lit(0)).cast("long").alias("word_count"), "summary", "compound", F.array_join("top_terms", " ").alias("top_terms"), "error")
+
+
+TYPES = ["text", "image", "dicom", "video"]
+
+
 def _line_count(pdf):
     out = pdf[["doc_id"]].copy()
     out["n_lines"] = pdf["text"].str.count("\n").astype("int64") + 1
@@ -125,6 +136,7 @@ QUERIES = {
     "dedupe_keys": q_dedupe_keys,
     "feedback_format": q_feedback_format,
     "document_report": q_document_report,
+    "document_report_types": q_document_report_types,
     "map_batches": q_map_batches,
     "apply_rows": q_apply_rows,
     "batch_infer": q_batch_infer,
@@ -156,7 +168,15 @@ SELECT documents.doc_id, {sql_wc('documents.text')} AS word_count, summ.summary,
 FROM documents JOIN senti ON documents.doc_id = senti.id LEFT JOIN summ ON documents.doc_id = summ.doc_id
 LEFT JOIN tt ON documents.doc_id = tt.doc_id"""
 
+_TYPED = f"""WITH src AS (SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'lang: ' || lang || chr(10) || 'source: ' || source ELSE text END AS text
+  FROM documents WHERE doc_id % 4 <> 3), {wf_ctes(False, 'src')}, {sentiment_ctes('src', 'doc_id', 'text')}, {summary_ctes('src')},
+tt AS (SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS top_terms FROM wf WHERE rank <= {defaults.WORDCLOUD_MAX_WORDS} GROUP BY doc_id)
+SELECT src.doc_id, {sql_wc('src.text')} AS word_count, summ.summary, senti.compound, coalesce(tt.top_terms, '') AS top_terms, NULL::VARCHAR AS error
+FROM src JOIN senti ON src.doc_id = senti.id LEFT JOIN summ ON src.doc_id = summ.doc_id LEFT JOIN tt ON src.doc_id = tt.doc_id
+UNION ALL SELECT doc_id, 0::BIGINT, NULL, NULL, NULL, 'Unable to analyze content.' FROM documents WHERE doc_id % 4 = 3"""
+
 SQL = {
+    "document_report_types": _TYPED,
     "route_by_suffix": f"""WITH p AS (SELECT doc_id, 'doc_' || doc_id::VARCHAR || {_EXT_LIST}[doc_id % {len(EXTS)} + 1] AS path FROM documents)
 SELECT doc_id, path, {_ROUTE_CASE_R} AS reader, {_ROUTE_CASE_T} AS type,
   CASE WHEN {_ROUTE_CASE_R} IS NULL THEN {lit(UNSUPPORTED)} END AS error FROM p""",

@@ -34,6 +34,26 @@ def q_scan_text(spark, sf):
                     F.col("error").isNull().alias("valid"))
 
 
+def q_read_documents(spark, sf):
+    """S01-S07 over a mixed folder made of ``documents``: text files, docx files
+    and files of other types, one folder per suffix."""
+    out = scratch_path(spark, "rt-mixed")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    O.write_partition_files(d.where("doc_id % 5 = 0"), f"{out}/docx", _docx_render, ".docx").count()
+    others = d.where("doc_id % 5 <> 0").withColumn("kind", F.element_at(
+        F.array(*map(F.lit, OTHER_FILES)), (F.col("doc_id") % 5).cast("int")))
+    O.write_partition_files(others, f"{out}/rest", _plain_render, "").count()
+    r = S.read_documents(spark, out)
+    return r.select(F.regexp_extract("path", r"doc_(\d+)\.[A-Za-z]+$", 1).cast("long").alias("doc_id"), "type", "text", "error")
+
+
+OTHER_FILES = [".txt", ".TXT", ".csv", ".xyz"]
+
+
+def _plain_render(pdf):
+    return [(f"doc_{int(i)}{k}", t.encode()) for i, t, k in zip(pdf["doc_id"], pdf["text"], pdf["kind"])]
+
+
 def q_scan_csv(spark, sf):
     out = scratch_path(spark, "rt-csv")
     table(spark, sf, "part").write.option("header", True).csv(out)
@@ -152,6 +172,7 @@ def q_feedback_stats(spark, sf):
 
 QUERIES = {
     "scan_text": q_scan_text,
+    "read_documents": q_read_documents,
     "scan_csv": q_scan_csv,
     "scan_json_flat": q_scan_json_flat,
     "scan_xml_rows": q_scan_xml_rows,
@@ -172,6 +193,8 @@ _PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_
 SQL = {
     "scan_text": f"""SELECT source, (sum(length(text)) + count(*))::BIGINT AS n_chars, sum({sql_wc('text')})::BIGINT AS word_count,
   TRUE AS valid FROM documents GROUP BY source""",
+    "read_documents": """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 2) THEN 'text' WHEN doc_id % 5 = 3 THEN 'dataframe' END AS type,
+  CASE WHEN doc_id % 5 IN (0, 1, 2) THEN text END AS text, CASE WHEN doc_id % 5 = 4 THEN 'Unsupported document type.' END AS error FROM documents""",
     "scan_csv": _PART,
     "scan_json_flat": """SELECT o_orderkey, o_custkey AS "cust.o_custkey", o_orderstatus AS "status.o_orderstatus",
   o_orderpriority AS "status.o_orderpriority", o_totalprice AS "price.o_totalprice" FROM orders""",

@@ -41,19 +41,23 @@ def envelope_text(type_col: str = "type", text_col: str = "text", metadata_col:
     return F.when(F.col(type_col) == "dicom", metadata_text(F.col(metadata_col))).otherwise(F.col(text_col))
 
 
+#: Types with a text report; tables have ``table_document_report``.
+REPORTED = ("text", "image", "dicom", "dataframe")
+NOT_ANALYZED = "Unable to analyze content."
+
+
 def document_report(envelopes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """T08 over text / image / dicom envelopes; rows with an ``error`` are
-    passed through with their error and no report."""
+    """T08 over envelopes: text, image text, dicom metadata and the row text of
+    tables are reported.  Rows with an ``error`` keep it and have no report;
+    other types have the error ``NOT_ANALYZED``."""
     cols = envelopes.columns
-    has_err = "error" in cols
-    ok = envelopes.where(F.col("error").isNull()) if has_err else envelopes
+    known = F.coalesce(F.col("type").isin(*REPORTED), F.lit(False))
+    own = F.col("error") if "error" in cols else F.lit(None).cast("string")
+    rows = envelopes.withColumn("_error", F.coalesce(own, F.when(~known, F.lit(NOT_ANALYZED))))
     text = envelope_text("type", "text", "metadata") if "metadata" in cols else F.col("text")
-    src = ok.select(id_col, text.alias("_t"))
-    rep = text_report(src, id_col, "_t")
-    if has_err:
-        errs = envelopes.where(F.col("error").isNotNull()).select(id_col, "error")
-        return rep.unionByName(errs, allowMissingColumns=True)
-    return rep
+    rep = text_report(rows.where("_error is null").select(id_col, text.alias("_t")), id_col, "_t")
+    errs = rows.where("_error is not null").select(id_col, F.col("_error").alias("error"))
+    return rep.unionByName(errs, allowMissingColumns=True)
 
 
 def table_document_report(df: DataFrame, order_by: list[str]) -> dict[str, DataFrame]:

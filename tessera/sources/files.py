@@ -48,10 +48,43 @@ def route_by_suffix(df: DataFrame, path_col: str = "path") -> DataFrame:
         "error", F.when(reader.isNull(), F.lit(UNSUPPORTED)))
 
 
-def scan_text(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def suffix_glob(suffix: str) -> str:
+    """File-name pattern of a suffix in any case."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
+def raw_files(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
+    """Files below ``path`` (of one suffix) as ``binaryFile`` rows; a column
+    that is not used, the content included, is not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return (reader if suffix is None else reader.option("pathGlobFilter", suffix_glob(suffix))).load(path)
+
+
+#: Types whose content has no text here: bytes of images, scans and page layouts.
+NO_DECODER = "No text decoder for this type."
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """S01 over a mixed folder: one envelope (path, type, text, error) per file.
+
+    Text and docx files are read; tables (csv, json, xml, xlsx) are envelopes
+    of type 'dataframe' without text, to be opened with their own scan; other
+    known types carry ``NO_DECODER`` and unknown ones ``UNSUPPORTED``.  Every
+    file of the folder has exactly one row, broken ones with their error."""
+    from .office import scan_docx
+    listed = route_by_suffix(raw_files(spark, path).select("path"))
+    none = F.lit(None).cast("string")
+    read = (scan_text(spark, path, suffix=".txt").withColumn("type", F.lit("text"))
+            .unionByName(scan_docx(spark, path, suffix=".docx").withColumn("type", F.lit("text"))))
+    error = F.when(F.col("reader").isin("pdf", "image", "dicom"), F.lit(NO_DECODER)).otherwise(F.col("error"))
+    rest = listed.where("reader is null or reader not in ('txt', 'docx')").select("path", "type", none.alias("text"), error.alias("error"))
+    return read.select("path", "type", "text", "error").unionByName(rest)
+
+
+def scan_text(spark: SparkSession, path: str, strict: bool = True, suffix: str | None = None) -> DataFrame:
     """(path, text, error) per file; with ``strict`` a file that is not
     valid UTF-8 yields an error value instead of text."""
-    raw = spark.read.format("binaryFile").load(path)
+    raw = spark.read.format("binaryFile").load(path) if suffix is None else raw_files(spark, path, suffix)
     s = F.col("content").cast("string")
     ok = F.is_valid_utf8(s)
     if not strict:

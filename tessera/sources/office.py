@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .files import _infer_types, apply_types
+from .files import _infer_types, apply_types, raw_files
 
 NS_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 NS_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -124,18 +124,18 @@ def _docx_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "para_no", "text", "error"])
 
 
-def scan_docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+def scan_docx_paragraphs(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
     """S07 (long form): (path, para_no, text, error)."""
     ship_package(spark)
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    raw = (spark.read.format("binaryFile").load(path) if suffix is None else raw_files(spark, path, suffix)).select("path", "content")
     return raw.mapInPandas(_docx_batches, "path string, para_no int, text string, error string")
 
 
-def scan_docx(spark: SparkSession, path: str) -> DataFrame:
+def scan_docx(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
     """(path, text, error) with body paragraphs joined by newlines (A15); a
     file that does not parse has its ``error`` and no text."""
     from ..operators.relational import ordered_concat
-    paras = scan_docx_paragraphs(spark, path)
+    paras = scan_docx_paragraphs(spark, path, suffix)
     good = ordered_concat(paras.where(F.col("error").isNull()), ["path"], "para_no", "text", "\n")
     bad = paras.where(F.col("error").isNotNull()).select("path", "error")
     return good.unionByName(bad, allowMissingColumns=True)

@@ -93,6 +93,20 @@ def test_office_round_trip(spark, tmpdir_path):
     assert d["text"] == "First para\n\nThird <para>"
 
 
+def test_mixed_folder(spark, tmpdir_path):
+    _write(tmpdir_path, "a.TXT", "héllo".encode())
+    _write(tmpdir_path, "bad.txt", b"\xff\xfe")
+    _write(tmpdir_path + "/sub", "b.docx", O.docx_bytes(["one", "two"]))
+    _write(tmpdir_path + "/sub", "broken.docx", b"no zip")
+    for name in ("c.csv", "d.pdf", "e.xyz"):
+        _write(tmpdir_path, name, b"x,y")
+    got = {os.path.basename(r["path"]): (r["type"], r["text"], r["error"]) for r in S.read_documents(spark, tmpdir_path).collect()}
+    assert got["a.TXT"] == ("text", "héllo", None) and got["b.docx"] == ("text", "one\ntwo", None)
+    assert got["bad.txt"][1] is None and got["bad.txt"][2] and got["broken.docx"][1] is None and got["broken.docx"][2]
+    assert got["c.csv"] == ("dataframe", None, None) and got["d.pdf"] == ("text", None, S.NO_DECODER)
+    assert got["e.xyz"] == (None, None, S.UNSUPPORTED) and len(got) == 7
+
+
 def test_text_strict_utf8(spark, tmpdir_path):
     _write(tmpdir_path, "ok.txt", "héllo\n".encode())
     _write(tmpdir_path, "bad.txt", b"\xff\xfe bad")
