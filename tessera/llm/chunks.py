@@ -28,11 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
-
 from .kernels import PIECE, constants, slices, utf8
 from .repeats import prefix_hash, window_hash
-from .tables import staged
+from .tables import ready, staged
 
 BITS, LEAST, MOST, PASSAGE = 5, 16, 256, 96
 WINDOW = 16
@@ -102,7 +100,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated passages), the removed ``spans`` and the ``kept`` bytes (binary)."""
     if least < WINDOW or most < least or not 1 <= bits <= 12:
         raise ValueError(f"{WINDOW} <= least <= most and 1 <= bits <= 12")
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
         "doc_id", F.coalesce(F.hash("text"), F.lit(0)).alias("part"), F.coalesce("text", F.lit("")).alias("text"))

@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
-
 from .kernels import ALNUM, slices, utf8, words
+from .tables import ready
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -269,7 +268,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                       block_bytes: int = BLOCK_BYTES, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """One row per document: words, words inside a test window, the items that
     occur, and the longest verbatim match with its word position and item."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     blocks = test_blocks(benchmark, item_col, item_text, window, block_bytes, max_benchmark_bytes)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -291,7 +290,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                   max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """The documents, all columns as they were, without those that hold a word
     inside an occurrence of a test window."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     blocks = test_blocks(benchmark, item_col, item_text, window, block_bytes, max_benchmark_bytes)
     place = docs.columns.index(text_col)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 _U = np.uint64
 
 
@@ -72,7 +72,7 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def slices(batches, column: int | str, size: int = 8 << 20):
+def slices(batches, column: int | str, size: int = 4 << 20):
     """The batches in slices of at most ``size`` bytes of a text column (or one
     row), so that a task's arrays do not follow the rows of a batch."""
     for b in batches:

@@ -32,10 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
-
 from .kernels import PIECE, slices, utf8
-from .tables import staged, without
+from .tables import ready, staged, without
 
 TRAIN_ROWS, BUCKETS, OVERLAP, STRENGTH, LEAST = 6000, 1 << 16, 3.0, 5.0, 0.5
 SMOOTH = 0.5
@@ -62,7 +60,7 @@ def trigrams(data: np.ndarray, off: np.ndarray):
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS):
     """(languages, log-likelihood table [BUCKETS, languages + 1]); the last
     column is 'und'.  About ``train_rows`` rows are used, whatever the input."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     total = rows.count()
@@ -120,10 +118,10 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
     return rows.mapInArrow(score, ", ".join([*types, "scores array<double>", "n long"]))
 
 
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def _softmax(df: DataFrame, scores: str, out: str) -> DataFrame:
+    e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
+    return (df.withColumn("e", e).withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
+            .withColumn(out, F.transform("e", lambda x: x / F.col("z"))).drop("e", "z"))
 
 
 def _sums(n: int) -> list[Column]:
@@ -138,7 +136,7 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, strength: flo
     names = [*langs, "und"]
     n = len(names)
     label = F.array(*[F.lit(x) for x in names])
-    scored = staged(text_evidence(rows, langs, table).withColumn("p", _softmax(F.col("scores"))), "evidence")
+    scored = staged(_softmax(text_evidence(rows, langs, table), "scores", "p"), "evidence")
     known = scored.where("n > 0")
 
     def likelihood(column: str) -> DataFrame:
@@ -167,11 +165,12 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, strength: flo
            .join(hosts, (F.col("host") == F.col("h")) & F.col("domain").eqNullSafe(F.col("d")), "left")
            .crossJoin(F.broadcast(whole)))                                           # whole: one row
     others = F.zip_with("own", "p", lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    prior = F.when(F.col("own").isNotNull(), smoothed(others, F.col("up"))).otherwise(share(F.col("all")))
+    out = out.withColumn("others", others)
+    prior = F.when(F.col("own").isNotNull(), smoothed(F.col("others"), F.col("up"))).otherwise(share(F.col("all")))
     term = lambda c: F.coalesce(F.col(c), F.array(*[F.lit(0.0)] * n))
     total = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     fused = total(total(F.col("scores"), F.transform(prior, lambda x: F.log(x))), total(term("declared_log"), term("suffix_log")))
-    out = out.withColumn("posterior", _softmax(fused))
+    out = _softmax(out.withColumn("fused", fused), "fused", "posterior")
     pick = lambda c: F.get(label, F.array_position(F.col(c), F.array_max(c)).cast("int") - 1)
     lang = F.when(F.col("n") == 0, F.lit("und")).otherwise(pick("posterior"))
     return (out.select("id", lang.alias("lang"),

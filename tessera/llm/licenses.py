@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
-
 from .kernels import ALNUM, ngrams, slices, utf8, words
+from .tables import ready
 
 DICE = 0.8
 
@@ -62,7 +61,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, id_c
     text, best first."""
     if not 0 < dice <= 1:
         raise ValueError("0 < dice <= 1")
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     names, sets = bigram_sets(templates)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()

@@ -36,11 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
-
 from .components import connected_components
 from .kernels import SPACED, constants, mix, row_shingles, slices, utf8, words
-from .tables import matching, staged, without
+from .tables import matching, ready, staged, without
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 4, 75
 BATCH, MISS, BLOCK, BLOCK_SIZE, SALT = 16, 1e-6, 512, 4_000_000, 64
@@ -64,7 +62,7 @@ def least_matches(hashes: int, batch: int, threshold: float, miss: float) -> lis
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, hashes: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, sig): set size, 128-bit digest of the set
     and the signature (``hashes`` little-endian 32-bit values; null: no set)."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def sign(batches):
         mul = (constants(hashes, 23) >> np.uint64(20)).astype(np.uint32) | np.uint32(1)

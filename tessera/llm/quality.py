@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
-
 from .kernels import ALNUM, SPACED, constants, mix, slices, utf8, words
+from .tables import ready
 
 TRAIN_ROWS, LEAST_ROWS, DIM = 6000, 4, 1 << 20
 STEPS, RATE, RIDGE = 200, 0.1, 1e-4
@@ -139,7 +138,7 @@ class Ordinal:
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
           rating_id: str = "doc_id", grade_col: str = "grade", train_rows: int = TRAIN_ROWS) -> Ordinal:
     """Fit on at most ``train_rows`` rated texts."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     rated = (ratings.select(F.col(rating_id).alias("id"), F.col(grade_col).cast("int").alias("grade"))
              .where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade")))
     total = rated.count()
@@ -164,7 +163,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
 def score(docs: DataFrame, model: Ordinal, at_least: int, tail: float = TAIL, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, expected_grade, tail_probability, selected."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

@@ -34,10 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship_package
-
 from .kernels import PIECE, _pows, constants, mix, slices, utf8
-from .tables import staged
+from .tables import ready, staged
 
 DEPTH, GRAM, GROUP = 200, 32, 1024
 _BYTE = constants(256, 41)
@@ -230,7 +228,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a character)."""
     if not 1 <= gram < depth <= 4096:
         raise ValueError("1 <= gram < depth <= 4096")
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     found = (repeated_spans(rows, depth, gram).groupBy("doc_id", "part")
              .agg(F.collect_list(F.struct("lo", "hi")).alias("found")))

@@ -6,13 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.session import scratch_path
+from tessera.session import scratch_path, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: with whole texts the session's default of 10,000
+#: rows is tens of MB, on both sides and for every task.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, and Arrow batches small
+    enough for whole texts (a size that the user has set stays)."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     back: lineage ends there, and a lost executor costs no recomputation."""
