@@ -95,7 +95,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train
 
 def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """``rows`` (id, text, then evidence columns) with ``text`` replaced by
-    ``scores`` (tempered log-likelihoods) and the number of trigrams ``n``."""
+    ``scores`` (tempered log-likelihoods), their posterior ``p`` and the number
+    of trigrams ``n``."""
     held = rows.sparkSession.sparkContext.broadcast(table)
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
 
@@ -111,17 +112,59 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataF
                 total[row[first]] += np.add.reduceat(t[g], first, axis=0, dtype=np.float64)
                 n += np.bincount(row, minlength=b.num_rows)
             rest = [b.column(k) for k in range(b.num_columns) if k != 1]
-            scores = pa.array((total / OVERLAP).tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*rest, scores, pa.array(n, pa.int64())],
-                                             names=[b.schema.names[k] for k in range(b.num_columns) if k != 1] + ["scores", "n"])
+            total /= OVERLAP
+            yield pa.RecordBatch.from_arrays(
+                [*rest, _lists(total), _lists(_softmax(total)), pa.array(n, pa.int64())],
+                names=[b.schema.names[k] for k in range(b.num_columns) if k != 1] + ["scores", "p", "n"])
 
-    return rows.mapInArrow(score, ", ".join([*types, "scores array<double>", "n long"]))
+    return rows.mapInArrow(score, ", ".join([*types, "scores array<double>", "p array<double>", "n long"]))
 
 
-def _softmax(df: DataFrame, scores: str, out: str) -> DataFrame:
-    e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return (df.withColumn("e", e).withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
-            .withColumn(out, F.transform("e", lambda x: x / F.col("z"))).drop("e", "z"))
+def fuse(met: DataFrame, names: list[str], strength: float, least: float) -> DataFrame:
+    """The last step, row by row: ``met`` has the scores, the host's sums
+    (``own``) with what they are smoothed towards (``up``), the sums of all rows
+    and the log-likelihoods of the declaration and the suffix."""
+    n = len(names)
+    id_type = met.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            col = {k: b.column(i) for i, k in enumerate(b.schema.names)}
+            scores, p = _matrix(col["scores"], n)[0], _matrix(col["p"], n)[0]
+            (own, there), up, every = _matrix(col["own"], n), _matrix(col["up"], n)[0], _matrix(col["all"], n)[0]
+            others = np.maximum(own - p, 0)
+            prior = np.where(there[:, None], (others + strength * up) / (others.sum(axis=1, keepdims=True) + strength),
+                             every / every.sum(axis=1, keepdims=True))
+            posterior = _softmax(scores + np.log(prior) + _matrix(col["declared_log"], n)[0] + _matrix(col["suffix_log"], n)[0])
+            read = np.asarray(col["n"]) > 0
+            best, text = posterior.argmax(axis=1), p.argmax(axis=1)
+            sure = np.where(read, posterior.max(axis=1), 1.0)
+            lang = np.where(read, np.array(names)[best], "und")
+            yield pa.RecordBatch.from_arrays(
+                [col["id"], pa.array(lang), pa.array(sure), pa.array(np.where(read, np.array(names)[text], "und")), col["declared"],
+                 col["suffix"], col["host"], col["domain"], pa.array((lang != "und") & (sure >= least))],
+                names=["id", "lang", "posterior", "text_lang", "declared", "suffix", "host", "domain", "accepted"])
+
+    return met.mapInArrow(run, f"id {id_type}, lang string, posterior double, text_lang string, declared string, suffix string, "
+                               "host string, domain string, accepted boolean")
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    off = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _matrix(col, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of an array column of ``n`` doubles (nulls as zeros), and which are there."""
+    there = np.asarray(col.is_valid())
+    out = np.zeros((len(col), n))
+    out[there] = col.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out, there
 
 
 def _sums(n: int) -> list[Column]:
@@ -135,8 +178,7 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, strength: flo
     accepted and the evidence."""
     names = [*langs, "und"]
     n = len(names)
-    label = F.array(*[F.lit(x) for x in names])
-    scored = staged(_softmax(text_evidence(rows, langs, table), "scores", "p"), "evidence")
+    scored = staged(text_evidence(rows, langs, table), "evidence")
     known = scored.where("n > 0")
 
     def likelihood(column: str) -> DataFrame:
@@ -164,20 +206,8 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray, strength: flo
     out = (scored.join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
            .join(hosts, (F.col("host") == F.col("h")) & F.col("domain").eqNullSafe(F.col("d")), "left")
            .crossJoin(F.broadcast(whole)))                                           # whole: one row
-    others = F.zip_with("own", "p", lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    out = out.withColumn("others", others)
-    prior = F.when(F.col("own").isNotNull(), smoothed(F.col("others"), F.col("up"))).otherwise(share(F.col("all")))
-    term = lambda c: F.coalesce(F.col(c), F.array(*[F.lit(0.0)] * n))
-    total = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = total(total(F.col("scores"), F.transform(prior, lambda x: F.log(x))), total(term("declared_log"), term("suffix_log")))
-    out = _softmax(out.withColumn("fused", fused), "fused", "posterior")
-    pick = lambda c: F.get(label, F.array_position(F.col(c), F.array_max(c)).cast("int") - 1)
-    lang = F.when(F.col("n") == 0, F.lit("und")).otherwise(pick("posterior"))
-    return (out.select("id", lang.alias("lang"),
-                       F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.array_max("posterior")).alias("posterior"),
-                       F.when(F.col("n") == 0, F.lit("und")).otherwise(pick("p")).alias("text_lang"),
-                       "declared", "suffix", "host", "domain")
-            .withColumn("accepted", (F.col("lang") != "und") & (F.col("posterior") >= least)))
+    return fuse(out.select("id", "scores", "p", "n", "own", "up", "all", "declared_log", "suffix_log",
+                           "declared", "suffix", "host", "domain"), names, strength, least)
 
 
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
