@@ -147,5 +147,42 @@ def test_a_group_larger_than_a_shard(spark):
     assert max(sizes) - min(sizes) < 0.1 * sum(sizes) / 4
 
 
+def test_a_giant_group_leaves_small_groups_together(spark):
+    """Small groups that want the giant's shard go elsewhere, whole."""
+    rng = random.Random(6)
+    big, groups = sentence(rng, 30), [sentence(rng, 30) for _ in range(150)]
+    rows = [(k, big) for k in range(700)] + [(1000 + k, groups[k % 150]) for k in range(600)]
+    rows += [(3000 + k, sentence(rng, 30)) for k in range(800)]
+    got = placed(spark, rows, shards=4)
+    sizes = check_shards(got, rows, 4)
+    assert max(sizes) - min(sizes) < 0.1 * sum(sizes) / 4
+    texts, shards = dict(rows), {}
+    for r in got:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(shards[g]) > 1 for g in groups) <= 2
+
+
+def test_groups_move_when_every_document_is_linked(spark):
+    """No shard has free bytes at the start: documents change places."""
+    rng = random.Random(7)
+    groups = [sentence(rng, 30) for _ in range(120)]
+    rows = [(k, groups[k % 120]) for k in range(1200)]
+    got = placed(spark, rows, shards=4)
+    sizes = check_shards(got, rows, 4)
+    assert max(sizes) - min(sizes) < 0.1 * sum(sizes) / 4
+    texts, shards = dict(rows), {}
+    for r in got:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert sum(len(shards[g]) > 1 for g in groups) <= 40      # a hash layout splits nearly all of them
+
+
+def test_flows_keep_quotas():
+    wants = {(0, 1): 500, (1, 0): 300, (2, 1): 400, (1, 2): 0}
+    room = [0, 100, 50]
+    got = sharding.flows(wants, room)
+    assert all(0 <= got[k] <= wants[k] for k in got) and min(room) >= -3
+    assert got[0, 1] + got[2, 1] > 390                     # what leaves makes room
+
+
 def test_odd_rows_are_placed(spark):
     check_shards(placed(spark, odd_rows(), shards=3), odd_rows(), 3)
