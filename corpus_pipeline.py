@@ -6,8 +6,10 @@ one before it kept.
 3. decontamination: documents that hold a passage of ``benchmark`` go.
 4. mixing: a token budget is shared out over domains, languages and sources;
    each source's seeded token prefix stays.
-5. sharding: the rest is dealt to shards of nearly equal bytes, equal texts
-   together.
+5. sharding: the rest is dealt to shards of nearly equal bytes, documents of a
+   source together.  (Stage 2 left no equal texts, so the source, which stands
+   for the host, is the link; a source larger than a shard fills one, and its
+   rest and documents without a source are laid out by hash.)
 
 Null ids and texts: a null text has no language and goes in stage 1; rows with
 a null id have no duplicates, and rows that share an id stay or go together.
@@ -48,7 +50,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs)
+    source = F.col("source").cast("string")
+    return shard_documents(docs, link=F.when(source != "", F.xxhash64(source)))
 
 
 STAGES = [

@@ -1,7 +1,10 @@
+import random
+from collections import Counter
+
 import corpus_pipeline
 from tessera.llm.queries import WEIGHTS
 
-from .helpers import SF, clash, docs, odd_rows
+from .helpers import SF, clash, docs, odd_rows, sentence
 from .test_decontaminate import brute as hits
 from .test_decontaminate import windows
 from .test_mixing_and_sharding import brute as mixture
@@ -49,3 +52,19 @@ def test_stages_take_odd_rows_and_extra_columns(spark):
 def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs(spark, []), SF).count() == 0
+
+
+def test_sharding_keeps_sources_together(spark):
+    """No two texts are equal after stage 2: the link must be another one.  Of
+    20 equal sources on 8 shards a hash layout cuts 7 of 8 pairs."""
+    rng = random.Random(8)
+    rows = [(k, sentence(rng, 30), "en", f"src{k % 20}") for k in range(1200)]
+    rows += [(5000 + k, sentence(rng, 30), "en", None if k % 2 else "") for k in range(100)]
+    got = corpus_pipeline.STAGES[-1][1](spark, docs(spark, rows), SF).collect()
+    sizes, held = Counter(), Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+        if r.doc_id < 5000:
+            held[r.doc_id % 20, r.shard] += 1
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) < 0.1 * sum(sizes.values()) / 8
+    assert sum(n * n for n in held.values()) > 0.6 * 20 * 60 * 60      # ordered pairs of a source in one shard
