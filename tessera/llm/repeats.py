@@ -11,8 +11,11 @@ pass are exactly the repeated windows:
 * digit 2: the content of the whole run.  A group whose runs are all equal is
   finished: each of its windows is repeated.
 * digit 3, only for groups that still differ: one run of each content spells
-  out its windows to the full depth.  A group of many contents is dealt over
-  (anchor, salt) by window, about ``GROUP`` runs' worth in each.
+  out its windows to the full depth.  An anchor of at most ``GROUP`` contents is
+  compared in one task; for one of more contents each window is a row, (anchor,
+  window) is counted with partial aggregation, and windows that occur more than
+  once are joined back, so that a window in very many texts is no group of one
+  task.
 
 Each pass keeps only groups that are still tied.  Hot anchors are met by
 partial aggregation and by joins that adaptive execution splits; texts are
@@ -150,35 +153,51 @@ def repeated_spans(rows: DataFrame, depth: int, gram: int) -> DataFrame:
                                    (F.col("first") + F.col("n") - 1 + depth).alias("hi"))
     alike = covered(held.where("alike")).unionByName(covered(
         held.where("not alike").join(kinds.where("c > 1").select("anchor", "content"), ["anchor", "content"])))
-    many = (kinds.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts")))
-    spelled = (kinds.join(many, "anchor").groupBy("one.doc_id", "one.part")
-               .agg(F.collect_list(F.struct("anchor", "salts", F.col("one.first").alias("first"),
-                                            F.col("one.n").alias("n"), (F.col("c") > 1).alias("known"))).alias("runs")))
+    small, big = by_kinds(kinds)
 
-    def spell(batches):
+    def spelled(some: DataFrame) -> DataFrame:
+        by_text = some.groupBy("one.doc_id", "one.part").agg(F.collect_list(F.struct(
+            "anchor", F.col("one.first").alias("first"), F.col("one.n").alias("n"), (F.col("c") > 1).alias("known"))).alias("runs"))
+        return _with_texts(rows, by_text, "inner").select("doc_id", "part", "text", "runs")
+
+    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}.get(id_type)
+    if id_arrow is None:
+        raise TypeError(f"ids of type {id_type} are not supported: cast them to bigint or string")
+    spell_schema = pa.schema([("anchor", pa.int64()), ("doc_id", id_arrow), ("part", pa.int32()),
+                              ("known", pa.bool_()), ("starts", pa.binary()), ("hashes", pa.binary())])
+
+    def window_hashes(batches):
+        """Per slice: (anchor, doc_id, part, known, starts, hashes) of its runs."""
         for b in slices(batches, "text"):
             out = []
             data, off = utf8(b.column("text"))
             for doc, part, lo, hi, todo in zip(b.column("doc_id").to_pylist(), b.column("part").to_pylist(), off[:-1].tolist(),
                                                off[1:].tolist(), b.column("runs").to_pylist()):
-                for anchor, salts, first, n, known in (x.values() for x in todo):
+                for anchor, first, n, known in (x.values() for x in todo):
                     c = prefix_hash(data[lo + first:lo + first + n - 1 + depth])
-                    h = window_hash(c, np.arange(n), depth)
-                    which = (h % np.uint64(salts)).astype(np.int64)
-                    for salt in np.unique(which).tolist():
-                        at = np.flatnonzero(which == salt)
-                        out.append((anchor, salt, doc, part, known, (at + first).astype(np.int64).tobytes(), h[at].tobytes()))
-            cols = list(zip(*out)) if out else [[]] * 7
+                    out.append((anchor, doc, part, known, np.arange(first, first + n), window_hash(c, np.arange(n), depth)))
+            yield out
+
+    def spell(batches):
+        for out in window_hashes(batches):
+            cols = list(zip(*[(*x, s.astype(np.int64).tobytes(), h.tobytes()) for *x, s, h in out])) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, spell_schema)], schema=spell_schema)
 
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}.get(id_type)
-    if id_arrow is None:
-        raise TypeError(f"ids of type {id_type} are not supported: cast them to bigint or string")
-    spell_schema = pa.schema([("anchor", pa.int64()), ("salt", pa.int64()), ("doc_id", id_arrow), ("part", pa.int32()),
-                              ("known", pa.bool_()), ("starts", pa.binary()), ("hashes", pa.binary())])
-    windows = (_with_texts(rows, spelled, "inner").select("doc_id", "part", "text", "runs")
-               .mapInArrow(spell, f"anchor long, salt long, doc_id {id_type}, part int, known boolean, starts binary, hashes binary")
-               .repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"))
+    def spell_rows(batches):
+        """A row for each window."""
+        for every in window_hashes(batches):
+            for k in range(0, len(every), GROUP):
+                out = every[k:k + GROUP]
+                take = pa.array(np.repeat(np.arange(len(out)), [len(x[4]) for x in out]), pa.int64())
+                heads = [pa.array([x[j] for x in out], f.type).take(take) for j, f in enumerate(list(spell_schema)[:4])]
+                yield pa.RecordBatch.from_arrays(
+                    [*heads, pa.array(np.concatenate([x[4] for x in out]), pa.int64()),
+                     pa.array(np.concatenate([x[5] for x in out]).view(np.int64), pa.int64())],
+                    names=["anchor", "doc_id", "part", "known", "lo", "h"])
+
+    windows = (spelled(small)
+               .mapInArrow(spell, f"anchor long, doc_id {id_type}, part int, known boolean, starts binary, hashes binary")
+               .repartition("anchor").sortWithinPartitions("anchor"))
 
     def tie(batches):
         run, part = None, []
@@ -208,17 +227,33 @@ def repeated_spans(rows: DataFrame, depth: int, gram: int) -> DataFrame:
 
         for b in batches:
             out = []
-            for anchor, salt, *rest in zip(*(b.column(k).to_pylist() for k in range(7))):
-                if (anchor, salt) != run:
+            for anchor, *rest in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if anchor != run:
                     if part:
                         out.extend(groups())
-                    run, part = (anchor, salt), []
+                    run, part = anchor, []
                 part.append(rest)
             yield batch(out)
         if part:
             yield batch(list(groups()))
 
-    return alike.unionByName(windows.mapInArrow(tie, f"doc_id {id_type}, part int, lo long, hi long"))
+    found = alike.unionByName(windows.mapInArrow(tie, f"doc_id {id_type}, part int, lo long, hi long"))
+    if big is None:
+        return found
+    each = spelled(big).mapInArrow(spell_rows, f"anchor long, doc_id {id_type}, part int, known boolean, lo long, h long")
+    each = staged(each, "windows")
+    often = staged(each.groupBy("anchor", "h").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "h"), "often")
+    return found.unionByName(each.where("not known").join(often, ["anchor", "h"], "left_semi")
+                             .select("doc_id", "part", "lo", (F.col("lo") + depth).alias("hi")))
+
+
+def by_kinds(kinds: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``kinds`` of anchors with at most ``GROUP`` contents, and of those with
+    more (None if there are none)."""
+    many = staged(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("anchor"), "many")
+    if many.isEmpty():
+        return kinds, None
+    return kinds.join(many, "anchor", "left_anti"), kinds.join(many, "anchor", "left_semi")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chunks, repeats
 from tessera.llm.kernels import utf8
@@ -59,6 +60,25 @@ def test_pieces_of_long_rows_and_salted_groups(spark, monkeypatch):
     assert result(repeats.remove_repeats(docs(spark, rows), depth=40, gram=8)) == brute(rows, 40)
 
 
+def test_a_passage_in_many_contexts(spark, monkeypatch):
+    """One window in the runs of very many contents: no anchor of more than
+    GROUP contents is compared in one task, and the bytes are the same."""
+    monkeypatch.setattr(repeats, "GROUP", 4)
+    rng = random.Random(12)
+    passage = sentence(rng, 45)
+    rows = [(k, f"{sentence(rng, 40)} {passage} {sentence(rng, 40)}") for k in range(60)] + odd_rows()
+    dealt, whole = [], repeats.by_kinds
+
+    def noted(kinds):
+        small, big = whole(kinds)
+        dealt.append((small.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0, big is not None))
+        return small, big
+
+    monkeypatch.setattr(repeats, "by_kinds", noted)
+    assert result(repeats.remove_repeats(docs(spark, rows))) == brute(rows, 200)
+    assert dealt[0][0] <= 4 and dealt[0][1]
+
+
 def test_removal_on_empty_tables_and_bad_depths(spark):
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
