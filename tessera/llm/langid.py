@@ -4,7 +4,9 @@ log P(lang | page) = text + markup + suffix + host, up to a constant:
 
 * text: byte-trigram log-likelihoods, divided by ``OVERLAP`` because every byte
   takes part in three trigrams.  The model is counted on about ``train_rows``
-  labelled rows (whole texts), drawn by a hash of the row.
+  distinct labelled texts (whole), shared out evenly over the languages and
+  drawn per language by a 63-bit hash: a language with fewer texts than its
+  share trains on all of them, and every language on one text at least.
 * markup: P(declared language | lang), a smoothed confusion table.
 * suffix: P(address suffix | lang), likewise.
 * host: a prior smoothed hierarchically, host -> domain -> all, by
@@ -57,15 +59,39 @@ def trigrams(data: np.ndarray, off: np.ndarray):
         yield row[ok], (((code[ok] * np.uint32(0x9E3779B1)) >> np.uint32(8)) & np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
+def even_share(sizes: list[int], rows: int) -> float:
+    """The bound (1 at least) at which the bounded sizes sum to ``rows``."""
+    left = rows
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) >= left:
+            return max(1.0, left / (len(sizes) - k))
+        left -= n
+    return float(max(sizes, default=1))
+
+
+def hash_limit(level: float, n: int) -> int:
+    """Of ``n`` 63-bit hashes about ``level`` are up to this one."""
+    whole = (1 << 63) - 1
+    return whole if n <= level else min(whole, int(level / n * whole))
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS):
     """(languages, log-likelihood table [BUCKETS, languages + 1]); the last
-    column is 'und'.  About ``train_rows`` rows are used, whatever the input."""
+    column is 'und'.  About ``train_rows`` rows are used, whatever the input.
+    Texts without any label are an error: nothing could be told from 'und'."""
     ready(docs.sparkSession)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    total = rows.count()
-    share = min(1.0, train_rows / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1))
+    texts = docs.where(F.col(text_col).isNotNull())
+    rows = texts.where(F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn(
+        "h", F.shiftrightunsigned(F.xxhash64("lang", "text"), 1))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()  # a row per language
+    if not found and not texts.isEmpty():
+        raise ValueError(f"no row has a text and a label in {lang_col}")
+    level = even_share([r["n"] for r in found], train_rows)
+    limits = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], hash_limit(level, r["n"]))) for r in found],
+                                               "lang string, most long")
+    sample = (rows.join(F.broadcast(limits), "lang").where("h <= most")              # limits: a row per language
+              .dropDuplicates(["lang", "h"]).select("lang", "text"))
 
     def count(batches):
         sums = {}

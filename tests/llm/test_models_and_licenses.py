@@ -1,11 +1,13 @@
+import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, licenses, quality
 
-from .helpers import SF, clash, docs, lower_ascii, odd_rows
+from .helpers import SF, clash, docs, lower_ascii, odd_rows, sentence
 
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -62,6 +64,31 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert got.where("accepted and lang = truth").count() >= 0.98 * test.count()
 
 
+def test_rare_languages_train_and_samples_stay_bounded(spark):
+    """One language holds nearly all rows, many of them copies; a share of all
+    rows would leave the others out."""
+    rng = random.Random(13)
+    rows = [(k, sentence(rng, 8), "en") for k in range(3000)] + [(5000 + k, "one copy of a text", "en") for k in range(500)]
+    rows += [(7000, "ñandú así él está aquí", "es"), (7001, "größe für straße", "de"), (7002, "größe für straße", "de")]
+    langs, table = langid.train(docs(spark, rows), train_rows=30)
+    assert langs == ["de", "en", "es"] and table.shape[1] == 4
+    few, _ = langid.train(docs(spark, rows), train_rows=1)
+    assert few == ["de", "en", "es"]
+
+
+def test_training_shares():
+    assert langid.even_share([10, 1000, 1000], 110) == 50 and langid.even_share([3, 4], 100) >= 4
+    assert langid.even_share([7] * 50, 5) == 1 and langid.even_share([], 5) == 1
+    n = 10 ** 13                                       # rows of a table whose share of 2**20 would be 0
+    assert 5999 <= langid.hash_limit(6000, n) * n / 2 ** 63 <= 6001 and langid.hash_limit(5, 5) == 2 ** 63 - 1
+
+
+def test_texts_without_labels_are_an_error(spark):
+    with pytest.raises(ValueError, match="label"):
+        langid.train(docs(spark, [(1, "some text", None)]))
+    assert langid.train(docs(spark, [(1, None, None)]))[0] == []
+
+
 def test_evidence_decides_where_the_text_does_not(spark):
     langs, model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
     table = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200").collect()
