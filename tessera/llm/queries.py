@@ -19,6 +19,8 @@ from . import quality as _quality
 from . import mixing as _mixing
 from . import sharding as _sharding
 from . import fingerprints as _fingerprints
+from . import centroids as _centroids
+from . import whitening as _whitening
 from .tables import table
 
 
@@ -97,6 +99,19 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component, numbered from 1."""
+    return (_whitening.whiten(table(spark, sf_dir, "embeddings"))
+            .select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "explained", "identity_error",
+                    F.posexplode("whitened").alias("at", "whitened"))
+            .select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                    F.get("explained", F.col("at")).alias("explained"), "identity_error"))
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
@@ -109,6 +124,8 @@ def queries() -> dict:
         "op7_mixing": op7_mixing,
         "op10_sharding": op10_sharding,
         "op1_fingerprints": op1_fingerprints,
+        "op11_centroids": op11_centroids,
+        "op12_whitening": op12_whitening,
     }
 
 
@@ -174,6 +191,32 @@ FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN f ON f.doc_i
 LEFT JOIN a ON a.doc_id = documents.doc_id"""
 
 
+def _rounds_sql() -> str:
+    """Lloyd rounds in whole numbers: a_r assigns to the centroids c_r, c_(r + 1) moves them."""
+    c = _centroids
+    out = []
+    for r in range(c.ROUNDS + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT rid, min((d, c)) AS best FROM (SELECT k.rid, c{r}.c,
+  list_sum(list_transform(list_zip(k.x, c{r}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM k, c{r}) GROUP BY rid)""")
+        if r < c.ROUNDS:
+            out.append(f"""m{r} AS (SELECT c, i, sum(v) AS s, count(*) AS n FROM (SELECT a{r}.best[2] AS c, unnest(k.x) AS v,
+  unnest(range(1, {c.DIMS + 1})) AS i FROM k JOIN a{r} ON a{r}.rid = k.rid) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(g.x, c{r}.x) AS x FROM c{r} LEFT JOIN
+  (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM m{r} GROUP BY c) AS g ON g.c = c{r}.c)""")
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+  list_transform(embedding, lambda x: floor({_centroids.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {_centroids.DIMS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {_centroids.DIMS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('{_centroids.SEED}:' || vec_id) AS h, x
+  FROM k WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {_centroids.CLUSTERS})),
+{_rounds_sql()}
+SELECT k.vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+  (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM k JOIN a{_centroids.ROUNDS} AS a ON a.rid = k.rid JOIN c{_centroids.ROUNDS} AS f ON f.c = best[2]"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it is quick enough over the whole tables; the others are tested
     against brute-force versions."""
@@ -181,4 +224,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": OP3_SQL,
         "op4_near_duplicates": OP4_SQL,
         "op8_licenses": OP8_SQL,
+        "op11_centroids": OP11_SQL,
     }
