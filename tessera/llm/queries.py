@@ -21,6 +21,7 @@ from . import sharding as _sharding
 from . import fingerprints as _fingerprints
 from . import centroids as _centroids
 from . import whitening as _whitening
+from . import vectordup as _vectordup
 from .tables import table
 
 
@@ -112,6 +113,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.get("explained", F.col("at")).alias("explained"), "identity_error"))
 
 
+def op13_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectordup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
@@ -126,6 +131,7 @@ def queries() -> dict:
         "op1_fingerprints": op1_fingerprints,
         "op11_centroids": op11_centroids,
         "op12_whitening": op12_whitening,
+        "op13_vector_duplicates": op13_vector_duplicates,
     }
 
 
