@@ -19,7 +19,8 @@ is in the prefix when its own key is not larger.
 
 Only DataFrame functions are used.  Tokens are runs of non-blanks.  Null
 domains, languages and sources are branches of their own; unlisted branches
-have weight 1, branches of weight 0 take nothing; null and empty texts have
+have weight 1; a branch of weight 0 takes nothing, and what lies below it counts
+as no capacity of those above; null and empty texts have
 no tokens (they are in a prefix when their key is, and take 0 tokens); rows
 that share an id are in or out together; other columns are not looked at.
 """
@@ -64,17 +65,20 @@ def fill(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
 def budgets(tokens: DataFrame, total: Column, weights: dict, max_epochs: int) -> DataFrame:
     """(domain, lang, source, n_tokens, budget) of every leaf with a budget.
     ``tokens`` has one row per leaf."""
-    leaves = tokens.withColumn("capacity", F.col("n_tokens") * max_epochs)
-    held = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
-    tops = (held.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-            .withColumn("weight", weight_of(F.col("domain"), weights.get("domain"))))
+    # what a branch of weight 0 holds is no capacity of those above it
+    live = tokens.withColumn("capacity", F.col("n_tokens") * max_epochs)
+    for level in LEAF:
+        live = live.where(weight_of(F.col(level), weights.get(level)) > 0)
+    weigh = lambda df, level: df.withColumn("weight", weight_of(F.col(level), weights.get(level)))
+    held = live.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
+    tops = weigh(held.groupBy("domain").agg(F.sum("capacity").alias("capacity")), "domain")
     whole = tokens.agg(F.sum("n_tokens").alias("n")).select(total.alias("whole"))
     tops = fill(tops.crossJoin(F.broadcast(whole)), [], F.col("whole"))          # whole: one row
     tops = tops.select(F.col("domain").alias("d"), F.col("budget").alias("above"))
-    held = held.withColumn("weight", weight_of(F.col("lang"), weights.get("lang")))
+    held = weigh(held, "lang")
     held = fill(held.join(tops, held["domain"].eqNullSafe(tops["d"])).drop("d"), ["domain"], F.col("above"))
     held = held.select(F.col("domain").alias("d"), F.col("lang").alias("l"), F.col("budget").alias("above"))
-    leaves = leaves.withColumn("weight", weight_of(F.col("source"), weights.get("source")))
+    leaves = weigh(live, "source")
     leaves = leaves.join(held, leaves["domain"].eqNullSafe(held["d"]) & leaves["lang"].eqNullSafe(held["l"])).drop("d", "l")
     return (fill(leaves, ["domain", "lang"], F.col("above"))
             .select(*LEAF, "n_tokens", F.floor(F.col("budget") + 1e-6).cast("long").alias("budget")))

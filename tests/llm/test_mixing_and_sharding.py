@@ -34,19 +34,21 @@ def filled(total, nodes):
     return out
 
 
-def brute(rows, share, epochs):
+def brute(rows, share, epochs, weights=WEIGHTS):
     """(id, epoch, taken tokens) of the mixture."""
     leaf = {}
     for i, text, lang, source in rows:
         leaf.setdefault((domain(source), lang, source), []).append((i, len(WORD.findall(text or ""))))
+    total = sum(n for v in leaf.values() for _, n in v) * share // 1
+    weight = lambda level, k: weights.get(level, {}).get(k, 1)
+    leaf = {k: v for k, v in leaf.items() if all(weight(n, x) > 0 for n, x in zip(mixing.LEAF, k))}
     cap = {k: epochs * sum(n for _, n in v) for k, v in leaf.items()}
-    total = sum(cap.values()) // epochs * share // 1
     taken = []
-    tops = {d: (WEIGHTS["domain"].get(d, 1), sum(c for k, c in cap.items() if k[0] == d)) for d, _, _ in leaf}
+    tops = {d: (weight("domain", d), sum(c for k, c in cap.items() if k[0] == d)) for d, _, _ in leaf}
     for d, b in filled(total, tops).items():
-        langs = {k[1]: (WEIGHTS["lang"].get(k[1], 1), sum(c for x, c in cap.items() if x[:2] == k[:2])) for k in leaf if k[0] == d}
+        langs = {k[1]: (weight("lang", k[1]), sum(c for x, c in cap.items() if x[:2] == k[:2])) for k in leaf if k[0] == d}
         for g, bb in filled(b, langs).items():
-            for k, budget in filled(bb, {k: (1, cap[k]) for k in leaf if k[:2] == (d, g)}).items():
+            for k, budget in filled(bb, {k: (weight("source", k[2]), cap[k]) for k in leaf if k[:2] == (d, g)}).items():
                 whole = sum(n for _, n in leaf[k])
                 left, epoch = int(budget + 1e-6), 0
                 while left >= whole > 0:                 # whole epochs take every document
@@ -76,6 +78,19 @@ def test_mixture_equals_brute_force(spark, share, epochs):
     assert sorted((repr(r.doc_id), r.epoch, r.taken_tokens) for r in got.collect()) == brute(rows, share, epochs)
 
 
+def test_branches_of_weight_zero_pass_their_budget_on(spark):
+    rows = fixture()
+    weights = {"domain": {"web": 4, "books": 0}, "lang": {"en": 0, "de": 2}, "source": {"src0": 0, "src2": 3, None: 2}}
+    got = mixing.mix_sources(docs(spark, rows), domain_of(), F.floor(F.col("n") * 0.3), weights, 2)
+    assert sorted((repr(r.doc_id), r.epoch, r.taken_tokens) for r in got.collect()) == brute(rows, 0.3, 2, weights)
+    words = lambda n: "w " * n
+    rows = [(1, words(1000), "xx", "src0"), (2, words(10), "fr", "src0"), (3, words(1000), "fr", "src1")]
+    got = mixing.mix_sources(docs(spark, rows), domain_of(), F.lit(500), {"lang": {"xx": 0}}, 1)
+    assert got.agg(F.sum("taken_tokens")).first()[0] == 500
+    none = mixing.mix_sources(docs(spark, rows), domain_of(), F.lit(500), {"lang": {"xx": 0, "fr": 0}}, 1)
+    assert none.count() == 0
+
+
 def test_selected_documents_are_those_of_one_epoch(spark):
     rows = fixture()
     table = clash(docs(spark, rows))
