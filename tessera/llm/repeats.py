@@ -10,16 +10,17 @@ pass are exactly the repeated windows:
   one for every ``(depth - gram) / 2`` bytes).  Anchors that occur once leave.
 * digit 2: the content of the whole run.  A group whose runs are all equal is
   finished: each of its windows is repeated.
-* digit 3, only for groups that still differ: one run of each content spells
-  out its windows to the full depth.  An anchor of at most ``GROUP`` contents is
-  compared in one task; for one of more contents each window is a row, (anchor,
-  window) is counted with partial aggregation, and windows that occur more than
-  once are joined back, so that a window in very many texts is no group of one
-  task.
-
-Each pass keeps only groups that are still tied.  Hot anchors are met by
-partial aggregation and by joins that adaptive execution splits; texts are
-exchanged once, by document.
+* next digits, only for groups that still differ: one run of each content is cut
+  into blocks of 64 windows, at the same distances from the anchor in every run.
+  All windows of a block hold the same middle bytes (137 of 200), its digit: a
+  block alone with its digit holds no repeated window and leaves.  A block that
+  is whole in several runs is finished as one range.  Of what still differs one
+  block of each content is cut again, into blocks of 16, 4 and 1.
+
+So a passage in very many texts costs a few ranges a run, each pass keeps only
+groups that are still tied, and every group is met by partial aggregation and by
+joins that adaptive execution splits; no group is listed in a task.  Texts are
+exchanged by document, and only runs that differ carry their bytes.
 
 Removed is each byte covered by a string of ``depth`` bytes that also starts
 anywhere else, the same document included; strings are judged on the input
@@ -27,11 +28,14 @@ and never cross documents.  Null texts count as empty; texts shorter than
 ``depth`` have no window; rows are treated one by one (a repeated row is a
 copy of the other, whatever its id); a null id stays null; other columns are
 not looked at.  Strings are compared by 64-bit hashes within an anchor's
-64-bit hash.
+64-bit hash; rows that share an id are told apart by a 64-bit hash of their text
+(equal rows have equal results).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,10 +44,11 @@ from pyspark.sql import functions as F
 from .kernels import PIECE, _pows, constants, mix, slices, utf8
 from .tables import ready, staged
 
-DEPTH, GRAM, GROUP = 200, 32, 1024
+DEPTH, GRAM, RADIX = 200, 32, 4
+OUTPUT = 8 << 20                              # bytes of a batch of runs
 _BYTE = constants(256, 41)
 _INDEX = 21                                  # bits of a place in a piece
-RUNS = "doc_id {id}, part int, anchor long, content long, first long, n int, lead int"
+RUNS = "doc_id {id}, part long, anchor long, content long, first long, n int, lead int"
 
 
 def pieces(off: np.ndarray, depth: int):
@@ -117,7 +122,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, part, text): ``part`` tells apart rows that share an id."""
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.coalesce(F.hash("text"), F.lit(0)).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+        "doc_id", F.xxhash64("text").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _with_texts(rows: DataFrame, more: DataFrame, how: str) -> DataFrame:
@@ -147,113 +152,112 @@ def repeated_spans(rows: DataFrame, depth: int, gram: int) -> DataFrame:
             .where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike")))
     held = staged(runs.join(staged(tied, "tied"), "anchor"), "runs")
     kinds = (held.where("not alike").groupBy("anchor", "content")
-             .agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "part", "first", "n")).alias("one")))
+             .agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "part", "first", "n", "lead")).alias("one")))
     kinds = staged(kinds, "kinds")        # tables of their own: joins with them can be split at hot keys
     covered = lambda df: df.select("doc_id", "part", F.col("first").alias("lo"),
                                    (F.col("first") + F.col("n") - 1 + depth).alias("hi"))
     alike = covered(held.where("alike")).unionByName(covered(
         held.where("not alike").join(kinds.where("c > 1").select("anchor", "content"), ["anchor", "content"])))
-    small, big = by_kinds(kinds)
-
-    def spelled(some: DataFrame) -> DataFrame:
-        by_text = some.groupBy("one.doc_id", "one.part").agg(F.collect_list(F.struct(
-            "anchor", F.col("one.first").alias("first"), F.col("one.n").alias("n"), (F.col("c") > 1).alias("known"))).alias("runs"))
-        return _with_texts(rows, by_text, "inner").select("doc_id", "part", "text", "runs")
-
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}.get(id_type)
-    if id_arrow is None:
-        raise TypeError(f"ids of type {id_type} are not supported: cast them to bigint or string")
-    spell_schema = pa.schema([("anchor", pa.int64()), ("doc_id", id_arrow), ("part", pa.int32()),
-                              ("known", pa.bool_()), ("starts", pa.binary()), ("hashes", pa.binary())])
+    pieces = staged(spelled(rows, kinds, depth, id_type), "pieces")
+    size = 1
+    while size * RADIX < depth - gram + 1:
+        size *= RADIX
+    found = [alike]
+    while size:
+        blocks = staged(pieces.mapInArrow(cutter(size, depth), BLOCKS.format(id=id_type)), "blocks")
+        done, pieces = tie(blocks, depth)
+        found.append(done)
+        size //= RADIX
+        if not size or pieces.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+PIECES = "anchor long, doc_id {id}, part long, lo long, n int, lead int, known boolean, bytes binary"
+BLOCKS = "anchor long, place int, digit long, content long, doc_id {id}, part long, lo long, n int, lead int, known boolean, bytes binary"
+
+
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """``data[start:start + length]`` for each pair, as a binary array."""
+    ends = np.cumsum(length)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+    off = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(data[at])])
+
+
+def spelled(rows: DataFrame, kinds: DataFrame, depth: int, id_type: str) -> DataFrame:
+    """One run of each content with its bytes; ``known`` if the content occurs
+    more than once, so that its windows are covered already."""
+    by_text = kinds.groupBy("one.doc_id", "one.part").agg(F.collect_list(F.struct(
+        "anchor", F.col("one.first").alias("first"), F.col("one.n").alias("n"), F.col("one.lead").alias("lead"),
+        (F.col("c") > 1).alias("known"))).alias("runs"))
 
-    def window_hashes(batches):
-        """Per slice: (anchor, doc_id, part, known, starts, hashes) of its runs."""
+    def spell(batches):
         for b in slices(batches, "text"):
-            out = []
             data, off = utf8(b.column("text"))
-            for doc, part, lo, hi, todo in zip(b.column("doc_id").to_pylist(), b.column("part").to_pylist(), off[:-1].tolist(),
-                                               off[1:].tolist(), b.column("runs").to_pylist()):
-                for anchor, first, n, known in (x.values() for x in todo):
-                    c = prefix_hash(data[lo + first:lo + first + n - 1 + depth])
-                    out.append((anchor, doc, part, known, np.arange(first, first + n), window_hash(c, np.arange(n), depth)))
-            yield out
-
-    def spell(batches):
-        for out in window_hashes(batches):
-            cols = list(zip(*[(*x, s.astype(np.int64).tobytes(), h.tobytes()) for *x, s, h in out])) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, spell_schema)], schema=spell_schema)
-
-    def spell_rows(batches):
-        """A row for each window."""
-        for every in window_hashes(batches):
-            for k in range(0, len(every), GROUP):
-                out = every[k:k + GROUP]
-                take = pa.array(np.repeat(np.arange(len(out)), [len(x[4]) for x in out]), pa.int64())
-                heads = [pa.array([x[j] for x in out], f.type).take(take) for j, f in enumerate(list(spell_schema)[:4])]
+            lists, each = b.column("runs"), b.column("runs").flatten()
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            first, n = (each.field(k).to_numpy() for k in (1, 2))
+            step = max(1, OUTPUT // (2 * depth))
+            for a in range(0, len(row), step):
+                cut = slice(a, a + step)
+                take = pa.array(row[cut], pa.int64())
+                part = each.slice(a, step)
                 yield pa.RecordBatch.from_arrays(
-                    [*heads, pa.array(np.concatenate([x[4] for x in out]), pa.int64()),
-                     pa.array(np.concatenate([x[5] for x in out]).view(np.int64), pa.int64())],
-                    names=["anchor", "doc_id", "part", "known", "lo", "h"])
-
-    windows = (spelled(small)
-               .mapInArrow(spell, f"anchor long, doc_id {id_type}, part int, known boolean, starts binary, hashes binary")
-               .repartition("anchor").sortWithinPartitions("anchor"))
-
-    def tie(batches):
-        run, part = None, []
-
-        def groups():
-            h = np.concatenate([np.frombuffer(x[4], np.uint64) for x in part])
-            s = np.concatenate([np.frombuffer(x[3], np.int64) for x in part])
-            who = np.repeat(np.arange(len(part)), [len(x[3]) // 8 for x in part])
-            _, inv, cnt = np.unique(h, return_inverse=True, return_counts=True)
-            at = np.flatnonzero(cnt[inv] > 1)
-            if not len(at):
-                return
-            w, s = who[at], s[at]
-            head = np.ones(len(at), bool)
-            head[1:] = (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1)
-            first = np.flatnonzero(head)
-            last = np.append(first[1:], len(at)) - 1
-            for i, a, z in zip(w[first].tolist(), s[first].tolist(), s[last].tolist()):
-                if not part[i][2]:
-                    yield part[i][0], part[i][1], a, z + depth
-
-        def batch(out):
-            cols = list(zip(*out)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(cols, (id_arrow, pa.int32(), pa.int64(), pa.int64()))],
-                names=["doc_id", "part", "lo", "hi"])
-
-        for b in batches:
-            out = []
-            for anchor, *rest in zip(*(b.column(k).to_pylist() for k in range(6))):
-                if anchor != run:
-                    if part:
-                        out.extend(groups())
-                    run, part = anchor, []
-                part.append(rest)
-            yield batch(out)
-        if part:
-            yield batch(list(groups()))
-
-    found = alike.unionByName(windows.mapInArrow(tie, f"doc_id {id_type}, part int, lo long, hi long"))
-    if big is None:
-        return found
-    each = spelled(big).mapInArrow(spell_rows, f"anchor long, doc_id {id_type}, part int, known boolean, lo long, h long")
-    each = staged(each, "windows")
-    often = staged(each.groupBy("anchor", "h").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "h"), "often")
-    return found.unionByName(each.where("not known").join(often, ["anchor", "h"], "left_semi")
-                             .select("doc_id", "part", "lo", (F.col("lo") + depth).alias("hi")))
-
-
-def by_kinds(kinds: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``kinds`` of anchors with at most ``GROUP`` contents, and of those with
-    more (None if there are none)."""
-    many = staged(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("anchor"), "many")
-    if many.isEmpty():
-        return kinds, None
-    return kinds.join(many, "anchor", "left_anti"), kinds.join(many, "anchor", "left_semi")
+                    [part.field(0), b.column("doc_id").take(take), b.column("part").take(take), part.field(1), part.field(2), part.field(3),
+                     part.field(4), gather(data, off[row[cut]] + first[cut], n[cut].astype(np.int64) - 1 + depth)],
+                    names=["anchor", "doc_id", "part", "lo", "n", "lead", "known", "bytes"])
+
+    return (_with_texts(rows, by_text, "inner").select("doc_id", "part", "text", "runs")
+            .mapInArrow(spell, PIECES.format(id=id_type)))
+
+
+def cutter(size: int, depth: int):
+    """Cuts pieces into blocks of windows whose anchors lie ``size * place`` to
+    ``size * place + size - 1`` bytes behind their start."""
+
+    def cut(batches):
+        for b in slices(batches, "bytes", PIECE // 2):
+            data, off = utf8(b.column("bytes"))
+            n, lead, lo = (b.column(k).to_numpy().astype(np.int64) for k in ("n", "lead", "lo"))
+            low = (lead - n + 1) // size
+            count = lead // size - low + 1
+            row = np.repeat(np.arange(len(n)), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+            near = np.maximum(place * size, lead[row] - n[row] + 1)               # of the block's windows: least and
+            far = np.minimum(place * size + size - 1, lead[row])                  # greatest distance to the anchor
+            c = prefix_hash(data)
+            at = off[:-1][row] + lead[row]
+            digit = window_hash(c, at - place * size, depth - size + 1)
+            start, length = at - far, far - near + depth
+            content = mix(window_hash(c, start, length) + far.astype(np.uint64) * _BYTE[0] + (far - near).astype(np.uint64) * _BYTE[1])
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("anchor").take(take), pa.array(place.astype(np.int32)), pa.array(digit.view(np.int64)), pa.array(content.view(np.int64)),
+                 b.column("doc_id").take(take), b.column("part").take(take), pa.array(lo[row] + lead[row] - far),
+                 pa.array((far - near + 1).astype(np.int32)), pa.array(far.astype(np.int32)), b.column("known").take(take),
+                 gather(data, start, length if size > 1 else 0 * length)],
+                names=["anchor", "place", "digit", "content", "doc_id", "part", "lo", "n", "lead", "known", "bytes"])
+
+    return cut
+
+
+def tie(blocks: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """One digit pass: ranges of blocks found whole in several runs, and one block
+    of each content of the groups that still differ."""
+    keys = ["anchor", "place", "digit"]
+    tied = staged(blocks.groupBy(*keys).agg(F.count("*").alias("c"), F.min("content").alias("least"), F.max("content").alias("most"))
+                  .where("c > 1").select(*keys, (F.col("least") == F.col("most")).alias("alike")), "tied")
+    held = staged(blocks.join(tied, keys), "held")
+    kinds = staged(held.where("not alike").groupBy(*keys, "content").agg(
+        F.count("*").alias("c"), F.min(F.struct("doc_id", "part", "lo", "known")).alias("one"), F.first("n").alias("n"),
+        F.first("lead").alias("lead"), F.first("bytes").alias("bytes")), "kinds")
+    often = kinds.where("c > 1").select(*keys, "content")
+    ranges = lambda df: df.where("not known").select(
+        "doc_id", "part", "lo", (F.col("lo") + F.col("n") - 1 + depth).alias("hi"))
+    done = ranges(held.where("alike")).unionByName(ranges(held.where("not alike").join(often, [*keys, "content"], "left_semi")))
+    rest = kinds.select("anchor", "one.doc_id", "one.part", "one.lo", "n", "lead", (F.col("one.known") | (F.col("c") > 1)).alias("known"), "bytes")
+    return done, rest
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,

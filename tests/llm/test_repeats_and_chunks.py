@@ -49,9 +49,9 @@ def test_removed_bytes_equal_brute_force(spark):
     assert result(repeats.remove_repeats(clash(docs(spark, rows)), depth=40, gram=8)) == brute(rows, 40)
 
 
-def test_pieces_of_long_rows_and_salted_groups(spark, monkeypatch):
+def test_pieces_of_long_rows(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
-    monkeypatch.setattr(repeats, "GROUP", 4)
+    monkeypatch.setattr(repeats, "OUTPUT", 800)
     rows = fixture()
     for row, data in ((r, r[1].encode()) for r in rows if r[1] and len(r[1]) > 2000):
         off = np.array([0, len(data)])
@@ -61,22 +61,20 @@ def test_pieces_of_long_rows_and_salted_groups(spark, monkeypatch):
 
 
 def test_a_passage_in_many_contexts(spark, monkeypatch):
-    """One window in the runs of very many contents: no anchor of more than
-    GROUP contents is compared in one task, and the bytes are the same."""
-    monkeypatch.setattr(repeats, "GROUP", 4)
+    """One passage in 2,000 different texts: the bytes are the same, and a run
+    costs some blocks a pass, not one row for each of its windows."""
     rng = random.Random(12)
     passage = sentence(rng, 45)
-    rows = [(k, f"{sentence(rng, 40)} {passage} {sentence(rng, 40)}") for k in range(60)] + odd_rows()
-    dealt, whole = [], repeats.by_kinds
+    rows = [(k, f"{sentence(rng, rng.randint(5, 25))} {passage} {sentence(rng, rng.randint(5, 25))}") for k in range(2000)] + odd_rows()
+    blocks, once = [], repeats.tie
 
-    def noted(kinds):
-        small, big = whole(kinds)
-        dealt.append((small.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0, big is not None))
-        return small, big
+    def noted(some, depth):
+        blocks.append((some.count(), some.agg(F.sum("n")).first()[0]))
+        return once(some, depth)
 
-    monkeypatch.setattr(repeats, "by_kinds", noted)
+    monkeypatch.setattr(repeats, "tie", noted)
     assert result(repeats.remove_repeats(docs(spark, rows))) == brute(rows, 200)
-    assert dealt[0][0] <= 4 and dealt[0][1]
+    assert len(blocks) == 4 and all(n < 5 * blocks[0][0] for n, _ in blocks) and max(n for n, _ in blocks[1:]) < blocks[0][1] / 4
 
 
 def test_removal_on_empty_tables_and_bad_depths(spark):
