@@ -158,13 +158,15 @@ def repeated_spans(rows: DataFrame, depth: int, gram: int) -> DataFrame:
                                    (F.col("first") + F.col("n") - 1 + depth).alias("hi"))
     alike = covered(held.where("alike")).unionByName(covered(
         held.where("not alike").join(kinds.where("c > 1").select("anchor", "content"), ["anchor", "content"])))
-    pieces = staged(spelled(rows, kinds, depth, id_type), "pieces")
+    # an anchor all of whose contents are covered has nothing left to find
+    open_ = kinds.groupBy("anchor").agg(F.min("c").alias("least")).where("least = 1").select("anchor")
+    pieces = staged(spelled(rows, kinds.join(open_, "anchor", "left_semi"), depth, id_type), "pieces", "zstd")
     size = 1
     while size * RADIX < depth - gram + 1:
         size *= RADIX
     found = [alike]
     while size:
-        blocks = staged(pieces.mapInArrow(cutter(size, depth), BLOCKS.format(id=id_type)), "blocks")
+        blocks = staged(pieces.mapInArrow(cutter(size, depth), BLOCKS.format(id=id_type)), "blocks", "zstd")
         done, pieces = tie(blocks, depth)
         found.append(done)
         size //= RADIX
@@ -246,12 +248,13 @@ def tie(blocks: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """One digit pass: ranges of blocks found whole in several runs, and one block
     of each content of the groups that still differ."""
     keys = ["anchor", "place", "digit"]
-    tied = staged(blocks.groupBy(*keys).agg(F.count("*").alias("c"), F.min("content").alias("least"), F.max("content").alias("most"))
-                  .where("c > 1").select(*keys, (F.col("least") == F.col("most")).alias("alike")), "tied")
-    held = staged(blocks.join(tied, keys), "held")
+    tied = staged(blocks.groupBy(*keys).agg(F.count("*").alias("c"), F.min("content").alias("least"), F.max("content").alias("most"),
+                                               F.bool_and("known").alias("covered"))
+                  .where("c > 1 and not covered").select(*keys, (F.col("least") == F.col("most")).alias("alike")), "tied")
+    held = staged(blocks.join(tied, keys).where("not alike or not known"), "held", "zstd")
     kinds = staged(held.where("not alike").groupBy(*keys, "content").agg(
         F.count("*").alias("c"), F.min(F.struct("doc_id", "part", "lo", "known")).alias("one"), F.first("n").alias("n"),
-        F.first("lead").alias("lead"), F.first("bytes").alias("bytes")), "kinds")
+        F.first("lead").alias("lead"), F.first("bytes").alias("bytes")), "kinds", "zstd")
     often = kinds.where("c > 1").select(*keys, "content")
     ranges = lambda df: df.where("not known").select(
         "doc_id", "part", "lo", (F.col("lo") + F.col("n") - 1 + depth).alias("hi"))
