@@ -4,19 +4,10 @@ Dictionary lookups become broadcast equi-joins, search becomes BM25 over a
 corpus table, and the answer cascade is a ``coalesce`` chain with a
 ``source`` column naming the tier that answered.
 
-BM25 plan (exact scores, no term or candidate cap):
-  * query terms are extracted first; their vocabulary (bounded by the
-    counted query-term table) is broadcast into a left-semi join with the
-    corpus tokens, so only tokens that can score survive;
-  * surviving tokens are hash-partitioned by document once; term
-    frequencies, the broadcast (size-checked) query-term join and the
-    per-(query, document) score sums all reuse that partitioning, so the
-    (query, document) pairs never cross a shuffle;
-  * document frequency is a small aggregation by term; N and avgdl are two
-    scalars from one aggregate;
-  * the best document per query is a ``min(struct(-score, doc))``
-    aggregate (partial per task) rather than a window, so a query with
-    millions of candidates never sorts them in one task.
+BM25 keeps exact scores without pairs: postings stand in blocks of documents,
+and each (block, batch of queries) group finds every query's best document by
+block-max bounds (see ``bm25_top1``).  The best of all blocks is a
+``min(struct(-score, doc))`` aggregate, partial per task.
 """
 
 from __future__ import annotations
@@ -28,10 +19,14 @@ from .. import defaults
 from ..functions.numeric import round_half_up
 from ..functions.text import (any_of, clean_response, contains_any, drop_question_marks, first_line,
                               normalize_question, split_sentences, truncate_chars)
+from ..session import scratch_path, ship_package
+from .blockmax import best_of_block
 from .sentiment import checked_broadcast
 from .text import TERM_TOKEN
 
-MAX_BROADCAST_ROWS = 5_000_000
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Postings of a block and query terms of a batch: together the memory of a group.
+BLOCK_POSTINGS, BATCH_TERMS = 2_000_000, 500_000
 
 
 def terms(c: Column) -> Column:
@@ -92,53 +87,70 @@ def _runs(at: Column, k: int) -> Column:
 
 
 def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_id: str, d_text: str,
-              k1: float = 1.2, b: float = 0.75, max_broadcast_query_terms: int = MAX_BROADCAST_ROWS,
+              k1: float = 1.2, b: float = 0.75, block_postings: int = BLOCK_POSTINGS, batch_terms: int = BATCH_TERMS,
               return_bound: bool = False):
     """J05 + L03: best document per query by BM25 (ties -> smaller doc id).
 
     Returns (q_id, doc_id, score) for queries with at least one matching term;
     score = sum over distinct query terms of
     ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)),
-    rounded to 6 decimals before ranking.
-
-    Plan: query terms are extracted and their vocabulary semi-joins the
-    corpus tokens (broadcast, size-checked).  The surviving tokens are
-    hash-partitioned by document once; term frequencies, the broadcast
-    query-term join and the per-(query, document) score sums then all run
-    inside that partitioning, so the (query, document) pairs are never
-    shuffled - only the per-query best (partially aggregated) is.  When the
-    query-term table is too large to broadcast, the join falls back to a
-    shuffle on term (AQE splits hot terms)."""
+    rounded to 6 decimals before ranking.  Rows of the corpus that share an id are
+    one document; those without an id count in N and avgdl, but cannot be found.
+
+    Plan: the query terms get numbers and their vocabulary semi-joins the corpus
+    tokens, which are counted by (document, term).  Weighted postings are dealt by
+    document into blocks of about ``block_postings``, queries into batches of about
+    ``batch_terms`` terms; each (block, batch) is one group that finds every query's
+    best document by block-max bounds (``blockmax``).  Between groups travel one
+    row for each query and block, never (query, document) pairs."""
+    spark = queries.sparkSession
     qt = queries.select(F.col(q_id).alias("qid"), F.explode(F.array_distinct(terms(F.col(q_text)))).alias("term"))
-    n_qt = qt.count()
-    vocab = checked_broadcast(qt.select("term").distinct(), MAX_BROADCAST_ROWS, known_max=n_qt)
+    asked = qt.agg(F.count("*").alias("n")).first()
+    words = qt.select("term").distinct().withColumn("t", F.monotonically_increasing_id())
+    words = _written(words, "query-terms")
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    small = size.n <= MAX_BROADCAST_ROWS and size.bytes <= MAX_BROADCAST_BYTES
+    words = F.broadcast(words) if small else words
     docs = corpus.select(F.col(d_id).alias("doc"), terms(F.col(d_text)).alias("_toks"))
+    tokens = (docs.where("doc is not null").select("doc", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
+              .join(words, "term").select("doc", "dl", "t"))
+    postings = _written(tokens.groupBy("doc", "t", "dl").agg(F.count("*").alias("tf")), "postings")
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("_toks")).alias("avgdl")).first()
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
-    if n_docs == 0 or avgdl == 0.0 or n_qt == 0:
-        empty = queries.sparkSession.createDataFrame([], f"{q_id} {queries.schema[q_id].dataType.simpleString()}, "
-                                                         f"doc_id {corpus.schema[d_id].dataType.simpleString()}, score double")
+    q_type, d_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, q_id), (corpus, d_id)))
+    total = postings.count() if n_docs and avgdl and asked.n else 0
+    if not total:
+        empty = spark.createDataFrame([], f"{q_id} {q_type}, doc_id {d_type}, score double")
         return (empty, 0) if return_bound else empty
-    tokens = (docs.select("doc", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
-              .join(vocab, "term", "left_semi")
-              .repartition("doc"))
-    postings = tokens.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
-    dfreq = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # a document of an unusual term is counted once for each of its lengths, as its postings are
+    dfreq = postings.groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = checked_broadcast(dfreq.select("term", idf.alias("idf")), MAX_BROADCAST_ROWS, known_max=n_qt)
-    q_side = F.broadcast(qt) if n_qt <= max_broadcast_query_terms else qt
+    idf = dfreq.select("t", idf.alias("idf"))
+    idf = F.broadcast(idf) if small else idf                    # at most a row for each query term
     tf = F.col("tf")
-    contrib = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    # the weight of each posting is computed once, before the query join, so
-    # the (query, doc, term) rows carry only what the sum needs
-    weighted = postings.join(weights, "term").select("doc", "term", contrib.alias("w"))
-    scored = (weighted.join(q_side, "term")
-              .groupBy("qid", "doc").agg(F.sum("w").alias("score"))
+    weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    blocks = max(spark.sparkContext.defaultParallelism if total > block_postings // 8 else 1, -(-total // block_postings))
+    batches = -(-asked.n // batch_terms)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = (postings.join(idf, "t").select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int").alias("block"), "doc",
+                                            F.col("t").alias("term"), weight.alias("weight")).withColumn("batch", every(batches)))
+    sets = (qt.join(words, "term").groupBy("qid").agg(F.collect_set("t").alias("terms"))
+            .select(F.pmod(F.xxhash64("qid"), F.lit(batches)).cast("int").alias("batch"), "qid", "terms").withColumn("block", every(blocks)))
+    scored = (dealt.groupBy("block", "batch").cogroup(sets.groupBy("block", "batch"))
+              .applyInArrow(best_of_block, f"qid {q_type}, doc {d_type}, score double")
               .withColumn("score", round_half_up("score", 6)))
     best = scored.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("doc").alias("doc"))).alias("m"))
     hits = best.select(F.col("qid").alias(q_id), F.col("m.doc").alias("doc_id"), (-F.col("m.neg")).alias("score"))
-    # at most one hit per query with a term: n_qt bounds the result size
-    return (hits, n_qt) if return_bound else hits
+    # at most one hit per query with a term
+    return (hits, asked.n) if return_bound else hits
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table of its own below the shared folder, read back."""
+    ship_package(df.sparkSession)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def relevant_sentences(summary: Column, keywords=None) -> Column:

@@ -1,9 +1,12 @@
 """Lexicon sentiment over whole texts.
 
-Plan: words, capitals, "but" and punctuation are counted in the row; the words
-go out with the three words before them, meet the (broadcast) lexicon where
-they are, and only the lexicon's words stay.  What crosses the one exchange is
-a few numbers per text and lexicon word, never text.  No window, no Python.
+Plan: the package's lexicon is a set and a few arrays of constants.  Words,
+capitals, "but" and punctuation are counted in the row; the places of lexicon
+words are filtered in the row, and only these few are looked at with the three
+words before them.  Nothing is exploded, joined or shuffled, and each row has its
+own result, whatever its id.  A caller's lexicon may have any size: its words
+go out of the row, meet the table, and the scores of each distinct text come back
+to all rows that hold it (by a 128-bit digest of the text).
 
 Valence scores follow VADER (Hutto & Gilbert 2014).  An ALL-CAPS word in
 mixed-case text adds +-0.733.  Then, for the words 1, 2 and 3 places before,
@@ -23,6 +26,8 @@ negation among the two previous words multiplies polarity by -0.5.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,100 +47,203 @@ def checked_broadcast(df: DataFrame, max_rows: int, known_max: int | None = None
     return F.broadcast(df) if known_max is not None and known_max <= max_rows else df
 
 
-def scored_tokens(df: DataFrame, id_col: str, text_col: str = "text", max_chars: int | None = None,
-                  lexicon: DataFrame | None = None) -> DataFrame:
-    """The lexicon's words of each text: key, pos, caps, the lexicon entry, the
-    three words before (key1..3, caps1..3) and the text's counts.  Every text
-    also has one row with pos -1, so that every id reaches the aggregate."""
+def counted(df: DataFrame, text_col: str, max_chars: int | None, *keep: str) -> DataFrame:
+    """(keep..., n_excl, n_qm, keys, caps, n_tok, caps_diff, but_at) of each text:
+    its words lower-cased, which of them are in capitals, and its counts."""
     t = F.coalesce(F.col(text_col) if max_chars is None else truncate_chars(text_col, max_chars), F.lit(""))
-    stripped = lambda raw: F.regexp_replace(raw, PUNCT_EDGES, "")
-    docs = (df.select(F.col(id_col), t.alias("t"))
-            .select(id_col,
-                    (F.length("t") - F.length(F.replace("t", F.lit("!"), F.lit("")))).alias("n_excl"),
+    bare = F.transform(words("t"), lambda raw: F.struct(raw.alias("raw"), F.regexp_replace(raw, PUNCT_EDGES, "").alias("bare")))
+    return (df.select(*keep, t.alias("t"))
+            .select(*keep, (F.length("t") - F.length(F.replace("t", F.lit("!"), F.lit("")))).alias("n_excl"),
                     (F.length("t") - F.length(F.replace("t", F.lit("?"), F.lit("")))).alias("n_qm"),
                     # a token whose stripped form is 2 characters or less keeps its punctuation
-                    F.transform(words("t"), lambda raw: F.when(F.length(stripped(raw)) <= 2, raw)
-                                .otherwise(stripped(raw))).alias("ws"))
-            .select(id_col, "n_excl", "n_qm", F.transform("ws", lambda w: F.lower(w)).alias("keys"),
+                    F.transform(bare, lambda w: F.when(F.length(w["bare"]) <= 2, w["raw"]).otherwise(w["bare"])).alias("ws"))
+            .select(*keep, "n_excl", "n_qm", F.transform("ws", lambda w: F.lower(w)).alias("keys"),
                     F.transform("ws", lambda w: w.rlike(ALL_CAPS)).alias("caps"))
-            .select(id_col, "n_excl", "n_qm", "keys", "caps", F.size("keys").alias("n_tok"),
-                    F.size(F.filter("caps", lambda c: c)).alias("n_caps"),
+            .select(*keep, "n_excl", "n_qm", "keys", "caps", F.size("keys").alias("n_tok"),
+                    (F.exists("caps", lambda c: c) & F.exists("caps", lambda c: ~c)).alias("caps_diff"),
                     F.nullif(F.array_position("keys", F.lit("but")), F.lit(0)).alias("but_at")))
-    before = lambda c, i, k: F.when(i >= k, F.get(F.col(c), i - k))
-    token = F.transform("keys", lambda w, i: F.struct(
-        i.alias("pos"), w.alias("key"), F.get(F.col("caps"), i).alias("cap"),
-        *[before("keys", i, k).alias(f"key{k}") for k in (1, 2, 3)],
-        *[F.coalesce(before("caps", i, k), F.lit(False)).alias(f"caps{k}") for k in (1, 2, 3)]))
-    none = "named_struct('pos', -1, 'key', '', 'cap', false, 'key1', null, 'key2', null, 'key3', null, " \
-           "'caps1', false, 'caps2', false, 'caps3', false)"
-    toks = docs.select(id_col, "n_excl", "n_qm", "n_tok", "but_at",
-                       ((F.col("n_caps") > 0) & (F.col("n_caps") < F.col("n_tok"))).alias("caps_diff"), token.alias("tokens"))
-    toks = toks.select("*", F.expr(f"inline(concat(array({none}), tokens))")).drop("tokens")
-    lex, known = lexicon_side(df.sparkSession, lexicon)
-    return toks.join(checked_broadcast(lex, MAX_BUILT_IN, known), "key", "left").where("pos = -1 or kind is not null")
 
 
-#: Rows of the lexicon that comes with the package, at most.
-MAX_BUILT_IN = 10_000
+def token(i: Column) -> Column:
+    """The word at place ``i`` of (keys, caps) with the three words before it."""
+    before = lambda c, k: F.when(i >= k, F.get(F.col(c), i - k))
+    return F.struct(i.alias("pos"), F.get(F.col("keys"), i).alias("key"), F.get(F.col("caps"), i).alias("cap"),
+                    *[before("keys", k).alias(f"key{k}") for k in (1, 2, 3)],
+                    *[F.coalesce(before("caps", k), F.lit(False)).alias(f"caps{k}") for k in (1, 2, 3)])
 
 
-def lexicon_side(spark, lexicon: DataFrame | None) -> tuple[DataFrame, int | None]:
-    if lexicon is not None:
-        return lexicon.withColumnRenamed("token", "key"), None
-    return defaults.lexicon_df(spark).withColumnRenamed("token", "key"), len(defaults.lexicon_rows())
+def sql_list(values) -> str:
+    """SQL literals, parsed at once: a column object for each would take longer
+    than the query."""
+    def one(v):
+        if v is None:
+            return "null"
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else repr(v) + "D" * isinstance(v, float)
+    return ", ".join(map(one, values))
 
 
-def sentiment_scores(df: DataFrame, id_col: str, text_col: str = "text", max_chars: int | None = None,
-                     lexicon: DataFrame | None = None) -> DataFrame:
-    """T01 + T02 in one pass: (id, polarity, subjectivity, positivity,
-    negativity, neutrality, compound).  Unused outputs are pruned by Catalyst,
-    so selecting a subset costs only what it needs."""
-    toks = scored_tokens(df, id_col, text_col, max_chars, lexicon).where("pos = -1 or valence is not null or polarity is not null")
-    lex, known = lexicon_side(df.sparkSession, lexicon)
-    for k in (1, 2, 3):
-        side = lex.select(F.col("key").alias(f"key{k}"), F.col("kind").alias(f"kind{k}"), F.col("boost").alias(f"boost{k}"),
-                          F.col("intensity").alias(f"intensity{k}"), F.col("valence").isNotNull().alias(f"own{k}"))
-        toks = toks.join(checked_broadcast(side, MAX_BUILT_IN, known), f"key{k}", "left")
+def places(listed: list[str] | None = None) -> Column:
+    """Places of the words that are ``listed``, or of all words."""
+    every = "case when n_tok > 0 then sequence(0, n_tok - 1) else cast(array() as array<int>) end"
+    return F.expr(every if listed is None else f"filter({every}, i -> get(keys, i) in ({sql_list(listed)}))")
+
+
+def _entries() -> list[dict]:
+    return [dict(zip(defaults.LEXICON_SCHEMA.names, r)) for r in defaults.lexicon_rows()]
+
+
+def steps() -> list[Callable]:
+    """The rules, one after the other: each takes a getter of fields and gives
+    new ones.  Fields at the start: those of ``token`` and the lexicon entries of
+    the word (valence, polarity, subjectivity) and of the words before it
+    (kind, boost, intensity, own: has a valence)."""
     cap = F.when(F.col("caps_diff"), F.lit(defaults.VADER_CAPS)).otherwise(F.lit(0.0))
-    sign = F.when(F.col("v") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    toks = toks.withColumn("v", F.when(F.col("valence") != 0, F.col("valence")))
-    toks = toks.withColumn("v", F.col("v") + F.when(F.col("cap"), sign * cap).otherwise(F.lit(0.0)))
-    negated = {k: F.coalesce((F.col(f"kind{k}") == "negation") | F.col(f"key{k}").contains("n't"), F.lit(False)) for k in (1, 2, 3)}
-    is_ = lambda k, *ws: F.coalesce(F.col(f"key{k}").isin(*ws), F.lit(False))
+    sign = lambda v: F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     times = F.lit(defaults.VADER_NEGATE)
-    factor = {
-        1: F.when(negated[1], times),
-        2: F.when(is_(2, "never") & is_(1, "so", "this"), F.lit(1.25)).when(is_(2, "without") & is_(1, "doubt"), F.lit(1.0))
-            .when(negated[2], times),
-        3: F.when((is_(3, "never") & is_(2, "so", "this")) | is_(1, "so", "this"), F.lit(1.25))
-            .when(is_(3, "without") & (is_(2, "doubt") | is_(1, "doubt")), F.lit(1.0)).when(negated[3], times)}
-    for k, decay in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        open_ = F.col(f"key{k}").isNotNull() & ~F.coalesce(F.col(f"own{k}"), F.lit(False))
-        added = F.when(open_ & (F.col(f"kind{k}") == "booster"),
-                       sign * (F.col(f"boost{k}") + F.when(F.col(f"caps{k}"), cap).otherwise(F.lit(0.0))) * decay)
-        toks = toks.withColumn("v", F.col("v") + F.coalesce(added, F.lit(0.0)))
-        toks = toks.withColumn("v", F.col("v") * F.when(open_, F.coalesce(factor[k], F.lit(1.0))).otherwise(F.lit(1.0)))
-    least = is_(1, "least") & ~F.coalesce(F.col("own1"), F.lit(False)) & ~is_(2, "at", "very")
-    place = F.col("pos") + 1
-    v = (F.col("v") * F.when(least, times).otherwise(F.lit(1.0))
-         * F.when(place < F.col("but_at"), F.lit(0.5)).when(place > F.col("but_at"), F.lit(1.5)).otherwise(F.lit(1.0)))
-    mult = F.when(F.col("kind1") == "booster", F.col("intensity1")).otherwise(F.lit(1.0))
-    scored = toks.select(id_col, "n_tok", "n_excl", "n_qm", v.alias("v"),
-                         (F.col("polarity") * mult * F.when(negated[1] | negated[2], F.lit(-0.5)).otherwise(F.lit(1.0))).alias("p"),
-                         F.when(F.col("polarity").isNotNull(), F.col("subjectivity") * mult).alias("sj"))
-    agg = scored.groupBy(id_col).agg(
-        F.max("n_tok").alias("n_tok"),
+
+    def negated(g, k):
+        return F.coalesce((g(f"kind{k}") == "negation") | g(f"key{k}").contains("n't"), F.lit(False))
+
+    def is_(g, k, *ws):
+        return F.coalesce(g(f"key{k}").isin(*ws), F.lit(False))
+
+    def factor(g, k):
+        if k == 1:
+            return F.when(negated(g, 1), times)
+        if k == 2:
+            return (F.when(is_(g, 2, "never") & is_(g, 1, "so", "this"), F.lit(1.25))
+                    .when(is_(g, 2, "without") & is_(g, 1, "doubt"), F.lit(1.0)).when(negated(g, 2), times))
+        return (F.when((is_(g, 3, "never") & is_(g, 2, "so", "this")) | is_(g, 1, "so", "this"), F.lit(1.25))
+                .when(is_(g, 3, "without") & (is_(g, 2, "doubt") | is_(g, 1, "doubt")), F.lit(1.0)).when(negated(g, 3), times))
+
+    def open_(g, k):
+        return g(f"key{k}").isNotNull() & ~F.coalesce(g(f"own{k}"), F.lit(False))
+
+    def boosted(k, decay):
+        def step(g):
+            added = F.when(open_(g, k) & (g(f"kind{k}") == "booster"),
+                           sign(g("v")) * (g(f"boost{k}") + F.when(g(f"caps{k}"), cap).otherwise(F.lit(0.0))) * decay)
+            return {"v": (g("v") + F.coalesce(added, F.lit(0.0)))
+                    * F.when(open_(g, k), F.coalesce(factor(g, k), F.lit(1.0))).otherwise(F.lit(1.0))}
+        return step
+
+    def last(g):
+        least = is_(g, 1, "least") & ~F.coalesce(g("own1"), F.lit(False)) & ~is_(g, 2, "at", "very")
+        place = g("pos") + 1
+        mult = F.when(g("kind1") == "booster", g("intensity1")).otherwise(F.lit(1.0))
+        return {"v": g("v") * F.when(least, times).otherwise(F.lit(1.0))
+                * F.when(place < F.col("but_at"), F.lit(0.5)).when(place > F.col("but_at"), F.lit(1.5)).otherwise(F.lit(1.0)),
+                "p": g("polarity") * mult * F.when(negated(g, 1) | negated(g, 2), F.lit(-0.5)).otherwise(F.lit(1.0)),
+                "sj": F.when(g("polarity").isNotNull(), g("subjectivity") * mult)}
+
+    return [lambda g: {"v": F.when(g("valence") != 0, g("valence"))},
+            lambda g: {"v": g("v") + F.when(g("cap"), sign(g("v")) * cap).otherwise(F.lit(0.0))},
+            boosted(1, 1.0), boosted(2, 0.95), boosted(3, 0.9), last]
+
+
+FIELDS = ["pos", "key", "cap", "key1", "key2", "key3", "caps1", "caps2", "caps3"]
+OF_WORD, OF_BEFORE = ["valence", "polarity", "subjectivity"], ["kind", "boost", "intensity", "own"]
+#: Scores of a text without any word of the lexicon: sums, and two means with their counts.
+SUMS = "struct<s:double,pos_sum:double,neg_sum:double,hits:bigint,p:double,n_p:bigint,sj:double,n_sj:bigint>"
+
+
+def _in_row(df: DataFrame) -> DataFrame:
+    """``df`` (of ``counted``) with the sums over its words of the package's lexicon."""
+    entries = _entries()
+    keys = F.expr(f"array({sql_list([e['token'] for e in entries])})")
+    scored = [e["token"] for e in entries if e["valence"] is not None or e["polarity"] is not None]
+
+    def column(name):
+        if name == "own":
+            return F.expr("array(" + ", ".join("true" if e["valence"] is not None else "false" for e in entries) + ")")
+        got = [e[name] if name == "kind" or e[name] is None else float(e[name]) for e in entries]
+        return F.expr(f"cast(array({sql_list(got)}) as array<{'string' if name == 'kind' else 'double'}>)")
+
+    values = {c: column(c) for c in OF_WORD + OF_BEFORE}
+    at = lambda key: F.array_position(keys, key).cast("int") - 1  # noqa: E731  -1: not listed
+    hits = F.transform(places(scored), token)
+    fields = [*FIELDS]
+
+    def extend(arr, new: Callable):
+        def one(x):
+            more = new(lambda n: x[n])
+            kept = [f for f in fields if f not in more]
+            fields[:] = [*kept, *more]
+            return F.struct(*[x[f].alias(f) for f in kept], *[e.alias(n) for n, e in more.items()])
+        return F.transform(arr, one)
+
+    hits = extend(hits, lambda g: {f"at{k or ''}": at(g(f"key{k or ''}")) for k in range(4)})
+    hits = extend(hits, lambda g: {**{c: F.get(values[c], g("at")) for c in OF_WORD},
+                                   **{f"{c}{k}": F.get(values[c], g(f"at{k}")) for c in OF_BEFORE for k in (1, 2, 3)}})
+    for step in steps():
+        hits = extend(hits, step)
+    zero = F.expr(f"cast(named_struct('s', 0, 'pos_sum', 0, 'neg_sum', 0, 'hits', 0, 'p', 0, 'n_p', 0, 'sj', 0, 'n_sj', 0) as {SUMS})")
+    sums = F.aggregate(hits, zero, lambda a, x: F.struct(
+        (a["s"] + F.coalesce(x["v"], F.lit(0.0))).alias("s"),
+        (a["pos_sum"] + F.when(x["v"] > 0, x["v"] + 1).otherwise(F.lit(0.0))).alias("pos_sum"),
+        (a["neg_sum"] + F.when(x["v"] < 0, x["v"] - 1).otherwise(F.lit(0.0))).alias("neg_sum"),
+        (a["hits"] + F.when(x["v"] != 0, F.lit(1)).otherwise(F.lit(0))).alias("hits"),
+        (a["p"] + F.coalesce(x["p"], F.lit(0.0))).alias("p"),
+        (a["n_p"] + x["p"].isNotNull().cast("int")).alias("n_p"),
+        (a["sj"] + F.coalesce(x["sj"], F.lit(0.0))).alias("sj"),
+        (a["n_sj"] + x["sj"].isNotNull().cast("int")).alias("n_sj")).cast(SUMS))
+    kept = [c for c in df.columns if c not in ("keys", "caps")]
+    return df.select(*kept, sums.alias("x")).select(
+        *kept, "x.s", "x.pos_sum", "x.neg_sum", (F.col("n_tok") - F.col("x.hits")).alias("neu"),
+        (F.col("x.p") / F.nullif("x.n_p", F.lit(0))).alias("p"), (F.col("x.sj") / F.nullif("x.n_sj", F.lit(0))).alias("sj"))
+
+
+def _by_table(df: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+    """The same sums by joins with a lexicon of any size; ``key`` tells texts apart."""
+    none = "named_struct('pos', -1, 'key', '', 'cap', false, 'key1', null, 'key2', null, 'key3', null, " \
+           "'caps1', false, 'caps2', false, 'caps3', false)"
+    counts = ["n_excl", "n_qm", "n_tok", "but_at", "caps_diff"]
+    toks = df.select(key, *counts, F.transform(places(), token).alias("tokens"))
+    toks = toks.select(key, *counts, F.expr(f"inline(concat(array({none}), tokens))"))
+    lex = lexicon.withColumnRenamed("token", "key")
+    toks = (toks.join(lex.select("key", *OF_WORD), "key", "left")
+            .where("pos = -1 or valence is not null or polarity is not null"))
+    for k in (1, 2, 3):
+        side = lex.select(F.col("key").alias(f"key{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("kind", "boost", "intensity")],
+                          F.col("valence").isNotNull().alias(f"own{k}"))
+        toks = toks.join(side, f"key{k}", "left")
+    for step in steps():
+        toks = toks.withColumns(step(F.col))
+    return toks.groupBy(key).agg(
         F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"),
         F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("v") + 1)), F.lit(0.0)).alias("pos_sum"),
         F.coalesce(F.sum(F.when(F.col("v") < 0, F.col("v") - 1)), F.lit(0.0)).alias("neg_sum"),
-        (F.max("n_tok") - F.count(F.when(F.col("v") != 0, 1))).alias("neu"),
-        F.max("n_excl").alias("n_excl"), F.max("n_qm").alias("n_qm"),
-        F.avg("p").alias("p"), F.avg("sj").alias("sj"))
-    return agg.select(
-        id_col,
-        round_half_up(F.greatest(F.least(F.coalesce("p", F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)), 6).alias("polarity"),
-        round_half_up(F.greatest(F.least(F.coalesce("sj", F.lit(0.0)), F.lit(1.0)), F.lit(0.0)), 6).alias("subjectivity"),
-        *_vader_finish())
+        (F.max("n_tok") - F.count(F.when(F.col("v") != 0, 1))).alias("neu"), F.max("n_tok").alias("n_tok"),
+        F.max("n_excl").alias("n_excl"), F.max("n_qm").alias("n_qm"), F.avg("p").alias("p"), F.avg("sj").alias("sj"))
+
+
+def text_key(c: Column) -> Column:
+    """128-bit digest of a text (null counts as empty)."""
+    return F.md5(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
+
+
+def with_sentiment(df: DataFrame, text_col: str = "text", max_chars: int | None = None,
+                   lexicon: DataFrame | None = None) -> DataFrame:
+    """``df`` with polarity, subjectivity, positivity, negativity, neutrality and
+    compound of each row's text."""
+    names = ["polarity", "subjectivity", "positivity", "negativity", "neutrality", "compound"]
+    keep = [c for c in df.columns if c not in names]
+    out = [round_half_up(F.greatest(F.least(F.coalesce("p", F.lit(0.0)), F.lit(1.0)), F.lit(-1.0)), 6).alias("polarity"),
+           round_half_up(F.greatest(F.least(F.coalesce("sj", F.lit(0.0)), F.lit(1.0)), F.lit(0.0)), 6).alias("subjectivity"), *_vader_finish()]
+    whole = df.select(F.struct(*keep).alias("_row"), F.col(text_col).alias("_text"))
+    if lexicon is None:
+        return _in_row(counted(whole, "_text", max_chars, "_row")).select("_row.*", *out)
+    whole = whole.withColumn("_key", text_key(F.col("_text")))
+    texts = whole.select("_key", "_text").dropDuplicates(["_key"])
+    scores = _by_table(counted(texts, "_text", max_chars, "_key"), "_key", lexicon).select("_key", *out)
+    return whole.drop("_text").join(scores, "_key").select("_row.*", *names)
+
+
+def sentiment_scores(df: DataFrame, id_col: str, text_col: str = "text", max_chars: int | None = None,
+                     lexicon: DataFrame | None = None) -> DataFrame:
+    """T01 + T02 in one pass: (id, polarity, subjectivity, positivity,
+    negativity, neutrality, compound), one row per row of ``df``."""
+    return with_sentiment(df.select(F.col(id_col), F.col(text_col).alias("_t")), "_t", max_chars, lexicon).drop("_t")
 
 
 def valence_scores(df: DataFrame, id_col: str, text_col: str = "text",
@@ -180,7 +288,13 @@ def _vader_finish() -> list[Column]:
 def lexicon_matches(df: DataFrame, id_col: str, text_col: str = "text",
                     max_chars: int | None = None,
                     lexicon: DataFrame | None = None) -> DataFrame:
-    """(id, key, n) lexicon words found in each text."""
-    toks = scored_tokens(df, id_col, text_col, max_chars, lexicon)
-    return (toks.where(F.col("kind") == "word").groupBy(id_col, "key")
-            .agg(F.count("*").cast("long").alias("n")))
+    """(id, key, n) lexicon words found in each text; the texts of rows that
+    share an id (or have none) count together."""
+    docs = counted(df.select(F.col(id_col), F.col(text_col).alias("_text")), "_text", max_chars, id_col)
+    if lexicon is None:
+        listed = [r["token"] for r in _entries() if r["kind"] == "word"]
+        found = docs.select(id_col, F.explode(F.transform(places(listed), lambda i: F.get(F.col("keys"), i))).alias("key"))
+    else:
+        side = lexicon.where(F.col("kind") == "word").select(F.col("token").alias("key")).distinct()
+        found = docs.select(id_col, F.explode("keys").alias("key")).join(side, "key", "left_semi").select(id_col, "key")
+    return found.groupBy(id_col, "key").agg(F.count("*").cast("long").alias("n"))

@@ -2,7 +2,8 @@
 
 Whole texts are read (``max_chars`` is for callers that want a cut).  Documents
 are hash-partitioned by their id exactly once; every later group/window keyed
-by (id, ...) reuses that partitioning.
+by (id, ...) reuses that partitioning.  Word frequencies are those of an id: rows
+that share one, or have none, are one text; summaries and reports work by row.
 """
 
 from __future__ import annotations
@@ -195,32 +196,45 @@ def extractive_summary(df: DataFrame, id_col: str, text_col: str = "text",
     position) are taken while the running word count stays within
     ``budget`` (words, or a column of them; always at least one sentence) and
     printed in original order.
-    Returns (id, summary, n_sentences)."""
+    Returns (id, summary, n_sentences), one row per row of ``df`` that holds a
+    sentence, whatever its id: equal texts are summarised once, by their digest.
+
+    Plan: words travel as (text, place of the sentence, term) without the
+    sentence; places are chosen from numbers, and only the chosen sentences are
+    read from the text again.  One exchange, by text."""
     spark = df.sparkSession
-    sw = stop_words.select(F.lower("word").alias("term")).distinct() if stop_words is not None else \
-        defaults.stop_words_df(spark).select(F.col("word").alias("term"))  # built-in list is unique
-    sw = F.broadcast(sw)
     more = [budget] if isinstance(budget, str) else []
-    sents = sentence_table(df, id_col, text_col, max_chars, partitioned, *more)
+    t = F.col(text_col) if max_chars is None else truncate_chars(text_col, max_chars)
+    if partitioned:
+        texts, key = df.select(F.col(id_col), t.alias("t"), *more), id_col
+    else:
+        key = "_key"
+        rows = df.select(F.col(id_col), t.alias("t"), *more)
+        rows = rows.withColumn(key, F.md5(F.concat_ws("\n", *[F.col(c).cast("string") for c in more], "t").cast("binary")))
+        texts = rows.select(key, "t", *more).dropDuplicates([key])
+    sw = stop_words.select(F.lower("word").alias("term")).distinct() if stop_words is not None else \
+        F.broadcast(defaults.stop_words_df(spark).select(F.col("word").alias("term")))   # a constant, unique
+    sents = (texts.select(key, *more, F.posexplode(split_sentences("t")).alias("pos", "sentence")).where(F.col("sentence") != "")
+             .select(key, *more, "pos", word_count("sentence").alias("n_words"),
+                     F.regexp_extract_all(F.lower("sentence"), F.lit(TERM_TOKEN), F.lit(0)).alias("terms")))
     # every sentence keeps at least one row (explode_outer); stop words become
     # null terms instead of being anti-joined away, so no join back is needed
-    sw = sw.withColumn("_stop", F.lit(True))
-    terms = (sents.select(id_col, *more, "pos", "sentence",
-                          F.explode_outer(F.regexp_extract_all(F.lower("sentence"), F.lit(TERM_TOKEN), F.lit(0)))
-                          .alias("term"))
-             .join(sw, "term", "left")
+    terms = (sents.select(key, *more, "pos", "n_words", F.explode_outer("terms").alias("term"))
+             .join(sw.withColumn("_stop", F.lit(True)), "term", "left")
              .withColumn("term", F.when(F.col("_stop").isNull(), F.col("term"))))
-    w_doc = Window.partitionBy(id_col)
-    w_term = Window.partitionBy(id_col, "term")
+    w_doc = Window.partitionBy(key)
+    w_term = Window.partitionBy(key, "term")
     freq = F.when(F.col("term").isNotNull(), F.count("term").over(w_term) / F.count("term").over(w_doc))
-    scores = terms.withColumn("freq", freq).groupBy(id_col, *more, "pos", "sentence").agg(F.avg("freq").alias("score"))
-    ranked = (scores.withColumn("score", round_half_up(F.coalesce(F.col("score"), F.lit(0.0)), 6))
-              .withColumn("n_words", word_count("sentence")))
-    w_rank = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("pos"))
+    scores = terms.withColumn("freq", freq).groupBy(key, *more, "pos", "n_words").agg(F.avg("freq").alias("score"))
+    ranked = scores.withColumn("score", round_half_up(F.coalesce(F.col("score"), F.lit(0.0)), 6))
+    w_rank = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
     ranked = (ranked.withColumn("rank", F.row_number().over(w_rank))
               .withColumn("running", F.sum("n_words").over(w_rank.rowsBetween(Window.unboundedPreceding, 0))))
     chosen = ranked.where((F.col("rank") == 1) | (F.col("running") <= (F.col(budget) if more else budget)))
-    return chosen.groupBy(id_col).agg(
-        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))),
-                                          lambda x: x["sentence"]), ". "), F.lit(".")).alias("summary"),
-        F.count("*").alias("n_sentences"))
+    places = chosen.groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("_places"))     # at most ``budget`` of them
+    told = F.filter(F.transform(split_sentences("t"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
+                    lambda x: F.array_contains("_places", x["i"]))
+    found = texts.join(places, key).select(
+        key, F.concat(F.array_join(F.transform(told, lambda x: x["s"]), ". "), F.lit(".")).alias("summary"),
+        F.size("_places").cast("long").alias("n_sentences"))
+    return found if partitioned else rows.select(id_col, key).join(found, key).drop(key)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import defaults
 from ..functions.text import metadata_text, word_count
 from ..operators.profile import row_text, table_report, table_word_count, truncate_table_text
-from ..operators.sentiment import sentiment_scores
+from ..operators.sentiment import text_key, with_sentiment
 from ..operators.text import extractive_summary, word_frequencies
 from ..operators.text import top_terms as word_terms
 
@@ -23,17 +23,23 @@ from ..operators.text import top_terms as word_terms
 def text_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lexicon: DataFrame | None = None, k: int = defaults.WORDCLOUD_MAX_WORDS) -> DataFrame:
     """Text body of T08 on the whole text: (id, word_count, summary, sentiment
-    fields, top_terms array).  Sentiment leaves the scan as numbers; summary and
-    terms share one hash exchange by id."""
-    cut = df.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col), F.col(text_col).alias("text"), word_count(text_col).alias("word_count"))
-    base = cut.select(id_col, "text").repartition(id_col)
-    senti = sentiment_scores(cut, id_col, "text", None, lexicon)
-    summ = extractive_summary(base, id_col, "text", partitioned=True).select(id_col, "summary")
-    terms = word_terms(word_frequencies(base, id_col, "text", partitioned=True), id_col, k)
-    return (cut.join(senti, id_col, "left").join(summ, id_col, "left").join(terms, id_col, "left")
-            .withColumn("top_terms", F.coalesce("top_terms", F.array().cast("array<string>")))
-            .drop("text"))
+    fields, top_terms array), one row per row of ``df``, whatever its id.
+    Sentiment is worked out in the row; summary and terms are those of each
+    distinct text (by its digest), which share one exchange."""
+    rows = df.select(F.col(id_col), F.col(text_col).alias("text"), word_count(text_col).alias("word_count"),
+                     text_key(F.col(text_col)).alias("_key"))
+    return with_terms(with_sentiment(rows, "text", None, lexicon), k).drop("text")
+
+
+def with_terms(rows: DataFrame, k: int = defaults.WORDCLOUD_MAX_WORDS, budget: int | str = defaults.SUMMARY_TOKEN_BUDGET,
+               *more: str) -> DataFrame:
+    """``rows`` (text, _key, ...) with summary and top_terms of their texts; ``_key``
+    tells texts (and the columns ``more`` that go with them) apart."""
+    base = rows.select("_key", "text", *more).dropDuplicates(["_key"])
+    summ = extractive_summary(base, "_key", "text", budget=budget, partitioned=True).select("_key", "summary")
+    terms = word_terms(word_frequencies(base, "_key", "text", partitioned=True), "_key", k)
+    return (rows.join(summ, "_key", "left").join(terms, "_key", "left").drop("_key")
+            .withColumn("top_terms", F.coalesce("top_terms", F.array().cast("array<string>"))))
 
 
 def envelope_text(type_col: str = "type", text_col: str = "text", metadata_col: str = "metadata"):

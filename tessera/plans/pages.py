@@ -1,9 +1,9 @@
 """Web-page report (H01-H06) over a ``pages(page_id, url, html)`` table.
 
 Physical plan: scan pages -> narrow regex projection (the raw HTML never
-crosses a shuffle).  Sentiment leaves the scan as a few numbers per page; the
-summary and the word terms share one hash exchange of (page id, text).  All
-join the extracted record by page id.
+crosses a shuffle).  Sentiment is worked out in the row; the summary and the word
+terms are those of each distinct text, share one exchange by its digest and come
+back to every page that holds it, whatever its id.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import defaults
 from ..functions import html as H
 from ..functions.text import bounded_length, word_count
-from ..operators.sentiment import sentiment_scores
-from ..operators.text import extractive_summary, top_terms, word_frequencies
+from ..operators.sentiment import text_key, with_sentiment
+from .documents import with_terms
 
 
 def page_extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -39,15 +40,10 @@ def page_report(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     and error (a page without HTML)."""
     ex = page_extract(pages, id_col, html_col)
     ex = ex.withColumn("word_count", word_count("text")).withColumn("summary_budget", bounded_length("text"))
-    scores = sentiment_scores(ex, id_col, "text", None, lexicon)
+    out = with_sentiment(ex, "text", None, lexicon)
     if with_summary:
-        # the explicit not-null filter matches the one the optimizer infers for
-        # the joins below, so both consumers see the same plan and share one exchange
-        base = ex.where(F.col(id_col).isNotNull()).select(id_col, "text", "summary_budget").repartition(id_col)
-        summ = extractive_summary(base, id_col, "text", budget="summary_budget", partitioned=True)
-        terms = top_terms(word_frequencies(base, id_col, "text", partitioned=True), id_col)
-        scores = scores.join(summ.select(id_col, "summary"), id_col, "left").join(terms, id_col, "left")
-    out = ex.join(scores, id_col, "left")
+        out = out.withColumn("_key", F.concat(text_key(F.col("text")), F.lit(":"), F.col("summary_budget").cast("string")))
+        out = with_terms(out, defaults.WORDCLOUD_MAX_WORDS, "summary_budget", "summary_budget")
     names = ("polarity", "subjectivity", "positivity", "negativity", "neutrality", "compound")
     return out.select(*[c for c in out.columns if c not in names], F.struct(*names).alias("sentiment"),
                       F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.lit(NO_TEXT)).alias("error"))

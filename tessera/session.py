@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Sizes that keep a shuffle partition in the low hundreds of MB at large scale;
 # AQE coalesces them down on small inputs.
@@ -39,6 +39,21 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt out over all cores.
+
+    A Parquet file is split by row groups only, so a table in one row group is
+    read, and all row-wise work on it done, by one task.  Tables below one full
+    split (``spark.sql.files.maxPartitionBytes``) for each core are shuffled
+    once; larger ones have splits enough and come back as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower().rstrip("b")
+    split = int(split) if split.isdigit() else int(split[:-1]) << {"k": 10, "m": 20, "g": 30}[split[-1]]
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def shared_root(spark: SparkSession) -> str:
     """Directory shared by all executors for checkpoints and round-trip files.
 
