@@ -53,12 +53,16 @@ def pages_to_document(pages: DataFrame, doc: str = "doc_id", page_no: str = "pag
 
 
 def metadata_map(tags: DataFrame, doc: str, group_col: str, name_col: str, value_col: str,
-                 exclude_group: int = PIXEL_GROUP) -> DataFrame:
+                 exclude_group: int = PIXEL_GROUP, order_col: str | None = None) -> DataFrame:
     """Tag table -> (doc, metadata map<string,string>), one group
-    excluded, duplicate names resolved last-wins by row order of ``name``."""
-    kept = tags.where(F.col(group_col) != exclude_group)
-    return kept.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col(name_col).alias("key"), F.col(value_col).cast("string").alias("value"))))).alias("metadata"))
+    excluded; of a repeated name the last value by ``order_col`` wins (the
+    largest value without one), rows without a name are left out."""
+    kept = tags.where((F.col(group_col) != exclude_group) & F.col(name_col).isNotNull())
+    value = F.col(value_col).cast("string")
+    order = F.struct(F.col(order_col), value) if order_col else F.struct(value)
+    last = kept.groupBy(doc, F.col(name_col).alias("key")).agg(F.max_by(F.struct(value.alias("value")), order).alias("_v"))
+    return last.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("key", F.col("_v.value").alias("value"))))).alias("metadata"))
 
 
 def json_metadata(props: ColumnOrName) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import defaults
 from tessera.operators.blockmax import Block
+from tessera.operators.relational import PIXEL_GROUP, metadata_map
 from tessera.operators.retrieval import bm25_top1
 from tessera.operators.sentiment import sentiment_scores
 from tessera.operators.text import extractive_summary
@@ -131,3 +132,12 @@ def test_small_tables_are_dealt_over_the_cores(spark):
         assert spread(df) is df
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_the_last_of_repeated_tags_wins(spark):
+    rows = [(1, 16, "Name", "b", 1), (1, 16, "Name", "a", 2), (1, 32, "Date", None, 3), (1, 16, None, "x", 4), (2, PIXEL_GROUP, "Pixels", "z", 1),
+            (None, 16, "Name", "q", 1)]
+    tags = spark.createDataFrame(rows, "doc long, grp int, name string, value string, at int")
+    found = {r.doc: r.metadata for r in metadata_map(tags, "doc", "grp", "name", "value", order_col="at").collect()}
+    assert found == {1: {"Name": "a", "Date": None}, None: {"Name": "q"}}
+    assert {r.doc: r.metadata["Name"] for r in metadata_map(tags, "doc", "grp", "name", "value").collect()} == {1: "b", None: "q"}
