@@ -5,8 +5,10 @@ back; the oracle is the batch answer."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import feedback_format
 from ..session import scratch_path
 from ..sources import feedback as FB
 from ..streaming import feedback as X
@@ -26,6 +28,24 @@ def q_stream_feedback(spark, sf):
     return X.stream_feedback(spark, log, scratch_path(spark, "stream-fb-out"), scratch_path(spark, "stream-fb-ckpt"))
 
 
+def q_stream_feedback_growing(spark, sf):
+    """Logs of two-line answers that grow twice, cut inside a record: the stream
+    runs after each segment and carries the open record."""
+    log, out, ckpt = (scratch_path(spark, f"stream-grow-{x}") for x in ("log", "out", "ckpt"))
+    fb = feedback_rows(spark, sf).withColumn("answer", F.concat("answer", F.lit("\n"), "question"))
+    bucket = F.pmod(F.crc32("question"), F.lit(64)).alias("bucket")
+    lines = fb.select(bucket, F.struct("question", "answer", "helpful").alias("entry"),
+                      F.posexplode(F.split(F.regexp_replace(feedback_format("question", "answer", "helpful"), "\r", ""), "\n")))
+    order = Window.partitionBy("bucket").orderBy("entry", "pos")
+    lines = lines.withColumn("no", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
+    half = F.floor(F.col("n") / 4) * 2 + 1                       # an odd number of lines: inside a record of two
+    for segment in (lines.where(F.col("no") <= half), lines.where(F.col("no") > half)):
+        (segment.repartition("bucket").sortWithinPartitions("bucket", "no").select("bucket", F.col("col").alias("value"))
+         .write.mode("append").partitionBy("bucket").text(log))
+        got = X.stream_feedback(spark, log + "/*", out, ckpt)
+    return got
+
+
 def q_stream_feedback_stats(spark, sf):
     log = _log(spark, sf)
     return X.stream_feedback_stats(spark, log, scratch_path(spark, "stream-stats-out"),
@@ -45,12 +65,14 @@ def q_stream_latest_context(spark, sf):
 
 QUERIES = {
     "stream_feedback": q_stream_feedback,
+    "stream_feedback_growing": q_stream_feedback_growing,
     "stream_feedback_stats": q_stream_feedback_stats,
     "stream_latest_context": q_stream_latest_context,
 }
 
 SQL = {
     "stream_feedback": f"WITH {FEEDBACK_SQL} SELECT question, answer, helpful FROM fb",
+    "stream_feedback_growing": f"WITH {FEEDBACK_SQL} SELECT question, answer || chr(10) || question AS answer, helpful FROM fb",
     "stream_feedback_stats": f"WITH {FEEDBACK_SQL} SELECT helpful, count(*)::BIGINT AS n FROM fb GROUP BY helpful",
     "stream_latest_context": "SELECT conv_id, arg_max(text, turn) AS context FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
 }

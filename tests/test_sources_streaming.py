@@ -148,3 +148,61 @@ def test_streams_equal_batch(spark, tmpdir_path):
     latest = X.stream_latest_context(spark, tmpdir_path + "/c/*", conv.schema, "k", "t", "v",
                                      tmpdir_path + "/lc", tmpdir_path + "/ck3")
     assert {r["k"]: r["context"] for r in latest.collect()} == {1: "c", 2: "x"}
+
+
+MIXED = ("Feedback Log\nno record\nQuestion: a, Answer: b, Helpful: True\nQuestion: two\nlines, Answer: x\n\ny, Helpful: False\r\n"
+         "tail, Helpful: True\nQuestion: open, Helpful: True\nQuestion: in it, Answer: z, Helpful: None\nstray\n"
+         "Question: m, Answer: 1\n2\n3, Helpful: False\nQuestion: m2, Answer: Question: 4\nQuestion: 5, Answer: 6\n7, Helpful: True\n")
+
+
+def _whole(spark, path):
+    """The log parsed as one text per file, by the pattern alone."""
+    files = spark.read.text(path, wholetext=True)
+    return (sorted(map(tuple, FB.parse_feedback_text(files).drop("entry_no").collect()), key=str),
+            sorted(r["line"] for r in FB.malformed_feedback(files).collect()))
+
+
+def _entries(df):
+    return (sorted((tuple(r[:3]) for r in df.collect() if r["malformed"] is None), key=str),
+            sorted(r["malformed"] for r in df.collect() if r["malformed"] is not None))
+
+
+def test_log_blocks_equal_the_whole_file(spark, tmpdir_path):
+    _write(tmpdir_path, "a.log", (MIXED * 40 + "Question: left open, Answer: at the end\n").encode())
+    expected = _whole(spark, tmpdir_path)
+    assert len(expected[0]) == 200 and any("left open" in x for x in expected[1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128", "777", "1m"):                          # blocks that begin inside records
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert _entries(FB.read_log_entries(spark, tmpdir_path)) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_record_goes_on_in_the_next_micro_batch(spark, tmpdir_path):
+    log, out, ck = (tmpdir_path + x for x in ("/log", "/out", "/ck"))
+    lines = MIXED.splitlines(keepends=True)
+    for i, line in enumerate(lines):                               # one segment a line, several runs
+        _write(log, f"{i:03d}.log", line.encode())
+        os.utime(f"{log}/{i:03d}.log", (1_700_000_000 + i, 1_700_000_000 + i))
+        if i in (3, 4, 11, len(lines) - 1):
+            got = X.stream_log(spark, log, out, ck, max_files=3)
+            so_far = tmpdir_path + f"/whole{i}"
+            _write(so_far, "all.log", "".join(lines[:i + 1]).encode())
+            assert _entries(got)[0] == _whole(spark, so_far)[0]
+    assert _entries(got) == _whole(spark, so_far)
+
+
+def test_snapshots_write_changed_keys_only(spark, tmpdir_path):
+    src, out, ck = (tmpdir_path + x for x in ("/src", "/out", "/ck"))
+    rows = lambda *r: spark.createDataFrame(r, "k long, v long, t string").write.mode("append").parquet(src)
+    rows((1, 0, "a"), (2, 0, "b"))
+    X.stream_latest_context(spark, src, "k long, v long, t string", "k", "t", "v", out, ck)
+    rows((2, 5, "c"))
+    got = X.stream_latest_context(spark, src, "k long, v long, t string", "k", "t", "v", out, ck)
+    assert {r["k"]: r["context"] for r in got.collect()} == {1: "a", 2: "c"}
+    written = {(r["epoch"], r["k"]) for r in spark.read.parquet(out).collect()}
+    assert written == {(0, 1), (0, 2), (1, 2)}
+    X._changes(out)(spark.createDataFrame([(2, "c")], "k long, context string"), 1)      # a replayed batch
+    assert {r["k"]: r["context"] for r in X.latest_rows(spark, out, "k").collect()} == {1: "a", 2: "c"}
