@@ -20,12 +20,18 @@ The likeness of two texts is |common| / |all| of their paragraphs,
 paragraphs.  Only DataFrame and SQL functions are used; everything but finding
 the next document is local to the row.
 
-Next documents: ids are dealt into ranges of about ``RANGE`` documents, the
-first document of each range goes along to the range before it, and a window
-over each range reads the next row.  Firsts are counted (at most about half a
-million, by the width of the ranges) and broadcast.  Ids are integers.  Null
-and empty texts have no paragraphs; null ids come before all others; rows that
-share an id follow each other by text; other columns are not looked at.
+Next documents: ids are dealt into cells of about ``RANGE`` documents, the first
+document of each cell goes along to the cell before it, and a window over each
+cell reads the next row.  A cell is a run of ids with the same leading binary
+digits; cells are counted, and one of more than 4 * ``RANGE`` documents is cut
+by further digits, as many as the span of its own ids asks for, until none is
+left, so outliers and clusters of ids make no large cell.  A crowded cell of one
+id (repeated, or null) is cut in the same way by the digits of a hash of the
+text; only rows that agree in id and text stay together.  First documents are
+counted (at most about half a million for evenly filled cells) and broadcast up
+to twice that.  Ids are integers.  Null and empty texts have no paragraphs; null
+ids come before all others; rows that share an id follow each other by a hash of
+the text; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -91,25 +97,50 @@ def text_of_cells(cells: str) -> str:
             "lpad(hex(c.x), 16, '0'))), ''))), '[\\\\r\\\\n]', '')")
 
 
+CELL = ["given", "at", "part"]      # whether there is an id, leading digits of the id, of the text's hash
+
+
+def cells(rows: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc_id, text, ...) with their cell (``CELL``) and their place
+    ``k``, ``h`` in it, and the counted cells (CELL, n, first)."""
+    rows = rows.withColumns({"given": F.col("doc_id").isNotNull().cast("int"), "k": F.coalesce("doc_id", F.lit(0).cast("long")),
+                             "h": F.lit(0).cast("long")})
+    rows = rows.withColumns({"at": F.lit(-1 << 63).cast("long"), "part": F.lit(0).cast("long")})
+    for value, digits in (("k", "at"), ("h", "part")):
+        while True:
+            counted = staged(rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
+                                                     F.min(F.struct("k", "h")).alias("first")), "cells")
+            span = F.col("high").cast("double") - F.col("low") + 1
+            bits = F.least(F.greatest(F.floor(F.log2(span * per / F.col("n"))), F.lit(0)), F.lit(62)).cast("int")
+            crowded = (counted.where((F.col("n") > 4 * per) & (F.col("low") < F.col("high")))
+                       .select(*CELL, bits.alias("bits")))
+            found = crowded.count()
+            if not found:
+                break
+            crowded = F.broadcast(crowded) if found <= FIRSTS else crowded
+            rows = (rows.join(crowded, CELL, "left")
+                    .withColumn(digits, F.expr(f"if(bits is null, {digits}, shiftleft(shiftright({value}, bits), bits))")).drop("bits"))
+        if value == "k" and counted.where(F.col("n") > 4 * per).isEmpty():
+            break
+        if value == "k":                                  # crowded cells of one id
+            rows = rows.withColumn("h", F.xxhash64("text")).withColumn("part", F.lit(-1 << 63).cast("long"))
+    return rows, counted.select(*CELL, "n", "first")
+
+
 def followed(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id long, text) in ranges of ids: one row per document with
-    ``in_range`` 0, and at the end of each range the first of the next (1)."""
-    n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    per = max(RANGE, -(-n // FIRSTS))
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * per // max(n, 1))
-    rows = (rows.withColumn("k", F.coalesce("doc_id", F.lit(low - 1)))
-            .withColumn("at", F.floor((F.col("k") - F.lit(low)) / F.lit(width)).cast("long")))
-    firsts = rows.groupBy("at").agg(F.min("k").alias("first"))
-    line = Window.partitionBy(F.lit(0)).orderBy("at")
-    firsts = staged(firsts.withColumn("prior", F.coalesce(F.lag("at").over(line), F.max("at").over(Window.partitionBy(F.lit(0)))))
-                    .select(F.col("first").alias("k"), "prior"), "firsts")
+    """``rows`` (doc_id long, text) in their cells: one row per document with
+    ``in_range`` 0, and at the end of each cell the first of the next (1)."""
+    rows, counted = cells(rows, max(RANGE, -(-rows.count() // FIRSTS)))
+    here = F.struct(*CELL)
+    line = Window.partitionBy(F.lit(0)).orderBy(*CELL)
+    firsts = staged(counted.withColumn("prior", F.coalesce(F.lag(here).over(line), F.max(here).over(Window.partitionBy(F.lit(0)))))
+                    .select("given", "first.*", "prior"), "firsts")
     firsts = F.broadcast(firsts) if firsts.count() <= 2 * FIRSTS else firsts
-    return (rows.join(firsts, "k", "left")
-            .withColumn("to", F.explode(F.when(F.col("prior").isNull(), F.array(F.struct(F.col("at"), F.lit(0).alias("in_range"))))
-                                        .otherwise(F.array(F.struct(F.col("at"), F.lit(0).alias("in_range")),
-                                                           F.struct(F.col("prior").alias("at"), F.lit(1).alias("in_range"))))))
-            .select("doc_id", "text", "k", "to.at", "to.in_range"))
+    own = F.struct(here.alias("cell"), F.lit(0).alias("in_range"))
+    return (rows.join(firsts, ["given", "k", "h"], "left")
+            .withColumn("to", F.explode(F.when(F.col("prior").isNull(), F.array(own))
+                                        .otherwise(F.array(own, F.struct(F.col("prior").alias("cell"), F.lit(1).alias("in_range"))))))
+            .select("doc_id", "text", "k", "to.cell.*", "to.in_range"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +149,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     beginning) with its fingerprint; numbers of differing digests and likeness
     to the edited text and to the next document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    w = Window.partitionBy("at").orderBy("in_range", "k", F.xxhash64("text"))
+    w = Window.partitionBy(*CELL).orderBy("in_range", "k", F.xxhash64("text"))
     out = (followed(rows).withColumn("next_text", F.lead("text").over(w))
            .withColumn("n_chars", F.char_length("text").cast("long"))
            .withColumn("edited", F.expr("if(in_range = 0, concat(left(text, int(n_chars - n_chars div 2)), "

@@ -53,6 +53,20 @@ def test_equal_brute_force(spark, monkeypatch, per):
     assert result(fp.fingerprints(clash(docs(spark, rows)))) == brute(rows)
 
 
+def test_cells_of_clustered_null_and_repeated_ids_stay_small(spark):
+    """Outliers, clusters, extremes, one id and null ids with many texts: no
+    cell above the bound, and the cells are in the order of the ids."""
+    ids = [*range(20_000), 10**12, -(1 << 63), (1 << 63) - 1, *((i % 5) * 10**9 + i for i in range(5_000)), *(1 << i for i in range(62))]
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)] + [(77, f"same id {i}") for i in range(4_000)] + [(None, f"no id {i}") for i in range(4_000)]
+    dealt, counted = fp.cells(docs(spark, rows).select("doc_id", "text"), 256)
+    sizes = counted.collect()
+    assert sum(c.n for c in sizes) == len(rows) and max(c.n for c in sizes) <= 4 * 256
+    placed = sorted((d.given, d.k, d.h, (d.given, d["at"], d.part)) for d in dealt.collect())
+    assert [p[3] for p in placed] == sorted(p[3] for p in placed)
+    got = fp.followed(docs(spark, rows).select("doc_id", "text")).groupBy("in_range").count().collect()
+    assert {r.in_range: r["count"] for r in got} == {0: len(rows), 1: len(sizes)}
+
+
 def test_sketches_peel_and_retry(spark):
     """The number of differing digests is right at every size of difference,
     with the smallest sketch where it suffices."""
