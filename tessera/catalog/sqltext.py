@@ -11,6 +11,17 @@ from ..functions import html as H
 from .common import lit, round6, rx_sub, strip_ws, values, words
 
 
+# The patterns of the page rules as DuckDB's engine takes them (no possessive
+# repetition, no lookahead).
+TAG_REST = r"""(?:[^"'>]|"[^"]*"|'[^']*')*>"""
+HIDDEN = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->")
+TITLE = rf"(?is)<title\b{TAG_REST}(.*?)</title\s*>"
+HEADING = rf"(?is)<h[1-3]\b{TAG_REST}(.*?)</h[1-3]\s*>"
+P_OPEN = rf"(?i)<p(?:>|\s{TAG_REST})"
+A_TAG = rf"(?is)<a[\s/]{TAG_REST}"
+ATTRIBUTE = r"""(?is)([^\s"'>=/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def decode(x: str) -> str:
     named = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in H.ENTITIES.items())
     name = f"regexp_extract(p, {lit(H.RE_ENTITY)}, 1)"
@@ -23,23 +34,33 @@ def decode(x: str) -> str:
 
 
 def text_of(x: str) -> str:
-    return strip_ws(decode(rx_sub(x, H.RE_TAG)))
+    return strip_ws(decode(rx_sub(x, f"<{TAG_REST}")))
 
 
 def clean_html(x: str) -> str:
-    return rx_sub(rx_sub(rx_sub(x, H.RE_SCRIPT), H.RE_STYLE), H.RE_COMMENT)
+    for hidden in HIDDEN:
+        x = rx_sub(x, hidden)
+    return x
+
+
+def links(h: str) -> str:
+    """First href of each <a> tag, by its attributes one after another."""
+    pairs = f"list_zip(regexp_extract_all(t, {lit(ATTRIBUTE)}, 1), regexp_extract_all(t, {lit(ATTRIBUTE)}, 2))"
+    first = f"list_transform(list_filter({pairs}, lambda z: lower(z[1]) = 'href'), lambda z: z[2])[1]"
+    found = f"list_transform(regexp_extract_all({h}, {lit(A_TAG)}), lambda t: {first})"
+    return f"list_transform(list_filter({found}, lambda q: q IS NOT NULL), lambda q: {decode(rx_sub('q', H.RE_QUOTES))})"
 
 
 def page_cte(src: str = "pages") -> str:
     """CTE 'pe' with (page_id, url, title, headings, paragraphs, links, text)."""
-    paras_html = rx_sub(rx_sub(rx_sub("h", H.RE_P_OPEN, "</p><p>"), H.RE_BLOCK_CLOSE, "</p>\\1"), H.RE_BLOCK_OPEN, "</p>\\1") + " || '</p>'"
+    paras_html = rx_sub(rx_sub(rx_sub("h", P_OPEN, "</p><p>"), H.RE_BLOCK_CLOSE, "</p>\\1"), H.RE_BLOCK_OPEN, "</p>\\1") + " || '</p>'"
     return f"""pc AS (SELECT page_id, url, {clean_html('html')} AS h FROM {src}),
 pe0 AS (SELECT page_id, url,
   CASE WHEN NOT regexp_matches(h, {lit(H.RE_TITLE_TAG)}) THEN {lit(H.NO_TITLE)}
-       ELSE nullif({decode(f"regexp_extract(h, {lit(H.RE_TITLE)}, 1)")}, '') END AS title,
-  list_transform(regexp_extract_all(h, {lit(H.RE_HEADING)}, 1), lambda x: {text_of('x')}) AS headings,
+       ELSE nullif({decode(f"regexp_extract(h, {lit(TITLE)}, 1)")}, '') END AS title,
+  list_transform(regexp_extract_all(h, {lit(HEADING)}, 1), lambda x: {text_of('x')}) AS headings,
   list_transform(regexp_extract_all({paras_html}, {lit(H.RE_PARAGRAPH)}, 1), lambda x: {text_of('x')}) AS paragraphs,
-  list_transform(regexp_extract_all(h, {lit(H.RE_HREF)}, 1), lambda q: {decode(rx_sub('q', H.RE_QUOTES))}) AS links
+  {links('h')} AS links
   FROM pc),
 pe AS (SELECT *, array_to_string(list_concat(headings, paragraphs), ' ') AS text FROM pe0)"""
 

@@ -3,7 +3,9 @@
 A page is parsed with regular expressions only, so extraction is a narrow
 projection: no shuffle, no Python, one pass over the ``html`` column.
 
-Rules (the page is first stripped of <script>, <style> and comments):
+Rules (the page is first stripped of <script>, <style> and comments, in the
+order in which they begin; one that is not closed goes to the end of the page;
+a '>' inside a quoted attribute does not end a tag):
   * title: text of the first <title>; 'No title found' when the tag is
     absent, null when it is empty;
   * headings: h1-h3 in document order, inner markup removed, stripped;
@@ -30,20 +32,25 @@ RE_ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 NO_TITLE = "No title found"
 
-RE_SCRIPT = r"(?is)<script\b.*?</script\s*>"
-RE_STYLE = r"(?is)<style\b.*?</style\s*>"
-RE_COMMENT = r"(?s)<!--.*?-->"
+# What follows a tag's name up to its end: a '>' inside a quoted value is no end;
+# where quotes don't pair up, the first '>' is.
+TAG_REST = r"""(?:(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
+# Comments, scripts and styles, whichever begins first; an open one goes to the end.
+RE_HIDDEN = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)\b.*?(?:</\1\s*>|\z)"
 RE_TITLE_TAG = r"(?i)<title\b"
-RE_TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-RE_HEADING = r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>"
-RE_P_OPEN = r"(?i)<p(\s[^>]*)?>"
+RE_TITLE = rf"(?is)<title\b{TAG_REST}(.*?)</title\s*>"
+RE_HEADING = rf"(?is)<h[1-3]\b{TAG_REST}(.*?)</h[1-3]\s*>"
+RE_P_OPEN = rf"(?i)<p(?=[\s>]){TAG_REST}"
 RE_BLOCK_CLOSE = r"(?i)(</(?:article|div|body|section|td|li|main|html)\s*>)"
 RE_BLOCK_OPEN = (r"(?i)(<(?:address|article|aside|blockquote|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|main|nav|ol|pre|"
                  r"section|table|ul)\b)")
 RE_PARAGRAPH = r"(?s)<p>(.*?)</p>"
-RE_HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# The attributes before the first one that is named href, then its value.
+RE_HREF = (rf"""(?is)<a(?=[\s/])(?:[\s/]*+(?!href\s*=)[^\s"'>=/]++(?:\s*+=\s*+{VALUE})?+|[\s/]*+["'=])*+"""
+           rf"""[\s/]*+href\s*=\s*{VALUE}""")
 RE_QUOTES = r"""^["']|["']$"""
-RE_TAG = r"<[^>]*>"
+RE_TAG = f"<{TAG_REST}"
 
 
 def decode_entities(c: ColumnOrName) -> Column:
@@ -69,9 +76,7 @@ def decode_entities(c: ColumnOrName) -> Column:
 
 def content_html(html: ColumnOrName) -> Column:
     """HTML without scripts, styles and comments."""
-    h = F.regexp_replace(_c(html), RE_SCRIPT, "")
-    h = F.regexp_replace(h, RE_STYLE, "")
-    return F.regexp_replace(h, RE_COMMENT, "")
+    return F.regexp_replace(_c(html), RE_HIDDEN, "")
 
 
 def text_of(fragment: Column) -> Column:
@@ -102,7 +107,7 @@ def page_paragraphs(clean: ColumnOrName) -> Column:
 
 def page_links(clean: ColumnOrName) -> Column:
     """Array of href values (quotes removed, entities decoded)."""
-    quoted = F.regexp_extract_all(_c(clean), F.lit(RE_HREF), F.lit(1))
+    quoted = F.regexp_extract_all(_c(clean), F.lit(RE_HREF), F.lit(2))
     return F.transform(quoted, lambda q: decode_entities(F.regexp_replace(q, RE_QUOTES, "")))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import html as H
 from tessera.functions import text as X
 from tessera.plans.pages import page_extract
 
@@ -95,3 +96,22 @@ def test_metadata_text_sorted(spark):
     df = spark.createDataFrame([('{"b": 2, "a": "x"}',)], "p string")
     r = df.select(X.metadata_text(F.from_json("p", "map<string,string>")).alias("m")).first()
     assert r["m"] == "a: x\nb: 2"
+
+
+def test_quoted_tag_ends_other_attributes_and_open_raw_text(spark):
+    cases = [
+        ('<h1 title="a>b">X</h1><p class=\'q>\'>P <b title=">">bold</b> it\'s</p>', ["X"], ["P bold it's"], []),
+        ('<a data-href="x" href="y">l</a><a href=z data-href=w>m</a><A CLASS="c"HREF=\'v\'>n</A><a name="href = no">o</a>', [], [], ["y", "z", "v"]),
+        ('<abbr href="no">a</abbr><a title="href=\'no\'" href="yes">b</a><a disabled href = "two words">c</a><a "x" href=q>d</a>',
+         [], [], ["yes", "two words", "q"]),
+        ("<h2>Kept</h2><script>var x = '<h1>no</h1>';", ["Kept"], [], []),
+        ("<p>one</p><!-- open <p>two</p>", [], ["one"], []),
+        ("<!-- <script> --><h1>A</h1><script>'<!--'</script><h2>B</h2><!--><h3>C</h3>", ["A", "B", "C"], [], []),
+        ('<h1 title="open>T</h1><p>u</p>', ["T"], ["u"], []),
+        ("<pre>x</pre><param><p>v", [], ["v"], []),
+        ("<p " + 'a="1" ' * 20_000 + ">long tag</p>", [], ["long tag"], []),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, html string").withColumn("c", H.content_html("html"))
+    got = df.select("i", H.page_headings("c"), H.page_paragraphs("c"), H.page_links("c")).collect()
+    for r in got:
+        assert [list(r[1]), list(r[2]), list(r[3])] == list(cases[r[0]][1:]), cases[r[0]][0][:80]
