@@ -130,6 +130,13 @@ def q_scan_conversation_lines(spark, sf):
     return pairs.select(S.path_value("conv_id", "conv_id").cast("long").alias("conv_id"), "question", "answer")
 
 
+def q_numbered_lines(spark, sf):
+    out = scratch_path(spark, "rt-numbered")
+    (table(spark, sf, "documents").repartition("source").sortWithinPartitions("doc_id").select("source", F.coalesce("text", F.lit("")))
+     .write.partitionBy("source").text(out))
+    return S.numbered_lines(spark, out).select(S.path_value("path", "source").alias("source"), "line_no", "text")
+
+
 def _triples(spark, sf):
     return qa_triples(_page_corpus(spark, sf))
 
@@ -179,6 +186,7 @@ QUERIES = {
     "scan_xlsx": q_scan_xlsx,
     "scan_docx": q_scan_docx,
     "scan_conversation_lines": q_scan_conversation_lines,
+    "numbered_lines": q_numbered_lines,
     "sink_json_triples": q_sink_json_triples,
     "load_json_dataset": q_load_json_dataset,
     "feedback_append": q_feedback_append,
@@ -202,6 +210,9 @@ SQL = {
     "scan_xlsx": _PART,
     "scan_docx": "SELECT doc_id, text FROM documents",
     "scan_conversation_lines": f"WITH {PAIRS_SQL} SELECT conv_id, question, answer FROM pairs",
+    "numbered_lines": """WITH t AS (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+  l AS (SELECT source, doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS text FROM t)
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS line_no, text FROM l""",
     "sink_json_triples": _TRIPLES,
     "load_json_dataset": _TRIPLES,
     "feedback_append": f"WITH {FEEDBACK_SQL} SELECT question, answer, helpful FROM fb WHERE helpful IS NOT NULL OR TRUE",

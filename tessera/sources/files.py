@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import _c, ColumnOrName
-from ..session import ship_package
+from ..session import scratch_path, ship_package
 
 # File suffix -> (reader, envelope type); anything else is an error.
 SUFFIX_READERS = [
@@ -253,14 +254,38 @@ def unescape_line(c: ColumnOrName) -> F.Column:
     return F.array_join(parts, "\\")
 
 
+#: Rows of the table of file blocks that are broadcast at most (three values each).
+BROADCAST_BLOCKS = 1_000_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S02/S15 line by line: (path, line_no from 0, text) of all files, a large
+    file read by as many tasks as it has blocks.
+
+    A task reads a block's lines one after another, so a line's place in its
+    block is the distance of row ids to the block's first.  The lines of each
+    block are counted in a pass without texts, and running sums over the blocks
+    of a file give each block's first line number.  Lines end with a line feed;
+    an empty file has no lines.  The files must not change in between."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    staged = scratch_path(spark, "line-blocks")
+    lines.groupBy("path", "_start").agg(F.count("*").alias("n"), F.min("_id").alias("_first")).write.parquet(staged)
+    blocks = spark.read.parquet(staged)
+    few = blocks.count() <= BROADCAST_BLOCKS
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "_start", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    return (lines.join(F.broadcast(blocks) if few else blocks, ["path", "_start"])
+            .select("path", (F.col("_base") + F.col("_id") - F.col("_first")).cast("long").alias("line_no"), "text"))
+
+
 def scan_conversation_lines(spark: SparkSession, path: str) -> DataFrame:
     """Headerless one-column files of prefixed lines, read as text (a
     comma never splits a line).  Each file is one ordered sequence:
     (path, line_no, text).  A turn is one line; line breaks inside it are
     written by ``escape_line``."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "text"))
-    return lines.withColumn("line_no", F.col("line_no").cast("long"))
+    return numbered_lines(spark, path)
 
 
 def sink_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:

@@ -206,3 +206,21 @@ def test_snapshots_write_changed_keys_only(spark, tmpdir_path):
     assert written == {(0, 1), (0, 2), (1, 2)}
     X._changes(out)(spark.createDataFrame([(2, "c")], "k long, context string"), 1)      # a replayed batch
     assert {r["k"]: r["context"] for r in X.latest_rows(spark, out, "k").collect()} == {1: "a", 2: "c"}
+
+
+def test_line_numbers_of_split_files_equal_the_whole_file(spark, tmpdir_path):
+    files = {"a.txt": "".join(f"line {i} {'x' * (i % 37)}\n" for i in range(3000)), "b.txt": "one\r\n\nthree, no end", "empty.txt": "",
+             "c.txt": "é\n" * 500}
+    for name, text in files.items():
+        _write(tmpdir_path, name, text.encode())
+    want = sorted((name, i, x) for name, text in files.items() if text
+                  for i, x in enumerate((text[:-1] if text.endswith("\n") else text).split("\n")))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, tasks in (("3000", 20), ("1m", 1)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = S.numbered_lines(spark, tmpdir_path)
+            assert lines.rdd.getNumPartitions() >= tasks
+            assert sorted((os.path.basename(r["path"]), r["line_no"], r["text"]) for r in lines.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
