@@ -9,9 +9,11 @@ the shard.  Matches at consecutive positions along one item join to the
 longest verbatim match.  Nothing is shuffled: documents stay in their scan
 partition, so a benchmark passage in a third of all rows is no hot key.
 
-The benchmark is the stated query set.  It is read in blocks, each broadcast;
-its size is counted first and ``max_benchmark_bytes`` bounds it (a larger set
-raises ``ValueError``: call once per part, removal composes).
+The benchmark is the stated query set, of any size.  It is read in blocks, each
+broadcast, and up to ``pass_bytes`` of it meet the documents in one pass.  A
+larger one takes several passes: what a pass found (runs of hit words, items,
+the longest match) is written with the texts and carried into the next, where
+runs that overlap are united, so that words and items count once.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z, held as
 64-bit hashes.  A window is ``window`` consecutive item words; an item with
@@ -23,21 +25,26 @@ result; columns other than id and text are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ALNUM, slices, utf8, words
-from .tables import ready
+from .tables import ready, staged
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
 BLOCK_BYTES = 16 << 20
-MAX_BENCHMARK_BYTES = 256 << 20
+#: Bytes of the benchmark in a pass; a Python worker holds about nine times as many.
+PASS_BYTES = 32 << 20
 
 SCHEMA = ("doc_id {id}, n_words long, n_hit long, items array<string>, longest_match long, "
           "longest_at long, longest_item string")
+#: What a pass hands on beside id and text: hit words as runs (first, behind the last), one after another.
+CARRIED = "items array<string>, longest_match long, longest_at long, longest_item string, runs array<long>"
 
 
 class TestSuffixes:
@@ -73,18 +80,21 @@ class TestSuffixes:
                 rows.append(np.lib.stride_tricks.sliding_window_view(ids[a:z], window))
                 m = z - a - window + 1
                 spots.append(np.stack([np.full(m, k), np.arange(m)], axis=1))
+        self.n = 0
         if not rows:
-            self.windows = np.zeros((0, window), np.int64)
             return
         every, at = np.concatenate(rows), np.concatenate(spots)
-        self.windows, which = np.unique(every, axis=0, return_inverse=True)
+        windows, which = np.unique(every, axis=0, return_inverse=True)
         order = np.argsort(which.ravel(), kind="stable")
-        self.spots = at[order]                   # (text, place) of each window
-        self.spot_off = np.searchsorted(which.ravel()[order], np.arange(len(self.windows) + 1))
-        self.length = (self.windows > 0).sum(axis=1)
+        self.n = len(windows)
+        self.spots = at[order].astype(np.int32)  # (text, place) of each window
+        self.spot_off = np.searchsorted(which.ravel()[order], np.arange(self.n + 1))
+        self.length = (windows > 0).sum(axis=1)
         self.lead = int(min(self.length.min(), 3))
-        full = np.where(self.windows == 0, (1 << self.bits) - 1, self.windows)
-        self.low, self.high = self._keys(self.windows), self._keys(full)
+        self.low = self._keys(windows)
+        self.short = np.flatnonzero(self.length < window)     # what follows a short item may be any word
+        brief = windows[self.short]
+        self.high = self._keys(np.where(brief == 0, (1 << self.bits) - 1, brief))
 
     def _keys(self, rows: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -133,12 +143,12 @@ class TestSuffixes:
         return lo
 
     def match(self, h: np.ndarray, off: np.ndarray):
-        """For the documents of a shard: hit words, the texts that occur and
-        the longest match as (words, position, text)."""
+        """For the documents of a shard: which of their words are hit, the texts
+        that occur and the longest match as (words, position, text)."""
         docs = len(off) - 1
-        n_hit, found, longest = np.zeros(docs, np.int64), [set() for _ in range(docs)], {}
-        if not len(self.windows) or not len(h):
-            return n_hit, found, longest
+        hit, found, longest = np.zeros(len(h), bool), [set() for _ in range(docs)], {}
+        if not self.n or not len(h):
+            return hit, found, longest
         place = np.searchsorted(self.vocab, h)
         place[place == len(self.vocab)] = 0
         known = np.where(self.vocab[place] == h, place + 1, 0).astype(np.int64)
@@ -148,11 +158,13 @@ class TestSuffixes:
         ids[at] = known
         sa, keys = self.suffix_array(ids)
         if not len(sa):
-            return n_hit, found, longest
-        lo, hi = self.search(keys, self.low, False), self.search(keys, self.high, True)
+            return hit, found, longest
+        lo, hi = self.search(keys, self.low, False), self.search(keys, self.low, True)
+        if len(self.short):
+            hi[self.short] = self.search(keys, self.high, True)
         hits = np.flatnonzero(hi > lo)
         if not len(hits):
-            return n_hit, found, longest
+            return hit, found, longest
         count = (hi - lo)[hits]
         window = np.repeat(hits, count)
         pos = sa[np.repeat(lo[hits] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
@@ -161,7 +173,7 @@ class TestSuffixes:
         np.add.at(cover, pos + self.length[window], -1)
         doc_at = np.zeros(len(ids), np.int64)
         doc_at[at] = doc_of
-        n_hit += np.bincount(doc_of, weights=(np.cumsum(cover)[:-1] > 0)[at], minlength=docs).astype(np.int64)
+        hit = (np.cumsum(cover)[:-1] > 0)[at]
         many = np.diff(self.spot_off)[window]
         text = self.spots[np.repeat(self.spot_off[window] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
                           + np.arange(many.sum())]
@@ -179,36 +191,38 @@ class TestSuffixes:
             if (best := longest.get(d)) is None or (-k, a, x) < best:
                 longest[d] = (-k, a, x)
         begin = off[:-1] + np.arange(docs)
-        return n_hit, found, {d: (-k, a - int(begin[d]), x) for d, (k, a, x) in longest.items()}
+        return hit, found, {d: (-k, a - int(begin[d]), x) for d, (k, a, x) in longest.items()}
 
 
-def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int,
-                max_bytes: int) -> list:
-    """Broadcast test suffixes of the benchmark, in blocks of bounded size."""
+def test_passes(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int,
+                pass_bytes: int) -> Iterator[list]:
+    """The benchmark's test suffixes, broadcast in blocks of about ``block_bytes``;
+    one list of blocks, of about ``pass_bytes`` together, for each pass."""
     spark = benchmark.sparkSession
     items = (benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
              .where("item is not null and text is not null"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise ValueError(f"the benchmark has {size} bytes, more than max_benchmark_bytes={max_bytes}: "
-                         "decontaminate against one part of it after another")
-    blocks, block, used = [], [], 0
+    blocks, block, used, held = [], [], 0, 0
     for r in items.toLocalIterator():
         block.append((r["item"], r["text"]))
-        used += len(r["text"])
-        if used >= block_bytes:
+        used += len(r["text"].encode()) + len(r["item"].encode())
+        if used >= min(block_bytes, pass_bytes):
             blocks.append(spark.sparkContext.broadcast(TestSuffixes(block, window)))
-            block, used = [], 0
+            block, used, held = [], 0, held + used
+            if held >= pass_bytes:
+                yield blocks
+                blocks, held = [], 0
     if block:
         blocks.append(spark.sparkContext.broadcast(TestSuffixes(block, window)))
-    return blocks
+    if blocks:
+        yield blocks
 
 
-test_blocks.__test__ = False
+test_passes.__test__ = False
 
 
 def _scan(col, blocks) -> list[tuple]:
-    """One result per row of the column, shard by shard."""
+    """One result per row of the column, shard by shard: (words, items, longest
+    match, its place, its item, runs of hit words)."""
     data, off = utf8(col)
     h, woff = words(data, off, ALNUM)
     out, a = [], 0
@@ -216,87 +230,107 @@ def _scan(col, blocks) -> list[tuple]:
         z = max(a + 1, int(np.searchsorted(woff, woff[a] + SHARD_WORDS, side="right")) - 1)
         part = woff[a:z + 1]
         hw, po = h[part[0]:part[-1]], part - part[0]
-        hit = None
+        hit, names, best = np.zeros(len(hw), bool), [set() for _ in range(z - a)], {}
         for b in blocks:
-            n_hit, found, longest = b.value.match(hw, po)
-            named = [{n for t in f for n in b.value.names[t]} for f in found]
-            long_ = {d: (k, p, min(b.value.names[t])) for d, (k, p, t) in longest.items()}
-            if hit is None:
-                hit = [n_hit, named, long_]
-                covers = [b.value]
-            else:                            # several blocks: hit words must be united, not added
-                covers.append(b.value)
-                hit[1] = [x | y for x, y in zip(hit[1], named)]
-                for d, v in long_.items():
-                    if d not in hit[2] or (-v[0], v[1], v[2]) < (-hit[2][d][0], *hit[2][d][1:]):
-                        hit[2][d] = v
-        if hit is None:
-            hit = [np.zeros(z - a, np.int64), [set() for _ in range(z - a)], {}]
-        elif len(covers) > 1:
-            hit[0] = united(covers, hw, po)
+            own, found, longest = b.value.match(hw, po)
+            hit |= own
+            for x, f in zip(names, found):
+                x.update(n for t in f for n in b.value.names[t])
+            for d, (k, p, t) in longest.items():
+                best[d] = better(best.get(d), (k, p, min(b.value.names[t])))
         for d in range(z - a):
-            out.append((int(po[d + 1] - po[d]), int(hit[0][d]), sorted(hit[1][d]), *hit[2].get(d, (0, None, None))))
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[po[d]:po[d + 1]], [False]])))
+            out.append((int(po[d + 1] - po[d]), names[d], best.get(d), edge.tolist()))
         a = z
     return out
 
 
-def united(blocks: list[TestSuffixes], h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Words hit by any of several blocks, per document."""
-    return np.array([_one(blocks, h[a:z]) for a, z in zip(off[:-1], off[1:])], np.int64)
+def better(a: tuple | None, b: tuple | None) -> tuple | None:
+    """The longer of two matches (words, place, item); ties: first place, smaller item."""
+    if a is None or b is None:
+        return a or b
+    return min(a, b, key=lambda m: (-m[0], m[1], m[2]))
 
 
-def _one(blocks: list[TestSuffixes], h: np.ndarray) -> int:
-    hit = np.zeros(len(h), bool)
-    for b in blocks:
-        if not len(b.windows):
-            continue
-        place = np.searchsorted(b.vocab, h)
-        place[place == len(b.vocab)] = 0
-        ids = np.append(np.where(b.vocab[place] == h, place + 1, 0), 0).astype(np.int64)
-        sa, keys = b.suffix_array(ids)
-        if not len(sa):
-            continue
-        lo, hi = b.search(keys, b.low, False), b.search(keys, b.high, True)
-        for w in np.flatnonzero(hi > lo):
-            for p in sa[lo[w]:hi[w]]:
-                hit[p:p + b.length[w]] = True
-    return int(hit.sum())
+def united(a: list[int], b: list[int]) -> list[int]:
+    """Two lists of runs as one: runs that overlap or touch become one run."""
+    if not a or not b:
+        return a or b
+    out: list[int] = []
+    for first, end in sorted([*zip(a[::2], a[1::2]), *zip(b[::2], b[1::2])]):
+        if out and first <= out[-1]:
+            out[-1] = max(out[-1], end)
+        else:
+            out += [first, end]
+    return out
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                       text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                      block_bytes: int = BLOCK_BYTES, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+                      block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row per document: words, words inside a test window, the items that
     occur, and the longest verbatim match with its word position and item."""
     ready(docs.sparkSession)
-    blocks = test_blocks(benchmark, item_col, item_text, window, block_bytes, max_benchmark_bytes)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def scan(batches):
-        for b in slices(batches, 1):
-            rows = _scan(b.column(1), blocks)
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                 pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.int64()),
-                 pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.string())],
-                names=["doc_id", "n_words", "n_hit", "items", "longest_match", "longest_at", "longest_item"])
-
-    return slim.mapInArrow(scan, SCHEMA.format(id=f"{slim.schema['doc_id'].dataType.simpleString()}"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def scan(blocks, carried: bool, last: bool):
+        def run(batches):
+            for b in slices(batches, 1):
+                rows = _scan(b.column(1), blocks)
+                if carried:
+                    old = b.select(["items", "longest_match", "longest_at", "longest_item", "runs"]).to_pylist()
+                    rows = [(n, x | set(o["items"]),
+                             better((o["longest_match"], o["longest_at"], o["longest_item"]) if o["longest_match"] else None, m),
+                             united(o["runs"], r)) for (n, x, m, r), o in zip(rows, old)]
+                shared = {"items": pa.array([sorted(x) for _, x, _, _ in rows], pa.list_(pa.string())),
+                          "longest_match": pa.array([m[0] if m else 0 for _, _, m, _ in rows], pa.int64()),
+                          "longest_at": pa.array([m[1] if m else None for _, _, m, _ in rows], pa.int64()),
+                          "longest_item": pa.array([m[2] if m else None for _, _, m, _ in rows], pa.string())}
+                if last:
+                    counts = {"n_words": pa.array([n for n, _, _, _ in rows], pa.int64()),
+                              "n_hit": pa.array([sum(r[1::2]) - sum(r[::2]) for _, _, _, r in rows], pa.int64())}
+                    yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), **counts, **shared})
+                else:
+                    yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": b.column(1), **shared,
+                                                      "runs": pa.array([r for _, _, _, r in rows], pa.list_(pa.int64()))})
+        return run
+
+    carried, waiting = False, []
+    for blocks in test_passes(benchmark, item_col, item_text, window, block_bytes, pass_bytes):
+        if waiting:                              # another pass follows
+            rows = staged(rows.mapInArrow(scan(waiting, carried, False), f"doc_id {id_type}, text string, {CARRIED}"), "matches")
+            carried = True
+            release(waiting)
+        waiting = blocks
+    return rows.mapInArrow(scan(waiting, carried, True), SCHEMA.format(id=id_type))
+
+
+def release(blocks: list) -> None:
+    """Free the copies of a pass whose result is written."""
+    for b in blocks:
+        b.destroy()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
-                  max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+                  pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The documents, all columns as they were, without those that hold a word
-    inside an occurrence of a test window."""
+    inside an occurrence of a test window.  A pass works on what the one before
+    it left."""
     ready(docs.sparkSession)
-    blocks = test_blocks(benchmark, item_col, item_text, window, block_bytes, max_benchmark_bytes)
-    place = docs.columns.index(text_col)
-
-    def keep(batches):
-        for b in slices(batches, place):
-            clean = [r[1] == 0 for r in _scan(b.column(place).cast(pa.string()), blocks)]
-            yield b.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    place, schema = docs.columns.index(text_col), docs.schema
+
+    def clean(blocks):
+        def run(batches):
+            for b in slices(batches, place):
+                yield b.filter(pa.array([not r[3] for r in _scan(b.column(place).cast(pa.string()), blocks)], pa.bool_()))
+        return run
+
+    waiting: list = []
+    for blocks in test_passes(benchmark, item_col, item_text, window, block_bytes, pass_bytes):
+        if waiting:
+            docs = staged(docs.mapInArrow(clean(waiting), schema), "clean")
+            release(waiting)
+        waiting = blocks
+    return docs.mapInArrow(clean(waiting), schema)
