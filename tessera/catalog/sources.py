@@ -11,15 +11,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import defaults
+from ..operators.fileprofile import STATS, profile_cells
 from ..operators.training import lines_to_turns, pair_turns, qa_triples
+from ..plans.documents import folder_report
 from ..session import scratch_path
 from ..sources import feedback as FB
 from ..sources import files as S
 from ..sources import office as O
-from .common import lit, table, word_count as sql_wc
+from ..sources.tables import csv_cells
+from .common import lit, round6, table, word_count as sql_wc
 from .retrieval import FEEDBACK_SQL, PAIRS_SQL, feedback_rows
 from .training import _page_corpus
-from .sqltext import page_cte
+from .sqltext import page_cte, sentiment_ctes
 
 
 def q_scan_text(spark, sf):
@@ -54,6 +57,46 @@ def _plain_render(pdf):
     return [(f"doc_{int(i)}{k}", t.encode()) for i, t, k in zip(pdf["doc_id"], pdf["text"], pdf["kind"])]
 
 
+#: Documents of a written table file: files grow in number with the input, not in size.
+FILE_ROWS = 100
+
+
+def _by_file(d):
+    """One file for each run of ``FILE_ROWS`` ids, its rows by id."""
+    return d.repartition("file").sortWithinPartitions("file", "doc_id").write.partitionBy("file")
+
+
+def _quoted_csv(writer, out):
+    (writer.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out))
+
+
+def q_table_profiles(spark, sf):
+    """S03 and T09 by (file, column): texts with line breaks and quotes as CSV."""
+    out = scratch_path(spark, "rt-tables")
+    d = table(spark, sf, "documents").withColumn("file", F.floor(F.col("doc_id") / FILE_ROWS))
+    _quoted_csv(_by_file(d), out)
+    p = profile_cells(csv_cells(spark, out))
+    # counts that may be null as doubles, which every reader of the result shows alike
+    stats = [F.col(c).cast("double").alias(c) if c in ("n_unique", "freq") else F.col(c) for c in STATS]
+    return p.select(S.path_value("path", "file").cast("long").alias("file"), "column_name", "data_type", *stats)
+
+
+def q_folder_report(spark, sf):
+    """T08 and T09 over a mixed folder made of ``documents``: every third run of
+    ids as a CSV file, as a file of JSON lines, or as one text file a document."""
+    out = scratch_path(spark, "rt-folder")
+    d = table(spark, sf, "documents").withColumn("file", F.floor(F.col("doc_id") / FILE_ROWS))
+    _quoted_csv(_by_file(d.where("file % 3 = 0")), f"{out}/csv")
+    _by_file(d.where("file % 3 = 1")).json(f"{out}/json")
+    texts = d.where("file % 3 = 2 and text <> ''").withColumn("kind", F.lit(".txt"))
+    O.write_partition_files(texts.select("doc_id", "text", "kind"), f"{out}/txt", _plain_render, "").count()
+    r = folder_report(spark, out)
+    name = F.coalesce(F.nullif(F.regexp_extract("path", r"(doc_\d+)\.txt$", 1), F.lit("")), F.concat(F.lit("file "), S.path_value("path", "file")))
+    shown = F.array_join(F.array_sort(F.transform("profile", lambda c: F.concat_ws(" ", c["name"], c["data_type"], c["count"]))), ", ")
+    return r.select(name.alias("name"), "type", "word_count", "polarity", "compound", shown.alias("profile"))
+
+
 def q_scan_csv(spark, sf):
     out = scratch_path(spark, "rt-csv")
     table(spark, sf, "part").write.option("header", True).csv(out)
@@ -180,6 +223,8 @@ def q_feedback_stats(spark, sf):
 QUERIES = {
     "scan_text": q_scan_text,
     "read_documents": q_read_documents,
+    "table_profiles": q_table_profiles,
+    "folder_report": q_folder_report,
     "scan_csv": q_scan_csv,
     "scan_json_flat": q_scan_json_flat,
     "scan_xml_rows": q_scan_xml_rows,
@@ -198,7 +243,36 @@ _PE = page_cte("pages")
 _TRIPLES = f"WITH {_PE} SELECT text AS context, 'What is ' || title || '?' AS question, split_part(text, '.', 1) AS answer FROM pe WHERE length(text) > 0"
 _PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part"
 
+_DOC_COLUMNS = [("doc_id", True), ("text", False), ("lang", False), ("source", False), ("n_chars", True)]
+_FILE = f"(doc_id // {FILE_ROWS})::BIGINT AS file"
+_CELLS = " UNION ALL ".join(
+    f"SELECT {_FILE}, doc_id, {lit(c)} AS column_name, {c}::VARCHAR AS value, {n} AS num FROM documents WHERE {c} IS NOT NULL AND {c}::VARCHAR <> ''"
+    for c, n in _DOC_COLUMNS)
+_X = "value::DOUBLE"
+_NUMBERS = ", ".join(f"{round6(e)} AS {n}" for n, e in [
+    ("mean", f"avg({_X})"), ("std", f"stddev_samp({_X})"), ('"min"', f"min({_X})"), *[(f"p{p}", f"quantile_cont({_X}, {p / 100})") for p in (25, 50, 75)],
+    ('"max"', f"max({_X})")])
+_NO_NUMBERS = ", ".join(f"NULL::DOUBLE AS {n}" for n in ("mean", "std", '"min"', "p25", "p50", "p75", '"max"'))
+_PROFILES = f"""cells AS ({_CELLS}),
+  numbers AS (SELECT file, column_name, 'int64' AS data_type, count(*)::BIGINT AS "count", {_NUMBERS}, NULL::DOUBLE AS n_unique, NULL::VARCHAR AS top,
+    NULL::DOUBLE AS freq FROM cells WHERE num GROUP BY 1, 2),
+  vals AS (SELECT file, column_name, value, count(*)::BIGINT AS c FROM cells WHERE NOT num GROUP BY 1, 2, 3),
+  texts AS (SELECT file, column_name, 'object' AS data_type, sum(c)::BIGINT AS "count", {_NO_NUMBERS}, count(*)::DOUBLE AS n_unique,
+    arg_min(value, (-c, value)) AS top, max(c)::DOUBLE AS freq FROM vals GROUP BY 1, 2),
+  profiles AS (SELECT * FROM numbers UNION ALL SELECT * FROM texts)"""
+_ROW_TEXT = "concat_ws(' ', doc_id::VARCHAR, nullif(text, ''), nullif(lang, ''), nullif(source, ''), n_chars::VARCHAR)"
+_SHOWN = """(SELECT string_agg(line, ', ' ORDER BY line) FROM
+  (SELECT p.column_name || ' ' || p.data_type || ' ' || p."count" AS line FROM profiles p WHERE p.file = f.file))"""
+
 SQL = {
+    "table_profiles": f"WITH {_PROFILES} SELECT * FROM profiles",
+    "folder_report": f"""WITH {_PROFILES},
+  numbered AS (SELECT {_FILE}, doc_id, text, {_ROW_TEXT} AS line FROM documents),
+  files AS (SELECT 'file ' || file AS name, file, 'dataframe' AS type, sum({sql_wc('line')})::BIGINT AS word_count,
+      substring(string_agg(line, ' ' ORDER BY doc_id), 1, {defaults.TEXT_BUDGET}) AS text FROM numbered WHERE file % 3 <> 2 GROUP BY file
+    UNION ALL SELECT 'doc_' || doc_id, NULL, 'text', {sql_wc('text')}, text FROM numbered WHERE file % 3 = 2 AND text <> ''),
+  {sentiment_ctes("files", "name", "text")}
+  SELECT f.name, f.type, f.word_count, s.polarity, s.compound, {_SHOWN} AS profile FROM files f JOIN senti s ON s.id = f.name""",
     "scan_text": f"""SELECT source, (sum(length(text)) + count(*))::BIGINT AS n_chars, sum({sql_wc('text')})::BIGINT AS word_count,
   TRUE AS valid FROM documents GROUP BY source""",
     "read_documents": """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 2) THEN 'text' WHEN doc_id % 5 = 3 THEN 'dataframe' END AS type,

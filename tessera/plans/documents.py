@@ -9,15 +9,18 @@ kept in a separate column instead of being overwritten (Q1).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions.text import metadata_text, word_count
+from ..operators.fileprofile import STATS, profile_cells, table_texts
 from ..operators.profile import row_text, table_report, table_word_count, truncate_table_text
 from ..operators.sentiment import text_key, with_sentiment
 from ..operators.text import extractive_summary, word_frequencies
 from ..operators.text import top_terms as word_terms
+from ..sources.files import raw_files, read_documents
+from ..sources.tables import table_cells
 
 
 def text_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -76,3 +79,27 @@ def table_document_report(df: DataFrame, order_by: list[str]) -> dict[str, DataF
         "text": text_report(head, "doc_id", "text").drop("word_count"),
         "row_text": df.select(*order_by, row_text(df).alias("row_text")),
     }
+
+
+def folder_report(spark: SparkSession, path: str) -> DataFrame:
+    """T08 and T09 over a mixed folder, one row per file: (path, type, the text
+    report, profile, error).  ``profile`` holds a struct for each column of a
+    table with its type and statistics, in column order, and is null for other
+    types; a table's words are those of all its cells, the rest of its text
+    report is that of the first ``TEXT_BUDGET`` characters of its row text.  A
+    table without cells has an empty profile; files that cannot be read have
+    their error."""
+    names = raw_files(spark, path).select("path", F.col("_metadata.file_path").alias("_file"))
+    envelopes = read_documents(spark, path).join(names, "path")
+    cells = table_cells(spark, path)
+    columns = F.struct("position", F.col("column_name").alias("name"), "data_type", *STATS)
+    profiles = profile_cells(cells).groupBy("path").agg(F.array_sort(F.collect_list(columns)).alias("profile"))
+    known = (envelopes.join(profiles.withColumnRenamed("path", "_file"), "_file", "left")
+             .join(table_texts(cells).select(F.col("path").alias("_file"), F.col("text").alias("_text"), F.col("word_count").alias("_words")), "_file", "left"))
+    is_table = F.col("type") == "dataframe"
+    known = known.select("path", "type", "error", F.when(is_table, F.coalesce("_text", F.lit(""))).otherwise(F.col("text")).alias("text"),
+                         F.when(is_table, F.coalesce("_words", F.lit(0))).alias("_words"),
+                         F.when(is_table, F.coalesce("profile", F.array().cast(profiles.schema["profile"].dataType))).alias("profile"))
+    report = document_report(known.select("path", "type", "text", "error"), "path").drop("error")
+    return (known.drop("text").join(report, "path", "left")
+            .withColumn("word_count", F.coalesce("_words", "word_count")).drop("_words"))

@@ -71,7 +71,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     Text and docx files are read; tables (csv, json, xml, xlsx) are envelopes
     of type 'dataframe' without text, to be opened with their own scan; other
     known types carry ``NO_DECODER`` and unknown ones ``UNSUPPORTED``.  Every
-    file of the folder has exactly one row, broken ones with their error."""
+    file of the folder that has a byte has exactly one row, broken ones with their
+    error (Spark does not list files without a byte)."""
     from .office import scan_docx
     listed = route_by_suffix(raw_files(spark, path).select("path"))
     none = F.lit(None).cast("string")

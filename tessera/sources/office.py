@@ -82,12 +82,15 @@ def _xlsx_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "row_no", "cells", "error"])
 
 
+XLSX_ROWS_SCHEMA = "path string, row_no int, cells map<string,string>, error string"
+
+
 def scan_xlsx(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """First sheet of each workbook, first row = header, types inferred; a
     workbook that does not parse is one row with its ``error``."""
     ship_package(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = raw.mapInPandas(_xlsx_batches, "path string, row_no int, cells map<string,string>, error string")
+    rows = raw.mapInPandas(_xlsx_batches, XLSX_ROWS_SCHEMA)
     keys = [r["k"] for r in rows.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect()]
     wide = rows.select("path", "row_no", *[F.col("cells")[k].alias(k) for k in sorted(keys)], "error")
     return apply_types(wide, _infer_types(wide, sorted(keys))) if infer else wide
