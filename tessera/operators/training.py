@@ -11,11 +11,15 @@ chunks, so one huge conversation is spread over many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions.text import first_sentence, question_template, strip_speaker, strip_ws
+from ..session import scratch_path, ship_package
 from .sentiment import checked_broadcast
 from .text import TERM_TOKEN
 
@@ -23,6 +27,7 @@ from .text import TERM_TOKEN
 EVAL_MD5_BOUND = "1999999999999999"
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 2
 MAX_VOCAB_BROADCAST = 5_000_000
+MAX_VOCAB_ROW = 500_000       # tokens held by every Python worker (about 20 MB)
 
 
 def pair_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -106,35 +111,82 @@ def build_vocab(corpus: DataFrame, text_cols: list[str], size: int) -> DataFrame
     return top.select("token", (F.row_number().over(w) + (FIRST_WORD_ID - 1)).cast("int").alias("id"))
 
 
+def _word_list(text_col: str, max_length: int) -> Column:
+    """The first ``max_length`` lower-cased words of a text; a null text has none."""
+    return F.coalesce(F.slice(F.regexp_extract_all(F.lower(text_col), F.lit(TERM_TOKEN), F.lit(0)), 1, max_length),
+                      F.array().cast("array<string>"))
+
+
+def _padded(lists: pa.Array, tokens: pa.Array, ids: np.ndarray, max_length: int) -> tuple[pa.Array, pa.Array]:
+    """Word ids and mask of each list of words, as lists of ``max_length`` numbers."""
+    at = pc.index_in(lists.flatten(), value_set=tokens).fill_null(-1).to_numpy(zero_copy_only=False)
+    real = np.arange(max_length) < pc.list_value_length(lists).to_numpy(zero_copy_only=False)[:, None]
+    out = np.full(real.shape, PAD_ID, np.int32)
+    out[real] = np.where(at < 0, UNK_ID, ids[at]) if len(ids) else UNK_ID
+    offsets = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * max_length)
+    as_lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.ravel().astype(np.int32), pa.int32()))
+    return as_lists(out), as_lists(real)
+
+
+def encoded(df: DataFrame, id_col: str, text_cols: list[str], vocab: DataFrame, max_length: int,
+            vocab_size: int | None = None) -> DataFrame:
+    """(id, {text}_ids, {text}_mask of each text column), one row per row of
+    ``df``, whatever its id, each list of length ``max_length``.
+
+    A vocabulary that the caller has bounded (``vocab_size`` up to
+    ``MAX_VOCAB_ROW``) is sent to the tasks once and looked up in the row, all
+    columns in one pass and without an exchange; any other meets the words in a
+    join, where rows are told apart by a number of their own."""
+    lists = df.select(F.col(id_col), *[_word_list(c, max_length).alias(c) for c in text_cols])
+    names = [f"{c}_{kind}" for c in text_cols for kind in ("ids", "mask")]
+    if vocab_size is not None and vocab_size <= MAX_VOCAB_ROW:
+        known = vocab.select("token", F.col("id").cast("int").alias("id")).limit(vocab_size + 1).collect()
+        if len(known) > vocab_size:
+            raise ValueError(f"the vocabulary has more than vocab_size={vocab_size} tokens")
+        held = df.sparkSession.sparkContext.broadcast(([r["token"] for r in known], [r["id"] for r in known]))
+
+        def run(batches):
+            tokens, ids = pa.array(held.value[0], pa.string()), np.array(held.value[1], np.int32)
+            for b in batches:
+                cols = [x for k in range(len(text_cols)) for x in _padded(b.column(k + 1), tokens, ids, max_length)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[id_col, *names])
+
+        ship_package(df.sparkSession)
+        kinds = ", ".join(f"`{n}` array<int>" for n in names)
+        return lists.mapInArrow(run, f"`{id_col}` {lists.schema[0].dataType.simpleString()}, {kinds}")
+    v = checked_broadcast(vocab.select("token", F.col("id").alias("_tid")), MAX_VOCAB_BROADCAST, known_max=vocab_size)
+    path = scratch_path(df.sparkSession, "word-lists")       # the rows' numbers must not change between reads
+    lists.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    words = rows.select("_row", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("ws")) for k, c in enumerate(text_cols)])).alias("c"))
+    found = (words.select("_row", "c.k", F.posexplode("c.ws").alias("_pos", "token")).join(v, "token", "left")
+             .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("k", "_pos", F.coalesce("_tid", F.lit(UNK_ID)).alias("i")))).alias("_s")))
+    out = rows.select("_row", id_col).join(found, "_row", "left")
+    cols = []
+    for k, c in enumerate(text_cols):
+        place = F.lit(k)
+        real = F.transform(F.filter("_s", lambda x: x["k"] == place), lambda x: x["i"])  # noqa: B023 - called at once
+        real = F.coalesce(real, F.array().cast("array<int>"))
+        pad = F.lit(max_length) - F.size(real)
+        cols += [F.concat(real, F.array_repeat(F.lit(PAD_ID), pad)).alias(f"{c}_ids"),
+                 F.concat(F.array_repeat(F.lit(1), F.size(real)), F.array_repeat(F.lit(0), pad)).alias(f"{c}_mask")]
+    return out.select(id_col, *cols)
+
+
 def tokenize_pad(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_length: int,
                  prefix: str = "", vocab_size: int | None = None) -> DataFrame:
     """M04 + J10: (id, {prefix}input_ids, {prefix}attention_mask), each of length
     ``max_length``: word ids (unknown -> 1) truncated, then right-padded with
-    the end-of-text id 0; mask 1 for words, 0 for padding.
-
-    Truncation happens before the explode, so per-row work is bounded by
-    ``max_length``; the vocabulary is size-checked and broadcast."""
-    v = checked_broadcast(vocab.select("token", F.col("id").alias("_tid")), MAX_VOCAB_BROADCAST, known_max=vocab_size)
-    toks = df.select(F.col(id_col), F.slice(F.regexp_extract_all(F.lower(text_col), F.lit(TERM_TOKEN), F.lit(0)),
-                                            1, max_length).alias("_t"))
-    ex = toks.select(id_col, F.posexplode_outer("_t").alias("_pos", "token")).join(v, "token", "left")
-    ids = ex.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct(
-        "_pos", F.coalesce("_tid", F.lit(UNK_ID)).alias("i"))))).alias("_s"))
-    real = F.transform("_s", lambda x: x["i"])
-    pad = F.greatest(F.lit(max_length) - F.size(real), F.lit(0))
-    return ids.select(
-        id_col,
-        F.concat(real, F.array_repeat(F.lit(PAD_ID), pad)).alias(f"{prefix}input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size(real)), F.array_repeat(F.lit(0), pad)).alias(f"{prefix}attention_mask"))
+    the end-of-text id 0; mask 1 for words, 0 for padding."""
+    e = encoded(df, id_col, [text_col], vocab, max_length, vocab_size)
+    return e.select(id_col, F.col(f"{text_col}_ids").alias(f"{prefix}input_ids"), F.col(f"{text_col}_mask").alias(f"{prefix}attention_mask"))
 
 
 def label_pairs(pairs: DataFrame, id_col: str, vocab: DataFrame, max_length: int = 128,
                 vocab_size: int | None = None) -> DataFrame:
     """Question tokens as inputs, answer token ids as labels."""
-    q = tokenize_pad(pairs, id_col, "question", vocab, max_length, vocab_size=vocab_size)
-    a = tokenize_pad(pairs, id_col, "answer", vocab, max_length, prefix="a_", vocab_size=vocab_size).select(
-        id_col, F.col("a_input_ids").alias("labels"))
-    return q.join(a, id_col)
+    return encoded(pairs, id_col, ["question", "answer"], vocab, max_length, vocab_size).select(
+        id_col, F.col("question_ids").alias("input_ids"), F.col("question_mask").alias("attention_mask"), F.col("answer_ids").alias("labels"))
 
 
 def qa_triples(pages: DataFrame, title_col: str = "title", summary_col: str = "summary") -> DataFrame:

@@ -125,6 +125,22 @@ def test_split_disjoint_complete_and_padding(spark):
         assert r["input_ids"][:2] == [M.UNK_ID, ids["cat"]] and r["input_ids"][2:] == [0] * 6
 
 
+def test_words_are_looked_up_alike_in_the_row_and_by_a_join(spark):
+    rows = [(1, "the cat The dog", None), (1, "", "a mat here"), (None, "dog " * 20, "x"), (None, None, "cat, cat! zebra")]
+    df = spark.createDataFrame(rows, "id long, question string, answer string")
+    vocab = spark.createDataFrame([("cat", 5), ("dog", 2), ("mat", 9)], "token string, id int")
+    key = lambda r: tuple(map(repr, r))
+    row, join = (sorted(map(key, M.label_pairs(df, "id", vocab, 6, vocab_size=n).collect())) for n in (3, None))
+    assert row == join == sorted(map(key, [
+        (1, [1, 5, 1, 2, 0, 0], [1, 1, 1, 1, 0, 0], [0] * 6), (1, [0] * 6, [0] * 6, [1, 9, 1, 0, 0, 0]),
+        (None, [2] * 6, [1] * 6, [1, 0, 0, 0, 0, 0]), (None, [0] * 6, [0] * 6, [5, 5, 1, 0, 0, 0])]))
+    none = spark.createDataFrame([], vocab.schema)
+    assert M.tokenize_pad(df, "id", "question", none, 3, vocab_size=1).first()["input_ids"] == [1, 1, 1]
+    assert M.label_pairs(df.limit(0), "id", vocab, 6, vocab_size=3).count() == 0
+    plan = M.label_pairs(df, "id", vocab, 6, vocab_size=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def _py_pairs(rows):
     """The pairing rule as a sequential state machine (per conversation)."""
     out = []
