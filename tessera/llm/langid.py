@@ -38,6 +38,8 @@ from .kernels import PIECE, slices, utf8
 from .tables import ready, staged, without
 
 TRAIN_ROWS, BUCKETS, OVERLAP, STRENGTH, LEAST = 6000, 1 << 16, 3.0, 5.0, 0.5
+#: Languages of a model; its table has ``BUCKETS`` 4-byte numbers for each (64 MB at most).
+MAX_LANGUAGES = 255
 SMOOTH = 0.5
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -75,16 +77,21 @@ def hash_limit(level: float, n: int) -> int:
     return whole if n <= level else min(whole, int(level / n * whole))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS):
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS,
+          max_languages: int = MAX_LANGUAGES):
     """(languages, log-likelihood table [BUCKETS, languages + 1]); the last
     column is 'und'.  About ``train_rows`` rows are used, whatever the input.
-    Texts without any label are an error: nothing could be told from 'und'."""
+    Texts without any label are an error (nothing could be told from 'und'), and
+    so are more than ``max_languages`` distinct labels: the column then holds
+    something else, and the model's table would grow with it."""
     ready(docs.sparkSession)
     texts = docs.where(F.col(text_col).isNotNull())
     rows = texts.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn(
         "h", F.shiftrightunsigned(F.xxhash64("lang", "text"), 1))
-    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()  # a row per language
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).limit(max_languages + 1).collect()  # a row per language
+    if len(found) > max_languages:
+        raise ValueError(f"{lang_col} holds more than max_languages={max_languages} distinct labels")
     if not found and not texts.isEmpty():
         raise ValueError(f"no row has a text and a label in {lang_col}")
     level = even_share([r["n"] for r in found], train_rows)

@@ -20,8 +20,8 @@ parameter and does not follow the input.  Scoring reads every text where it is
 scanned.
 
 Selection: tail probability P(grade >= ``at_least``) of ``tail`` or more.
-Ratings of one id are joined to their lowest grade; null ids, texts or grades
-do not train.  A null or wordless text has no features: its grades follow the
+Grades are 0 to ``n_grades`` - 1.  Ratings of one id are joined to their lowest
+grade; null ids, texts or grades, and grades outside that range, do not train.  A null or wordless text has no features: its grades follow the
 thresholds alone, and it is not selected.  Rows are treated one by one; other
 columns are not looked at.
 """
@@ -140,7 +140,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
     """Fit on at most ``train_rows`` rated texts."""
     ready(docs.sparkSession)
     rated = (ratings.select(F.col(rating_id).alias("id"), F.col(grade_col).cast("int").alias("grade"))
-             .where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade")))
+             .where(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("id").agg(F.min("grade").alias("grade")))
     total = rated.count()
     cut = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 20)) < int(min(1.0, train_rows / max(total, 1)) * (1 << 20)) + 1
     sample = rated.where(cut).limit(train_rows)            # its size is bounded by the limit

@@ -89,6 +89,25 @@ def test_texts_without_labels_are_an_error(spark):
     assert langid.train(docs(spark, [(1, None, None)]))[0] == []
 
 
+def test_more_labels_than_a_model_holds_are_an_error(spark):
+    rows = docs(spark, [(k, f"text number {k}", f"l{k % 5}") for k in range(20)])
+    assert len(langid.train(rows, max_languages=5)[0]) == 5
+    with pytest.raises(ValueError):
+        langid.train(rows, max_languages=4)
+
+
+def test_grades_out_of_range_do_not_train(spark):
+    rows = docs(spark, [(k, f"{'good fine' if k % 2 else 'bad poor'} word{k % 7} text") for k in range(60)])
+    rated = [(k, k % 2) for k in range(60)]
+    odd = [(100, 0), (3, -1), (5, 7), (None, 1), (9, None)]
+    schema = "doc_id long, grade int"
+    a = quality.train(rows, spark.createDataFrame(rated, schema), 2)
+    b = quality.train(rows, spark.createDataFrame(rated + odd, schema), 2)
+    assert (a.thresholds == b.thresholds).all() and (a.weights == b.weights).all()
+    none = quality.train(rows, spark.createDataFrame([(1, 9), (2, -3)], schema), 2)
+    assert quality.score(rows, none, 1).count() == 60
+
+
 def test_evidence_decides_where_the_text_does_not(spark):
     langs, model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
     table = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200").collect()
