@@ -19,15 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import ship_package, text_batches
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch (a pandas DataFrame)."""
+    """Apply ``fn`` to each Arrow batch (a pandas DataFrame of
+    ``session.BATCH_ROWS`` rows, unless the user has set another size)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield fn(pdf)
-    ship_package(df.sparkSession)
+    text_batches(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 
