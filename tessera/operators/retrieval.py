@@ -26,7 +26,7 @@ from .text import TERM_TOKEN
 
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Postings of a block and query terms of a batch: together the memory of a group.
-BLOCK_POSTINGS, BATCH_TERMS = 2_000_000, 500_000
+BLOCK_POSTINGS, BATCH_TERMS = 500_000, 500_000
 
 
 def terms(c: Column) -> Column:
