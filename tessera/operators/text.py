@@ -1,9 +1,10 @@
 """Text analytics over a table of documents.
 
-Whole texts are read (``max_chars`` is for callers that want a cut).  Documents
-are hash-partitioned by their id exactly once; every later group/window keyed
-by (id, ...) reuses that partitioning.  Word frequencies are those of an id: rows
-that share one, or have none, are one text; summaries and reports work by row.
+Whole texts are read (``max_chars`` is for callers that want a cut).  Words and
+sentences are counted text by text (``functions.terms``) where the text is: nothing
+is shuffled.  Word frequencies are those of an id: rows that share one, or have
+none, are one text, and only these are hash-partitioned by their id, once; every
+later group/window keyed by (id, ...) reuses that.  Summaries and reports work by row.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions.numeric import round_half_up
+from ..functions.terms import TERM_TOKEN, WORD_TOKEN, summary, weight_rows
 from ..functions.text import split_sentences, truncate_chars, word_count
+from ..session import scratch_path, text_batches
 
-# Word pattern of the word-cloud weights: a letter/digit/underscore followed
-# by at least one more such character or apostrophe (Unicode-aware).
-WORD_TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
-TERM_TOKEN = r"[\p{L}\p{N}]+"
+#: Repeated ids that are broadcast at most.
+MAX_REPEATED = 1_000_000
 
 
 def word_counts(df: DataFrame, id_col: str, text_col: str = "text",
@@ -79,9 +80,23 @@ def collocation_score(c12, c1, c2, n):
     return F.lit(-2.0) * (_llr(c12, c1, p) + _llr(c2 - c12, n - c1, p) - _llr(c12, c1, p1) - _llr(c2 - c12, n - c1, p2))
 
 
+def _told_apart(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with an id of their own, the others or None): the ids that come more
+    than once are written as a table; without any, nothing is joined."""
+    path = scratch_path(df.sparkSession, "repeated-ids")
+    df.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).select(F.col(id_col).alias("_again")).write.parquet(path)
+    again = df.sparkSession.read.parquet(path)
+    n = again.count()
+    if not n:
+        return df, None
+    again = F.broadcast(again) if n <= MAX_REPEATED else again
+    same = F.col(id_col).eqNullSafe(F.col("_again"))
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
 def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
                      max_chars: int | None = None, stop_words: DataFrame | None = None,
-                     max_words: int | None = None, partitioned: bool = False,
+                     max_words: int | None = None,
                      collocations: bool = False, threshold: float = defaults.COLLOCATION_THRESHOLD) -> DataFrame:
     """A12 + L06: word-cloud term weights per document.
 
@@ -94,6 +109,25 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
     disappear).  weight = count / max count; rank by (count desc, term), and
     with ``max_words`` only so many.  Returns (id, term, n, weight, rank).
 
+    Plan: a row with an id of its own is weighed where it is, without a shuffle.
+    Rows that share an id, or have none, and those that meet a caller's table of
+    stop words go through ``_shared_frequencies``."""
+    rows, shared = (None, df) if stop_words is not None else _told_apart(df, id_col)
+    found = [] if shared is None else [_shared_frequencies(shared, id_col, text_col, max_chars, stop_words, max_words, collocations, threshold)]
+    if rows is not None:
+        text_batches(df.sparkSession)
+        t = F.col(text_col) if max_chars is None else truncate_chars(text_col, max_chars)
+        kind = df.schema[id_col].dataType.simpleString()
+        found.append(rows.select(id_col, F.make_valid_utf8(t).alias("t")).mapInArrow(
+            lambda batches: weight_rows(batches, collocations, threshold, max_words),
+            f"`{id_col}` {kind}, term string, n long, weight double, rank long"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _shared_frequencies(df: DataFrame, id_col: str, text_col: str, max_chars: int | None, stop_words: DataFrame | None,
+                        max_words: int | None, collocations: bool, threshold: float) -> DataFrame:
+    """``word_frequencies`` of ids with any number of rows, which are one text.
+
     Plan: unigram and bigram rows share one grouping inside the document
     partitioning; with collocations the grouped table (bounded per document)
     is checkpointed once and every later step (dictionaries, scores, count
@@ -103,7 +137,7 @@ def word_frequencies(df: DataFrame, id_col: str, text_col: str = "text",
     sw = sw.select(F.lower("word").alias("key")).distinct() if stop_words is not None else \
         sw.select(F.col("word").alias("key"))  # built-in list is unique
     sw = F.broadcast(sw.withColumn("_stop", F.lit(True)))
-    docs = by_document(df, id_col, text_col, max_chars, partitioned)
+    docs = by_document(df, id_col, text_col, max_chars)
     toks = docs.select(id_col, F.posexplode(F.regexp_extract_all("t", F.lit(WORD_TOKEN), F.lit(0))).alias("pos", "w"))
     toks = toks.withColumn("w", F.when(F.lower("w").endswith("'s"),
                                        F.expr("substring(w, 1, length(w) - 2)")).otherwise(F.col("w")))
@@ -188,7 +222,7 @@ def sentence_table(df: DataFrame, id_col: str, text_col: str = "text",
 def extractive_summary(df: DataFrame, id_col: str, text_col: str = "text",
                        max_chars: int | None = None,
                        budget: int | str = defaults.SUMMARY_TOKEN_BUDGET,
-                       stop_words: DataFrame | None = None, partitioned: bool = False) -> DataFrame:
+                       stop_words: DataFrame | None = None) -> DataFrame:
     """Frequency-based extractive summary (SumBasic-style).
 
     Sentences are scored by the mean
@@ -197,44 +231,15 @@ def extractive_summary(df: DataFrame, id_col: str, text_col: str = "text",
     ``budget`` (words, or a column of them; always at least one sentence) and
     printed in original order.
     Returns (id, summary, n_sentences), one row per row of ``df`` that holds a
-    sentence, whatever its id: equal texts are summarised once, by their digest.
-
-    Plan: words travel as (text, place of the sentence, term) without the
-    sentence; places are chosen from numbers, and only the chosen sentences are
-    read from the text again.  One exchange, by text."""
-    spark = df.sparkSession
-    more = [budget] if isinstance(budget, str) else []
+    sentence, whatever its id.
+
+    Plan: sentences are scored and chosen where the text is; nothing moves.  A
+    caller's table of stop words comes to the rows as one broadcast set."""
+    text_batches(df.sparkSession)
+    rows, stops = df, None
+    if stop_words is not None:
+        rows = df.crossJoin(F.broadcast(stop_words.agg(F.collect_set(F.lower("word")).alias("_stops"))))
+        stops = F.col("_stops")
     t = F.col(text_col) if max_chars is None else truncate_chars(text_col, max_chars)
-    if partitioned:
-        texts, key = df.select(F.col(id_col), t.alias("t"), *more), id_col
-    else:
-        key = "_key"
-        rows = df.select(F.col(id_col), t.alias("t"), *more)
-        rows = rows.withColumn(key, F.md5(F.concat_ws("\n", *[F.col(c).cast("string") for c in more], "t").cast("binary")))
-        texts = rows.select(key, "t", *more).dropDuplicates([key])
-    sw = stop_words.select(F.lower("word").alias("term")).distinct() if stop_words is not None else \
-        F.broadcast(defaults.stop_words_df(spark).select(F.col("word").alias("term")))   # a constant, unique
-    sents = (texts.select(key, *more, F.posexplode(split_sentences("t")).alias("pos", "sentence")).where(F.col("sentence") != "")
-             .select(key, *more, "pos", word_count("sentence").alias("n_words"),
-                     F.regexp_extract_all(F.lower("sentence"), F.lit(TERM_TOKEN), F.lit(0)).alias("terms")))
-    # every sentence keeps at least one row (explode_outer); stop words become
-    # null terms instead of being anti-joined away, so no join back is needed
-    terms = (sents.select(key, *more, "pos", "n_words", F.explode_outer("terms").alias("term"))
-             .join(sw.withColumn("_stop", F.lit(True)), "term", "left")
-             .withColumn("term", F.when(F.col("_stop").isNull(), F.col("term"))))
-    w_doc = Window.partitionBy(key)
-    w_term = Window.partitionBy(key, "term")
-    freq = F.when(F.col("term").isNotNull(), F.count("term").over(w_term) / F.count("term").over(w_doc))
-    scores = terms.withColumn("freq", freq).groupBy(key, *more, "pos", "n_words").agg(F.avg("freq").alias("score"))
-    ranked = scores.withColumn("score", round_half_up(F.coalesce(F.col("score"), F.lit(0.0)), 6))
-    w_rank = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
-    ranked = (ranked.withColumn("rank", F.row_number().over(w_rank))
-              .withColumn("running", F.sum("n_words").over(w_rank.rowsBetween(Window.unboundedPreceding, 0))))
-    chosen = ranked.where((F.col("rank") == 1) | (F.col("running") <= (F.col(budget) if more else budget)))
-    places = chosen.groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("_places"))     # at most ``budget`` of them
-    told = F.filter(F.transform(split_sentences("t"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))),
-                    lambda x: F.array_contains("_places", x["i"]))
-    found = texts.join(places, key).select(
-        key, F.concat(F.array_join(F.transform(told, lambda x: x["s"]), ". "), F.lit(".")).alias("summary"),
-        F.size("_places").cast("long").alias("n_sentences"))
-    return found if partitioned else rows.select(id_col, key).join(found, key).drop(key)
+    found = summary(t, F.col(budget) if isinstance(budget, str) else F.lit(budget), stops)
+    return rows.select(F.col(id_col), found.alias("_s")).where("_s is not null").select(id_col, "_s.*")
