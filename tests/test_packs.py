@@ -34,7 +34,7 @@ def tables(spark):
 
 
 @pytest.mark.parametrize("name, folder, rows", [
-    ("folder_report", "rt-folder", 2 + 2 + 200), ("read_documents", "rt-mixed", 600),
+    ("folder_report", "rt-folder", 2 + 2 + 200), ("read_documents", "rt-mixed", 600), ("scan_docx", "rt-docx", 600),
    ])
 def test_files_do_not_grow_with_rows(spark, tables, monkeypatch, name, folder, rows):
     root = tempfile.mkdtemp(prefix="tessera-root-")
