@@ -35,7 +35,7 @@ def tables(spark):
 
 @pytest.mark.parametrize("name, folder, rows", [
     ("folder_report", "rt-folder", 2 + 2 + 200), ("read_documents", "rt-mixed", 600), ("scan_docx", "rt-docx", 600),
-    ("scan_conversation_lines", "rt-lines", 600)])
+    ("scan_conversation_lines", "rt-lines", 600), ("table_profiles", "rt-tables", 6 * 5)])
 def test_files_do_not_grow_with_rows(spark, tables, monkeypatch, name, folder, rows):
     root = tempfile.mkdtemp(prefix="tessera-root-")
     for module in ("tessera.catalog.sources", "tessera.sources.files", "tessera.sources.tables", "tessera.operators.fileprofile"):
