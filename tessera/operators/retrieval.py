@@ -27,6 +27,7 @@ from .text import TERM_TOKEN
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Postings of a block and query terms of a batch: together the memory of a group.
 BLOCK_POSTINGS, BATCH_TERMS = 500_000, 500_000
+ROW = -1        # number of the term that stands for a row of the corpus
 
 
 def terms(c: Column) -> Column:
@@ -98,7 +99,7 @@ def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_i
     one document; those without an id count in N and avgdl, but cannot be found.
 
     Plan: the query terms get numbers and their vocabulary semi-joins the corpus
-    tokens, which are counted by (document, term).  Weighted postings are dealt by
+    tokens, which are counted by (document, term) in the only pass over the corpus.  Weighted postings are dealt by
     document into blocks of about ``block_postings``, queries into batches of about
     ``batch_terms`` terms; each (block, batch) is one group that finds every query's
     best document by block-max bounds (``blockmax``).  Between groups travel one
@@ -106,22 +107,30 @@ def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_i
     spark = queries.sparkSession
     qt = queries.select(F.col(q_id).alias("qid"), F.explode(F.array_distinct(terms(F.col(q_text)))).alias("term"))
     asked = qt.agg(F.count("*").alias("n")).first()
+    q_type, d_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, q_id), (corpus, d_id)))
+    empty = spark.createDataFrame([], f"{q_id} {q_type}, doc_id {d_type}, score double")
+    if not asked.n:
+        return (empty, 0) if return_bound else empty
     words = qt.select("term").distinct().withColumn("t", F.monotonically_increasing_id())
-    words = _written(words, "query-terms")
+    # no token is empty: an empty one stands for a row of the corpus, so that N and avgdl come with the postings
+    words = _written(words.unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(ROW).cast("long").alias("t"))), "query-terms")
     size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
     small = size.n <= MAX_BROADCAST_ROWS and size.bytes <= MAX_BROADCAST_BYTES
     words = F.broadcast(words) if small else words
     docs = corpus.select(F.col(d_id).alias("doc"), terms(F.col(d_text)).alias("_toks"))
-    tokens = (docs.where("doc is not null").select("doc", F.size("_toks").alias("dl"), F.explode("_toks").alias("term"))
+    row = F.array(F.lit(""))
+    found = F.when(F.col("doc").isNull() | F.col("_toks").isNull(), row).otherwise(F.concat("_toks", row))
+    tokens = (docs.select("doc", F.size("_toks").alias("dl"), F.explode(found).alias("term"))
               .join(words, "term").select("doc", "dl", "t"))
     postings = _written(tokens.groupBy("doc", "t", "dl").agg(F.count("*").alias("tf")), "postings")
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("_toks")).alias("avgdl")).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
-    q_type, d_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, q_id), (corpus, d_id)))
-    total = postings.count() if n_docs and avgdl and asked.n else 0
-    if not total:
-        empty = spark.createDataFrame([], f"{q_id} {q_type}, doc_id {d_type}, score double")
+    of_row, rows = F.col("t") == ROW, F.col("tf")
+    stats = postings.agg(F.count(F.when(~of_row, 1)).alias("total"), F.coalesce(F.sum(F.when(of_row, rows)), F.lit(0)).alias("n"),
+                         F.sum(F.when(of_row, F.col("dl") * rows)).alias("words"),
+                         F.sum(F.when(of_row & F.col("dl").isNotNull(), rows)).alias("known")).first()
+    n_docs, avgdl, total = int(stats["n"]), (stats["words"] or 0) / (stats["known"] or 1), stats["total"]
+    if not (n_docs and avgdl and total):
         return (empty, 0) if return_bound else empty
+    postings = postings.where(~of_row)
     # a document of an unusual term is counted once for each of its lengths, as its postings are
     dfreq = postings.groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

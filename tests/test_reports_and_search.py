@@ -141,3 +141,25 @@ def test_the_last_of_repeated_tags_wins(spark):
     found = {r.doc: r.metadata for r in metadata_map(tags, "doc", "grp", "name", "value", order_col="at").collect()}
     assert found == {1: {"Name": "a", "Date": None}, None: {"Name": "q"}}
     assert {r.doc: r.metadata["Name"] for r in metadata_map(tags, "doc", "grp", "name", "value").collect()} == {1: "b", None: "q"}
+
+
+def test_search_tokenises_the_corpus_once(spark, tmp_path):
+    """N, avgdl and the postings come from one pass: odd rows count in N, a text without words has length 0."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(1, "red fox"), (2, "red red hen pie"), (2, "fox"), (None, "red sea of long words"), (3, None), (4, ""), (5, "fox fox den")]
+    corpus = spark.createDataFrame(rows, "doc long, t string")
+    q = spark.createDataFrame([("a", "red hen"), ("b", "fox"), ("c", "nothing"), ("d", "")], "qid string, q string")
+    got = {r.qid: (r.doc_id, r.score) for r in bm25_top1(q, "qid", "q", corpus.mapInArrow(seen, corpus.schema), "doc", "t").collect()}
+    assert read.value == len(rows)
+    sizes = [len(t.split()) for _, t in rows if t is not None]
+    avgdl, n = sum(sizes) / len(sizes), len(rows)
+    part = lambda df, tf, dl: math.log(1 + (n - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / avgdl))
+    assert got["a"] == (2, round(part(2, 2, 4) + part(1, 1, 4), 6))
+    best = {1: part(3, 1, 2), 2: part(3, 1, 1), 5: part(3, 2, 3)}
+    assert got["b"] == (max(best, key=best.get), round(max(best.values()), 6)) and set(got) == {"a", "b"}
