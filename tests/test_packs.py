@@ -85,3 +85,14 @@ def test_quoted_csv_in_parts(spark, tmpdir_path):
     got = sorted(r.value for r in cells.where("column_name = 'text'").collect())
     assert got == [f'a "quoted" cell,\nof two lines {"y" * 40}'] * 4000
     assert sorted(int(r.value) for r in cells.where("column_name = 'id'").collect()) == list(range(4000))
+
+
+def test_lines_follow_their_turns(spark):
+    """Rows by turn however they lie in the table; one without a turn of its own stays behind the row it came after."""
+    sf = tempfile.mkdtemp(prefix="tessera-sf-")
+    who = lambda t: "assistant" if t % 2 else "user"
+    rows = [(1, t, who(t), f"t{t}") for t in (3, 0, 2, 1)] + [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "r"), (2, 1, "assistant", "a")]
+    rows += [(3, 0, "user", "x"), (3, None, "assistant", "y"), (3, 1, "user", "z"), (3, 2, "assistant", "w")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{sf}/conversations.parquet")
+    got = sorted(tuple(r) for r in QUERIES["scan_conversation_lines"](spark, sf).collect())
+    assert got == [(1, "t0", "t1"), (1, "t2", "t3"), (2, "q", "a"), (2, "r", "a"), (3, "x", "y"), (3, "z", "w")]
