@@ -12,21 +12,27 @@ block-max bounds (see ``bm25_top1``).  The best of all blocks is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions.numeric import round_half_up
 from ..functions.text import (any_of, clean_response, contains_any, drop_question_marks, first_line,
                               normalize_question, split_sentences, truncate_chars)
-from ..session import scratch_path, ship_package
-from .blockmax import best_of_block
+from ..session import scratch_path, ship_package, text_batches
+from .blockmax import best_by, count_terms, token_slices
 from .sentiment import checked_broadcast
 from .text import TERM_TOKEN
 
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Postings of a block and query terms of a batch: together the memory of a group.
-BLOCK_POSTINGS, BATCH_TERMS = 500_000, 500_000
+BLOCK_POSTINGS, BATCH_TERMS = 4_000_000, 4_000_000
+#: Partitions above which groups may share one.
+MAX_PARTS = 1000
+#: Tokens of rows that are counted together.
+BATCH_TOKENS = 500_000
 ROW = -1        # number of the term that stands for a row of the corpus
 
 
@@ -98,60 +104,109 @@ def bm25_top1(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_i
     rounded to 6 decimals before ranking.  Rows of the corpus that share an id are
     one document; those without an id count in N and avgdl, but cannot be found.
 
-    Plan: the query terms get numbers and their vocabulary semi-joins the corpus
-    tokens, which are counted by (document, term) in the only pass over the corpus.  Weighted postings are dealt by
-    document into blocks of about ``block_postings``, queries into batches of about
+    Plan: the query terms get numbers, and the only pass over the corpus counts them
+    in each row (``_counted``).  The lists of counts are dealt by document into blocks
+    of about ``block_postings``, queries into batches of about
     ``batch_terms`` terms; each (block, batch) is one group that finds every query's
     best document by block-max bounds (``blockmax``).  Between groups travel one
     row for each query and block, never (query, document) pairs."""
     spark = queries.sparkSession
-    qt = queries.select(F.col(q_id).alias("qid"), F.explode(F.array_distinct(terms(F.col(q_text)))).alias("term"))
-    asked = qt.agg(F.count("*").alias("n")).first()
     q_type, d_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, q_id), (corpus, d_id)))
     empty = spark.createDataFrame([], f"{q_id} {q_type}, doc_id {d_type}, score double")
-    if not asked.n:
+    asked = _written(queries.select(F.col(q_id).alias("qid"), F.array_distinct(terms(F.col(q_text))).alias("_toks")), "queries")
+    qt = asked.select("qid", F.explode("_toks").alias("term"))
+    n_asked = asked.where(F.size("_toks") > 0).agg(F.count("*").alias("queries"), F.sum(F.size("_toks")).alias("terms")).first()
+    if not n_asked.queries:
         return (empty, 0) if return_bound else empty
-    words = qt.select("term").distinct().withColumn("t", F.monotonically_increasing_id())
-    # no token is empty: an empty one stands for a row of the corpus, so that N and avgdl come with the postings
-    words = _written(words.unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(ROW).cast("long").alias("t"))), "query-terms")
-    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    words, size = _numbered(qt.select("term").distinct())
     small = size.n <= MAX_BROADCAST_ROWS and size.bytes <= MAX_BROADCAST_BYTES
     words = F.broadcast(words) if small else words
     docs = corpus.select(F.col(d_id).alias("doc"), terms(F.col(d_text)).alias("_toks"))
-    row = F.array(F.lit(""))
-    found = F.when(F.col("doc").isNull() | F.col("_toks").isNull(), row).otherwise(F.concat("_toks", row))
-    tokens = (docs.select("doc", F.size("_toks").alias("dl"), F.explode(found).alias("term"))
-              .join(words, "term").select("doc", "dl", "t"))
-    postings = _written(tokens.groupBy("doc", "t", "dl").agg(F.count("*").alias("tf")), "postings")
-    of_row, rows = F.col("t") == ROW, F.col("tf")
-    stats = postings.agg(F.count(F.when(~of_row, 1)).alias("total"), F.coalesce(F.sum(F.when(of_row, rows)), F.lit(0)).alias("n"),
-                         F.sum(F.when(of_row, F.col("dl") * rows)).alias("words"),
-                         F.sum(F.when(of_row & F.col("dl").isNotNull(), rows)).alias("known")).first()
-    n_docs, avgdl, total = int(stats["n"]), (stats["words"] or 0) / (stats["known"] or 1), stats["total"]
-    if not (n_docs and avgdl and total):
+    counts = _written(_counted(docs, words, d_type) if small else _counted_by_join(docs, words), "counts")
+    of_id = counts.groupBy("doc", "dl").agg(F.sum("n_rows").alias("rows"), F.count("*").alias("parts"))
+    stats = of_id.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.sum(F.col("dl") * F.col("rows")).alias("words"),
+                      F.sum(F.when(F.col("dl").isNotNull(), F.col("rows"))).alias("known"),
+                      F.max(F.when(F.col("doc").isNotNull(), F.col("parts"))).alias("parts")).first()
+    n_docs, avgdl = int(stats["n"]), (stats["words"] or 0) / (stats["known"] or 1)
+    if not (n_docs and avgdl):
         return (empty, 0) if return_bound else empty
-    postings = postings.where(~of_row)
+    counts = counts.where("doc is not null and size(t) > 0").select("doc", "dl", "t", "tf")
+    if (stats["parts"] or 0) > 1:
+        # rows of one id and length are counted together
+        again = of_id.where("doc is not null and parts > 1").select("doc", "dl")
+        whole = _listed(counts.join(again, ["doc", "dl"], "left_semi")
+                        .select("doc", "dl", F.explode(F.arrays_zip("t", "tf")).alias("x"))
+                        .groupBy("doc", "dl", F.col("x.t").alias("t")).agg(F.sum("x.tf").alias("tf")), "doc", "dl")
+        counts = _written(counts.join(again, ["doc", "dl"], "left_anti").unionByName(whole), "counts")
     # a document of an unusual term is counted once for each of its lengths, as its postings are
-    dfreq = postings.groupBy("t").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = dfreq.select("t", idf.alias("idf"))
-    idf = F.broadcast(idf) if small else idf                    # at most a row for each query term
-    tf = F.col("tf")
-    weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    dfreq = _written(counts.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("df")), "document-counts")
+    total = dfreq.agg(F.sum("df").alias("n")).first().n
+    if not total:
+        return (empty, 0) if return_bound else empty
     blocks = max(spark.sparkContext.defaultParallelism if total > block_postings // 8 else 1, -(-total // block_postings))
-    batches = -(-asked.n // batch_terms)
+    batches = -(-n_asked.terms // batch_terms)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = (postings.join(idf, "t").select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int").alias("block"), "doc",
-                                            F.col("t").alias("term"), weight.alias("weight")).withColumn("batch", every(batches)))
-    sets = (qt.join(words, "term").groupBy("qid").agg(F.collect_set("t").alias("terms"))
-            .select(F.pmod(F.xxhash64("qid"), F.lit(batches)).cast("int").alias("batch"), "qid", "terms").withColumn("block", every(blocks)))
+    dealt = counts.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int")).withColumn("batch", every(batches))
+    known = words.join(F.broadcast(dfreq) if small else dfreq, "t")             # at most a row for each query term
+    sets = (qt.join(F.broadcast(known) if small else known, "term").groupBy("qid")
+            .agg(F.collect_set(F.struct("t", "df")).alias("terms"))
+            .select(F.pmod(F.xxhash64("qid"), F.lit(batches)).cast("int").alias("batch"), "qid",
+                    F.col("terms.t").alias("t"), F.col("terms.df").alias("df")).withColumn("block", every(blocks)))
+    # each group is long work on few bytes: partitions enough that hardly two groups meet, which are not put together again
+    n = min(4 * blocks * batches, max(blocks * batches, MAX_PARTS))
+    dealt, sets = (df.repartition(n, "block", "batch") for df in (dealt, sets))
     scored = (dealt.groupBy("block", "batch").cogroup(sets.groupBy("block", "batch"))
-              .applyInArrow(best_of_block, f"qid {q_type}, doc {d_type}, score double")
+              .applyInArrow(best_by(n_docs, avgdl, k1, b), f"qid {q_type}, doc {d_type}, score double")
               .withColumn("score", round_half_up("score", 6)))
     best = scored.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("doc").alias("doc"))).alias("m"))
     hits = best.select(F.col("qid").alias(q_id), F.col("m.doc").alias("doc_id"), (-F.col("m.neg")).alias("score"))
     # at most one hit per query with a term
-    return (hits, asked.n) if return_bound else hits
+    return (hits, n_asked.queries) if return_bound else hits
+
+
+def _numbered(words: DataFrame) -> tuple[DataFrame, Row]:
+    """(term, t) of distinct terms, numbered from 0 without gaps, and (n, bytes) of them."""
+    words = _written(words.withColumn("t", F.monotonically_increasing_id()), "query-terms")
+    part = F.shiftright("t", 33).cast("int")
+    parts = words.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).collect()
+    held = dict((r.part, r.n) for r in parts)
+    starts = [0, *accumulate(held.get(k, 0) for k in range(max(held) + 1))]
+    number = F.element_at(F.lit(starts), part + 1) + F.col("t").bitwiseAND(F.lit((1 << 33) - 1))
+    return (words.select("term", number.cast("int" if starts[-1] < 1 << 31 else "bigint").alias("t")),
+            Row(n=starts[-1], bytes=sum(r.bytes for r in parts)))
+
+
+def _counted(docs: DataFrame, words: DataFrame, d_type: str) -> DataFrame:
+    """(doc, dl, n_rows, t, tf) of each row (doc, _toks): its number of tokens, and the
+    numbers and counts of those in ``words``, which the Python workers hold."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    known = words.toArrow()
+    held = spark.sparkContext.broadcast((known.column("term").combine_chunks(), known.column("t").to_numpy()))
+    least = max(BATCH_TOKENS, 2 * len(known))       # a look at the words costs as much as so many tokens
+
+    def run(batches):
+        for rows in token_slices(batches, least):
+            yield from count_terms(rows, *held.value).to_batches()
+
+    return docs.mapInArrow(run, f"doc {d_type}, dl int, n_rows long, t array<{words.schema['t'].dataType.simpleString()}>, tf array<int>")
+
+
+def _counted_by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """``_counted`` for words of any number; rows of one id and length are one here."""
+    row = F.array(F.lit(""))     # no token is empty: an empty one stands for a row of the corpus
+    found = F.when(F.col("doc").isNull() | F.col("_toks").isNull(), row).otherwise(F.concat("_toks", row))
+    words = words.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(ROW).cast(words.schema["t"].dataType).alias("t")))
+    tokens = docs.select("doc", F.size("_toks").alias("dl"), F.explode(found).alias("term")).join(words, "term")
+    counts = tokens.groupBy("doc", "dl", "t").agg(F.count("*").alias("tf"))
+    return _listed(counts, "doc", "dl", n_rows=F.sum(F.when(F.col("t") == ROW, F.col("tf"))))
+
+
+def _listed(df: DataFrame, *key: str, **more: Column) -> DataFrame:
+    """(key..., more..., t, tf) of rows (key..., t, tf) as lists, without ``ROW``."""
+    one = F.when(F.col("t") != ROW, F.struct("t", F.col("tf").cast("int").alias("tf")))       # a null is not collected
+    return (df.groupBy(*key).agg(*(c.alias(k) for k, c in more.items()), F.collect_list(one).alias("_l"))
+            .select(*key, *more, F.col("_l.t").alias("t"), F.col("_l.tf").alias("tf")))
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
